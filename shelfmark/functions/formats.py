@@ -58,9 +58,10 @@ def human_size(size) -> Column:
     k = F.lit(0)
     for i in range(1, len(S.SIZE_UNITS)):
         k = F.when(mag >= F.lit(1024 ** i), F.lit(i)).otherwise(k)
-    div = F.pow(F.lit(1024), k).cast("long")
-    # hundredths of the unit, rounded half-up (away from zero)
-    centi = F.floor((mag * 100 + F.floor(div / 2)) / div).cast("long")
+    div = F.pow(F.lit(1024), k).cast("decimal(38,0)")
+    # hundredths of the unit, rounded half-up; exact decimal arithmetic
+    num = mag.cast("decimal(38,0)") * 100 + F.floor(div / 2)
+    centi = ((num - num % div) / div).cast("long")
     whole = F.floor(centi / 100).cast("long")
     frac = centi % 100
     digits = (

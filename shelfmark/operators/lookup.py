@@ -128,7 +128,7 @@ def search_datasets(reg: Registry, terms: DataFrame, max_broadcast: int | None =
                         .alias("_gram"))
     by_gram = (long_terms.join(grams, "_gram").drop("_gram")
                .join(view, "dataset_id").where(cond).drop("_pat"))
-    small_short = broadcast_if_bounded(short_terms, **kwargs)
+    small_short = broadcast_if_bounded(short_terms)
     if small_short is None:
         raise ValueError("too many search terms without a 3-character literal piece")
     return by_gram.unionByName(view.join(small_short, cond).drop("_pat"))

@@ -6,8 +6,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ..operators import listing
+from .. import schemas as S
+from ..functions import formats
+from ..operators import listing, lookup
 from ..sources import fixtures
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,3 +26,207 @@ def query(fn: Query) -> Query:
 def latest_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Newest partition of every dataset, with dataset name and manager email."""
     return listing.latest_with_dataset(fixtures.registry(spark, sf_dir))
+
+
+# ---------------------------------------------------------------------------
+# Request and term tables derived from the driver's tables
+# ---------------------------------------------------------------------------
+
+def _view(df: DataFrame) -> DataFrame:
+    """Compared outputs leave out the declared schema map (see schema_fields)."""
+    return df.drop("dataset_schema")
+
+
+def dataset_name_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every customer's dataset name plus every nation name (never a dataset)."""
+    c = fixtures.table(spark, sf_dir, "customer").select(F.col("c_name").alias("dataset_name"))
+    n = fixtures.table(spark, sf_dir, "nation").select(F.col("n_name").alias("dataset_name"))
+    return c.unionByName(n)
+
+
+def partition_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One request per order: its own file, ``latest`` or a missing name."""
+    o = fixtures.table(spark, sf_dir, "orders")
+    c = fixtures.table(spark, sf_dir, "customer").select("c_custkey", "c_name")
+    p = fixtures.partitions(spark, sf_dir).select("partition_id", "partition_name")
+    key = F.col("o_orderkey")
+    name = (F.when(key % 10 == 0, F.lit(S.LATEST))
+            .when(key % 10 == 1, F.concat(F.lit("missing-"), key.cast("string")))
+            .otherwise(F.col("partition_name")))
+    return (o.join(c, o.o_custkey == c.c_custkey)
+            .join(p, o.o_orderkey == p.partition_id)
+            .select(F.col("c_name").alias("dataset_name"), name.alias("partition_name")))
+
+
+def api_key_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = fixtures.table(spark, sf_dir, "nation")
+    return n.select(F.concat(F.lit("key-"), F.col("n_nationkey").cast("string")).alias("api_key")) \
+        .unionByName(n.select(F.concat(F.lit("key-"), (F.col("n_nationkey") + 100).cast("string"))
+                              .alias("api_key")))
+
+
+def search_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five terms per nation: plain, ``_`` and ``%`` wildcards, a backslash
+    before an ordinary character, and an escaped underscore."""
+    n = fixtures.table(spark, sf_dir, "nation")
+    k = F.col("n_nationkey").cast("string")
+    terms = [
+        F.concat(F.lit("#00000"), F.lpad(k, 2, "0")),
+        F.concat(F.lit("0001_"), k),
+        F.concat(F.lit("r#%"), F.lpad(k, 3, "0")),
+        F.concat(F.lit("\\"), F.col("n_name")),
+        F.concat(F.lit("\\_"), k),
+    ]
+    out = None
+    for t in terms:
+        df = n.select(t.alias("term"))
+        out = df if out is None else out.unionByName(df)
+    return out
+
+
+BUCKETS = {c: f"org-datasets-{c}" for c in S.CLASSIFICATIONS}
+
+
+# ---------------------------------------------------------------------------
+# Listing, paging, lookups, search, views
+# ---------------------------------------------------------------------------
+
+@query
+def list_datasets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _view(listing.list_datasets(fixtures.registry(spark, sf_dir)))
+
+
+@query
+def datasets_top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _view(listing.list_datasets(fixtures.registry(spark, sf_dir), count=10)) \
+        .withColumn("position", F.col("position").cast("long"))
+
+
+@query
+def datasets_skip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _view(listing.list_datasets(fixtures.registry(spark, sf_dir), offset=20))
+
+
+@query
+def datasets_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _view(listing.page_datasets(fixtures.registry(spark, sf_dir), page_no=3)) \
+        .withColumn("position", F.col("position").cast("long"))
+
+
+@query
+def datasets_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    reg = fixtures.registry(spark, sf_dir)
+    return _view(listing.list_datasets(reg, start="1994-01-01 06:00:00", end="1994-01-01 20:00:00",
+                                       count=5, offset=2)) \
+        .withColumn("position", F.col("position").cast("long"))
+
+
+@query
+def list_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    reg = fixtures.registry(spark, sf_dir)
+    req = fixtures.table(spark, sf_dir, "customer").select(F.col("c_name").alias("dataset_name"))
+    return listing.list_partitions(reg, requests=req)
+
+
+@query
+def partitions_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    reg = fixtures.registry(spark, sf_dir)
+    return listing.list_partitions(reg, start="1996-01-01 00:00:00", end="1999-12-31 00:00:00",
+                                   count=3, offset=1) \
+        .withColumn("position", F.col("position").cast("long"))
+
+
+@query
+def partitions_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return listing.partitions_page(fixtures.registry(spark, sf_dir), count=2, offset=1) \
+        .withColumn("position", F.col("position").cast("long"))
+
+
+@query
+def partitions_skip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return listing.list_partitions(fixtures.registry(spark, sf_dir), offset=3)
+
+
+@query
+def partition_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookup.partition_view(fixtures.partitions(spark, sf_dir))
+
+
+@query
+def find_datasets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    reg = fixtures.registry(spark, sf_dir)
+    return _view(lookup.find_datasets(reg, dataset_name_requests(spark, sf_dir)))
+
+
+@query
+def find_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookup.find_partitions(fixtures.registry(spark, sf_dir), partition_requests(spark, sf_dir))
+
+
+@query
+def find_managers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookup.find_managers(fixtures.managers(spark, sf_dir), api_key_requests(spark, sf_dir))
+
+
+@query
+def manager_public(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookup.manager_public(fixtures.managers(spark, sf_dir))
+
+
+@query
+def manager_datasets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    reg = fixtures.registry(spark, sf_dir)
+    return _view(lookup.manager_datasets(reg, api_key_requests(spark, sf_dir)))
+
+
+@query
+def partitions_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookup.partitions_by_name(fixtures.registry(spark, sf_dir),
+                                     dataset_name_requests(spark, sf_dir))
+
+
+@query
+def search_datasets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _view(lookup.search_datasets(fixtures.registry(spark, sf_dir), search_terms(spark, sf_dir)))
+
+
+@query
+def search_datasets_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same search through the trigram equi-join path (no broadcast)."""
+    return _view(lookup.search_datasets(fixtures.registry(spark, sf_dir), search_terms(spark, sf_dir),
+                                        max_broadcast=1))
+
+
+@query
+def search_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookup.search_counts(fixtures.registry(spark, sf_dir), search_terms(spark, sf_dir))
+
+
+@query
+def schema_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return listing.schema_fields(fixtures.datasets(spark, sf_dir)) \
+        .withColumn("position", F.col("position").cast("long"))
+
+
+@query
+def storage_uri(spark: SparkSession, sf_dir: str) -> DataFrame:
+    buckets = spark.createDataFrame(list(BUCKETS.items()), "classification string, bucket string")
+    return lookup.storage_uri(fixtures.datasets(spark, sf_dir), buckets)
+
+
+@query
+def dataset_freshness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _view(listing.dataset_freshness(fixtures.datasets(spark, sf_dir),
+                                           fixtures.partitions(spark, sf_dir)))
+
+
+@query
+def expected_ext(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = fixtures.datasets(spark, sf_dir)
+    return d.select("dataset_id", "dataset_format", "dataset_compression",
+                    formats.expected_ext("dataset_format", "dataset_compression").alias("expected_ext"))
+
+
+@query
+def orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookup.orphans(fixtures.registry(spark, sf_dir))

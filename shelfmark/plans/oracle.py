@@ -85,3 +85,181 @@ FROM (SELECT *, row_number() OVER (PARTITION BY dataset_id
       FROM partitions_r) p
 JOIN view_r v ON v.dataset_id = p.dataset_id
 WHERE p.rn = 1""")
+
+_POS = "row_number() OVER (ORDER BY updated_at DESC, dataset_id DESC)"
+_PPOS = "row_number() OVER (PARTITION BY dataset_id ORDER BY created_at DESC, partition_id DESC)"
+_PPOS_P = ("row_number() OVER (PARTITION BY p.dataset_id "
+           "ORDER BY p.created_at DESC, p.partition_id DESC)")
+
+SQL["list_datasets"] = _q(f"SELECT {_VCOLS} FROM view_r")
+
+SQL["datasets_top"] = _q(f"""
+SELECT * FROM (SELECT {_VCOLS}, {_POS} AS position FROM view_r) WHERE position <= 10""")
+
+SQL["datasets_skip"] = _q(f"""
+SELECT {_VCOLS} FROM (SELECT *, {_POS} AS position FROM view_r) WHERE position > 20""")
+
+SQL["datasets_page"] = _q(f"""
+SELECT * FROM (SELECT {_VCOLS}, {_POS} AS position FROM view_r)
+WHERE position > 30 AND position <= 40""")
+
+SQL["datasets_range"] = _q(f"""
+SELECT * FROM (SELECT {_VCOLS}, {_POS} AS position FROM view_r
+               WHERE created_at BETWEEN TIMESTAMP '1994-01-01 06:00:00'
+                                    AND TIMESTAMP '1994-01-01 20:00:00')
+WHERE position > 2 AND position <= 7""")
+
+SQL["list_partitions"] = _q(f"""
+SELECT p.*, d.dataset_name FROM partitions_r p JOIN datasets_r d ON d.dataset_id = p.dataset_id""")
+
+SQL["partitions_range"] = _q(f"""
+SELECT * FROM (
+  SELECT p.*, d.dataset_name, {_PPOS_P} AS position
+  FROM partitions_r p JOIN datasets_r d ON d.dataset_id = p.dataset_id
+  WHERE p.created_at BETWEEN TIMESTAMP '1996-01-01 00:00:00' AND TIMESTAMP '1999-12-31 00:00:00')
+WHERE position > 1 AND position <= 4""")
+
+SQL["partitions_page"] = _q(f"""
+SELECT * FROM (
+  SELECT p.*, d.dataset_name, {_PPOS_P} AS position
+  FROM partitions_r p JOIN datasets_r d ON d.dataset_id = p.dataset_id)
+WHERE position > 1 AND position <= 3""")
+
+SQL["partitions_skip"] = _q(f"""
+SELECT {_PCOLS}, dataset_name FROM (
+  SELECT p.*, d.dataset_name, {_PPOS_P} AS position
+  FROM partitions_r p JOIN datasets_r d ON d.dataset_id = p.dataset_id)
+WHERE position > 3""")
+
+_LATEST = f"""
+latest_r AS (
+  SELECT * FROM (SELECT *, {_PPOS} AS rn FROM partitions_r) WHERE rn = 1)"""
+
+SQL["partition_view"] = _q("""
+SELECT p.*,
+       coalesce(p.partition_id = l.partition_id, false) AS is_latest,
+       CAST(hs.centi // 100 AS VARCHAR) ||
+         CASE WHEN hs.centi % 100 = 0 THEN ''
+              WHEN hs.centi % 10 = 0 THEN '.' || CAST((hs.centi % 100) // 10 AS VARCHAR)
+              ELSE '.' || lpad(CAST(hs.centi % 100 AS VARCHAR), 2, '0') END ||
+         (['B','KB','MB','GB','TB','PB'])[hs.k + 1] AS size_display,
+       strftime(p.created_at, '%m/%d/%Y %H:%M:%S') || ' UTC' AS created_display
+FROM partitions_r p
+LEFT JOIN latest_r l ON l.dataset_id = p.dataset_id
+JOIN (SELECT partition_id, k,
+             CAST((CAST(partition_size AS HUGEINT) * 100 + (CAST(1 AS HUGEINT) << (10 * k)) // 2)
+                  // (CAST(1 AS HUGEINT) << (10 * k)) AS BIGINT) AS centi
+      FROM (SELECT partition_id, partition_size,
+                   CASE WHEN partition_size >= 1125899906842624 THEN 5
+                        WHEN partition_size >= 1099511627776 THEN 4
+                        WHEN partition_size >= 1073741824 THEN 3
+                        WHEN partition_size >= 1048576 THEN 2
+                        WHEN partition_size >= 1024 THEN 1 ELSE 0 END AS k
+            FROM partitions_r)) hs ON hs.partition_id = p.partition_id""", _LATEST)
+
+SQL["find_datasets"] = _q(f"""
+SELECT r.dataset_name, v.dataset_id, v.manager_id, v.manager_email, v.dataset_compression,
+       v.dataset_format, v.dataset_classification, v.dataset_desc, v.created_at, v.updated_at,
+       v.dataset_id IS NOT NULL AS found
+FROM (SELECT c_name AS dataset_name FROM customer UNION ALL SELECT n_name FROM nation) r
+LEFT JOIN view_r v ON v.dataset_name = r.dataset_name""")
+
+SQL["find_partitions"] = _q("""
+SELECT r.dataset_name, r.partition_name, d.dataset_id,
+       CASE WHEN r.partition_name = 'latest' THEN l.partition_name ELSE p.partition_name END
+         AS resolved_name,
+       coalesce(l.partition_id, p.partition_id) AS partition_id,
+       coalesce(l.partition_url, p.partition_url) AS partition_url,
+       coalesce(l.partition_size, p.partition_size) AS partition_size,
+       coalesce(l.created_at, p.created_at) AS created_at,
+       coalesce(l.updated_at, p.updated_at) AS updated_at,
+       coalesce(l.partition_id, p.partition_id) IS NOT NULL AS found
+FROM (SELECT c.c_name AS dataset_name,
+             CASE WHEN o.o_orderkey % 10 = 0 THEN 'latest'
+                  WHEN o.o_orderkey % 10 = 1 THEN 'missing-' || CAST(o.o_orderkey AS VARCHAR)
+                  ELSE pr.partition_name END AS partition_name
+      FROM orders o JOIN customer c ON c.c_custkey = o.o_custkey
+      JOIN partitions_r pr ON pr.partition_id = o.o_orderkey) r
+LEFT JOIN datasets_r d ON d.dataset_name = r.dataset_name
+LEFT JOIN partitions_r p ON r.partition_name <> 'latest' AND p.dataset_id = d.dataset_id
+                        AND p.partition_name = r.partition_name
+LEFT JOIN latest_r l ON r.partition_name = 'latest' AND l.dataset_id = d.dataset_id""", _LATEST)
+
+_KEYS = """
+keys_r AS (
+  SELECT 'key-' || CAST(n_nationkey AS VARCHAR) AS api_key FROM nation
+  UNION ALL SELECT 'key-' || CAST(n_nationkey + 100 AS VARCHAR) FROM nation)"""
+
+SQL["find_managers"] = _q("""
+SELECT k.api_key, m.manager_id, m.manager_email, m.manager_id IS NOT NULL AS found
+FROM keys_r k LEFT JOIN managers_r m ON m.api_key = k.api_key""", _KEYS)
+
+SQL["manager_public"] = _q("SELECT manager_id, manager_email, api_key FROM managers_r")
+
+SQL["manager_datasets"] = _q("""
+SELECT m.api_key, d.dataset_id, d.dataset_name, d.manager_id, '' AS manager_email,
+       d.dataset_compression, d.dataset_format, d.dataset_classification, d.dataset_desc,
+       d.created_at, d.updated_at
+FROM datasets_r d JOIN managers_r m ON m.manager_id = d.manager_id
+WHERE m.api_key IN (SELECT api_key FROM keys_r)""", _KEYS)
+
+SQL["partitions_by_name"] = _q("""
+SELECT p.*, d.dataset_name FROM partitions_r p JOIN datasets_r d ON d.dataset_id = p.dataset_id
+WHERE d.dataset_name IN (SELECT c_name FROM customer UNION ALL SELECT n_name FROM nation)""")
+
+_TERMS = r"""
+terms_r AS (
+  SELECT term, regexp_replace(term, '(\\[%_\\])|\\', '\1', 'g') AS pat FROM (
+    SELECT '#00000' || lpad(CAST(n_nationkey AS VARCHAR), 2, '0') AS term FROM nation
+    UNION ALL SELECT '0001_' || CAST(n_nationkey AS VARCHAR) FROM nation
+    UNION ALL SELECT 'r#%' || lpad(CAST(n_nationkey AS VARCHAR), 3, '0') FROM nation
+    UNION ALL SELECT '\' || n_name FROM nation
+    UNION ALL SELECT '\_' || CAST(n_nationkey AS VARCHAR) FROM nation))"""
+
+_SEARCH = f"""
+SELECT t.term, {', '.join('v.' + c.strip() for c in _VCOLS.split(','))}
+FROM view_r v JOIN terms_r t ON v.dataset_name LIKE '%' || t.pat || '%' ESCAPE '\\'"""
+
+SQL["search_datasets"] = _q(_SEARCH, _TERMS)
+SQL["search_datasets_indexed"] = SQL["search_datasets"]
+
+SQL["search_counts"] = _q(f"""
+SELECT t.term, CAST(count(s.dataset_id) AS BIGINT) AS hits
+FROM (SELECT DISTINCT term FROM terms_r) t LEFT JOIN ({_SEARCH}) s ON s.term = t.term
+GROUP BY t.term""", _TERMS)
+
+SQL["schema_fields"] = _q("""
+SELECT d.dataset_id, d.dataset_name, f.field, f.field_type,
+       row_number() OVER (PARTITION BY d.dataset_id ORDER BY length(f.field), f.field) AS position
+FROM datasets_r d
+JOIN (VALUES (1, 'merchant_id', 'integer'), (2, 'merchant_name', 'string'),
+             (3, 'mrr_cents', 'integer'), (4, 'churn_rate', 'float'),
+             (5, 'last_billed', 'date')) f(i, field, field_type) ON f.i <= d.n_fields""")
+
+SQL["storage_uri"] = _q("""
+SELECT dataset_id, dataset_name, dataset_classification,
+       'org-datasets-' || dataset_classification AS bucket,
+       'gs://org-datasets-' || dataset_classification || '/' || dataset_name || '/' AS storage_uri
+FROM datasets_r""")
+
+SQL["dataset_freshness"] = _q("""
+SELECT d.dataset_id, d.dataset_name, d.dataset_desc, d.dataset_format, d.dataset_compression,
+       d.dataset_classification, d.manager_id, d.created_at,
+       greatest(d.updated_at, (SELECT max(p.created_at) FROM partitions_r p
+                               WHERE p.dataset_id = d.dataset_id)) AS updated_at
+FROM datasets_r d""")
+
+SQL["expected_ext"] = _q(f"""
+SELECT dataset_id, dataset_format, dataset_compression,
+       concat_ws('.', ({_FORMAT_EXT})[list_position({_FORMATS}, dataset_format)],
+                 nullif(({_COMPRESSION_EXT})[list_position({_COMPRESSIONS}, dataset_compression)], ''))
+         AS expected_ext
+FROM datasets_r""")
+
+SQL["orphans"] = _q("""
+SELECT 'datasets.manager_id' AS rule, CAST(dataset_id AS VARCHAR) AS key,
+       'no manager ' || CAST(manager_id AS VARCHAR) AS reason
+FROM datasets_r WHERE manager_id NOT IN (SELECT manager_id FROM managers_r)
+UNION ALL
+SELECT 'partitions.dataset_id', CAST(partition_id AS VARCHAR), 'no dataset ' || CAST(dataset_id AS VARCHAR)
+FROM partitions_r WHERE dataset_id NOT IN (SELECT dataset_id FROM datasets_r)""")

@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas as S
-from ..functions import formats
-from ..operators import listing, lookup
+from ..functions import formats, paths
+from ..operators import events, fold, listing, lookup
 from ..sources import fixtures
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -230,3 +230,69 @@ def expected_ext(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookup.orphans(fixtures.registry(spark, sf_dir))
+
+
+# ---------------------------------------------------------------------------
+# Bucket notifications: envelope → decode → route → fold
+# ---------------------------------------------------------------------------
+
+def _decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return events.decode_notifications(events.flatten_envelope(fixtures.envelopes(spark, sf_dir)))
+
+
+def _routed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    reg = fixtures.event_registry(spark, sf_dir)
+    return events.route_events(_decoded(spark, sf_dir), reg.datasets)
+
+
+@query
+def flatten_envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return events.flatten_envelope(fixtures.envelopes(spark, sf_dir)).drop("data")
+
+
+@query
+def decode_notifications(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _decoded(spark, sf_dir).select(
+        "message_id", "object_name", "self_link", "size", "dataset_name", "partition_name", "reason")
+
+
+@query
+def parse_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = fixtures.notifications(spark, sf_dir)
+    return n.select("message_id", "object_id",
+                    paths.dataset_of("object_id").alias("dataset_name"),
+                    paths.partition_of("object_id").alias("partition_name"))
+
+
+@query
+def dead_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return events.dead_letters(_decoded(spark, sf_dir))
+
+
+@query
+def route_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _routed(spark, sf_dir).select(
+        "message_id", "dataset_name", "partition_name", "dataset_id", "action", "acked")
+
+
+def _folded(spark: SparkSession, sf_dir: str):
+    reg = fixtures.event_registry(spark, sf_dir)
+    return fold.fold_events(reg, events.route_events(_decoded(spark, sf_dir), reg.datasets))
+
+
+@query
+def fold_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Partitions of the event registry after folding every notification."""
+    return _folded(spark, sf_dir)[0].partitions
+
+
+@query
+def fold_datasets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Datasets after the fold: deleted ones gone, freshness raised."""
+    return _view(_folded(spark, sf_dir)[0].datasets)
+
+
+@query
+def pending_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages left for a later batch (their dataset is not registered)."""
+    return _folded(spark, sf_dir)[1].select("message_id", "dataset_name", "partition_name", "action")

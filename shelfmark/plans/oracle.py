@@ -263,3 +263,169 @@ FROM datasets_r WHERE manager_id NOT IN (SELECT manager_id FROM managers_r)
 UNION ALL
 SELECT 'partitions.dataset_id', CAST(partition_id AS VARCHAR), 'no dataset ' || CAST(dataset_id AS VARCHAR)
 FROM partitions_r WHERE dataset_id NOT IN (SELECT dataset_id FROM datasets_r)""")
+
+# Bucket notifications ----------------------------------------------------
+
+_EVENTS = r"""
+ev_r AS (
+  SELECT event_id, ts, user_id, value,
+         CAST(json_extract_string(props, '$.k') AS BIGINT) AS k,
+         CASE event_type WHEN 'purchase' THEN 'OBJECT_FINALIZE' WHEN 'signup' THEN 'OBJECT_FINALIZE'
+                         WHEN 'view' THEN 'OBJECT_METADATA_UPDATE' WHEN 'click' THEN 'OBJECT_ARCHIVE'
+                         WHEN 'error' THEN 'OBJECT_DELETE' END AS etype,
+         'user_' || CAST(user_id AS VARCHAR) AS ds
+  FROM events),
+obj_r AS (
+  SELECT *,
+         CASE WHEN event_id % 211 = 0 THEN ds || '/dd.json'
+              WHEN event_id % 97 = 0 THEN ds || '/latest'
+              WHEN event_id % 193 = 0 THEN ds || '/' || ds || '/' || CAST(k AS VARCHAR)
+              ELSE ds || '/2024/' || CAST(k % 10 AS VARCHAR) || '.ndjson' END AS object_id,
+         CASE WHEN etype = 'OBJECT_DELETE' AND event_id % 5 = 0
+              THEN CAST(event_id + 1 AS VARCHAR) END AS overwritten_by_generation
+  FROM ev_r),
+decoded_r AS (
+  SELECT 'ack-' || CAST(event_id AS VARCHAR) AS ack_id,
+         CAST(event_id AS VARCHAR) AS message_id,
+         ts + INTERVAL 1 SECOND AS publish_time,
+         etype AS event_type, ts AS event_time, overwritten_by_generation,
+         CASE WHEN event_id % 89 <> 0 THEN object_id END AS object_name,
+         CASE WHEN event_id % 89 <> 0
+              THEN 'https://storage.example.com/b/org-datasets-events/o/' || object_id END AS self_link,
+         CASE WHEN event_id % 89 <> 0 AND event_id % 101 <> 0
+              THEN CAST(round(value * 100) AS BIGINT) END AS size,
+         CASE WHEN event_id % 89 <> 0 THEN ds END AS dataset_name,
+         CASE WHEN event_id % 89 <> 0 THEN
+           CASE WHEN rest = ds OR rest = 'dd.json' THEN NULL ELSE rest END END AS partition_name,
+         CASE WHEN event_id % 89 = 0 THEN 'undecodable payload'
+              WHEN event_id % 101 = 0 THEN 'size is not an integer' END AS reason
+  FROM (SELECT *, regexp_replace(object_id, '^(?:' || regexp_escape(ds || '/') || ')+', '') AS rest
+        FROM obj_r)),
+edatasets_r AS (
+  SELECT CAST(user_id AS BIGINT) AS dataset_id, 'user_' || CAST(user_id AS VARCHAR) AS dataset_name,
+         'events of user ' || CAST(user_id AS VARCHAR) AS dataset_desc,
+         (['plaintext','json','ndjson','csv','tsv','protobuf'])[user_id % 6 + 1] AS dataset_format,
+         (['uncompressed','zip','gzip'])[user_id % 3 + 1] AS dataset_compression,
+         (['confidential','internal','public','restricted'])[user_id % 4 + 1] AS dataset_classification,
+         CAST(user_id % 25 AS BIGINT) AS manager_id,
+         TIMESTAMP '2023-12-01 00:00:00' + user_id * INTERVAL 1 MINUTE AS created_at,
+         TIMESTAMP '2023-12-01 00:00:00' + user_id * INTERVAL 1 MINUTE AS updated_at
+  FROM (SELECT DISTINCT user_id FROM events) WHERE user_id % 10 <> 0),
+eparts_r AS (
+  SELECT CAST(user_id * 16 + slot AS BIGINT) AS partition_id,
+         '2024/' || CAST(slot AS VARCHAR) || '.ndjson' AS partition_name,
+         'https://storage.example.com/b/org-datasets-events/o/user_' || CAST(user_id AS VARCHAR) ||
+           '/2024/' || CAST(slot AS VARCHAR) || '.ndjson' AS partition_url,
+         CAST(slot + 1000 AS BIGINT) AS partition_size,
+         CAST(user_id AS BIGINT) AS dataset_id,
+         TIMESTAMP '2023-12-15 00:00:00' + (user_id * 60 + slot) * INTERVAL 1 SECOND AS created_at,
+         TIMESTAMP '2023-12-15 00:00:00' + (user_id * 60 + slot) * INTERVAL 1 SECOND AS updated_at
+  FROM (SELECT DISTINCT user_id, CAST(json_extract_string(props, '$.k') AS BIGINT) % 10 AS slot
+        FROM events)
+  WHERE slot < 3 AND user_id % 10 <> 0),
+routed_r AS (
+  SELECT d.*, e.dataset_id,
+         CASE
+           WHEN e.dataset_id IS NOT NULL AND d.event_type IN
+                ('OBJECT_FINALIZE', 'OBJECT_METADATA_UPDATE', 'OBJECT_ARCHIVE') THEN
+             CASE WHEN d.partition_name IS NULL THEN 'noop'
+                  WHEN d.partition_name = 'latest' OR length(d.partition_name) > 255
+                       OR length(d.self_link) > 255 THEN 'reject'
+                  ELSE 'upsert' END
+           WHEN e.dataset_id IS NOT NULL AND d.event_type = 'OBJECT_DELETE' THEN
+             CASE WHEN d.overwritten_by_generation IS NOT NULL THEN 'skip'
+                  WHEN d.partition_name IS NOT NULL THEN 'delete_partition'
+                  ELSE 'delete_dataset' END
+           WHEN ends_with(d.object_name, 'dd.json') OR d.partition_name IS NULL THEN 'ignore'
+           ELSE 'retry' END AS action
+  FROM decoded_r d LEFT JOIN edatasets_r e ON e.dataset_name = d.dataset_name
+  WHERE d.reason IS NULL)"""
+
+# Sequential reading of the fold: one global sequence number, windows per
+# key (lag), the dataset deletion as "any earlier delete_dataset".
+_FOLD = r"""
+seq_r AS (
+  SELECT *, row_number() OVER (ORDER BY event_time, publish_time, message_id) AS seq FROM routed_r),
+gone_r AS (
+  SELECT dataset_id, min(seq) AS gone_seq FROM seq_r WHERE action = 'delete_dataset' GROUP BY dataset_id),
+eff_r AS (
+  SELECT s.*, g.gone_seq,
+         CASE WHEN g.gone_seq IS NOT NULL AND s.seq > g.gone_seq THEN
+                CASE WHEN ends_with(s.object_name, 'dd.json') OR s.partition_name IS NULL
+                     THEN 'ignore' ELSE 'retry' END
+              ELSE s.action END AS eff
+  FROM seq_r s LEFT JOIN gone_r g ON g.dataset_id = s.dataset_id),
+key_r AS (
+  SELECT e.*,
+         lag(eff) OVER (PARTITION BY e.dataset_id, e.partition_name ORDER BY seq) AS prev,
+         max(CASE WHEN eff = 'delete_partition' THEN seq END)
+           OVER (PARTITION BY e.dataset_id, e.partition_name) AS ld,
+         p.partition_id IS NOT NULL AS had
+  FROM eff_r e LEFT JOIN eparts_r p
+    ON p.dataset_id = e.dataset_id AND p.partition_name = e.partition_name
+  WHERE eff IN ('upsert', 'delete_partition')),
+ins_r AS (
+  SELECT dataset_id, max(event_time) AS fresh FROM key_r
+  WHERE eff = 'upsert' AND (prev = 'delete_partition' OR (prev IS NULL AND NOT had))
+  GROUP BY dataset_id),
+surv_r AS (
+  SELECT dataset_id, partition_name, any_value(had) AS had, any_value(ld) AS ld,
+         min(event_time) AS first_time,
+         arg_max(self_link, seq) AS url, arg_max(size, seq) AS sz, max(event_time) AS last_time
+  FROM key_r WHERE eff = 'upsert' AND (ld IS NULL OR seq > ld)
+  GROUP BY dataset_id, partition_name),
+deleted_r AS (SELECT dataset_id FROM gone_r),
+touched_r AS (SELECT DISTINCT dataset_id, partition_name FROM key_r),
+newp_r AS (
+  SELECT s.dataset_id, s.partition_name, s.url, s.sz, s.first_time AS created_at, s.last_time
+  FROM surv_r s WHERE NOT (s.had AND s.ld IS NULL)
+    AND s.dataset_id NOT IN (SELECT dataset_id FROM deleted_r)),
+fold_parts_r AS (
+  SELECT p.* FROM eparts_r p
+  WHERE NOT EXISTS (SELECT 1 FROM touched_r t WHERE t.dataset_id = p.dataset_id
+                                             AND t.partition_name = p.partition_name)
+    AND p.dataset_id NOT IN (SELECT dataset_id FROM deleted_r)
+  UNION ALL
+  SELECT p.partition_id, p.partition_name, s.url, s.sz, p.dataset_id, p.created_at, s.last_time
+  FROM surv_r s JOIN eparts_r p ON p.dataset_id = s.dataset_id AND p.partition_name = s.partition_name
+  WHERE s.had AND s.ld IS NULL AND s.dataset_id NOT IN (SELECT dataset_id FROM deleted_r)
+  UNION ALL
+  SELECT (SELECT coalesce(max(partition_id), 0) FROM eparts_r)
+           + row_number() OVER (ORDER BY created_at, dataset_id, partition_name),
+         partition_name, url, sz, dataset_id, created_at, last_time
+  FROM newp_r)"""
+
+SQL["flatten_envelope"] = "WITH " + _EVENTS.strip() + """
+SELECT 'ack-' || CAST(event_id AS VARCHAR) AS ack_id, CAST(event_id AS VARCHAR) AS message_id,
+       ts + INTERVAL 1 SECOND AS publish_time, etype AS event_type, ts AS event_time,
+       object_id, overwritten_by_generation
+FROM obj_r"""
+
+SQL["decode_notifications"] = "WITH " + _EVENTS.strip() + """
+SELECT message_id, object_name, self_link, size, dataset_name, partition_name, reason FROM decoded_r"""
+
+SQL["parse_paths"] = "WITH " + _EVENTS.strip() + r"""
+SELECT CAST(event_id AS VARCHAR) AS message_id, object_id, ds AS dataset_name,
+       CASE WHEN rest = ds OR rest = 'dd.json' THEN NULL ELSE rest END AS partition_name
+FROM (SELECT *, regexp_replace(object_id, '^(?:' || regexp_escape(ds || '/') || ')+', '') AS rest
+      FROM obj_r)"""
+
+SQL["dead_letters"] = "WITH " + _EVENTS.strip() + """
+SELECT ack_id, message_id, event_time, object_name, reason FROM decoded_r WHERE reason IS NOT NULL"""
+
+SQL["route_events"] = "WITH " + _EVENTS.strip() + """
+SELECT message_id, dataset_name, partition_name, dataset_id, action, action <> 'retry' AS acked
+FROM routed_r"""
+
+SQL["fold_partitions"] = "WITH " + _EVENTS.strip() + "," + _FOLD.strip() + """
+SELECT * FROM fold_parts_r"""
+
+SQL["fold_datasets"] = "WITH " + _EVENTS.strip() + "," + _FOLD.strip() + """
+SELECT d.dataset_id, d.dataset_name, d.dataset_desc, d.dataset_format, d.dataset_compression,
+       d.dataset_classification, d.manager_id, d.created_at,
+       greatest(d.updated_at, i.fresh) AS updated_at
+FROM edatasets_r d LEFT JOIN ins_r i ON i.dataset_id = d.dataset_id
+WHERE d.dataset_id NOT IN (SELECT dataset_id FROM deleted_r)"""
+
+SQL["pending_events"] = "WITH " + _EVENTS.strip() + "," + _FOLD.strip() + """
+SELECT message_id, dataset_name, partition_name, eff AS action FROM eff_r WHERE eff = 'retry'"""

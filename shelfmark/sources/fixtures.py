@@ -229,7 +229,7 @@ def event_registry(spark: SparkSession, sf_dir: str) -> Registry:
     every user with ``user_id % 10 <> 0`` (the rest stay unknown), and as
     earlier files the keys ``2024/<k % 10>.ndjson`` with ``k % 10 < 3``."""
     ev = table(spark, sf_dir, "events")
-    users = ev.groupBy("user_id").agg().where(F.col("user_id") % 10 != 0)
+    users = ev.select("user_id").distinct().where(F.col("user_id") % 10 != 0)
     uid = F.col("user_id")
     cols = _dataset_columns(uid)
     ts = _ts_plus_seconds(EVENT_DATASETS_EPOCH, uid * 60)
@@ -246,7 +246,7 @@ def event_registry(spark: SparkSession, sf_dir: str) -> Registry:
         S.DATASETS,
     )
     slot = (F.get_json_object("props", "$.k").cast("long") % 10).alias("slot")
-    keys = (ev.select(uid, slot).where(F.col("slot") < 3).groupBy("user_id", "slot").agg()
+    keys = (ev.select(uid, slot).where(F.col("slot") < 3).distinct()
             .join(users, "user_id", "left_semi"))
     name = F.concat(F.lit("2024/"), F.col("slot").cast("string"), F.lit(".ndjson"))
     pts = _ts_plus_seconds(EVENT_PARTITIONS_EPOCH, uid * 60 + F.col("slot"))

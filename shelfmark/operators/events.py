@@ -23,7 +23,8 @@ DELETE_PARTITION = "delete_partition"
 DELETE_DATASET = "delete_dataset"
 IGNORE = "ignore"
 RETRY = "retry"
-ACTIONS = [UPSERT, REJECT, NOOP, SKIP, DELETE_PARTITION, DELETE_DATASET, IGNORE, RETRY]
+DEAD_LETTER = "dead_letter"
+ACTIONS = [UPSERT, REJECT, NOOP, SKIP, DELETE_PARTITION, DELETE_DATASET, IGNORE, RETRY, DEAD_LETTER]
 
 _WRITE_EVENTS = [S.EVENT_FINALIZE, S.EVENT_METADATA_UPDATE, S.EVENT_ARCHIVE]
 
@@ -65,8 +66,11 @@ def decode_notifications(flat: DataFrame) -> DataFrame:
               F.lit("unknown event type"))
         .when(dataset_of(name).isNull(), F.lit("empty object name"))
     )
+    # The payload is parsed once per row: a one-element explode is a plan
+    # node that later filters (on ``reason``) cannot be pushed beneath, so
+    # Catalyst never copies the parse into each predicate that reads it.
     return (
-        flat.withColumn("_p", decode_base64_json("data"))
+        flat.select(*flat.columns, F.explode(F.array(decode_base64_json("data"))).alias("_p"))
         .select(
             "ack_id", "message_id", "publish_time", "event_type", "event_time",
             "overwritten_by_generation",
@@ -86,17 +90,18 @@ def dead_letters(decoded: DataFrame) -> DataFrame:
 
 
 def route_events(decoded: DataFrame, datasets: DataFrame) -> DataFrame:
-    """Join decodable messages to the current datasets by the
-    first path component and pick the action of the routing table.
-    ``acked`` is false only for ``retry`` (left for a later batch)."""
-    ok = decoded.where(F.col("reason").isNull()).drop("reason")
+    """Join messages to the current datasets by the first path
+    component and pick the action of the routing table; a message with a
+    decode ``reason`` is a ``dead_letter``. ``acked`` is false only for
+    ``retry`` (left for a later batch)."""
     ds = datasets.select("dataset_id", "dataset_name")
-    r = ok.join(ds, "dataset_name", "left")
+    r = decoded.join(ds, "dataset_name", "left")
     p, et = F.col("partition_name"), F.col("event_type")
     known = F.col("dataset_id").isNotNull()
     too_long = (F.length(p) > S.MAX_NAME) | (F.length("self_link") > S.MAX_URL)
     action = (
-        F.when(known & et.isin(*_WRITE_EVENTS),
+        F.when(F.col("reason").isNotNull(), F.lit(DEAD_LETTER))
+        .when(known & et.isin(*_WRITE_EVENTS),
                F.when(p.isNull(), F.lit(NOOP))
                .when((p == S.LATEST) | too_long, F.lit(REJECT))
                .otherwise(F.lit(UPSERT)))

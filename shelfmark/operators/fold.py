@@ -33,8 +33,9 @@ from pyspark.sql import functions as F
 
 from .. import schemas as S
 from ..functions.ids import assign_ids
+from ..session import checkpoint_dir
 from ..sources.registry import Registry, conform
-from .events import DELETE_DATASET, DELETE_PARTITION, RETRY, UPSERT, unknown_action
+from .events import DEAD_LETTER, DELETE_DATASET, DELETE_PARTITION, RETRY, UPSERT, unknown_action
 
 KEY = ["dataset_id", "partition_name"]
 
@@ -53,7 +54,8 @@ def effective_actions(routed: DataFrame) -> DataFrame:
     routed = routed.withColumn("_o", order_key())
     gone = (routed.where(F.col("action") == DELETE_DATASET)
             .groupBy("dataset_id").agg(F.min("_o").alias("_gone")))
-    after = F.col("_gone").isNotNull() & (F.col("_o") > F.col("_gone"))
+    after = (F.col("_gone").isNotNull() & (F.col("_o") > F.col("_gone"))
+             & (F.col("action") != DEAD_LETTER))
     return (routed.join(gone, "dataset_id", "left")
             .withColumn("action", F.when(after, unknown_action()).otherwise(F.col("action")))
             .withColumn("acked", F.col("action") != RETRY)
@@ -64,7 +66,9 @@ def effective_actions(routed: DataFrame) -> DataFrame:
 def fold_events(reg: Registry, routed: DataFrame) -> tuple[Registry, DataFrame]:
     """Apply ``routed`` (output of ``route_events``) to ``reg``. Returns the
     new registry and the pending (retry) messages."""
-    eff = effective_actions(routed)
+    checkpoint_dir(routed.sparkSession)
+    # the batch is read by several passes: materialise it once (lineage cut)
+    eff = effective_actions(routed).checkpoint(eager=True)
     pending = eff.where(F.col("action") == RETRY).drop("_o", "dataset_deleted")
 
     deleted = (eff.where(F.col("action") == DELETE_DATASET).select("dataset_id").distinct())
@@ -101,7 +105,8 @@ def fold_events(reg: Registry, routed: DataFrame) -> tuple[Registry, DataFrame]:
     survives = F.col("lu").isNotNull() & (F.col("ld").isNull() | (F.col("lu") > F.col("ld")))
     last_ins = (F.when(F.col("dstar").isNotNull(), F.col("fstar"))
                 .when(F.col("lu").isNotNull() & ~F.col("had"), F.col("fu")))
-    keys = keys.withColumn("survives", survives).withColumn("last_ins", last_ins)
+    keys = (keys.withColumn("survives", survives).withColumn("last_ins", last_ins)
+            .checkpoint(eager=True))
 
     # dataset freshness (M8): newest real insert per dataset
     fresh = (keys.where(F.col("last_ins").isNotNull())

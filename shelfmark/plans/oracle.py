@@ -326,6 +326,7 @@ eparts_r AS (
 routed_r AS (
   SELECT d.*, e.dataset_id,
          CASE
+           WHEN d.reason IS NOT NULL THEN 'dead_letter'
            WHEN e.dataset_id IS NOT NULL AND d.event_type IN
                 ('OBJECT_FINALIZE', 'OBJECT_METADATA_UPDATE', 'OBJECT_ARCHIVE') THEN
              CASE WHEN d.partition_name IS NULL THEN 'noop'
@@ -338,8 +339,7 @@ routed_r AS (
                   ELSE 'delete_dataset' END
            WHEN ends_with(d.object_name, 'dd.json') OR d.partition_name IS NULL THEN 'ignore'
            ELSE 'retry' END AS action
-  FROM decoded_r d LEFT JOIN edatasets_r e ON e.dataset_name = d.dataset_name
-  WHERE d.reason IS NULL)"""
+  FROM decoded_r d LEFT JOIN edatasets_r e ON e.dataset_name = d.dataset_name)"""
 
 # Sequential reading of the fold: one global sequence number, windows per
 # key (lag), the dataset deletion as "any earlier delete_dataset".
@@ -350,7 +350,7 @@ gone_r AS (
   SELECT dataset_id, min(seq) AS gone_seq FROM seq_r WHERE action = 'delete_dataset' GROUP BY dataset_id),
 eff_r AS (
   SELECT s.*, g.gone_seq,
-         CASE WHEN g.gone_seq IS NOT NULL AND s.seq > g.gone_seq THEN
+         CASE WHEN g.gone_seq IS NOT NULL AND s.seq > g.gone_seq AND s.action <> 'dead_letter' THEN
                 CASE WHEN ends_with(s.object_name, 'dd.json') OR s.partition_name IS NULL
                      THEN 'ignore' ELSE 'retry' END
               ELSE s.action END AS eff

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas as S
 from ..functions import formats, paths
-from ..operators import events, fold, listing, lookup
+from ..operators import events, fold, listing, lookup, mutations, quality
 from ..sources import fixtures
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -296,3 +296,151 @@ def fold_datasets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pending_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Messages left for a later batch (their dataset is not registered)."""
     return _folded(spark, sf_dir)[1].select("message_id", "dataset_name", "partition_name", "action")
+
+
+# ---------------------------------------------------------------------------
+# Mutations and constraints
+# ---------------------------------------------------------------------------
+
+NOW = "2025-01-01 00:00:00"
+MANAGER_DOMAIN = "valid.email.com"
+# The dataset config of the generator and of the config test (dd.json).
+TEMPLATE = {
+    "name": "example_dataset",
+    "classification": "public",
+    "compression": "zip",
+    "format": "protobuf",
+    "description": "An example dataset config",
+    "schema": {"id": "integer", "merchant_name": "string", "mrr_cents": "integer",
+               "churn_rate": "float", "subs_gained": "integer", "subs_lost": "integer"},
+}
+
+
+def dataset_configs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One config per supplier: names repeat in pairs, every 7th takes an
+    existing dataset's name, every 11th has an unknown format, every 13th
+    an upper-case one."""
+    s = fixtures.table(spark, sf_dir, "supplier")
+    k = F.col("s_suppkey")
+    fmt = formats.domain_value(S.FORMATS, k % 6)
+    return s.select(
+        k.alias("request_id"),
+        F.col("s_nationkey").cast("long").alias("manager_id"),
+        F.when(k % 7 == 0, F.concat(F.lit("Customer#"), F.lpad(k.cast("string"), 9, "0")))
+        .otherwise(F.concat(F.lit("supplier_ds_"), F.floor(k / 2).cast("string"))).alias("name"),
+        F.when(k % 11 == 0, F.lit("Parquet")).when(k % 13 == 0, F.upper(fmt)).otherwise(fmt)
+        .alias("format"),
+        formats.domain_value(S.COMPRESSIONS, k % 3).alias("compression"),
+        formats.domain_value(S.CLASSIFICATIONS, F.col("s_nationkey") % 4).alias("classification"),
+        F.concat(F.lit("supplied by "), F.col("s_name")).alias("description"),
+        fixtures._schema_map(k).alias("schema"),
+    )
+
+
+@query
+def register_datasets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Datasets accepted from the configs, with their new ids."""
+    reg = fixtures.registry(spark, sf_dir)
+    new, _ = mutations.register_datasets(reg, dataset_configs(spark, sf_dir), NOW)
+    return _view(new.datasets.join(reg.datasets.select("dataset_id"), "dataset_id", "left_anti"))
+
+
+@query
+def register_rejected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    reg = fixtures.registry(spark, sf_dir)
+    return mutations.register_datasets(reg, dataset_configs(spark, sf_dir), NOW)[1]
+
+
+def manager_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One sign-up per supplier; addresses repeat in threes, every 9th
+    (remainder 4) is outside the domain."""
+    k = F.col("s_suppkey")
+    return fixtures.table(spark, sf_dir, "supplier").select(
+        k.alias("request_id"),
+        F.concat(F.lit("mgr"), F.floor(k / 3).cast("string"),
+                 F.when(k % 9 == 4, F.lit("@other.org")).otherwise(F.lit("@" + MANAGER_DOMAIN)))
+        .alias("manager_email"))
+
+
+@query
+def register_managers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Managers after the sign-ups (public columns, rejected ones absent)."""
+    reg = fixtures.registry(spark, sf_dir)
+    new, rejected = mutations.register_managers(reg, manager_rows(spark, sf_dir), MANAGER_DOMAIN, NOW)
+    return new.managers
+
+
+@query
+def register_managers_rejected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    reg = fixtures.registry(spark, sf_dir)
+    return mutations.register_managers(reg, manager_rows(spark, sf_dir), MANAGER_DOMAIN, NOW)[1]
+
+
+def partition_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One registration per line item for the order's dataset: line 1
+    re-registers the order's file, lines 2 and 3 share a name (the later
+    wins), line 7 uses the reserved name."""
+    li = fixtures.table(spark, sf_dir, "lineitem")
+    o = fixtures.partitions(spark, sf_dir).select(
+        F.col("partition_id").alias("l_orderkey"), "dataset_id",
+        F.col("partition_name").alias("order_file"))
+    ln = F.col("l_linenumber")
+    name = (F.when(ln == 1, F.col("order_file"))
+            .when(ln == 7, F.lit(S.LATEST))
+            .otherwise(F.concat(F.lit("line-"), F.col("l_orderkey").cast("string"), F.lit("-"),
+                                F.when(ln == 3, F.lit(2)).otherwise(ln).cast("string"))))
+    return li.join(o, "l_orderkey").select(
+        (F.col("l_orderkey") * 8 + ln).alias("request_id"), "dataset_id",
+        name.alias("partition_name"),
+        F.concat(F.lit("cloud://lines/"), F.col("l_orderkey").cast("string"), F.lit("/"),
+                 ln.cast("string")).alias("partition_url"),
+        F.round(F.col("l_extendedprice") * 100).cast("long").alias("partition_size"))
+
+
+@query
+def upsert_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    reg = fixtures.registry(spark, sf_dir)
+    return mutations.upsert_partitions(reg, partition_rows(spark, sf_dir), NOW)[0].partitions
+
+
+@query
+def upsert_datasets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Datasets after the registrations (inserted files raise updated_at)."""
+    reg = fixtures.registry(spark, sf_dir)
+    return _view(mutations.upsert_partitions(reg, partition_rows(spark, sf_dir), NOW)[0].datasets)
+
+
+@query
+def delete_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Partitions left after deleting the files of finished orders."""
+    reg = fixtures.registry(spark, sf_dir)
+    done = fixtures.table(spark, sf_dir, "orders").where(F.col("o_orderstatus") == "F") \
+        .select(F.col("o_orderkey").alias("partition_id"))
+    req = reg.partitions.join(done, "partition_id", "left_semi").select("dataset_id", "partition_name")
+    return mutations.delete_partitions(reg, req).partitions
+
+
+@query
+def delete_datasets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Partitions left after deleting the AUTOMOBILE datasets (cascade)."""
+    reg = fixtures.registry(spark, sf_dir)
+    req = fixtures.table(spark, sf_dir, "customer").where(F.col("c_mktsegment") == "AUTOMOBILE") \
+        .select(F.col("c_name").alias("dataset_name"))
+    return mutations.delete_datasets(reg, req).partitions
+
+
+@query
+def generate_datasets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bulk generator over one number per customer."""
+    nums = fixtures.table(spark, sf_dir, "customer").select((F.col("c_custkey") + 1).alias("i"))
+    return mutations.generate_datasets(nums, TEMPLATE, NOW).drop("schema")
+
+
+@query
+def constraint_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.constraint_report(fixtures.dirty_registry(spark, sf_dir))
+
+
+@query
+def unique_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.unique_violations(fixtures.dirty_registry(spark, sf_dir))

@@ -429,3 +429,213 @@ WHERE d.dataset_id NOT IN (SELECT dataset_id FROM deleted_r)"""
 
 SQL["pending_events"] = "WITH " + _EVENTS.strip() + "," + _FOLD.strip() + """
 SELECT message_id, dataset_name, partition_name, eff AS action FROM eff_r WHERE eff = 'retry'"""
+
+# Mutations ---------------------------------------------------------------
+
+_NOW = "TIMESTAMP '2025-01-01 00:00:00'"
+
+_CONFIGS = f"""
+cfg_r AS (
+  SELECT s_suppkey AS request_id, CAST(s_nationkey AS BIGINT) AS manager_id,
+         CASE WHEN s_suppkey % 7 = 0 THEN 'Customer#' || lpad(CAST(s_suppkey AS VARCHAR), 9, '0')
+              ELSE 'supplier_ds_' || CAST(s_suppkey // 2 AS VARCHAR) END AS name,
+         lower(trim(CASE WHEN s_suppkey % 11 = 0 THEN 'Parquet'
+                         WHEN s_suppkey % 13 = 0 THEN upper(({_FORMATS})[s_suppkey % 6 + 1])
+                         ELSE ({_FORMATS})[s_suppkey % 6 + 1] END)) AS format,
+         ({_COMPRESSIONS})[s_suppkey % 3 + 1] AS compression,
+         ({_CLASSES})[s_nationkey % 4 + 1] AS classification,
+         'supplied by ' || s_name AS description
+  FROM supplier),
+chk_r AS (
+  SELECT c.*,
+         CASE WHEN name IS NULL OR description IS NULL THEN 'missing field'
+              WHEN length(name) > 255 THEN 'name too long'
+              WHEN format IS NULL OR format NOT IN (SELECT unnest({_FORMATS})) THEN 'unknown format'
+              WHEN compression IS NULL OR compression NOT IN (SELECT unnest({_COMPRESSIONS}))
+                THEN 'unknown compression'
+              WHEN classification IS NULL OR classification NOT IN (SELECT unnest({_CLASSES}))
+                THEN 'unknown classification'
+              WHEN manager_id NOT IN (SELECT manager_id FROM managers_r) THEN 'unknown manager'
+         END AS invalid
+  FROM cfg_r c),
+dec_r AS (
+  SELECT *,
+         CASE WHEN invalid IS NOT NULL THEN invalid
+              WHEN name IN (SELECT dataset_name FROM datasets_r) THEN 'dataset_name already registered'
+              WHEN request_id <> min(CASE WHEN invalid IS NULL THEN request_id END)
+                                   OVER (PARTITION BY name) THEN 'duplicate dataset_name in batch'
+         END AS reason
+  FROM chk_r)"""
+
+SQL["register_datasets"] = _q(f"""
+SELECT (SELECT max(dataset_id) FROM datasets_r) + row_number() OVER (ORDER BY request_id) AS dataset_id,
+       name AS dataset_name, description AS dataset_desc, format AS dataset_format,
+       compression AS dataset_compression, classification AS dataset_classification, manager_id,
+       {_NOW} AS created_at, {_NOW} AS updated_at
+FROM dec_r WHERE reason IS NULL""", _CONFIGS)
+
+SQL["register_rejected"] = _q("""
+SELECT request_id, name, reason FROM dec_r WHERE reason IS NOT NULL""", _CONFIGS)
+
+_SIGNUPS = """
+sign_r AS (
+  SELECT s_suppkey AS request_id,
+         'mgr' || CAST(s_suppkey // 3 AS VARCHAR) ||
+           CASE WHEN s_suppkey % 9 = 4 THEN '@other.org' ELSE '@valid.email.com' END AS manager_email
+  FROM supplier),
+sdec_r AS (
+  SELECT *,
+         CASE WHEN invalid IS NOT NULL THEN invalid
+              WHEN manager_email IN (SELECT manager_email FROM managers_r)
+                THEN 'manager_email already registered'
+              WHEN request_id <> min(CASE WHEN invalid IS NULL THEN request_id END)
+                                   OVER (PARTITION BY manager_email)
+                THEN 'duplicate manager_email in batch' END AS reason
+  FROM (SELECT *,
+               CASE WHEN manager_email IS NULL THEN 'missing field'
+                    WHEN length(manager_email) > 64 THEN 'email too long'
+                    WHEN NOT contains(manager_email, '@valid.email.com')
+                      THEN 'email outside the domain' END AS invalid
+        FROM sign_r))"""
+
+SQL["register_managers"] = _q(f"""
+SELECT * FROM managers_r
+UNION ALL
+SELECT (SELECT max(manager_id) FROM managers_r) + row_number() OVER (ORDER BY request_id),
+       manager_email,
+       substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-' || substr(h, 13, 4) || '-' ||
+         substr(h, 17, 4) || '-' || substr(h, 21, 12),
+       false, {_NOW}, {_NOW}
+FROM (SELECT *, sha256(manager_email || ':' || CAST(request_id AS VARCHAR)) AS h FROM sdec_r)
+WHERE reason IS NULL""", _SIGNUPS)
+
+SQL["register_managers_rejected"] = _q("""
+SELECT request_id, manager_email, reason FROM sdec_r WHERE reason IS NOT NULL""", _SIGNUPS)
+
+_UPSERTS = """
+rows_r AS (
+  SELECT l.l_orderkey * 8 + l.l_linenumber AS request_id, p.dataset_id,
+         CASE WHEN l.l_linenumber = 1 THEN p.partition_name
+              WHEN l.l_linenumber = 7 THEN 'latest'
+              ELSE 'line-' || CAST(l.l_orderkey AS VARCHAR) || '-' ||
+                   CAST(CASE WHEN l.l_linenumber = 3 THEN 2 ELSE l.l_linenumber END AS VARCHAR)
+         END AS partition_name,
+         'cloud://lines/' || CAST(l.l_orderkey AS VARCHAR) || '/' || CAST(l.l_linenumber AS VARCHAR)
+           AS partition_url,
+         CAST(round(l.l_extendedprice * 100) AS BIGINT) AS partition_size
+  FROM lineitem l JOIN partitions_r p ON p.partition_id = l.l_orderkey),
+last_r AS (
+  SELECT dataset_id, partition_name, arg_max(partition_url, request_id) AS url,
+         arg_max(partition_size, request_id) AS sz
+  FROM rows_r
+  WHERE dataset_id IN (SELECT dataset_id FROM datasets_r) AND partition_name <> 'latest'
+    AND length(partition_name) <= 255 AND length(partition_url) <= 255
+  GROUP BY dataset_id, partition_name),
+ins_keys_r AS (
+  SELECT l.* FROM last_r l
+  WHERE NOT EXISTS (SELECT 1 FROM partitions_r p WHERE p.dataset_id = l.dataset_id
+                                                  AND p.partition_name = l.partition_name))"""
+
+SQL["upsert_partitions"] = _q(f"""
+SELECT p.* FROM partitions_r p
+WHERE NOT EXISTS (SELECT 1 FROM last_r l WHERE l.dataset_id = p.dataset_id
+                                          AND l.partition_name = p.partition_name)
+UNION ALL
+SELECT p.partition_id, p.partition_name, l.url, l.sz, p.dataset_id, p.created_at, {_NOW}
+FROM partitions_r p JOIN last_r l ON l.dataset_id = p.dataset_id AND l.partition_name = p.partition_name
+UNION ALL
+SELECT (SELECT max(partition_id) FROM partitions_r)
+         + row_number() OVER (ORDER BY dataset_id, partition_name),
+       partition_name, url, sz, dataset_id, {_NOW}, {_NOW}
+FROM ins_keys_r""", _UPSERTS)
+
+SQL["upsert_datasets"] = _q(f"""
+SELECT dataset_id, dataset_name, dataset_desc, dataset_format, dataset_compression,
+       dataset_classification, manager_id, created_at,
+       CASE WHEN dataset_id IN (SELECT dataset_id FROM ins_keys_r) THEN greatest(updated_at, {_NOW})
+            ELSE updated_at END AS updated_at
+FROM datasets_r""", _UPSERTS)
+
+SQL["delete_partitions"] = _q("""
+SELECT p.* FROM partitions_r p
+WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_orderstatus = 'F' AND o.o_orderkey = p.partition_id)""")
+
+SQL["delete_datasets"] = _q("""
+SELECT p.* FROM partitions_r p
+WHERE p.dataset_id NOT IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'AUTOMOBILE')""")
+
+SQL["generate_datasets"] = f"""
+SELECT c_custkey + 1 AS request_id,
+       'example_dataset_' || CAST(c_custkey + 1 AS VARCHAR) || '_' ||
+         replace(replace(replace(replace(strftime({_NOW}, '%Y-%m-%d %H:%M:%S.%f UTC'),
+                                         ':', ''), '-', ''), '.', '_'), ' ', '_') AS name,
+       'public' AS classification, 'zip' AS compression, 'protobuf' AS format,
+       'An example dataset config' AS description
+FROM customer"""
+
+# Constraint reports over a registry loaded without constraints ---------------
+
+_DIRTY = f"""
+dmanagers AS (SELECT * FROM managers_r),
+ddatasets AS (
+  SELECT CAST(p_partkey AS BIGINT) AS dataset_id, p_name AS dataset_name, p_brand AS dataset_desc,
+         lower(p_type) AS dataset_format, ({_COMPRESSIONS})[p_size % 3 + 1] AS dataset_compression,
+         ({_CLASSES})[p_partkey % 4 + 1] AS dataset_classification,
+         'x' AS dataset_schema, CAST(p_size AS BIGINT) AS manager_id,
+         TIMESTAMP '1994-01-01 00:00:00' + p_partkey * INTERVAL 1 MINUTE AS created_at,
+         TIMESTAMP '1994-01-01 00:00:00' + p_partkey * INTERVAL 1 MINUTE AS updated_at
+  FROM part),
+dpartitions AS (
+  SELECT CAST(l_orderkey * 8 + l_linenumber AS BIGINT) AS partition_id,
+         'line-' || CAST(l_linenumber AS VARCHAR) AS partition_name,
+         'cloud://lines/' || repeat('x', CAST(l_quantity * 6 AS INTEGER)) AS partition_url,
+         CAST(round(l_extendedprice * 100) AS BIGINT) AS partition_size,
+         CAST(l_partkey AS BIGINT) AS dataset_id, l_shipdate AS created_at, l_shipdate AS updated_at
+  FROM lineitem)"""
+
+
+def _report_sql() -> str:
+    from .. import schemas as S
+    from ..operators.quality import DOMAIN, LENGTH, UNIQUE
+    parts = []
+    for table, schema in S.TABLES.items():
+        src = "d" + table
+        for f in schema.fields:
+            if not f.nullable:
+                parts.append(f"SELECT '{table}.{f.name} not null' AS rule, "
+                             f"sum(CASE WHEN {f.name} IS NULL THEN 1 ELSE 0 END) AS violations FROM {src}")
+        for c, n in LENGTH.get(table, {}).items():
+            parts.append(f"SELECT '{table}.{c} length <= {n}', "
+                         f"sum(CASE WHEN length({c}) > {n} THEN 1 ELSE 0 END) FROM {src}")
+        if table == "datasets":
+            for c, dom in DOMAIN.items():
+                lst = ", ".join(f"'{v}'" for v in dom)
+                parts.append(f"SELECT 'datasets.{c} in domain', "
+                             f"sum(CASE WHEN {c} NOT IN ({lst}) THEN 1 ELSE 0 END) FROM {src}")
+        for cols in UNIQUE[table]:
+            cl = ", ".join(cols)
+            parts.append(f"SELECT '{table} unique({cl})', count(*) FROM "
+                         f"(SELECT {cl} FROM {src} GROUP BY {cl} HAVING count(*) > 1)")
+    parts.append("SELECT 'foreign key datasets.manager_id', count(*) FROM ddatasets d WHERE NOT EXISTS "
+                 "(SELECT 1 FROM dmanagers m WHERE m.manager_id = d.manager_id)")
+    parts.append("SELECT 'foreign key partitions.dataset_id', count(*) FROM dpartitions p WHERE NOT EXISTS "
+                 "(SELECT 1 FROM ddatasets d WHERE d.dataset_id = p.dataset_id)")
+    body = "\nUNION ALL ".join(parts)
+    return _q(f"SELECT rule, CAST(coalesce(violations, 0) AS BIGINT) AS violations FROM ({body})", _DIRTY)
+
+
+SQL["constraint_report"] = _report_sql()
+
+SQL["unique_violations"] = _q("""
+SELECT 'managers unique(manager_email)' AS rule, manager_email AS key, CAST(count(*) AS VARCHAR) || ' rows' AS reason
+FROM dmanagers GROUP BY manager_email HAVING count(*) > 1
+UNION ALL
+SELECT 'managers unique(api_key)', api_key, CAST(count(*) AS VARCHAR) || ' rows'
+FROM dmanagers GROUP BY api_key HAVING count(*) > 1
+UNION ALL
+SELECT 'datasets unique(dataset_name)', dataset_name, CAST(count(*) AS VARCHAR) || ' rows'
+FROM ddatasets GROUP BY dataset_name HAVING count(*) > 1
+UNION ALL
+SELECT 'partitions unique(dataset_id, partition_name)',
+       CAST(dataset_id AS VARCHAR) || '/' || partition_name, CAST(count(*) AS VARCHAR) || ' rows'
+FROM dpartitions GROUP BY dataset_id, partition_name HAVING count(*) > 1""", _DIRTY)

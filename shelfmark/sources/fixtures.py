@@ -273,3 +273,30 @@ def undecodable_sample() -> str:
     except Exception:
         return UNDECODABLE
     raise AssertionError("fixture text decodes")
+
+
+def dirty_registry(spark: SparkSession, sf_dir: str) -> Registry:
+    """A registry loaded without constraints, for the constraint reports:
+    datasets ← part (names repeat, formats are part types, managers up to 50
+    of which only 25 exist), partitions ← lineitem (names repeat within a
+    dataset, some urls pass 255 characters)."""
+    p = table(spark, sf_dir, "part")
+    key = F.col("p_partkey")
+    ts = _ts_plus_seconds(DATASETS_EPOCH, key * 60)
+    ds = conform(p.select(
+        key.alias("dataset_id"), F.col("p_name").alias("dataset_name"),
+        F.col("p_brand").alias("dataset_desc"), F.lower("p_type").alias("dataset_format"),
+        domain_value(S.COMPRESSIONS, F.col("p_size") % 3).alias("dataset_compression"),
+        domain_value(S.CLASSIFICATIONS, key % 4).alias("dataset_classification"),
+        _schema_map(key).alias("dataset_schema"), F.col("p_size").alias("manager_id"),
+        ts.alias("created_at"), ts.alias("updated_at")), S.DATASETS)
+    li = table(spark, sf_dir, "lineitem")
+    parts = conform(li.select(
+        (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("partition_id"),
+        F.concat(F.lit("line-"), F.col("l_linenumber").cast("string")).alias("partition_name"),
+        F.concat(F.lit("cloud://lines/"), F.repeat(F.lit("x"), (F.col("l_quantity") * 6).cast("int")))
+        .alias("partition_url"),
+        F.round(F.col("l_extendedprice") * 100).cast("long").alias("partition_size"),
+        F.col("l_partkey").alias("dataset_id"),
+        F.col("l_shipdate").alias("created_at"), F.col("l_shipdate").alias("updated_at")), S.PARTITIONS)
+    return Registry(managers(spark, sf_dir), ds, parts)

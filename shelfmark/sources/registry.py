@@ -66,8 +66,19 @@ def load_registry(spark: SparkSession, root: str, version: int | None = None) ->
     )
 
 
+def read_side_table(spark: SparkSession, root: str, name: str, version: int, schema) -> DataFrame:
+    """A table stored next to a registry version (pending, dead letters);
+    empty when that version has none."""
+    path = os.path.join(root, name, f"v={version}")
+    fs, p = _fs(spark, path)
+    if version < 0 or not fs.exists(p):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(path)
+
+
 def commit_snapshot(reg: Registry, root: str, version: int,
-                    partition_buckets: int | None = None) -> None:
+                    partition_buckets: int | None = None,
+                    side: dict[str, DataFrame] | None = None) -> None:
     """Write every table of ``reg`` as ``version`` and then commit it.
 
     Partitions are clustered by dataset_id (range partitioned and sorted), so
@@ -82,5 +93,7 @@ def commit_snapshot(reg: Registry, root: str, version: int,
             df = df.repartitionByRange(n, "dataset_id", "created_at").sortWithinPartitions(
                 "dataset_id", "created_at")
         df.write.mode("overwrite").parquet(out)
+    for name, df in (side or {}).items():
+        df.write.mode("overwrite").parquet(os.path.join(root, name, f"v={version}"))
     fs, p = _fs(spark, os.path.join(root, "_commits", str(version)))
     fs.create(p, True).close()

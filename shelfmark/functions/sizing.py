@@ -23,3 +23,14 @@ def bounded(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> bool:
 
 def broadcast_if_bounded(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame | None:
     return F.broadcast(df) if bounded(df, max_rows) else None
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give CPU-heavy row-wise work (payload decoding) every core when the
+    input arrives in fewer partitions than the cluster runs tasks at once
+    (one small file, one micro-batch). Inputs that are already split pass
+    through unchanged, so a large scan never pays an extra shuffle."""
+    parallelism = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < parallelism:
+        return df.repartition(parallelism)
+    return df

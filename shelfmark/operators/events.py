@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from .. import schemas as S
 from ..functions.paths import dataset_of, is_config_object, partition_of
 from ..functions.payload import decode_base64_json, missing_required, parse_size
+from ..functions.sizing import spread
 
 # Actions of the routing table.
 UPSERT = "upsert"
@@ -69,6 +70,7 @@ def decode_notifications(flat: DataFrame) -> DataFrame:
     # The payload is parsed once per row: a one-element explode is a plan
     # node that later filters (on ``reason``) cannot be pushed beneath, so
     # Catalyst never copies the parse into each predicate that reads it.
+    flat = spread(flat)
     return (
         flat.select(*flat.columns, F.explode(F.array(decode_base64_json("data"))).alias("_p"))
         .select(

@@ -404,6 +404,8 @@ FROM obj_r"""
 SQL["decode_notifications"] = "WITH " + _EVENTS.strip() + """
 SELECT message_id, object_name, self_link, size, dataset_name, partition_name, reason FROM decoded_r"""
 
+SQL["decode_envelopes"] = SQL["decode_notifications"]
+
 SQL["parse_paths"] = "WITH " + _EVENTS.strip() + r"""
 SELECT CAST(event_id AS VARCHAR) AS message_id, object_id, ds AS dataset_name,
        CASE WHEN rest = ds OR rest = 'dd.json' THEN NULL ELSE rest END AS partition_name

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas as S
 from ..functions.formats import domain_value, expected_ext
+from ..functions.sizing import spread
 from .registry import Registry, conform
 
 # Fixed fixture values.
@@ -40,8 +41,14 @@ EVENT_PARTITIONS_EPOCH = "2023-12-15 00:00:00"
 UNDECODABLE = "@@not-base64@@"
 
 
+# Tables large enough that their row-wise fixture work should use every
+# core even when the file has a single row group (see ``spread``).
+LARGE_TABLES = {"customer", "orders", "lineitem", "part", "events"}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    df = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    return spread(df) if name in LARGE_TABLES else df
 
 
 def _ts_plus_seconds(epoch: str, seconds) -> F.Column:

@@ -183,3 +183,19 @@ def domain_table(spark) -> DataFrame:
             for i, v in enumerate(vals)]
     return spark.createDataFrame(rows, "kind string, ord int, value string")
 
+
+
+def attribute_usage(datasets: DataFrame) -> DataFrame:
+    """A1/J7 over a registry: every enum value in declaration order with the
+    number of datasets that use it (zero included)."""
+    spark = datasets.sparkSession
+    used = None
+    for kind, col in (("format", "dataset_format"), ("compression", "dataset_compression"),
+                      ("classification", "dataset_classification")):
+        u = datasets.groupBy(F.col(col).alias("value")).agg(F.count(F.lit(1)).alias("datasets")) \
+            .withColumn("kind", F.lit(kind))
+        used = u if used is None else used.unionByName(u)
+    # the domain table has 13 rows by definition
+    return (F.broadcast(domain_table(spark)).join(used, ["kind", "value"], "left")
+            .select("kind", F.col("ord").cast("long").alias("ord"), "value",
+                    F.coalesce("datasets", F.lit(0)).cast("long").alias("datasets")))

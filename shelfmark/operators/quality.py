@@ -63,13 +63,16 @@ def unique_violations(reg: Registry) -> DataFrame:
     return reduce(DataFrame.unionByName, out)
 
 
-def row_violations(reg: Registry) -> DataFrame:
-    """Not-null, length and domain rules, one row per broken rule."""
+def row_violations(reg: Registry, kind: str | None = None) -> DataFrame:
+    """Not-null, length and domain rules, one row per broken rule;
+    ``kind`` ('not null', 'length', 'in domain') selects one family."""
     out = []
     ids = {"managers": "manager_id", "datasets": "dataset_id", "partitions": "partition_id"}
     for table in S.TABLES:
         df = getattr(reg, table)
         for rule, bad in _rules(table).items():
+            if kind and kind not in rule:
+                continue
             out.append(df.where(F.coalesce(bad, F.lit(False))).select(
                 F.lit(rule).alias("rule"), F.col(ids[table]).cast("string").alias("key"),
                 F.lit("violated").alias("reason")))

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from .. import schemas as S
 from ..functions import formats, paths
 from ..operators import events, fold, listing, lookup, mutations, quality
-from ..sources import fixtures
+from ..session import checkpoint_dir
+from ..sources import configs, fixtures
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -454,3 +455,59 @@ def constraint_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def unique_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.unique_violations(fixtures.dirty_registry(spark, sf_dir))
+
+
+# ---------------------------------------------------------------------------
+# Scans, config files, attributes, per-rule listings
+# ---------------------------------------------------------------------------
+
+@query
+def scan_datasets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The datasets table with its fixed schema (declared map left out)."""
+    return _view(fixtures.datasets(spark, sf_dir))
+
+
+@query
+def scan_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fixtures.partitions(spark, sf_dir)
+
+
+@query
+def config_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S5 then S4: export every dataset's config file into the shared
+    checkpoint folder and read the files back as typed config rows."""
+    import os
+    import uuid
+    out = os.path.join(checkpoint_dir(spark), f"configs-{uuid.uuid4().hex}")
+    configs.export_configs(fixtures.datasets(spark, sf_dir), out)
+    back = configs.read_dataset_configs(spark, os.path.join(out, "*", "*", "*.txt"))
+    return back.select("name", "classification", "compression", "format", "description",
+                       F.size("schema").cast("long").alias("n_fields"))
+
+
+@query
+def attribute_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return listing.attribute_usage(fixtures.datasets(spark, sf_dir))
+
+
+@query
+def find_managers_by_email(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = fixtures.table(spark, sf_dir, "nation")
+    req = n.select(F.concat(F.lower("n_name"), F.lit("@example.com")).alias("manager_email")).unionByName(
+        n.select(F.concat(F.lower("n_name"), F.lit("@elsewhere.org")).alias("manager_email")))
+    return lookup.find_managers(fixtures.managers(spark, sf_dir), req, by="manager_email")
+
+
+@query
+def null_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.row_violations(fixtures.dirty_registry(spark, sf_dir), "not null")
+
+
+@query
+def length_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.row_violations(fixtures.dirty_registry(spark, sf_dir), "length")
+
+
+@query
+def domain_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.row_violations(fixtures.dirty_registry(spark, sf_dir), "in domain")

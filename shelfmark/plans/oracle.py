@@ -580,7 +580,8 @@ FROM customer"""
 _DIRTY = f"""
 dmanagers AS (SELECT * FROM managers_r),
 ddatasets AS (
-  SELECT CAST(p_partkey AS BIGINT) AS dataset_id, p_name AS dataset_name, p_brand AS dataset_desc,
+  SELECT CAST(p_partkey AS BIGINT) AS dataset_id, p_name AS dataset_name,
+         nullif(p_brand, 'Brand#13') AS dataset_desc,
          lower(p_type) AS dataset_format, ({_COMPRESSIONS})[p_size % 3 + 1] AS dataset_compression,
          ({_CLASSES})[p_partkey % 4 + 1] AS dataset_classification,
          'x' AS dataset_schema, CAST(p_size AS BIGINT) AS manager_id,
@@ -641,3 +642,61 @@ UNION ALL
 SELECT 'partitions unique(dataset_id, partition_name)',
        CAST(dataset_id AS VARCHAR) || '/' || partition_name, CAST(count(*) AS VARCHAR) || ' rows'
 FROM dpartitions GROUP BY dataset_id, partition_name HAVING count(*) > 1""", _DIRTY)
+
+# Scans, config files, attributes, per-rule listings ---------------------------
+
+SQL["scan_datasets"] = _q("""
+SELECT dataset_id, dataset_name, dataset_desc, dataset_format, dataset_compression,
+       dataset_classification, manager_id, created_at, updated_at FROM datasets_r""")
+
+SQL["scan_partitions"] = _q("SELECT * FROM partitions_r")
+
+SQL["config_roundtrip"] = _q("""
+SELECT dataset_name AS name, dataset_classification AS classification,
+       dataset_compression AS compression, dataset_format AS format, dataset_desc AS description,
+       n_fields FROM datasets_r""")
+
+SQL["attribute_variants"] = _q(f"""
+SELECT d.kind, CAST(d.ord AS BIGINT) AS ord, d.value, CAST(count(x.v) AS BIGINT) AS datasets
+FROM (SELECT 'format' AS kind, i - 1 AS ord, ({_FORMATS})[i] AS value FROM range(1, 7) t(i)
+      UNION ALL SELECT 'compression', i - 1, ({_COMPRESSIONS})[i] FROM range(1, 4) t(i)
+      UNION ALL SELECT 'classification', i - 1, ({_CLASSES})[i] FROM range(1, 5) t(i)) d
+LEFT JOIN (SELECT 'format' AS kind, dataset_format AS v FROM datasets_r
+           UNION ALL SELECT 'compression', dataset_compression FROM datasets_r
+           UNION ALL SELECT 'classification', dataset_classification FROM datasets_r) x
+  ON x.kind = d.kind AND x.v = d.value
+GROUP BY d.kind, d.ord, d.value""")
+
+SQL["find_managers_by_email"] = _q("""
+SELECT r.manager_email, m.manager_id, m.api_key, m.manager_id IS NOT NULL AS found
+FROM (SELECT lower(n_name) || '@example.com' AS manager_email FROM nation
+      UNION ALL SELECT lower(n_name) || '@elsewhere.org' FROM nation) r
+LEFT JOIN managers_r m ON m.manager_email = r.manager_email""")
+
+
+def _row_rules_sql(kind: str) -> str:
+    from .. import schemas as S
+    from ..operators.quality import DOMAIN, LENGTH
+    ids = {"managers": "manager_id", "datasets": "dataset_id", "partitions": "partition_id"}
+    parts = []
+    for table, schema in S.TABLES.items():
+        src, key = "d" + table, ids[table]
+        rules = []
+        if kind == "not null":
+            rules = [(f"{table}.{f.name} not null", f"{f.name} IS NULL") for f in schema.fields
+                     if not f.nullable]
+        elif kind == "length":
+            rules = [(f"{table}.{c} length <= {n}", f"length({c}) > {n}")
+                     for c, n in LENGTH.get(table, {}).items()]
+        elif kind == "in domain" and table == "datasets":
+            rules = [(f"datasets.{c} in domain", f"{c} NOT IN ({', '.join(repr(v) for v in dom)})")
+                     for c, dom in DOMAIN.items()]
+        for rule, cond in rules:
+            parts.append(f"SELECT '{rule}' AS rule, CAST({key} AS VARCHAR) AS key, 'violated' AS reason "
+                         f"FROM {src} WHERE coalesce({cond}, false)")
+    return _q("\nUNION ALL ".join(parts), _DIRTY)
+
+
+SQL["null_violations"] = _row_rules_sql("not null")
+SQL["length_violations"] = _row_rules_sql("length")
+SQL["domain_violations"] = _row_rules_sql("in domain")

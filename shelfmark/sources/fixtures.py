@@ -284,7 +284,8 @@ def undecodable_sample() -> str:
 
 def dirty_registry(spark: SparkSession, sf_dir: str) -> Registry:
     """A registry loaded without constraints, for the constraint reports:
-    datasets ← part (names repeat, formats are part types, managers up to 50
+    datasets ← part (names repeat, formats are part types, no description
+    for one brand, managers up to 50
     of which only 25 exist), partitions ← lineitem (names repeat within a
     dataset, some urls pass 255 characters)."""
     p = table(spark, sf_dir, "part")
@@ -292,7 +293,8 @@ def dirty_registry(spark: SparkSession, sf_dir: str) -> Registry:
     ts = _ts_plus_seconds(DATASETS_EPOCH, key * 60)
     ds = conform(p.select(
         key.alias("dataset_id"), F.col("p_name").alias("dataset_name"),
-        F.col("p_brand").alias("dataset_desc"), F.lower("p_type").alias("dataset_format"),
+        F.nullif(F.col("p_brand"), F.lit("Brand#13")).alias("dataset_desc"),
+        F.lower("p_type").alias("dataset_format"),
         domain_value(S.COMPRESSIONS, F.col("p_size") % 3).alias("dataset_compression"),
         domain_value(S.CLASSIFICATIONS, key % 4).alias("dataset_classification"),
         _schema_map(key).alias("dataset_schema"), F.col("p_size").alias("manager_id"),

@@ -4,7 +4,7 @@ Each takes a registry and a DataFrame of requests and returns a new
 registry (plus the rejected requests with a reason). ``now`` is passed in so
 results are reproducible. Requests carry a ``request_id`` that orders them:
 where two requests collide, the earlier one wins, as it would have in a
-sequence of single-row calls.
+sequence of single-row calls. A ``request_id`` identifies one request (unique).
 """
 
 from __future__ import annotations
@@ -134,8 +134,10 @@ def upsert_partitions(reg: Registry, rows: DataFrame, now) -> tuple[Registry, Da
                     F.lit("value too long")))
     r = r.withColumn("reason", reason).drop("_known")
     rejected = r.where(F.col("reason").isNotNull()).select("request_id", *key, "reason")
+    # latest request per key; equal request ids are ordered by their values
+    # so the choice never depends on arrival order
     last = (r.where(F.col("reason").isNull()).groupBy(*key)
-            .agg(F.max_by(F.struct("partition_url", "partition_size"), F.col("request_id")).alias("v"))
+            .agg(F.max(F.struct("request_id", "partition_url", "partition_size")).alias("v"))
             .select(*key, "v.partition_url", "v.partition_size"))
     prior = reg.partitions
     updated = (prior.drop("partition_url", "partition_size", "updated_at")

@@ -527,12 +527,13 @@ rows_r AS (
          CAST(round(l.l_extendedprice * 100) AS BIGINT) AS partition_size
   FROM lineitem l JOIN partitions_r p ON p.partition_id = l.l_orderkey),
 last_r AS (
-  SELECT dataset_id, partition_name, arg_max(partition_url, request_id) AS url,
-         arg_max(partition_size, request_id) AS sz
-  FROM rows_r
-  WHERE dataset_id IN (SELECT dataset_id FROM datasets_r) AND partition_name <> 'latest'
-    AND length(partition_name) <= 255 AND length(partition_url) <= 255
-  GROUP BY dataset_id, partition_name),
+  SELECT dataset_id, partition_name, partition_url AS url, partition_size AS sz FROM (
+    SELECT *, row_number() OVER (PARTITION BY dataset_id, partition_name
+                                 ORDER BY request_id DESC, partition_url DESC, partition_size DESC) AS rn
+    FROM rows_r
+    WHERE dataset_id IN (SELECT dataset_id FROM datasets_r) AND partition_name <> 'latest'
+      AND length(partition_name) <= 255 AND length(partition_url) <= 255)
+  WHERE rn = 1),
 ins_keys_r AS (
   SELECT l.* FROM last_r l
   WHERE NOT EXISTS (SELECT 1 FROM partitions_r p WHERE p.dataset_id = l.dataset_id

@@ -34,3 +34,11 @@ def spread(df: DataFrame) -> DataFrame:
     if df.rdd.getNumPartitions() < parallelism:
         return df.repartition(parallelism)
     return df
+
+
+def small_side(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    """``df`` marked for broadcast when it is proven small, else unchanged
+    (Spark then shuffles both sides). For the batch side of a join against
+    the whole registry: a bounded batch never makes the registry shuffle."""
+    b = broadcast_if_bounded(df, max_rows)
+    return df if b is None else b

@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas as S
 from ..functions.ids import assign_ids
+from ..functions.sizing import small_side
 from ..session import checkpoint_dir
 from ..sources.registry import Registry, conform
 from .events import DEAD_LETTER, DELETE_DATASET, DELETE_PARTITION, RETRY, UPSERT, unknown_action
@@ -96,9 +97,14 @@ def fold_events(reg: Registry, routed: DataFrame) -> tuple[Registry, DataFrame]:
     p3 = keyed.join(p2.where(F.col("dstar").isNotNull()).select(*KEY, "dstar"), KEY).groupBy(*KEY).agg(
         F.min(_when(is_up & (o > F.col("dstar")), o)).alias("fstar"))
 
-    prior = reg.partitions.select(*KEY, F.lit(True).alias("had"),
-                                  F.col("partition_id").alias("prior_id"),
-                                  F.col("created_at").alias("prior_created"))
+    # The registry is large and a batch is not: the batch's keys and deleted
+    # datasets are broadcast (after a size check) so the registry is scanned
+    # map-side, never shuffled, for every lookup against it.
+    touched = small_side(keyed.select(*KEY).distinct().checkpoint(eager=True))
+    deleted = small_side(deleted.checkpoint(eager=True))
+    prior = reg.partitions.join(touched, KEY).select(
+        *KEY, F.lit(True).alias("had"), F.col("partition_id").alias("prior_id"),
+        F.col("created_at").alias("prior_created"))
     keys = (p1.join(p2, KEY).join(p3, KEY, "left").join(prior, KEY, "left")
             .withColumn("had", F.coalesce("had", F.lit(False))))
 
@@ -127,14 +133,14 @@ def fold_events(reg: Registry, routed: DataFrame) -> tuple[Registry, DataFrame]:
     new_rows = assign_ids(fresh_rows, ["created_at", "dataset_id", "partition_name"], base,
                           "partition_id")
 
-    untouched = reg.partitions.join(keys.select(*KEY), KEY, "left_anti")
+    untouched = reg.partitions.join(touched, KEY, "left_anti")
     partitions = (conform(untouched, S.PARTITIONS)
                   .unionByName(conform(same, S.PARTITIONS))
                   .join(deleted, "dataset_id", "left_anti")
                   .unionByName(conform(new_rows, S.PARTITIONS)))
 
     datasets = (reg.datasets.join(deleted, "dataset_id", "left_anti")
-                .join(fresh, "dataset_id", "left")
+                .join(small_side(fresh), "dataset_id", "left")
                 .withColumn("updated_at", F.greatest("updated_at", "_fresh"))
                 .drop("_fresh"))
     return Registry(reg.managers, conform(datasets, S.DATASETS), partitions), pending

@@ -46,7 +46,9 @@ def find_partitions(reg: Registry, requests: DataFrame) -> DataFrame:
     req = requests.select("dataset_name", "partition_name").join(ds, "dataset_name", "left")
     cols = [c for c in S.PARTITION_COLUMNS if c not in ("dataset_id", "partition_name")]
     named = reg.partitions.select("dataset_id", "partition_name", *cols)
-    newest = latest_partitions(reg.partitions).select(
+    # the newest partition only of the datasets asked for 'latest'
+    wanted = req.where(F.col("partition_name") == S.LATEST).select("dataset_id").distinct()
+    newest = latest_partitions(reg.partitions.join(wanted, "dataset_id", "left_semi")).select(
         "dataset_id", F.lit(S.LATEST).alias("partition_name"),
         F.col("partition_name").alias("resolved_name"), *cols)
     by_name = (req.where(F.col("partition_name") != S.LATEST)

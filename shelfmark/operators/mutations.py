@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from .. import schemas as S
 from ..functions.formats import email_in_domain, generated_name, normalize_enum
 from ..functions.ids import assign_ids
+from ..functions.sizing import small_side
 from ..sources.registry import Registry, conform
 
 
@@ -38,7 +39,11 @@ def _decide(df: DataFrame, invalid: Column, taken: DataFrame, key: str) -> DataF
     """Add ``reason``: invalid request, key already registered (J5), or a
     later duplicate in the same batch; NULL means accepted."""
     df = df.withColumn("_invalid", invalid)
-    df = df.join(taken.select(key).distinct().withColumn("_taken", F.lit(True)), key, "left")
+    # registered keys among the requested ones: the registry is scanned
+    # map-side against the (checked) small request keys, not aggregated
+    asked = small_side(df.select(key).distinct())
+    hits = taken.select(key).join(asked, key, "left_semi").distinct()
+    df = df.join(hits.withColumn("_taken", F.lit(True)), key, "left")
     df = _first_per(df.where(F.col("_invalid").isNull()), key).unionByName(
         df.where(F.col("_invalid").isNotNull()).withColumn("_is_first", F.lit(False)))
     reason = (F.when(F.col("_invalid").isNotNull(), F.col("_invalid"))
@@ -140,16 +145,19 @@ def upsert_partitions(reg: Registry, rows: DataFrame, now) -> tuple[Registry, Da
             .agg(F.max(F.struct("request_id", "partition_url", "partition_size")).alias("v"))
             .select(*key, "v.partition_url", "v.partition_size"))
     prior = reg.partitions
+    # one pass over the registry against the (checked) small request keys
+    last = small_side(last.checkpoint(eager=True))
     updated = (prior.drop("partition_url", "partition_size", "updated_at")
                .join(last, key).withColumn("updated_at", _ts(now)))
-    inserted = (last.join(prior.select(*key), key, "left_anti")
+    existing = prior.select(*key).join(last.select(*key), key, "left_semi")
+    inserted = (last.join(existing, key, "left_anti")
                 .withColumn("created_at", _ts(now)).withColumn("updated_at", _ts(now)))
     inserted = assign_ids(inserted, ["dataset_id", "partition_name"], _max_id(prior, "partition_id"),
                           "partition_id")
     untouched = prior.join(last.select(*key), key, "left_anti")
     partitions = (conform(untouched, S.PARTITIONS).unionByName(conform(updated, S.PARTITIONS))
                   .unionByName(conform(inserted, S.PARTITIONS)))
-    touched = inserted.select("dataset_id").distinct().withColumn("_ins", F.lit(True))
+    touched = small_side(inserted.select("dataset_id").distinct()).withColumn("_ins", F.lit(True))
     datasets = (reg.datasets.join(touched, "dataset_id", "left")
                 .withColumn("updated_at", F.when(F.col("_ins"), F.greatest("updated_at", _ts(now)))
                             .otherwise(F.col("updated_at")))

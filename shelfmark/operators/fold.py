@@ -28,6 +28,8 @@ task (AQE splits the skewed side of the join-backs). Per key
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -64,31 +66,39 @@ def effective_actions(routed: DataFrame) -> DataFrame:
             .drop("_gone"))
 
 
-def fold_events(reg: Registry, routed: DataFrame) -> tuple[Registry, DataFrame]:
-    """Apply ``routed`` (output of ``route_events``) to ``reg``. Returns the
-    new registry and the pending (retry) messages."""
+class Summary(NamedTuple):
+    eff: DataFrame       # the batch with effective actions (checkpointed)
+    keys: DataFrame      # one row per touched (dataset, partition) key (checkpointed)
+    touched: DataFrame   # touched keys, broadcast when small
+    deleted: DataFrame   # datasets deleted by the batch, broadcast when small
+
+
+def pending_messages(routed: DataFrame) -> DataFrame:
+    """T4: messages left for a later batch (their dataset is unknown)."""
+    return effective_actions(routed).where(F.col("action") == RETRY).drop("_o", "dataset_deleted")
+
+
+def summarise(reg: Registry, routed: DataFrame) -> Summary:
+    """Per-key summary of a batch (the three aggregate passes)."""
     checkpoint_dir(routed.sparkSession)
     # the batch is read by several passes: materialise it once (lineage cut)
     eff = effective_actions(routed).checkpoint(eager=True)
-    pending = eff.where(F.col("action") == RETRY).drop("_o", "dataset_deleted")
-
-    deleted = (eff.where(F.col("action") == DELETE_DATASET).select("dataset_id").distinct())
     keyed = eff.where(F.col("action").isin(UPSERT, DELETE_PARTITION)).select(
         *KEY, "_o", "action", "event_time",
         F.col("self_link").alias("partition_url"), F.col("size").alias("partition_size"))
     is_up = F.col("action") == UPSERT
     is_del = F.col("action") == DELETE_PARTITION
+    o = F.col("_o")
 
     # pass 1: last upsert, last delete, first upsert, values of the last upsert
     p1 = keyed.groupBy(*KEY).agg(
-        F.max(_when(is_up, F.col("_o"))).alias("lu"),
-        F.max(_when(is_del, F.col("_o"))).alias("ld"),
-        F.min(_when(is_up, F.col("_o"))).alias("fu"),
+        F.max(_when(is_up, o)).alias("lu"),
+        F.max(_when(is_del, o)).alias("ld"),
+        F.min(_when(is_up, o)).alias("fu"),
         F.max_by(_when(is_up, F.struct("partition_url", "partition_size", "event_time")),
-                 _when(is_up, F.col("_o"))).alias("last"),
+                 _when(is_up, o)).alias("last"),
     )
     # pass 2: first upsert after ld, last delete before lu
-    o = F.col("_o")
     p2 = keyed.join(p1.select(*KEY, "lu", "ld"), KEY).groupBy(*KEY).agg(
         F.min(_when(is_up & (F.col("ld").isNull() | (o > F.col("ld"))), o)).alias("fa"),
         F.max(_when(is_del & (o < F.col("lu")), o)).alias("dstar"),
@@ -100,24 +110,37 @@ def fold_events(reg: Registry, routed: DataFrame) -> tuple[Registry, DataFrame]:
     # The registry is large and a batch is not: the batch's keys and deleted
     # datasets are broadcast (after a size check) so the registry is scanned
     # map-side, never shuffled, for every lookup against it.
-    touched = small_side(keyed.select(*KEY).distinct().checkpoint(eager=True))
-    deleted = small_side(deleted.checkpoint(eager=True))
+    touched = small_side(keyed.select(*KEY).distinct())
+    deleted = small_side(eff.where(F.col("action") == DELETE_DATASET).select("dataset_id").distinct())
     prior = reg.partitions.join(touched, KEY).select(
         *KEY, F.lit(True).alias("had"), F.col("partition_id").alias("prior_id"),
         F.col("created_at").alias("prior_created"))
     keys = (p1.join(p2, KEY).join(p3, KEY, "left").join(prior, KEY, "left")
             .withColumn("had", F.coalesce("had", F.lit(False))))
-
     survives = F.col("lu").isNotNull() & (F.col("ld").isNull() | (F.col("lu") > F.col("ld")))
     last_ins = (F.when(F.col("dstar").isNotNull(), F.col("fstar"))
                 .when(F.col("lu").isNotNull() & ~F.col("had"), F.col("fu")))
     keys = (keys.withColumn("survives", survives).withColumn("last_ins", last_ins)
             .checkpoint(eager=True))
+    return Summary(eff, keys, touched, deleted)
 
-    # dataset freshness (M8): newest real insert per dataset
-    fresh = (keys.where(F.col("last_ins").isNotNull())
+
+def folded_datasets(reg: Registry, sm: Summary) -> DataFrame:
+    """Datasets after the batch: deleted ones removed, updated_at raised to
+    the newest real partition insert (M8)."""
+    fresh = (sm.keys.where(F.col("last_ins").isNotNull())
              .groupBy("dataset_id").agg(F.max(F.col("last_ins.event_time")).alias("_fresh")))
+    datasets = (reg.datasets.join(sm.deleted, "dataset_id", "left_anti")
+                .join(small_side(fresh), "dataset_id", "left")
+                .withColumn("updated_at", F.greatest("updated_at", "_fresh"))
+                .drop("_fresh"))
+    return conform(datasets, S.DATASETS)
+
 
+def folded_partitions(reg: Registry, sm: Summary) -> DataFrame:
+    """Partitions after the batch: untouched rows, surviving rows that keep
+    their identity, and new incarnations with fresh ids."""
+    keys = sm.keys
     kept_cols = dict(
         partition_url=F.col("last.partition_url"),
         partition_size=F.col("last.partition_size"),
@@ -128,19 +151,20 @@ def fold_events(reg: Registry, routed: DataFrame) -> tuple[Registry, DataFrame]:
         *[v.alias(k) for k, v in kept_cols.items()])
     fresh_rows = keys.where(F.col("survives") & ~(F.col("had") & F.col("ld").isNull())).select(
         *KEY, F.col("fa.event_time").alias("created_at"), *[v.alias(k) for k, v in kept_cols.items()])
-    fresh_rows = fresh_rows.join(deleted, "dataset_id", "left_anti")
+    fresh_rows = fresh_rows.join(sm.deleted, "dataset_id", "left_anti")
     base = reg.partitions.agg(F.max("partition_id")).first()[0] or 0
     new_rows = assign_ids(fresh_rows, ["created_at", "dataset_id", "partition_name"], base,
                           "partition_id")
+    untouched = reg.partitions.join(sm.touched, KEY, "left_anti")
+    return (conform(untouched, S.PARTITIONS)
+            .unionByName(conform(same, S.PARTITIONS))
+            .join(sm.deleted, "dataset_id", "left_anti")
+            .unionByName(conform(new_rows, S.PARTITIONS)))
 
-    untouched = reg.partitions.join(touched, KEY, "left_anti")
-    partitions = (conform(untouched, S.PARTITIONS)
-                  .unionByName(conform(same, S.PARTITIONS))
-                  .join(deleted, "dataset_id", "left_anti")
-                  .unionByName(conform(new_rows, S.PARTITIONS)))
 
-    datasets = (reg.datasets.join(deleted, "dataset_id", "left_anti")
-                .join(small_side(fresh), "dataset_id", "left")
-                .withColumn("updated_at", F.greatest("updated_at", "_fresh"))
-                .drop("_fresh"))
-    return Registry(reg.managers, conform(datasets, S.DATASETS), partitions), pending
+def fold_events(reg: Registry, routed: DataFrame) -> tuple[Registry, DataFrame]:
+    """Apply ``routed`` (output of ``route_events``) to ``reg``. Returns the
+    new registry and the pending (retry) messages."""
+    sm = summarise(reg, routed)
+    pending = sm.eff.where(F.col("action") == RETRY).drop("_o", "dataset_deleted")
+    return Registry(reg.managers, folded_datasets(reg, sm), folded_partitions(reg, sm)), pending

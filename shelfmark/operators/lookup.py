@@ -111,9 +111,10 @@ def search_datasets(reg: Registry, terms: DataFrame, max_broadcast: int | None =
 
     Small term sets are broadcast to a nested-loop join. Beyond the bound,
     terms with a literal piece of three or more characters meet candidate
-    datasets through an equi-join on one trigram of that piece (the LIKE is
-    then applied exactly); the remaining short terms are few by nature
-    and are checked against the bound again before their broadcast join.
+    datasets through an equi-join on the rarest trigram of that piece (a
+    trigram index of the names; the LIKE is then applied exactly); the
+    remaining short terms are checked against the bound again before their
+    broadcast join.
     """
     view = dataset_view(reg)
     t = terms.select("term", like_term("term").alias("_pat")).distinct()
@@ -123,12 +124,20 @@ def search_datasets(reg: Registry, terms: DataFrame, max_broadcast: int | None =
     if small is not None:
         return view.join(small, cond).drop("_pat")
     run = _literal_run(F.col("_pat"))
-    t = t.withColumn("_gram", F.when(F.length(run) >= 3, F.substring(run, 1, 3)))
-    long_terms = t.where(F.col("_gram").isNotNull())
-    short_terms = t.where(F.col("_gram").isNull()).drop("_gram")
+    t = t.withColumn("_run", F.when(F.length(run) >= 3, run))
+    long_terms = t.where(F.col("_run").isNotNull())
+    short_terms = t.where(F.col("_run").isNull()).drop("_run")
+    # inverted index: dataset names by trigram, and how common each gram is
     grams = view.select("dataset_id", F.explode(F.array_distinct(_grams(F.col("dataset_name"))))
                         .alias("_gram"))
-    by_gram = (long_terms.join(grams, "_gram").drop("_gram")
+    freq = grams.groupBy("_gram").agg(F.count(F.lit(1)).alias("_n"))
+    # each term meets candidates through the rarest gram of its literal piece
+    # (a gram absent from every name means the term cannot match at all)
+    term_grams = long_terms.select("term", "_pat", F.explode(F.array_distinct(_grams(F.col("_run"))))
+                                   .alias("_gram"))
+    pick = (term_grams.join(freq, "_gram", "left").fillna(0, ["_n"])
+            .groupBy("term", "_pat").agg(F.min_by("_gram", F.struct("_n", "_gram")).alias("_gram")))
+    by_gram = (pick.join(grams, "_gram").drop("_gram")
                .join(view, "dataset_id").where(cond).drop("_pat"))
     small_short = broadcast_if_bounded(short_terms)
     if small_short is None:

@@ -30,8 +30,12 @@ def spread(df: DataFrame) -> DataFrame:
     input arrives in fewer partitions than the cluster runs tasks at once
     (one small file, one micro-batch). Inputs that are already split pass
     through unchanged, so a large scan never pays an extra shuffle."""
-    parallelism = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < parallelism:
+    try:
+        parallelism = df.sparkSession.sparkContext.defaultParallelism
+        splits = df.rdd.getNumPartitions()
+    except Exception:  # sessions without RDD access (Spark Connect): leave as is
+        return df
+    if splits < parallelism:
         return df.repartition(parallelism)
     return df
 

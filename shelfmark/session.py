@@ -51,7 +51,10 @@ def checkpoint_dir(spark: SparkSession) -> str:
     Where it is unset (tests, the local bench) a fresh scratch folder is
     made and registered, so lineage cuts still go through ``checkpoint()``.
     """
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:  # Spark Connect: the server side owns the setting
+        return spark.conf.get("spark.checkpoint.dir", None)
     path = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not path:
         path = tempfile.mkdtemp(prefix="shelfmark-ckpt-",

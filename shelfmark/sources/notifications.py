@@ -30,3 +30,17 @@ def write_pull_responses(envelopes: DataFrame, path: str) -> None:
     """Write pull responses as JSON lines (the shape the source reads)."""
     (envelopes.select("receivedMessages").write.mode("overwrite")
      .option("timestampFormat", RFC3339).json(path))
+
+
+def read_notifications_kafka(spark: SparkSession, bootstrap_servers: str, topic: str,
+                             max_offsets_per_trigger: int | None = None) -> DataFrame:
+    """The same stream from a Kafka topic whose values are pull responses
+    (needs the Kafka connector on the classpath; nothing else here does)."""
+    from pyspark.sql import functions as F
+    reader = (spark.readStream.format("kafka")
+              .option("kafka.bootstrap.servers", bootstrap_servers).option("subscribe", topic))
+    if max_offsets_per_trigger:
+        reader = reader.option("maxOffsetsPerTrigger", max_offsets_per_trigger)
+    return (reader.load()
+            .select(F.from_json(F.col("value").cast("string"), S.PULL_RESPONSE).alias("r"))
+            .select("r.receivedMessages"))

@@ -116,3 +116,17 @@ def registry_root(spark: SparkSession, name: str) -> str:
     """A registry folder under the shared checkpoint folder."""
     return os.path.join(checkpoint_dir(spark), name)
 
+
+
+def register_and_commit(spark: SparkSession, root: str, configs: DataFrame, now) -> tuple[int, DataFrame]:
+    """M1 against the stored registry: register dataset configs as a new
+    committed version (pending messages carried over, so a later
+    ``retry_pending`` or batch can apply them). Returns (version, rejected)."""
+    from ..operators.mutations import register_datasets
+    versions = committed_versions(spark, root)
+    prev, version = versions[-1], versions[-1] + 1
+    reg = load_registry(spark, root, prev)
+    new_reg, rejected = register_datasets(reg, configs, now)
+    pending = read_side_table(spark, root, "pending", prev, DECODED)
+    commit_snapshot(new_reg, root, version, side={"pending": pending})
+    return version, rejected

@@ -60,3 +60,37 @@ def test_stream_restart_equals_batch_fold(spark):
     before = rows(got.partitions, COLS)
     stream.apply_decoded(spark, decoded, root, versions[-1])
     assert rows(stream.current(spark, root)[0].partitions, COLS) == before
+
+
+def test_pending_applies_after_registration(spark):
+    """T4: a message for an unknown dataset waits; once the dataset is
+    registered, retry_pending folds it in."""
+    import datetime as dt
+    from shelfmark import schemas as S
+    from shelfmark.sources.registry import Registry
+    root = os.path.join(tempfile.mkdtemp(prefix="pending-test-"), "registry")
+    t0 = dt.datetime(2024, 1, 1)
+    managers = spark.createDataFrame([(1, "m@x.org", "k", False, t0, t0)], S.MANAGERS)
+    reg = Registry(managers, spark.createDataFrame([], S.DATASETS), spark.createDataFrame([], S.PARTITIONS))
+    stream.init_registry(reg, root)
+    msg = [("ack1", "m1", t0, S.EVENT_FINALIZE, t0, None, "late/2024/a.csv", "u://late/a", 10,
+            "late", "2024/a.csv", None)]
+    stream.apply_decoded(spark, spark.createDataFrame(msg, stream.DECODED), root, 1)
+    got, pending = stream.current(spark, root)
+    assert got.partitions.count() == 0 and [r.message_id for r in pending.collect()] == ["m1"]
+
+    cfg = spark.createDataFrame(
+        [(1, 1, "late", "csv", "zip", "public", "arrives late", {"id": "integer"})],
+        "request_id long, manager_id long, name string, format string, compression string, "
+        "classification string, description string, schema map<string,string>")
+    version, rejected = stream.register_and_commit(spark, root, cfg, "2024-01-02 00:00:00")
+    assert rejected.count() == 0 and version == 2
+    assert stream.current(spark, root)[1].count() == 1      # still pending
+    v = stream.retry_pending(spark, root)
+    got, pending = stream.current(spark, root)
+    assert v == 3 and pending.count() == 0
+    row = got.partitions.first()
+    assert (row.partition_name, row.partition_url, row.partition_size) == ("2024/a.csv", "u://late/a", 10)
+    # the dataset's freshness moves to the insert's event time only if newer
+    ds = got.datasets.first()
+    assert ds.updated_at == dt.datetime(2024, 1, 2)

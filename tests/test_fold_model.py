@@ -70,11 +70,13 @@ def model(prior_parts, msgs):
     return names, parts, fresh, pending, actions
 
 
-def random_batch(rng, n):
+def random_batch(rng, n, hot=0.0):
     msgs = []
     for i in range(n):
         ds = rng.choice(["a", "b", "c", "x"])
         kind = rng.random()
+        if rng.random() < hot:          # one file key takes this share of the batch
+            ds, kind = "a", 1.0
         if kind < 0.05:
             obj = f"{ds}/dd.json"
         elif kind < 0.08:
@@ -83,6 +85,8 @@ def random_batch(rng, n):
             obj = f"{ds}/latest"
         elif kind < 0.14:
             obj = f"{ds}/{ds}/f{rng.randint(0, 2)}"
+        elif ds == "a" and kind == 1.0:
+            obj = "a/hot"
         else:
             obj = f"{ds}/f{rng.randint(0, 2)}"
         et = rng.choice([S.EVENT_FINALIZE, S.EVENT_FINALIZE, S.EVENT_METADATA_UPDATE, S.EVENT_ARCHIVE,
@@ -100,12 +104,12 @@ def random_batch(rng, n):
     return msgs
 
 
-@pytest.mark.parametrize("seed", range(6))
-def test_fold_matches_sequential_model(spark, seed):
+@pytest.mark.parametrize("seed,hot", [(s, 0.0) for s in range(6)] + [(100, 0.34), (101, 0.34)])
+def test_fold_matches_sequential_model(spark, seed, hot):
     rng = random.Random(seed)
     prior_parts = {(1, "f0"): (7, "u://old0", 1, T0 - dt.timedelta(days=1), T0 - dt.timedelta(days=1)),
                    (2, "f1"): (9, "u://old1", 2, T0 - dt.timedelta(days=2), T0 - dt.timedelta(days=2))}
-    msgs = random_batch(rng, 60)
+    msgs = random_batch(rng, 90 if hot else 60, hot)
     managers = spark.createDataFrame([(1, "m@x.org", "k", False, T0, T0)], S.MANAGERS)
     datasets = spark.createDataFrame(
         [(i, n, "d", "csv", "zip", "public", {}, 1, T0 - dt.timedelta(days=5), T0 - dt.timedelta(days=5))

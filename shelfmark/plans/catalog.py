@@ -348,7 +348,7 @@ def dataset_configs(spark: SparkSession, sf_dir: str) -> DataFrame:
         formats.domain_value(S.COMPRESSIONS, k % 3).alias("compression"),
         formats.domain_value(S.CLASSIFICATIONS, F.col("s_nationkey") % 4).alias("classification"),
         F.concat(F.lit("supplied by "), F.col("s_name")).alias("description"),
-        fixtures._schema_map(k).alias("schema"),
+        fixtures.schema_map(k).alias("schema"),
     )
 
 

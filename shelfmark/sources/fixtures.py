@@ -13,7 +13,6 @@ in plain SQL for the oracle.
 
 from __future__ import annotations
 
-import base64
 import os
 
 from pyspark.sql import DataFrame, SparkSession
@@ -55,7 +54,7 @@ def _ts_plus_seconds(epoch: str, seconds) -> F.Column:
     return F.expr(f"TIMESTAMP_NTZ'{epoch}'") + F.make_dt_interval(secs=seconds.cast("decimal(18,6)"))
 
 
-def _schema_map(key) -> F.Column:
+def schema_map(key) -> F.Column:
     """The first ``1 + key % 5`` fields of the fixed field list."""
     entries = F.array(*[F.struct(F.lit(k).alias("key"), F.lit(v).alias("value"))
                         for k, v in SCHEMA_FIELDS])
@@ -83,7 +82,7 @@ def _dataset_columns(key: F.Column) -> dict:
         "dataset_format": domain_value(S.FORMATS, key % len(S.FORMATS)),
         "dataset_compression": domain_value(S.COMPRESSIONS, key % len(S.COMPRESSIONS)),
         "dataset_classification": domain_value(S.CLASSIFICATIONS, key % len(S.CLASSIFICATIONS)),
-        "dataset_schema": _schema_map(key),
+        "dataset_schema": schema_map(key),
     }
 
 
@@ -273,15 +272,6 @@ def event_registry(spark: SparkSession, sf_dir: str) -> Registry:
     return Registry(managers(spark, sf_dir), ds, parts)
 
 
-def undecodable_sample() -> str:
-    """Proof that :data:`UNDECODABLE` is not base64 (used by tests)."""
-    try:
-        base64.b64decode(UNDECODABLE, validate=True)
-    except Exception:
-        return UNDECODABLE
-    raise AssertionError("fixture text decodes")
-
-
 def dirty_registry(spark: SparkSession, sf_dir: str) -> Registry:
     """A registry loaded without constraints, for the constraint reports:
     datasets ← part (names repeat, formats are part types, no description
@@ -297,7 +287,7 @@ def dirty_registry(spark: SparkSession, sf_dir: str) -> Registry:
         F.lower("p_type").alias("dataset_format"),
         domain_value(S.COMPRESSIONS, F.col("p_size") % 3).alias("dataset_compression"),
         domain_value(S.CLASSIFICATIONS, key % 4).alias("dataset_classification"),
-        _schema_map(key).alias("dataset_schema"), F.col("p_size").alias("manager_id"),
+        schema_map(key).alias("dataset_schema"), F.col("p_size").alias("manager_id"),
         ts.alias("created_at"), ts.alias("updated_at")), S.DATASETS)
     li = table(spark, sf_dir, "lineitem")
     parts = conform(li.select(

@@ -26,7 +26,7 @@ from ..operators.events import decode_notifications, dead_letters, flatten_envel
 from ..operators.fold import fold_events
 from ..session import checkpoint_dir
 from ..sources.notifications import read_notifications
-from ..sources.registry import (Registry, commit_snapshot, committed_versions, is_committed,  # noqa: F401
+from ..sources.registry import (Registry, commit_snapshot, committed_versions, is_committed,
                                 load_registry, read_side_table)
 
 DECODED = T.StructType([

@@ -78,11 +78,17 @@ def pending_messages(routed: DataFrame) -> DataFrame:
     return effective_actions(routed).where(F.col("action") == RETRY).drop("_o", "dataset_deleted")
 
 
-def summarise(reg: Registry, routed: DataFrame) -> Summary:
-    """Per-key summary of a batch (the three aggregate passes)."""
+def materialise_batch(routed: DataFrame) -> DataFrame:
+    """The batch with effective actions, materialised once (lineage cut):
+    every later pass reads it."""
     checkpoint_dir(routed.sparkSession)
-    # the batch is read by several passes: materialise it once (lineage cut)
-    eff = effective_actions(routed).checkpoint(eager=True)
+    return effective_actions(routed).checkpoint(eager=True)
+
+
+def summarise(reg: Registry, routed: DataFrame, eff: DataFrame | None = None) -> Summary:
+    """Per-key summary of a batch (the three aggregate passes)."""
+    if eff is None:
+        eff = materialise_batch(routed)
     keyed = eff.where(F.col("action").isin(UPSERT, DELETE_PARTITION)).select(
         *KEY, "_o", "action", "event_time",
         F.col("self_link").alias("partition_url"), F.col("size").alias("partition_size"))
@@ -137,9 +143,10 @@ def folded_datasets(reg: Registry, sm: Summary) -> DataFrame:
     return conform(datasets, S.DATASETS)
 
 
-def folded_partitions(reg: Registry, sm: Summary) -> DataFrame:
+def folded_partitions(reg: Registry, sm: Summary, base_id: int | None = None) -> DataFrame:
     """Partitions after the batch: untouched rows, surviving rows that keep
-    their identity, and new incarnations with fresh ids."""
+    their identity, and new incarnations with fresh ids above ``base_id``
+    (default: the largest id in ``reg``)."""
     keys = sm.keys
     kept_cols = dict(
         partition_url=F.col("last.partition_url"),
@@ -152,7 +159,7 @@ def folded_partitions(reg: Registry, sm: Summary) -> DataFrame:
     fresh_rows = keys.where(F.col("survives") & ~(F.col("had") & F.col("ld").isNull())).select(
         *KEY, F.col("fa.event_time").alias("created_at"), *[v.alias(k) for k, v in kept_cols.items()])
     fresh_rows = fresh_rows.join(sm.deleted, "dataset_id", "left_anti")
-    base = reg.partitions.agg(F.max("partition_id")).first()[0] or 0
+    base = base_id if base_id is not None else (reg.partitions.agg(F.max("partition_id")).first()[0] or 0)
     new_rows = assign_ids(fresh_rows, ["created_at", "dataset_id", "partition_name"], base,
                           "partition_id")
     untouched = reg.partitions.join(sm.touched, KEY, "left_anti")

@@ -1,10 +1,18 @@
 """Registry tables: typed scans (S1) and versioned snapshots.
 
-A registry is three DataFrames. On storage each table is a folder of
-parquet versions ``<root>/<table>/v=<version>/`` plus a commit marker
-``<root>/_commits/<version>``; a reader takes the highest committed version,
-so a crash between writing a version and its marker leaves the previous
-registry in force and a replayed batch rewrites the same version.
+A registry is three DataFrames. On storage:
+
+* managers and datasets: ``<root>/<table>/v=<version>/`` written whole;
+* partitions (the large table, one row per file): hash buckets of
+  ``dataset_id``. Version ``v`` writes only the buckets its batch touched,
+  ``<root>/partitions/v=<v>/bucket=<b>/``, and lists them in
+  ``<root>/_buckets/v=<v>/`` (a touched bucket left empty is listed too, so
+  it hides older rows). A reader takes every bucket from the newest
+  committed version that wrote it;
+* ``<root>/_commits/<version>``: the commit marker, written last.
+
+A crash between writing a version and its marker leaves the previous
+registry in force; a replayed batch rewrites the same version in place.
 """
 
 from __future__ import annotations
@@ -12,11 +20,16 @@ from __future__ import annotations
 import os
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import schemas as S
 
+# Hash buckets of the partitions table. A batch rewrites only its buckets;
+# more buckets mean smaller rewrites and more folders per version.
+BUCKETS = 64
+
 
 class Registry(NamedTuple):
     managers: DataFrame
@@ -33,12 +46,22 @@ def empty_registry(spark: SparkSession) -> Registry:
     return Registry(*(spark.createDataFrame([], S.TABLES[t]) for t in S.TABLES))
 
 
+def bucket_of(dataset_id, buckets: int = BUCKETS) -> Column:
+    c = F.col(dataset_id) if isinstance(dataset_id, str) else dataset_id
+    return F.pmod(F.xxhash64(c), F.lit(buckets)).cast("int")
+
+
 def _fs(spark: SparkSession, path: str):
     jvm = spark._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    fs, p = _fs(spark, path)
+    return fs.exists(p)
+
+
 def committed_versions(spark: SparkSession, root: str) -> list[int]:
     """Versions with a commit marker (a listing of one small folder)."""
     fs, p = _fs(spark, os.path.join(root, "_commits"))
@@ -49,8 +72,34 @@ def committed_versions(spark: SparkSession, root: str) -> list[int]:
 
 
 def is_committed(spark: SparkSession, root: str, version: int) -> bool:
-    fs, p = _fs(spark, os.path.join(root, "_commits", str(version)))
-    return fs.exists(p)
+    return _exists(spark, os.path.join(root, "_commits", str(version)))
+
+
+def bucket_versions(spark: SparkSession, root: str, version: int) -> dict[int, int]:
+    """For each bucket, the newest committed version <= ``version`` that
+    wrote it (at most ``BUCKETS`` small rows reach the driver)."""
+    committed = [v for v in committed_versions(spark, root) if v <= version]
+    if not committed or not _exists(spark, os.path.join(root, "_buckets")):
+        return {}
+    listed = (spark.read.schema("bucket int, v int").parquet(os.path.join(root, "_buckets"))
+              .where(F.col("v").isin(committed))
+              .groupBy("bucket").agg(F.max("v").alias("v")))
+    return {r["bucket"]: r["v"] for r in listed.collect()}
+
+
+def load_partitions(spark: SparkSession, root: str, version: int,
+                    only_buckets: list[int] | None = None) -> DataFrame:
+    """The partitions table at ``version`` (optionally some buckets only)."""
+    paths = []
+    for b, v in sorted(bucket_versions(spark, root, version).items()):
+        if only_buckets is not None and b not in only_buckets:
+            continue
+        path = os.path.join(root, "partitions", f"v={v}", f"bucket={b}")
+        if _exists(spark, path):        # a listed bucket without rows is empty
+            paths.append(path)
+    if not paths:
+        return spark.createDataFrame([], S.PARTITIONS)
+    return spark.read.schema(S.PARTITIONS).parquet(*paths)
 
 
 def load_registry(spark: SparkSession, root: str, version: int | None = None) -> Registry:
@@ -62,7 +111,8 @@ def load_registry(spark: SparkSession, root: str, version: int | None = None) ->
         version = versions[-1]
     return Registry(
         *(spark.read.schema(S.TABLES[t]).parquet(os.path.join(root, t, f"v={version}"))
-          for t in S.TABLES)
+          for t in ("managers", "datasets")),
+        load_partitions(spark, root, version),
     )
 
 
@@ -70,29 +120,38 @@ def read_side_table(spark: SparkSession, root: str, name: str, version: int, sch
     """A table stored next to a registry version (pending, dead letters);
     empty when that version has none."""
     path = os.path.join(root, name, f"v={version}")
-    fs, p = _fs(spark, path)
-    if version < 0 or not fs.exists(p):
+    if version < 0 or not _exists(spark, path):
         return spark.createDataFrame([], schema)
     return spark.read.schema(schema).parquet(path)
 
 
 def commit_snapshot(reg: Registry, root: str, version: int,
-                    partition_buckets: int | None = None,
-                    side: dict[str, DataFrame] | None = None) -> None:
-    """Write every table of ``reg`` as ``version`` and then commit it.
-
-    Partitions are clustered by dataset_id (range partitioned and sorted), so
-    parquet min/max statistics let a per-dataset lookup skip row groups.
-    Writes use mode overwrite: replaying an uncommitted version is idempotent.
+                    side: dict[str, DataFrame] | None = None,
+                    touched_buckets: list[int] | None = None,
+                    files_per_version: int | None = None) -> None:
+    """Write ``reg`` as ``version`` and then commit it.
+
+    ``touched_buckets``: the partition buckets this version changes
+    (``reg.partitions`` needs to hold correct rows for those only); None
+    writes every bucket. Partition rows are range partitioned by (bucket,
+    dataset_id, created_at), so a hot dataset spreads over several files and
+    min/max statistics let per-dataset lookups skip row groups. Writes use
+    mode overwrite, so replaying an uncommitted version is idempotent.
     """
     spark = reg.datasets.sparkSession
-    for name, df in zip(S.TABLES, reg):
-        out = os.path.join(root, name, f"v={version}")
-        if name == "partitions":
-            n = partition_buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-            df = df.repartitionByRange(n, "dataset_id", "created_at").sortWithinPartitions(
-                "dataset_id", "created_at")
-        df.write.mode("overwrite").parquet(out)
+    for name in ("managers", "datasets"):
+        getattr(reg, name).write.mode("overwrite").parquet(os.path.join(root, name, f"v={version}"))
+    touched = list(range(BUCKETS)) if touched_buckets is None else sorted(set(touched_buckets))
+    parts = reg.partitions.withColumn("bucket", bucket_of("dataset_id"))
+    out = os.path.join(root, "partitions", f"v={version}")
+    if touched:
+        n = files_per_version or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        (parts.where(F.col("bucket").isin(touched))
+         .repartitionByRange(n, "bucket", "dataset_id", "created_at")
+         .sortWithinPartitions("dataset_id", "created_at")
+         .write.mode("overwrite").partitionBy("bucket").parquet(out))
+    (spark.createDataFrame([(b,) for b in touched], T.StructType([T.StructField("bucket", T.IntegerType())]))
+     .coalesce(1).write.mode("overwrite").parquet(os.path.join(root, "_buckets", f"v={version}")))
     for name, df in (side or {}).items():
         df.write.mode("overwrite").parquet(os.path.join(root, name, f"v={version}"))
     fs, p = _fs(spark, os.path.join(root, "_commits", str(version)))

@@ -18,16 +18,21 @@ from __future__ import annotations
 import os
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from .. import schemas as S
-from ..operators.events import decode_notifications, dead_letters, flatten_envelope, route_events
-from ..operators.fold import fold_events
+from ..operators import fold
+from ..operators.events import (DELETE_DATASET, DELETE_PARTITION, RETRY, UPSERT, dead_letters,
+                                decode_notifications, flatten_envelope, route_events)
 from ..session import checkpoint_dir
 from ..sources.notifications import read_notifications
-from ..sources.registry import (Registry, commit_snapshot, committed_versions, is_committed,
-                                load_registry, read_side_table)
+from ..sources.registry import (Registry, bucket_of, commit_snapshot, committed_versions,
+                                is_committed, load_partitions, load_registry, read_side_table)
+
+# Actions that change partition rows (their datasets' buckets are rewritten).
+CHANGES = [UPSERT, DELETE_PARTITION, DELETE_DATASET]
 
 DECODED = T.StructType([
     T.StructField("ack_id", T.StringType()),
@@ -67,9 +72,20 @@ def apply_decoded(spark: SparkSession, decoded: DataFrame, root: str, version: i
     reg = load_registry(spark, root, prev)
     pending = read_side_table(spark, root, "pending", prev, DECODED)
     batch = decoded.select(*DECODED.fieldNames()).unionByName(pending)
-    new_reg, new_pending = fold_events(reg, route_events(batch, reg.datasets))
-    commit_snapshot(new_reg, root, version, side={
-        "pending": new_pending.select(*DECODED.fieldNames()),
+    routed = route_events(batch, reg.datasets)
+    eff = fold.materialise_batch(routed)
+    # only the partition buckets of datasets this batch touches are read
+    # and rewritten; the rest of the registry stays where it is
+    touched = [r["b"] for r in eff.where(F.col("action").isin(*CHANGES))
+               .select(bucket_of("dataset_id").alias("b")).distinct().collect()]
+    part = reg._replace(partitions=load_partitions(spark, root, prev, only_buckets=touched))
+    base_id = reg.partitions.agg(F.max("partition_id")).first()[0] or 0
+    sm = fold.summarise(part, routed, eff)
+    new_reg = Registry(reg.managers, fold.folded_datasets(part, sm),
+                       fold.folded_partitions(part, sm, base_id))
+    new_pending = eff.where(F.col("action") == RETRY).select(*DECODED.fieldNames())
+    commit_snapshot(new_reg, root, version, touched_buckets=touched, side={
+        "pending": new_pending,
         "dead_letters": dead_letters(batch).select(*DEAD.fieldNames()),
     })
 
@@ -128,5 +144,6 @@ def register_and_commit(spark: SparkSession, root: str, configs: DataFrame, now)
     reg = load_registry(spark, root, prev)
     new_reg, rejected = register_datasets(reg, configs, now)
     pending = read_side_table(spark, root, "pending", prev, DECODED)
-    commit_snapshot(new_reg, root, version, side={"pending": pending})
+    # partitions are unchanged: no bucket is rewritten
+    commit_snapshot(new_reg, root, version, side={"pending": pending}, touched_buckets=[])
     return version, rejected

@@ -6,7 +6,7 @@ import tempfile
 
 from pyspark.sql import functions as F
 
-from shelfmark.operators import events, fold
+from shelfmark.operators import events, fold  # noqa: F401
 from shelfmark.sources import fixtures
 from shelfmark.sources.notifications import write_pull_responses
 from shelfmark.streaming import stream
@@ -94,3 +94,32 @@ def test_pending_applies_after_registration(spark):
     # the dataset's freshness moves to the insert's event time only if newer
     ds = got.datasets.first()
     assert ds.updated_at == dt.datetime(2024, 1, 2)
+
+
+def test_version_rewrites_only_touched_buckets(spark):
+    """A batch rewrites the partition buckets of the datasets it touches;
+    a bucket it empties hides the older rows of that bucket."""
+    import datetime as dt
+    from shelfmark import schemas as S
+    from shelfmark.sources.registry import Registry, bucket_of, load_registry
+    t0 = dt.datetime(2024, 1, 1)
+    ids = spark.range(1, 200).select(F.col("id"), bucket_of("id").alias("b")).collect()
+    a = ids[0]
+    b = next(r for r in ids if r.b != a.b)
+    root = os.path.join(tempfile.mkdtemp(prefix="bucket-test-"), "registry")
+    managers = spark.createDataFrame([(1, "m@x.org", "k", False, t0, t0)], S.MANAGERS)
+    datasets = spark.createDataFrame(
+        [(a.id, "da", "d", "csv", "zip", "public", {}, 1, t0, t0),
+         (b.id, "db", "d", "csv", "zip", "public", {}, 1, t0, t0)], S.DATASETS)
+    parts = spark.createDataFrame([(1, "x", "u://a/x", 1, a.id, t0, t0), (2, "y", "u://b/y", 2, b.id, t0, t0)],
+                                  S.PARTITIONS)
+    stream.init_registry(Registry(managers, datasets, parts), root)
+    msg = [("ack1", "m1", t0, S.EVENT_DELETE, t0 + dt.timedelta(hours=1), None, "da/x", "u://a/x", 1,
+            "da", "x", None)]
+    stream.apply_decoded(spark, spark.createDataFrame(msg, stream.DECODED), root, 1)
+    written = sorted(os.listdir(os.path.join(root, "partitions", "v=1")))
+    assert not any(w.startswith("bucket=") for w in written)          # a's bucket is now empty
+    listed = [r.bucket for r in spark.read.parquet(os.path.join(root, "_buckets", "v=1")).collect()]
+    assert listed == [a.b]
+    assert [r.partition_name for r in load_registry(spark, root).partitions.collect()] == ["y"]
+    assert sorted(r.partition_name for r in load_registry(spark, root, 0).partitions.collect()) == ["x", "y"]

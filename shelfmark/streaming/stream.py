@@ -147,3 +147,14 @@ def register_and_commit(spark: SparkSession, root: str, configs: DataFrame, now)
     # partitions are unchanged: no bucket is rewritten
     commit_snapshot(new_reg, root, version, side={"pending": pending}, touched_buckets=[])
     return version, rejected
+
+
+def backfill(spark: SparkSession, source: str, root: str) -> int:
+    """Fold every pull response under ``source`` as one batch (the whole
+    log at once, e.g. to rebuild a registry) and commit it as the next
+    version; returns that version."""
+    from ..sources.notifications import read_notifications_batch
+    version = committed_versions(spark, root)[-1] + 1
+    decoded = decode_notifications(flatten_envelope(read_notifications_batch(spark, source)))
+    apply_decoded(spark, decoded, root, version)
+    return version

@@ -56,6 +56,14 @@ def test_stream_restart_equals_batch_fold(spark):
     assert rows(got.datasets, dcols) == rows(want.datasets, dcols)
     assert rows(pending, ["message_id"]) == rows(want_pending, ["message_id"])
 
+    # a backfill of the same files into a fresh registry gives the same result
+    root2 = os.path.join(scratch, "registry2")
+    stream.init_registry(reg, root2)
+    stream.backfill(spark, os.path.join(src, "*"), root2)
+    got2, pending2 = stream.current(spark, root2)
+    assert rows(got2.partitions, COLS) == rows(want.partitions, COLS)
+    assert rows(pending2, ["message_id"]) == rows(want_pending, ["message_id"])
+
     # replaying a committed batch changes nothing
     before = rows(got.partitions, COLS)
     stream.apply_decoded(spark, decoded, root, versions[-1])

@@ -45,3 +45,9 @@ def partition_of(path, dataset=None) -> Column:
 def is_config_object(path) -> Column:
     """The object name ends with the config file name (a plain suffix test)."""
     return _c(path).endswith(CONFIG_FILE)
+
+
+def parse_paths(df, col: str = "object_name"):
+    """F1/F2 on a DataFrame: adds ``dataset_name`` and ``partition_name``."""
+    return (df.withColumn("dataset_name", dataset_of(col))
+            .withColumn("partition_name", partition_of(col)))

@@ -122,3 +122,9 @@ def unknown_action() -> F.Column:
     else waits for the dataset to appear."""
     return (F.when(is_config_object("object_name") | F.col("partition_name").isNull(), F.lit(IGNORE))
             .otherwise(F.lit(RETRY)))
+
+
+def decode_payload(flat: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """F3-F5/C7 as a pair: decodable messages and dead letters."""
+    decoded = decode_notifications(flat)
+    return decoded.where(F.col("reason").isNull()).drop("reason"), dead_letters(decoded)

@@ -193,3 +193,9 @@ def generate_datasets(numbers: DataFrame, template: dict, now) -> DataFrame:
         F.lit(template["description"]).alias("description"),
         schema.alias("schema"),
     )
+
+
+def generate_n_datasets(spark, template: dict, n: int, now) -> DataFrame:
+    """M9 as the reference's generator binary: ``n`` configs numbered 1..n
+    (the numbers come from ``spark.range``, split across tasks)."""
+    return generate_datasets(spark.range(1, n + 1).select(F.col("id").alias("i")), template, now)

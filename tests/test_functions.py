@@ -89,3 +89,14 @@ def test_attribute_variants(spark):
     kinds = {r.kind: r.n for r in listing.domain_table(spark).groupBy("kind").agg(
         F.count("*").alias("n")).collect()}
     assert kinds == {"format": 6, "compression": 3, "classification": 4}
+
+
+def test_dataframe_wrappers(spark):
+    from shelfmark.functions.paths import parse_paths
+    from shelfmark.operators.mutations import generate_n_datasets
+    df = parse_paths(spark.createDataFrame([("a/a/x.csv",)], "object_name string"))
+    assert df.select("dataset_name", "partition_name").first() == ("a", "x.csv")
+    tpl = {"name": "example_dataset", "classification": "public", "compression": "zip",
+           "format": "protobuf", "description": "d", "schema": {"id": "integer"}}
+    rows = generate_n_datasets(spark, tpl, 50, "2020-01-01 00:00:00").collect()
+    assert len(rows) == 50 and rows[0].name.startswith("example_dataset_1_20200101_000000")

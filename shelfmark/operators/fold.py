@@ -120,7 +120,7 @@ def summarise(reg: Registry, routed: DataFrame, eff: DataFrame | None = None) ->
     deleted = small_side(eff.where(F.col("action") == DELETE_DATASET).select("dataset_id").distinct())
     prior = reg.partitions.join(touched, KEY).select(
         *KEY, F.lit(True).alias("had"), F.col("partition_id").alias("prior_id"),
-        F.col("created_at").alias("prior_created"))
+        F.col("created_at").alias("prior_created"), F.col("updated_at").alias("prior_updated"))
     keys = (p1.join(p2, KEY).join(p3, KEY, "left").join(prior, KEY, "left")
             .withColumn("had", F.coalesce("had", F.lit(False))))
     survives = F.col("lu").isNotNull() & (F.col("ld").isNull() | (F.col("lu") > F.col("ld")))
@@ -153,9 +153,11 @@ def folded_partitions(reg: Registry, sm: Summary, base_id: int | None = None) ->
         partition_size=F.col("last.partition_size"),
         updated_at=F.col("last.event_time"),
     )
+    # a kept row's updated_at never moves back (a late message is older)
     same = keys.where(F.col("survives") & F.col("had") & F.col("ld").isNull()).select(
         *KEY, F.col("prior_id").alias("partition_id"), F.col("prior_created").alias("created_at"),
-        *[v.alias(k) for k, v in kept_cols.items()])
+        *[v.alias(k) for k, v in kept_cols.items() if k != "updated_at"],
+        F.greatest("prior_updated", F.col("last.event_time")).alias("updated_at"))
     fresh_rows = keys.where(F.col("survives") & ~(F.col("had") & F.col("ld").isNull())).select(
         *KEY, F.col("fa.event_time").alias("created_at"), *[v.alias(k) for k, v in kept_cols.items()])
     fresh_rows = fresh_rows.join(sm.deleted, "dataset_id", "left_anti")

@@ -386,7 +386,8 @@ fold_parts_r AS (
                                              AND t.partition_name = p.partition_name)
     AND p.dataset_id NOT IN (SELECT dataset_id FROM deleted_r)
   UNION ALL
-  SELECT p.partition_id, p.partition_name, s.url, s.sz, p.dataset_id, p.created_at, s.last_time
+  SELECT p.partition_id, p.partition_name, s.url, s.sz, p.dataset_id, p.created_at,
+         greatest(p.updated_at, s.last_time)
   FROM surv_r s JOIN eparts_r p ON p.dataset_id = s.dataset_id AND p.partition_name = s.partition_name
   WHERE s.had AND s.ld IS NULL AND s.dataset_id NOT IN (SELECT dataset_id FROM deleted_r)
   UNION ALL

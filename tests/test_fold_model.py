@@ -44,7 +44,8 @@ def model(prior_parts, msgs):
                     act = "upsert"
                     k = (dsid, p)
                     if k in parts:
-                        parts[k].update(url=m["self_link"], size=m["size"], updated=now)
+                        updated = max(parts[k]["updated"], now) if parts[k]["prior"] else now
+                        parts[k].update(url=m["self_link"], size=m["size"], updated=updated)
                     else:
                         parts[k] = dict(id=None, url=m["self_link"], size=m["size"], created=now,
                                         updated=now, prior=False)
@@ -107,7 +108,7 @@ def random_batch(rng, n, hot=0.0):
 @pytest.mark.parametrize("seed,hot", [(s, 0.0) for s in range(6)] + [(100, 0.34), (101, 0.34)])
 def test_fold_matches_sequential_model(spark, seed, hot):
     rng = random.Random(seed)
-    prior_parts = {(1, "f0"): (7, "u://old0", 1, T0 - dt.timedelta(days=1), T0 - dt.timedelta(days=1)),
+    prior_parts = {(1, "f0"): (7, "u://old0", 1, T0 - dt.timedelta(days=1), T0 + dt.timedelta(seconds=20)),
                    (2, "f1"): (9, "u://old1", 2, T0 - dt.timedelta(days=2), T0 - dt.timedelta(days=2))}
     msgs = random_batch(rng, 90 if hot else 60, hot)
     managers = spark.createDataFrame([(1, "m@x.org", "k", False, T0, T0)], S.MANAGERS)

@@ -45,9 +45,18 @@ UNDECODABLE = "@@not-base64@@"
 LARGE_TABLES = {"customer", "orders", "lineitem", "part", "events"}
 
 
+# Scans of the driver's read-only files, one plan per session and path (a
+# DataFrame is an immutable plan; no data is held).
+_SCANS: dict[str, tuple[SparkSession, DataFrame]] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    df = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
-    return spread(df) if name in LARGE_TABLES else df
+    path = os.path.join(sf_dir, f"{name}.parquet")
+    hit = _SCANS.get(path)
+    if hit is None or hit[0] is not spark:
+        df = spark.read.parquet(path)
+        hit = _SCANS[path] = (spark, spread(df) if name in LARGE_TABLES else df)
+    return hit[1]
 
 
 def _ts_plus_seconds(epoch: str, seconds) -> F.Column:

@@ -15,7 +15,7 @@ import itertools
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import checkpoint_dir
+from ..session import checkpoint_dir, materialise
 
 
 def assign_ids(df: DataFrame, order: list[str], base: int, name: str,
@@ -25,10 +25,9 @@ def assign_ids(df: DataFrame, order: list[str], base: int, name: str,
     spark = df.sparkSession
     checkpoint_dir(spark)
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = (df.repartitionByRange(n, *order).sortWithinPartitions(*order)
-              .withColumn("_pid", F.spark_partition_id())
-              .withColumn("_mono", F.monotonically_increasing_id())
-              .checkpoint(eager=True))
+    ranged = materialise(df.repartitionByRange(n, *order).sortWithinPartitions(*order)
+                         .withColumn("_pid", F.spark_partition_id())
+                         .withColumn("_mono", F.monotonically_increasing_id()))
     counts = {r["_pid"]: r["n"] for r in
               ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("n")).collect()}
     offsets, total = {}, 0

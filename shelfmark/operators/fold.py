@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from .. import schemas as S
 from ..functions.ids import assign_ids
 from ..functions.sizing import small_side
-from ..session import checkpoint_dir
+from ..session import checkpoint_dir, materialise
 from ..sources.registry import Registry, conform
 from .events import DEAD_LETTER, DELETE_DATASET, DELETE_PARTITION, RETRY, UPSERT, unknown_action
 
@@ -82,7 +82,7 @@ def materialise_batch(routed: DataFrame) -> DataFrame:
     """The batch with effective actions, materialised once (lineage cut):
     every later pass reads it."""
     checkpoint_dir(routed.sparkSession)
-    return effective_actions(routed).checkpoint(eager=True)
+    return materialise(effective_actions(routed))
 
 
 def summarise(reg: Registry, routed: DataFrame, eff: DataFrame | None = None) -> Summary:
@@ -126,8 +126,7 @@ def summarise(reg: Registry, routed: DataFrame, eff: DataFrame | None = None) ->
     survives = F.col("lu").isNotNull() & (F.col("ld").isNull() | (F.col("lu") > F.col("ld")))
     last_ins = (F.when(F.col("dstar").isNotNull(), F.col("fstar"))
                 .when(F.col("lu").isNotNull() & ~F.col("had"), F.col("fu")))
-    keys = (keys.withColumn("survives", survives).withColumn("last_ins", last_ins)
-            .checkpoint(eager=True))
+    keys = materialise(keys.withColumn("survives", survives).withColumn("last_ins", last_ins))
     return Summary(eff, keys, touched, deleted)
 
 

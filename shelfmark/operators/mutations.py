@@ -16,6 +16,7 @@ from .. import schemas as S
 from ..functions.formats import email_in_domain, generated_name, normalize_enum
 from ..functions.ids import assign_ids
 from ..functions.sizing import small_side
+from ..session import materialise
 from ..sources.registry import Registry, conform
 
 
@@ -146,7 +147,7 @@ def upsert_partitions(reg: Registry, rows: DataFrame, now) -> tuple[Registry, Da
             .select(*key, "v.partition_url", "v.partition_size"))
     prior = reg.partitions
     # one pass over the registry against the (checked) small request keys
-    last = small_side(last.checkpoint(eager=True))
+    last = small_side(materialise(last))
     updated = (prior.drop("partition_url", "partition_size", "updated_at")
                .join(last, key).withColumn("updated_at", _ts(now)))
     existing = prior.select(*key).join(last.select(*key), key, "left_semi")

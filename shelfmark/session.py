@@ -62,3 +62,12 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(path)
     return path
+
+
+def materialise(df):
+    """Cut lineage: ``df.checkpoint()`` (eager) into the shared checkpoint
+    folder. Used where a result is read by several later passes or must not
+    be recomputed differently after a lost executor; never a local
+    checkpoint."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)

@@ -11,10 +11,14 @@ from .. import schemas as S
 from ..functions.formats import normalize_enum
 
 
-def read_dataset_configs(spark: SparkSession, glob: str) -> DataFrame:
+def read_dataset_configs(spark: SparkSession, path: str) -> DataFrame:
     """dd.json files → typed config rows (one JSON object per file), enum
-    values lower-cased; ``source`` is the file the row came from."""
-    df = spark.read.schema(S.DATASET_CONFIG).option("multiLine", True).json(glob)
+    values lower-cased; ``source`` is the file the row came from. ``path``
+    is a glob, a file, or a folder (read recursively, e.g. an export)."""
+    reader = spark.read.schema(S.DATASET_CONFIG).option("multiLine", True)
+    if not any(ch in path for ch in "*?[{"):
+        reader = reader.option("recursiveFileLookup", True)
+    df = reader.json(path)
     return (df.withColumn("source", F.input_file_name())
             .withColumn("format", normalize_enum("format"))
             .withColumn("compression", normalize_enum("compression"))

@@ -70,12 +70,14 @@ def partitions_by_name(reg: Registry, requests: DataFrame) -> DataFrame:
 
 
 def manager_datasets(reg: Registry, requests: DataFrame) -> DataFrame:
-    """Datasets of the managers with the requested api keys. The
-    reference does not select the email here, so it is the empty string."""
+    """Datasets of the managers with the requested api keys, oldest
+    first. The reference does not select the email here, so it is the
+    empty string."""
     keys = reg.managers.join(requests.select("api_key").distinct(), "api_key", "left_semi")
     return (reg.datasets.join(keys.select("manager_id", "api_key"), "manager_id")
             .withColumn("manager_email", F.lit(""))
-            .select("api_key", *S.DATASET_VIEW_COLUMNS))
+            .select("api_key", *S.DATASET_VIEW_COLUMNS)
+            .orderBy("api_key", "created_at", "dataset_id"))
 
 
 # ---------------------------------------------------------------------------

@@ -168,3 +168,30 @@ def test_delete_dataset_cascades(spark):
     assert [r.dataset_name for r in new.datasets.collect()] == ["b"]
     assert new.partitions.count() == 0   # all three belonged to dataset 1 ('a')
     assert conform(new.partitions, S.PARTITIONS).columns == S.PARTITION_COLUMNS
+
+
+def test_all_range_combinations(spark):
+    """SURVEY 2.6.1: every start/end/count/offset combination, for
+    partitions (per dataset) and datasets, against a plain model."""
+    import itertools
+    reg = registry(spark, [f"ds{i}" for i in range(12)], n_parts=12, part_step_ms=1000)
+    parts = sorted(((r.created_at, r.partition_id) for r in reg.partitions.collect()), reverse=True)
+    dsets = sorted(((r.updated_at, r.dataset_id, r.created_at) for r in reg.datasets.collect()), reverse=True)
+    start_p, end_p = parts[8][0], parts[2][0]
+    start_d, end_d = dsets[9][2], dsets[3][2]
+    for s, e, c, o in itertools.product([False, True], repeat=4):
+        kw = dict(start=start_p if s else None, end=end_p if e else None,
+                  count=4 if c else None, offset=2 if o else None)
+        want = [pid for t, pid in parts if (not s or t >= start_p) and (not e or t <= end_p)]
+        want = want[(2 if o else 0):]
+        want = want[:4] if c else want
+        got = listing.list_partitions(reg, **kw)
+        got = [r.partition_id for r in (got.orderBy("position").collect() if c else got.collect())]
+        assert got == want, kw
+        kw_d = dict(kw, start=start_d if s else None, end=end_d if e else None)
+        want_d = [i for u, i, cr in dsets if (not s or cr >= start_d) and (not e or cr <= end_d)]
+        want_d = want_d[(2 if o else 0):]
+        want_d = want_d[:4] if c else want_d
+        got_d = listing.list_datasets(reg, **kw_d)
+        got_d = [r.dataset_id for r in (got_d.orderBy("position").collect() if c else got_d.collect())]
+        assert got_d == want_d, kw_d

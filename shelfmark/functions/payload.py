@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import schemas as S
 
@@ -12,6 +13,11 @@ def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+# Malformed JSON lands in this field instead of becoming an all-NULL row.
+CORRUPT = "_corrupt_record"
+PARSED = T.StructType(S.PAYLOAD.fields + [T.StructField(CORRUPT, T.StringType())])
+
+
 def decode_base64_json(data) -> Column:
     """base64 text → payload struct; NULL when the text is not base64.
 
@@ -19,7 +25,8 @@ def decode_base64_json(data) -> Column:
     an empty string, so undecodable data stays distinguishable.
     """
     raw = F.try_to_binary(_c(data), F.lit("base64"))
-    return F.from_json(F.decode(raw, "utf-8"), S.PAYLOAD)
+    return F.from_json(F.decode(raw, "utf-8"), PARSED,
+                       {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
 
 
 def parse_size(size) -> Column:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas as S
 from ..functions.paths import dataset_of, is_config_object, partition_of
-from ..functions.payload import decode_base64_json, missing_required, parse_size
+from ..functions.payload import CORRUPT, decode_base64_json, missing_required, parse_size
 from ..functions.sizing import spread
 
 # Actions of the routing table.
@@ -60,7 +60,7 @@ def decode_notifications(flat: DataFrame) -> DataFrame:
     size = parse_size(p["size"])
     name = p["name"]
     reason = (
-        F.when(p.isNull(), F.lit("undecodable payload"))
+        F.when(p.isNull() | p[CORRUPT].isNotNull(), F.lit("undecodable payload"))
         .when(missing_required(p).isNotNull(), F.concat(F.lit("missing key "), missing_required(p)))
         .when(size.isNull(), F.lit("size is not an integer"))
         .when(~F.col("event_type").isin(*S.EVENT_TYPES) | F.col("event_type").isNull(),

@@ -57,10 +57,29 @@ DEAD = T.StructType([
 ])
 
 
+META = T.StructType([T.StructField("max_partition_id", T.LongType())])
+
+
+def _meta(spark: SparkSession, max_id: int) -> DataFrame:
+    return spark.createDataFrame([(int(max_id),)], META)
+
+
+def max_partition_id(spark: SparkSession, root: str, version: int) -> int:
+    """Largest partition id ever assigned up to ``version``: one stored row
+    per version, so a batch never scans the whole partitions table for it
+    (falls back to a scan for a registry written without it)."""
+    row = read_side_table(spark, root, "_meta", version, META).first()
+    if row is not None:
+        return row["max_partition_id"] or 0
+    return load_registry(spark, root, version).partitions.agg(F.max("partition_id")).first()[0] or 0
+
+
 def init_registry(reg: Registry, root: str) -> None:
     """Write ``reg`` as version 0 unless a version is committed already."""
-    if not committed_versions(reg.datasets.sparkSession, root):
-        commit_snapshot(reg, root, 0)
+    spark = reg.datasets.sparkSession
+    if not committed_versions(spark, root):
+        max_id = reg.partitions.agg(F.max("partition_id")).first()[0] or 0
+        commit_snapshot(reg, root, 0, side={"_meta": _meta(spark, max_id)})
 
 
 def apply_decoded(spark: SparkSession, decoded: DataFrame, root: str, version: int) -> None:
@@ -79,14 +98,17 @@ def apply_decoded(spark: SparkSession, decoded: DataFrame, root: str, version: i
     touched = [r["b"] for r in eff.where(F.col("action").isin(*CHANGES))
                .select(bucket_of("dataset_id").alias("b")).distinct().collect()]
     part = reg._replace(partitions=load_partitions(spark, root, prev, only_buckets=touched))
-    base_id = reg.partitions.agg(F.max("partition_id")).first()[0] or 0
+    base_id = max_partition_id(spark, root, prev)
     sm = fold.summarise(part, routed, eff)
-    new_reg = Registry(reg.managers, fold.folded_datasets(part, sm),
-                       fold.folded_partitions(part, sm, base_id))
+    partitions = fold.folded_partitions(part, sm, base_id)
+    new_reg = Registry(reg.managers, fold.folded_datasets(part, sm), partitions)
     new_pending = eff.where(F.col("action") == RETRY).select(*DECODED.fieldNames())
+    # the largest id only grows by this batch's new rows (all in touched buckets)
+    new_max = partitions.agg(F.max("partition_id")).first()[0] or 0
     commit_snapshot(new_reg, root, version, touched_buckets=touched, side={
         "pending": new_pending,
         "dead_letters": dead_letters(batch).select(*DEAD.fieldNames()),
+        "_meta": _meta(spark, max(base_id, new_max)),
     })
 
 
@@ -145,7 +167,8 @@ def register_and_commit(spark: SparkSession, root: str, configs: DataFrame, now)
     new_reg, rejected = register_datasets(reg, configs, now)
     pending = read_side_table(spark, root, "pending", prev, DECODED)
     # partitions are unchanged: no bucket is rewritten
-    commit_snapshot(new_reg, root, version, side={"pending": pending}, touched_buckets=[])
+    commit_snapshot(new_reg, root, version, touched_buckets=[], side={
+        "pending": pending, "_meta": _meta(spark, max_partition_id(spark, root, prev))})
     return version, rejected
 
 

@@ -52,6 +52,8 @@ def test_stream_restart_equals_batch_fold(spark):
         return sorted(tuple(r) for r in df.select(*cols).collect())
 
     assert rows(got.partitions, COLS) == rows(want.partitions, COLS)
+    ids = [r.partition_id for r in got.partitions.collect()]
+    assert len(ids) == len(set(ids))                     # ids stay unique across versions
     dcols = ["dataset_id", "dataset_name", "updated_at"]
     assert rows(got.datasets, dcols) == rows(want.datasets, dcols)
     assert rows(pending, ["message_id"]) == rows(want_pending, ["message_id"])

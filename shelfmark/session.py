@@ -8,11 +8,14 @@ import tempfile
 from pyspark.sql import SparkSession
 
 # Settings every job of the library expects. Timestamps are UTC; AQE
-# coalesces small shuffles and splits skewed join partitions at runtime.
+# coalesces small shuffles toward ~128 MB partitions (so a large
+# spark.sql.shuffle.partitions is safe to set on a cluster and spills stay
+# bounded) and splits skewed join partitions at runtime.
 SESSION_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.parquet.filterPushdown": "true",
     "spark.sql.parquet.aggregatePushdown": "true",

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .. import schemas as S
 from ..functions.paths import dataset_of, is_config_object, partition_of
 from ..functions.payload import CORRUPT, decode_base64_json, missing_required, parse_size
-from ..functions.sizing import spread
+from ..functions.sizing import small_side, spread
 
 # Actions of the routing table.
 UPSERT = "upsert"
@@ -91,12 +91,22 @@ def dead_letters(decoded: DataFrame) -> DataFrame:
         "ack_id", "message_id", "event_time", "object_name", "reason")
 
 
-def route_events(decoded: DataFrame, datasets: DataFrame) -> DataFrame:
+def route_events(decoded: DataFrame, datasets: DataFrame, narrow: bool = False) -> DataFrame:
     """Join messages to the current datasets by the first path
     component and pick the action of the routing table; a message with a
     decode ``reason`` is a ``dead_letter``. ``acked`` is false only for
-    ``retry`` (left for a later batch)."""
+    ``retry`` (left for a later batch).
+
+    ``narrow``: for a materialised batch against a large registry, first cut
+    the datasets down to the batch's names (a map-side semi join against
+    the checked, broadcast names), so the left join never shuffles the
+    whole datasets table. Otherwise AQE picks the join from measured sizes.
+    """
     ds = datasets.select("dataset_id", "dataset_name")
+    if narrow:
+        names = small_side(decoded.select("dataset_name").where(F.col("dataset_name").isNotNull())
+                           .distinct())
+        ds = ds.join(names, "dataset_name", "left_semi")
     r = decoded.join(ds, "dataset_name", "left")
     p, et = F.col("partition_name"), F.col("event_type")
     known = F.col("dataset_id").isNotNull()

@@ -26,7 +26,7 @@ from .. import schemas as S
 from ..operators import fold
 from ..operators.events import (DELETE_DATASET, DELETE_PARTITION, RETRY, UPSERT, dead_letters,
                                 decode_notifications, flatten_envelope, route_events)
-from ..session import checkpoint_dir
+from ..session import checkpoint_dir, materialise
 from ..sources.notifications import read_notifications
 from ..sources.registry import (Registry, bucket_of, commit_snapshot, committed_versions,
                                 is_committed, load_partitions, load_registry, read_side_table)
@@ -90,8 +90,9 @@ def apply_decoded(spark: SparkSession, decoded: DataFrame, root: str, version: i
     prev = max(v for v in committed_versions(spark, root) if v < version)
     reg = load_registry(spark, root, prev)
     pending = read_side_table(spark, root, "pending", prev, DECODED)
-    batch = decoded.select(*DECODED.fieldNames()).unionByName(pending)
-    routed = route_events(batch, reg.datasets)
+    # the micro-batch is decoded once and read by every later step
+    batch = materialise(decoded.select(*DECODED.fieldNames()).unionByName(pending))
+    routed = route_events(batch, reg.datasets, narrow=True)
     eff = fold.materialise_batch(routed)
     # only the partition buckets of datasets this batch touches are read
     # and rewritten; the rest of the registry stays where it is

@@ -2,12 +2,12 @@
 
 A registry is three DataFrames. On storage:
 
-* managers and datasets: ``<root>/<table>/v=<version>/`` written whole;
-* partitions (the large table, one row per file): hash buckets of
-  ``dataset_id``. Version ``v`` writes only the buckets its batch touched,
-  ``<root>/partitions/v=<v>/bucket=<b>/``, and lists them in
-  ``<root>/_buckets/v=<v>/`` (a touched bucket left empty is listed too, so
-  it hides older rows). A reader takes every bucket from the newest
+* managers (a handful of rows): ``<root>/managers/v=<version>/`` written whole;
+* datasets and partitions: hash buckets of ``dataset_id``. Version ``v``
+  writes only the buckets its change touched,
+  ``<root>/<table>/v=<v>/bucket=<b>/``, and lists them in
+  ``<root>/_buckets/<table>/v=<v>/`` (a touched bucket left empty is listed
+  too, so it hides older rows). A reader takes every bucket from the newest
   committed version that wrote it;
 * ``<root>/_commits/<version>``: the commit marker, written last.
 
@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 
 from .. import schemas as S
 
-# Hash buckets of the partitions table. A batch rewrites only its buckets;
+# Hash buckets of the datasets and partitions tables. A batch rewrites only its buckets;
 # more buckets mean smaller rewrites and more folders per version.
 BUCKETS = 64
 
@@ -75,31 +75,42 @@ def is_committed(spark: SparkSession, root: str, version: int) -> bool:
     return _exists(spark, os.path.join(root, "_commits", str(version)))
 
 
-def bucket_versions(spark: SparkSession, root: str, version: int) -> dict[int, int]:
-    """For each bucket, the newest committed version <= ``version`` that
-    wrote it (at most ``BUCKETS`` small rows reach the driver)."""
+BUCKETED = ("datasets", "partitions")
+
+
+def bucket_versions(spark: SparkSession, root: str, version: int,
+                    table: str = "partitions") -> dict[int, int]:
+    """For each bucket of ``table``, the newest committed version <=
+    ``version`` that wrote it (at most ``BUCKETS`` small rows reach the
+    driver)."""
     committed = [v for v in committed_versions(spark, root) if v <= version]
-    if not committed or not _exists(spark, os.path.join(root, "_buckets")):
+    listing = os.path.join(root, "_buckets", table)
+    if not committed or not _exists(spark, listing):
         return {}
-    listed = (spark.read.schema("bucket int, v int").parquet(os.path.join(root, "_buckets"))
+    listed = (spark.read.schema("bucket int, v int").parquet(listing)
               .where(F.col("v").isin(committed))
               .groupBy("bucket").agg(F.max("v").alias("v")))
     return {r["bucket"]: r["v"] for r in listed.collect()}
 
 
-def load_partitions(spark: SparkSession, root: str, version: int,
-                    only_buckets: list[int] | None = None) -> DataFrame:
-    """The partitions table at ``version`` (optionally some buckets only)."""
+def load_bucketed(spark: SparkSession, root: str, table: str, version: int,
+                  only_buckets: list[int] | None = None) -> DataFrame:
+    """``table`` at ``version`` (optionally some buckets only)."""
     paths = []
-    for b, v in sorted(bucket_versions(spark, root, version).items()):
+    for b, v in sorted(bucket_versions(spark, root, version, table).items()):
         if only_buckets is not None and b not in only_buckets:
             continue
-        path = os.path.join(root, "partitions", f"v={v}", f"bucket={b}")
+        path = os.path.join(root, table, f"v={v}", f"bucket={b}")
         if _exists(spark, path):        # a listed bucket without rows is empty
             paths.append(path)
     if not paths:
-        return spark.createDataFrame([], S.PARTITIONS)
-    return spark.read.schema(S.PARTITIONS).parquet(*paths)
+        return spark.createDataFrame([], S.TABLES[table])
+    return spark.read.schema(S.TABLES[table]).parquet(*paths)
+
+
+def load_partitions(spark: SparkSession, root: str, version: int,
+                    only_buckets: list[int] | None = None) -> DataFrame:
+    return load_bucketed(spark, root, "partitions", version, only_buckets)
 
 
 def load_registry(spark: SparkSession, root: str, version: int | None = None) -> Registry:
@@ -109,11 +120,8 @@ def load_registry(spark: SparkSession, root: str, version: int | None = None) ->
         if not versions:
             return empty_registry(spark)
         version = versions[-1]
-    return Registry(
-        *(spark.read.schema(S.TABLES[t]).parquet(os.path.join(root, t, f"v={version}"))
-          for t in ("managers", "datasets")),
-        load_partitions(spark, root, version),
-    )
+    managers = spark.read.schema(S.MANAGERS).parquet(os.path.join(root, "managers", f"v={version}"))
+    return Registry(managers, *(load_bucketed(spark, root, t, version) for t in BUCKETED))
 
 
 def read_side_table(spark: SparkSession, root: str, name: str, version: int, schema) -> DataFrame:
@@ -125,33 +133,42 @@ def read_side_table(spark: SparkSession, root: str, name: str, version: int, sch
     return spark.read.schema(schema).parquet(path)
 
 
+def _write_bucketed(df: DataFrame, root: str, table: str, version: int, touched: list[int],
+                    sort: list[str], files: int) -> None:
+    spark = df.sparkSession
+    if touched:
+        (df.withColumn("bucket", bucket_of("dataset_id")).where(F.col("bucket").isin(touched))
+         .repartitionByRange(files, "bucket", *sort).sortWithinPartitions(*sort)
+         .write.mode("overwrite").partitionBy("bucket")
+         .parquet(os.path.join(root, table, f"v={version}")))
+    (spark.createDataFrame([(b,) for b in touched], T.StructType([T.StructField("bucket", T.IntegerType())]))
+     .coalesce(1).write.mode("overwrite").parquet(os.path.join(root, "_buckets", table, f"v={version}")))
+
+
 def commit_snapshot(reg: Registry, root: str, version: int,
                     side: dict[str, DataFrame] | None = None,
                     touched_buckets: list[int] | None = None,
+                    touched_dataset_buckets: list[int] | None = None,
                     files_per_version: int | None = None) -> None:
     """Write ``reg`` as ``version`` and then commit it.
 
-    ``touched_buckets``: the partition buckets this version changes
-    (``reg.partitions`` needs to hold correct rows for those only); None
-    writes every bucket. Partition rows are range partitioned by (bucket,
-    dataset_id, created_at), so a hot dataset spreads over several files and
-    min/max statistics let per-dataset lookups skip row groups. Writes use
-    mode overwrite, so replaying an uncommitted version is idempotent.
+    ``touched_buckets`` / ``touched_dataset_buckets``: the buckets of the
+    partitions / datasets table this version changes (the DataFrames need
+    correct rows for those buckets only); None writes every bucket, and the
+    dataset buckets default to the partition buckets. Rows are range
+    partitioned by (bucket, dataset_id, ...), so a hot dataset spreads over
+    several files and min/max statistics let per-dataset lookups skip row
+    groups. Writes use mode overwrite: replaying an uncommitted version is
+    idempotent.
     """
     spark = reg.datasets.sparkSession
-    for name in ("managers", "datasets"):
-        getattr(reg, name).write.mode("overwrite").parquet(os.path.join(root, name, f"v={version}"))
-    touched = list(range(BUCKETS)) if touched_buckets is None else sorted(set(touched_buckets))
-    parts = reg.partitions.withColumn("bucket", bucket_of("dataset_id"))
-    out = os.path.join(root, "partitions", f"v={version}")
-    if touched:
-        n = files_per_version or int(spark.conf.get("spark.sql.shuffle.partitions"))
-        (parts.where(F.col("bucket").isin(touched))
-         .repartitionByRange(n, "bucket", "dataset_id", "created_at")
-         .sortWithinPartitions("dataset_id", "created_at")
-         .write.mode("overwrite").partitionBy("bucket").parquet(out))
-    (spark.createDataFrame([(b,) for b in touched], T.StructType([T.StructField("bucket", T.IntegerType())]))
-     .coalesce(1).write.mode("overwrite").parquet(os.path.join(root, "_buckets", f"v={version}")))
+    n = files_per_version or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    everything = list(range(BUCKETS))
+    part_b = everything if touched_buckets is None else sorted(set(touched_buckets))
+    ds_b = part_b if touched_dataset_buckets is None else sorted(set(touched_dataset_buckets))
+    reg.managers.write.mode("overwrite").parquet(os.path.join(root, "managers", f"v={version}"))
+    _write_bucketed(reg.datasets, root, "datasets", version, ds_b, ["dataset_id"], n)
+    _write_bucketed(reg.partitions, root, "partitions", version, part_b, ["dataset_id", "created_at"], n)
     for name, df in (side or {}).items():
         df.write.mode("overwrite").parquet(os.path.join(root, name, f"v={version}"))
     fs, p = _fs(spark, os.path.join(root, "_commits", str(version)))

@@ -29,7 +29,8 @@ from ..operators.events import (DELETE_DATASET, DELETE_PARTITION, RETRY, UPSERT,
 from ..session import checkpoint_dir, materialise
 from ..sources.notifications import read_notifications
 from ..sources.registry import (Registry, bucket_of, commit_snapshot, committed_versions,
-                                is_committed, load_partitions, load_registry, read_side_table)
+                                is_committed, load_bucketed, load_partitions, load_registry,
+                                read_side_table)
 
 # Actions that change partition rows (their datasets' buckets are rewritten).
 CHANGES = [UPSERT, DELETE_PARTITION, DELETE_DATASET]
@@ -98,7 +99,8 @@ def apply_decoded(spark: SparkSession, decoded: DataFrame, root: str, version: i
     # and rewritten; the rest of the registry stays where it is
     touched = [r["b"] for r in eff.where(F.col("action").isin(*CHANGES))
                .select(bucket_of("dataset_id").alias("b")).distinct().collect()]
-    part = reg._replace(partitions=load_partitions(spark, root, prev, only_buckets=touched))
+    part = reg._replace(datasets=load_bucketed(spark, root, "datasets", prev, only_buckets=touched),
+                        partitions=load_partitions(spark, root, prev, only_buckets=touched))
     base_id = max_partition_id(spark, root, prev)
     sm = fold.summarise(part, routed, eff)
     partitions = fold.folded_partitions(part, sm, base_id)
@@ -167,8 +169,10 @@ def register_and_commit(spark: SparkSession, root: str, configs: DataFrame, now)
     reg = load_registry(spark, root, prev)
     new_reg, rejected = register_datasets(reg, configs, now)
     pending = read_side_table(spark, root, "pending", prev, DECODED)
-    # partitions are unchanged: no bucket is rewritten
-    commit_snapshot(new_reg, root, version, touched_buckets=[], side={
+    # only the buckets of the new datasets are written; partitions unchanged
+    new_ids = new_reg.datasets.join(reg.datasets.select("dataset_id"), "dataset_id", "left_anti")
+    buckets = [r["b"] for r in new_ids.select(bucket_of("dataset_id").alias("b")).distinct().collect()]
+    commit_snapshot(new_reg, root, version, touched_buckets=[], touched_dataset_buckets=buckets, side={
         "pending": pending, "_meta": _meta(spark, max_partition_id(spark, root, prev))})
     return version, rejected
 

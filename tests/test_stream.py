@@ -129,7 +129,10 @@ def test_version_rewrites_only_touched_buckets(spark):
     stream.apply_decoded(spark, spark.createDataFrame(msg, stream.DECODED), root, 1)
     written = sorted(os.listdir(os.path.join(root, "partitions", "v=1")))
     assert not any(w.startswith("bucket=") for w in written)          # a's bucket is now empty
-    listed = [r.bucket for r in spark.read.parquet(os.path.join(root, "_buckets", "v=1")).collect()]
+    listed = [r.bucket for r in spark.read.parquet(os.path.join(root, "_buckets", "partitions", "v=1")).collect()]
     assert listed == [a.b]
     assert [r.partition_name for r in load_registry(spark, root).partitions.collect()] == ["y"]
+    ds_listed = [r.bucket for r in spark.read.parquet(os.path.join(root, "_buckets", "datasets", "v=1")).collect()]
+    assert ds_listed == [a.b]                                        # datasets: the same single bucket
+    assert sorted(r.dataset_name for r in load_registry(spark, root).datasets.collect()) == ["da", "db"]
     assert sorted(r.partition_name for r in load_registry(spark, root, 0).partitions.collect()) == ["x", "y"]

@@ -186,3 +186,17 @@ def backfill(spark: SparkSession, source: str, root: str) -> int:
     decoded = decode_notifications(flatten_envelope(read_notifications_batch(spark, source)))
     apply_decoded(spark, decoded, root, version)
     return version
+
+
+def compact(spark: SparkSession, root: str) -> int:
+    """Rewrite the current registry as a new version holding every bucket
+    (readers then open one version folder per table instead of many); pending
+    messages and the largest id are carried over. Returns the version."""
+    versions = committed_versions(spark, root)
+    prev, version = versions[-1], versions[-1] + 1
+    reg = load_registry(spark, root, prev)
+    commit_snapshot(reg, root, version, side={
+        "pending": read_side_table(spark, root, "pending", prev, DECODED),
+        "_meta": _meta(spark, max_partition_id(spark, root, prev)),
+    })
+    return version

@@ -136,3 +136,25 @@ def test_version_rewrites_only_touched_buckets(spark):
     assert ds_listed == [a.b]                                        # datasets: the same single bucket
     assert sorted(r.dataset_name for r in load_registry(spark, root).datasets.collect()) == ["da", "db"]
     assert sorted(r.partition_name for r in load_registry(spark, root, 0).partitions.collect()) == ["x", "y"]
+
+
+def test_compact_keeps_contents(spark):
+    import datetime as dt
+    from shelfmark import schemas as S
+    from shelfmark.sources.registry import BUCKETS, Registry, bucket_versions, load_registry
+    t0 = dt.datetime(2024, 1, 1)
+    root = os.path.join(tempfile.mkdtemp(prefix="compact-test-"), "registry")
+    managers = spark.createDataFrame([(1, "m@x.org", "k", False, t0, t0)], S.MANAGERS)
+    datasets = spark.createDataFrame([(i, f"d{i}", "d", "csv", "zip", "public", {}, 1, t0, t0)
+                                      for i in range(1, 6)], S.DATASETS)
+    parts = spark.createDataFrame([(i, f"p{i}", "u", i, i, t0, t0) for i in range(1, 6)], S.PARTITIONS)
+    stream.init_registry(Registry(managers, datasets, parts), root)
+    msg = [("ack1", "m1", t0, S.EVENT_FINALIZE, t0 + dt.timedelta(hours=1), None, "d1/new", "u://n", 7,
+            "d1", "new", None)]
+    stream.apply_decoded(spark, spark.createDataFrame(msg, stream.DECODED), root, 1)
+    before = sorted(tuple(r) for r in load_registry(spark, root).partitions.collect())
+    v = stream.compact(spark, root)
+    assert set(bucket_versions(spark, root, v, "partitions").values()) == {v}
+    assert len(bucket_versions(spark, root, v, "partitions")) == BUCKETS
+    assert sorted(tuple(r) for r in load_registry(spark, root).partitions.collect()) == before
+    assert stream.max_partition_id(spark, root, v) == 6

@@ -108,6 +108,10 @@ def _grams(s: Column, n: int = 3) -> Column:
                        lambda i: F.substring(s, i, n))
 
 
+# Term sets up to this size are matched by a broadcast nested loop.
+NESTED_LOOP_TERMS = 1_000
+
+
 def search_datasets(reg: Registry, terms: DataFrame, max_broadcast: int | None = None) -> DataFrame:
     """Every (term, dataset) with ``dataset_name LIKE '%' || term || '%'``.
 
@@ -121,8 +125,9 @@ def search_datasets(reg: Registry, terms: DataFrame, max_broadcast: int | None =
     view = dataset_view(reg)
     t = terms.select("term", like_term("term").alias("_pat")).distinct()
     cond = F.expr("dataset_name LIKE concat('%', _pat, '%')")
-    kwargs = {} if max_broadcast is None else {"max_rows": max_broadcast}
-    small = broadcast_if_bounded(t, **kwargs)
+    # the nested loop evaluates LIKE for every (name, term) pair, so its
+    # bound is about work, not only broadcast size
+    small = broadcast_if_bounded(t, NESTED_LOOP_TERMS if max_broadcast is None else max_broadcast)
     if small is not None:
         return view.join(small, cond).drop("_pat")
     run = _literal_run(F.col("_pat"))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas as S
 from ..functions.formats import display_ts, human_size
-from ..functions.sizing import broadcast_if_bounded
+from ..functions.sizing import broadcast_if_bounded, small_side
 from ..sources.registry import Registry
 from .listing import dataset_view, latest_partitions
 
@@ -32,20 +32,30 @@ def find_managers(managers: DataFrame, requests: DataFrame, by: str = "api_key")
             .withColumn("found", F.coalesce("found", F.lit(False))))
 
 
+def _narrow(table: DataFrame, requests: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of a registry table whose keys are requested: a map-side semi
+    join against the (checked, broadcast) request keys, so a left join from
+    a small request set never shuffles the whole table."""
+    return table.join(small_side(requests.select(*keys).distinct()), keys, "left_semi")
+
+
 def find_datasets(reg: Registry, requests: DataFrame) -> DataFrame:
     """Datasets (with manager email) by unique name."""
-    hit = dataset_view(reg).withColumn("found", F.lit(True))
-    return (requests.select("dataset_name").join(hit, "dataset_name", "left")
+    req = requests.select("dataset_name")
+    hit = _narrow(dataset_view(reg), req, ["dataset_name"]).withColumn("found", F.lit(True))
+    return (req.join(hit, "dataset_name", "left")
             .withColumn("found", F.coalesce("found", F.lit(False))))
 
 
 def find_partitions(reg: Registry, requests: DataFrame) -> DataFrame:
     """P5: partitions by (dataset_name, partition_name); the name
     ``latest`` stands for the dataset's newest partition (W1)."""
-    ds = reg.datasets.select("dataset_id", "dataset_name")
-    req = requests.select("dataset_name", "partition_name").join(ds, "dataset_name", "left")
+    requests = requests.select("dataset_name", "partition_name")
+    ds = _narrow(reg.datasets.select("dataset_id", "dataset_name"), requests, ["dataset_name"])
+    req = requests.join(ds, "dataset_name", "left")
     cols = [c for c in S.PARTITION_COLUMNS if c not in ("dataset_id", "partition_name")]
-    named = reg.partitions.select("dataset_id", "partition_name", *cols)
+    named = _narrow(reg.partitions.select("dataset_id", "partition_name", *cols),
+                    req.where(F.col("dataset_id").isNotNull()), ["dataset_id", "partition_name"])
     # the newest partition only of the datasets asked for 'latest'
     wanted = req.where(F.col("partition_name") == S.LATEST).select("dataset_id").distinct()
     newest = latest_partitions(reg.partitions.join(wanted, "dataset_id", "left_semi")).select(

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas as S
 from ..functions.formats import display_ts, human_size
-from ..functions.sizing import broadcast_if_bounded, small_side
+from ..functions.sizing import broadcast_if_bounded
 from ..sources.registry import Registry
 from .listing import dataset_view, latest_partitions
 
@@ -34,9 +34,11 @@ def find_managers(managers: DataFrame, requests: DataFrame, by: str = "api_key")
 
 def _narrow(table: DataFrame, requests: DataFrame, keys: list[str]) -> DataFrame:
     """Rows of a registry table whose keys are requested: a map-side semi
-    join against the (checked, broadcast) request keys, so a left join from
-    a small request set never shuffles the whole table."""
-    return table.join(small_side(requests.select(*keys).distinct()), keys, "left_semi")
+    join against the request keys when they are proven small, so a left
+    join from a small request set never shuffles the whole table. A large
+    request set is joined as it is (narrowing would only add a shuffle)."""
+    wanted = broadcast_if_bounded(requests.select(*keys).distinct())
+    return table if wanted is None else table.join(wanted, keys, "left_semi")
 
 
 def find_datasets(reg: Registry, requests: DataFrame) -> DataFrame:
@@ -51,14 +53,20 @@ def find_partitions(reg: Registry, requests: DataFrame) -> DataFrame:
     """P5: partitions by (dataset_name, partition_name); the name
     ``latest`` stands for the dataset's newest partition (W1)."""
     requests = requests.select("dataset_name", "partition_name")
-    ds = _narrow(reg.datasets.select("dataset_id", "dataset_name"), requests, ["dataset_name"])
+    ds = reg.datasets.select("dataset_id", "dataset_name")
+    parts = reg.partitions
+    wanted = broadcast_if_bounded(requests.select("dataset_name").distinct())
+    if wanted is not None:
+        # few datasets asked for: read only theirs, map-side (names are
+        # unique, so the matched datasets are as few as the names)
+        ds = ds.join(wanted, "dataset_name", "left_semi")
+        parts = parts.join(F.broadcast(ds.select("dataset_id")), "dataset_id", "left_semi")
     req = requests.join(ds, "dataset_name", "left")
     cols = [c for c in S.PARTITION_COLUMNS if c not in ("dataset_id", "partition_name")]
-    named = _narrow(reg.partitions.select("dataset_id", "partition_name", *cols),
-                    req.where(F.col("dataset_id").isNotNull()), ["dataset_id", "partition_name"])
+    named = parts.select("dataset_id", "partition_name", *cols)
     # the newest partition only of the datasets asked for 'latest'
-    wanted = req.where(F.col("partition_name") == S.LATEST).select("dataset_id").distinct()
-    newest = latest_partitions(reg.partitions.join(wanted, "dataset_id", "left_semi")).select(
+    asked = req.where(F.col("partition_name") == S.LATEST).select("dataset_id").distinct()
+    newest = latest_partitions(parts.join(asked, "dataset_id", "left_semi")).select(
         "dataset_id", F.lit(S.LATEST).alias("partition_name"),
         F.col("partition_name").alias("resolved_name"), *cols)
     by_name = (req.where(F.col("partition_name") != S.LATEST)

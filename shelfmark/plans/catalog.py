@@ -49,13 +49,11 @@ def partition_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One request per order: its own file, ``latest`` or a missing name."""
     o = fixtures.table(spark, sf_dir, "orders")
     c = fixtures.table(spark, sf_dir, "customer").select("c_custkey", "c_name")
-    p = fixtures.partitions(spark, sf_dir).select("partition_id", "partition_name")
     key = F.col("o_orderkey")
     name = (F.when(key % 10 == 0, F.lit(S.LATEST))
             .when(key % 10 == 1, F.concat(F.lit("missing-"), key.cast("string")))
-            .otherwise(F.col("partition_name")))
+            .otherwise(fixtures.order_file_name()))
     return (o.join(c, o.o_custkey == c.c_custkey)
-            .join(p, o.o_orderkey == p.partition_id)
             .select(F.col("c_name").alias("dataset_name"), name.alias("partition_name")))
 
 

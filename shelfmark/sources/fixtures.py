@@ -114,15 +114,22 @@ def datasets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders")
+def order_file_name() -> F.Column:
+    """File name of an order's partition: ``part-<orderkey>.<ext>`` with the
+    extension of its customer's dataset format and compression."""
     ds = F.col("o_custkey")
-    cls = domain_value(S.CLASSIFICATIONS, ds % len(S.CLASSIFICATIONS))
-    name = F.concat(
+    return F.concat(
         F.lit("part-"), F.col("o_orderkey").cast("string"), F.lit("."),
         expected_ext(domain_value(S.FORMATS, ds % len(S.FORMATS)),
                      domain_value(S.COMPRESSIONS, ds % len(S.COMPRESSIONS))),
     )
+
+
+def partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders")
+    ds = F.col("o_custkey")
+    cls = domain_value(S.CLASSIFICATIONS, ds % len(S.CLASSIFICATIONS))
+    name = order_file_name()
     return conform(
         o.select(
             F.col("o_orderkey").alias("partition_id"),

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from .. import schemas as S
 from ..functions.ids import assign_ids
 from ..functions.sizing import small_side
-from ..session import checkpoint_dir, materialise
+from ..session import materialise
 from ..sources.registry import Registry, conform
 from .events import DEAD_LETTER, DELETE_DATASET, DELETE_PARTITION, RETRY, UPSERT, unknown_action
 
@@ -47,10 +47,6 @@ def order_key() -> Column:
     return F.struct("event_time", "publish_time", "message_id")
 
 
-def _when(cond: Column, value: Column) -> Column:
-    return F.when(cond, value)
-
-
 def effective_actions(routed: DataFrame) -> DataFrame:
     """W4 'gone': messages after the first delete_dataset of their dataset
     are routed as for an unknown dataset."""
@@ -62,7 +58,6 @@ def effective_actions(routed: DataFrame) -> DataFrame:
     return (routed.join(gone, "dataset_id", "left")
             .withColumn("action", F.when(after, unknown_action()).otherwise(F.col("action")))
             .withColumn("acked", F.col("action") != RETRY)
-            .withColumn("dataset_deleted", F.col("_gone").isNotNull())
             .drop("_gone"))
 
 
@@ -75,13 +70,12 @@ class Summary(NamedTuple):
 
 def pending_messages(routed: DataFrame) -> DataFrame:
     """T4: messages left for a later batch (their dataset is unknown)."""
-    return effective_actions(routed).where(F.col("action") == RETRY).drop("_o", "dataset_deleted")
+    return effective_actions(routed).where(F.col("action") == RETRY).drop("_o")
 
 
 def materialise_batch(routed: DataFrame) -> DataFrame:
     """The batch with effective actions, materialised once (lineage cut):
     every later pass reads it."""
-    checkpoint_dir(routed.sparkSession)
     return materialise(effective_actions(routed))
 
 
@@ -98,20 +92,20 @@ def summarise(reg: Registry, routed: DataFrame, eff: DataFrame | None = None) ->
 
     # pass 1: last upsert, last delete, first upsert, values of the last upsert
     p1 = keyed.groupBy(*KEY).agg(
-        F.max(_when(is_up, o)).alias("lu"),
-        F.max(_when(is_del, o)).alias("ld"),
-        F.min(_when(is_up, o)).alias("fu"),
-        F.max_by(_when(is_up, F.struct("partition_url", "partition_size", "event_time")),
-                 _when(is_up, o)).alias("last"),
+        F.max(F.when(is_up, o)).alias("lu"),
+        F.max(F.when(is_del, o)).alias("ld"),
+        F.min(F.when(is_up, o)).alias("fu"),
+        F.max_by(F.when(is_up, F.struct("partition_url", "partition_size", "event_time")),
+                 F.when(is_up, o)).alias("last"),
     )
     # pass 2: first upsert after ld, last delete before lu
     p2 = keyed.join(p1.select(*KEY, "lu", "ld"), KEY).groupBy(*KEY).agg(
-        F.min(_when(is_up & (F.col("ld").isNull() | (o > F.col("ld"))), o)).alias("fa"),
-        F.max(_when(is_del & (o < F.col("lu")), o)).alias("dstar"),
+        F.min(F.when(is_up & (F.col("ld").isNull() | (o > F.col("ld"))), o)).alias("fa"),
+        F.max(F.when(is_del & (o < F.col("lu")), o)).alias("dstar"),
     )
     # pass 3: first upsert after d*
     p3 = keyed.join(p2.where(F.col("dstar").isNotNull()).select(*KEY, "dstar"), KEY).groupBy(*KEY).agg(
-        F.min(_when(is_up & (o > F.col("dstar")), o)).alias("fstar"))
+        F.min(F.when(is_up & (o > F.col("dstar")), o)).alias("fstar"))
 
     # The registry is large and a batch is not: the batch's keys and deleted
     # datasets are broadcast (after a size check) so the registry is scanned
@@ -174,5 +168,5 @@ def fold_events(reg: Registry, routed: DataFrame) -> tuple[Registry, DataFrame]:
     """Apply ``routed`` (output of ``route_events``) to ``reg``. Returns the
     new registry and the pending (retry) messages."""
     sm = summarise(reg, routed)
-    pending = sm.eff.where(F.col("action") == RETRY).drop("_o", "dataset_deleted")
+    pending = sm.eff.where(F.col("action") == RETRY).drop("_o")
     return Registry(reg.managers, folded_datasets(reg, sm), folded_partitions(reg, sm)), pending

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas as S
 from ..functions.ids import assign_ids
-from ..functions.sizing import small_side
+from ..functions.sizing import MAX_BROADCAST_ROWS
 from ..session import materialise
 from ..sources.registry import Registry, conform
 from .events import DEAD_LETTER, DELETE_DATASET, DELETE_PARTITION, RETRY, UPSERT, unknown_action
@@ -66,6 +66,7 @@ class Summary(NamedTuple):
     keys: DataFrame      # one row per touched (dataset, partition) key (checkpointed)
     touched: DataFrame   # touched keys, broadcast when small
     deleted: DataFrame   # datasets deleted by the batch, broadcast when small
+    small: bool          # touched keys (so also their datasets) proven small
 
 
 def pending_messages(routed: DataFrame) -> DataFrame:
@@ -110,8 +111,17 @@ def summarise(reg: Registry, routed: DataFrame, eff: DataFrame | None = None) ->
     # The registry is large and a batch is not: the batch's keys and deleted
     # datasets are broadcast (after a size check) so the registry is scanned
     # map-side, never shuffled, for every lookup against it.
-    touched = small_side(keyed.select(*KEY).distinct())
-    deleted = small_side(eff.where(F.col("action") == DELETE_DATASET).select("dataset_id").distinct())
+    # one pass over the materialised batch bounds both sizes: there are no
+    # more distinct keys (deleted datasets) than key (delete) messages
+    n_keys, n_deleted = eff.agg(
+        F.count(F.when(F.col("action").isin(UPSERT, DELETE_PARTITION), F.lit(1))),
+        F.count(F.when(F.col("action") == DELETE_DATASET, F.lit(1))),
+    ).first()
+    small = n_keys <= MAX_BROADCAST_ROWS
+    touched = keyed.select(*KEY).distinct()
+    touched = F.broadcast(touched) if small else touched
+    deleted = eff.where(F.col("action") == DELETE_DATASET).select("dataset_id").distinct()
+    deleted = F.broadcast(deleted) if n_deleted <= MAX_BROADCAST_ROWS else deleted
     prior = reg.partitions.join(touched, KEY).select(
         *KEY, F.lit(True).alias("had"), F.col("partition_id").alias("prior_id"),
         F.col("created_at").alias("prior_created"), F.col("updated_at").alias("prior_updated"))
@@ -121,7 +131,7 @@ def summarise(reg: Registry, routed: DataFrame, eff: DataFrame | None = None) ->
     last_ins = (F.when(F.col("dstar").isNotNull(), F.col("fstar"))
                 .when(F.col("lu").isNotNull() & ~F.col("had"), F.col("fu")))
     keys = materialise(keys.withColumn("survives", survives).withColumn("last_ins", last_ins))
-    return Summary(eff, keys, touched, deleted)
+    return Summary(eff, keys, touched, deleted, small)
 
 
 def folded_datasets(reg: Registry, sm: Summary) -> DataFrame:
@@ -130,7 +140,8 @@ def folded_datasets(reg: Registry, sm: Summary) -> DataFrame:
     fresh = (sm.keys.where(F.col("last_ins").isNotNull())
              .groupBy("dataset_id").agg(F.max(F.col("last_ins.event_time")).alias("_fresh")))
     datasets = (reg.datasets.join(sm.deleted, "dataset_id", "left_anti")
-                .join(small_side(fresh), "dataset_id", "left")
+                # one row per dataset with touched keys: bounded when the keys are
+                .join(F.broadcast(fresh) if sm.small else fresh, "dataset_id", "left")
                 .withColumn("updated_at", F.greatest("updated_at", "_fresh"))
                 .drop("_fresh"))
     return conform(datasets, S.DATASETS)

@@ -33,6 +33,10 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8,
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+        # checkpoint files of a batch are removed once nothing refers to
+        # them (a long-running stream would otherwise fill the folder); a
+        # context-start setting, so cluster sessions set it at submit time
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
     for k, v in SESSION_CONF.items():
         builder = builder.config(k, v)

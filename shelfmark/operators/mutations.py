@@ -170,13 +170,14 @@ def delete_partitions(reg: Registry, requests: DataFrame) -> Registry:
     """M5: remove (dataset_id, partition_name) rows; a missing row is not an
     error and the dataset's updated_at does not change."""
     key = ["dataset_id", "partition_name"]
-    return reg._replace(partitions=reg.partitions.join(requests.select(*key), key, "left_anti"))
+    asked = small_side(requests.select(*key).distinct())   # registry scanned map-side when small
+    return reg._replace(partitions=reg.partitions.join(asked, key, "left_anti"))
 
 
 def delete_datasets(reg: Registry, requests: DataFrame) -> Registry:
     """Remove datasets by name and, by cascade, their partitions."""
-    gone = reg.datasets.join(requests.select("dataset_name"), "dataset_name", "left_semi") \
-        .select("dataset_id")
+    asked = small_side(requests.select("dataset_name").distinct())
+    gone = small_side(reg.datasets.join(asked, "dataset_name", "left_semi").select("dataset_id"))
     return reg._replace(datasets=reg.datasets.join(gone, "dataset_id", "left_anti"),
                         partitions=reg.partitions.join(gone, "dataset_id", "left_anti"))
 

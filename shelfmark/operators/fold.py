@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas as S
 from ..functions.ids import assign_ids
-from ..functions.sizing import MAX_BROADCAST_ROWS
+from ..functions.sizing import MAX_BROADCAST_ROWS, small_side
 from ..session import materialise
 from ..sources.registry import Registry, conform
 from .events import DEAD_LETTER, DELETE_DATASET, DELETE_PARTITION, RETRY, UPSERT, unknown_action
@@ -49,10 +49,13 @@ def order_key() -> Column:
 
 def effective_actions(routed: DataFrame) -> DataFrame:
     """W4 'gone': messages after the first delete_dataset of their dataset
-    are routed as for an unknown dataset."""
+    are routed as for an unknown dataset. ``gone`` has one row per dataset
+    deleted in the batch; when that is proven small it is broadcast, so the
+    batch is not shuffled by dataset (where a hot dataset would sit in one
+    task). Pass a materialised batch: the size check reads it."""
     routed = routed.withColumn("_o", order_key())
-    gone = (routed.where(F.col("action") == DELETE_DATASET)
-            .groupBy("dataset_id").agg(F.min("_o").alias("_gone")))
+    gone = small_side(routed.where(F.col("action") == DELETE_DATASET)
+                      .groupBy("dataset_id").agg(F.min("_o").alias("_gone")))
     after = (F.col("_gone").isNotNull() & (F.col("_o") > F.col("_gone"))
              & (F.col("action") != DEAD_LETTER))
     return (routed.join(gone, "dataset_id", "left")
@@ -71,13 +74,13 @@ class Summary(NamedTuple):
 
 def pending_messages(routed: DataFrame) -> DataFrame:
     """T4: messages left for a later batch (their dataset is unknown)."""
-    return effective_actions(routed).where(F.col("action") == RETRY).drop("_o")
+    return materialise_batch(routed).where(F.col("action") == RETRY).drop("_o")
 
 
 def materialise_batch(routed: DataFrame) -> DataFrame:
-    """The batch with effective actions, materialised once (lineage cut):
-    every later pass reads it."""
-    return materialise(effective_actions(routed))
+    """The routed batch materialised once (lineage cut) with its effective
+    actions; every later pass reads it."""
+    return effective_actions(materialise(routed))
 
 
 def summarise(reg: Registry, routed: DataFrame, eff: DataFrame | None = None) -> Summary:

@@ -105,12 +105,17 @@ def random_batch(rng, n, hot=0.0):
     return msgs
 
 
-@pytest.mark.parametrize("seed,hot", [(s, 0.0) for s in range(6)] + [(100, 0.34), (101, 0.34)])
-def test_fold_matches_sequential_model(spark, seed, hot):
+@pytest.mark.parametrize("seed,hot,drops", [(s, 0.0, 0.0) for s in range(6)]
+                         + [(100, 0.34, 0.0), (101, 0.34, 0.0), (200, 0.0, 0.03), (201, 0.3, 0.03)])
+def test_fold_matches_sequential_model(spark, seed, hot, drops):
     rng = random.Random(seed)
     prior_parts = {(1, "f0"): (7, "u://old0", 1, T0 - dt.timedelta(days=1), T0 + dt.timedelta(seconds=20)),
                    (2, "f1"): (9, "u://old1", 2, T0 - dt.timedelta(days=2), T0 - dt.timedelta(days=2))}
     msgs = random_batch(rng, 90 if hot else 60, hot)
+    for m in msgs:                      # extra deletions of a whole dataset (bare name)
+        if rng.random() < drops:
+            m.update(event_type=S.EVENT_DELETE, overwritten_by_generation=None,
+                     object_name=m["dataset_name"], partition_name=None)
     managers = spark.createDataFrame([(1, "m@x.org", "k", False, T0, T0)], S.MANAGERS)
     datasets = spark.createDataFrame(
         [(i, n, "d", "csv", "zip", "public", {}, 1, T0 - dt.timedelta(days=5), T0 - dt.timedelta(days=5))

@@ -158,3 +158,24 @@ def test_compact_keeps_contents(spark):
     assert len(bucket_versions(spark, root, v, "partitions")) == BUCKETS
     assert sorted(tuple(r) for r in load_registry(spark, root).partitions.collect()) == before
     assert stream.max_partition_id(spark, root, v) == 6
+
+
+def test_continuous_trigger(spark):
+    """The loop with a processing-time trigger (the reference's 1 s
+    pull delay) picks up files as they arrive."""
+    scratch = tempfile.mkdtemp(prefix="stream-cont-")
+    src, root, ckpt = (os.path.join(scratch, d) for d in ("src", "registry", "ckpt"))
+    os.makedirs(src)
+    reg = fixtures.event_registry(spark, SF_SMALL)
+    env = fixtures.envelopes(spark, SF_SMALL)
+    stream.init_registry(reg, root)
+    q = stream.start_stream(spark, os.path.join(src, "*"), root, ckpt, max_files_per_trigger=1,
+                            processing_time="1 second")
+    try:
+        write_pull_responses(env.where("pull_id < 5").coalesce(1), os.path.join(src, "a"))
+        q.processAllAvailable()
+        got, _ = stream.current(spark, root)
+        assert stream.committed_versions(spark, root)[-1] >= 1
+        assert got.partitions.count() > 0
+    finally:
+        q.stop()

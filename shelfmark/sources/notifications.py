@@ -10,7 +10,9 @@ from .. import schemas as S
 
 def read_notifications(spark: SparkSession, path: str, max_files_per_trigger: int | None = None) -> DataFrame:
     """Streaming DataFrame of pull responses (column ``receivedMessages``).
-    ``max_files_per_trigger`` bounds a micro-batch, as the pull size does."""
+    ``max_files_per_trigger`` bounds a micro-batch, as the pull size does.
+    ``path`` is a folder of JSON-lines files or a glob such as ``<dir>/*``
+    for files in sub-folders (the glob is matched again on every trigger)."""
     reader = spark.readStream.schema(S.PULL_RESPONSE)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)

@@ -92,28 +92,33 @@ BUCKETS = {c: f"org-datasets-{c}" for c in S.CLASSIFICATIONS}
 
 @query
 def list_datasets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every dataset with its manager's email, newest updated_at first."""
     return _view(listing.list_datasets(fixtures.registry(spark, sf_dir)))
 
 
 @query
 def datasets_top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """L3: the ten most recently updated datasets, with their position."""
     return _view(listing.list_datasets(fixtures.registry(spark, sf_dir), count=10)) \
         .withColumn("position", F.col("position").cast("long"))
 
 
 @query
 def datasets_skip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """L4: every dataset after the first twenty (offset without a count)."""
     return _view(listing.list_datasets(fixtures.registry(spark, sf_dir), offset=20))
 
 
 @query
 def datasets_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Page 3 of ten datasets (offset 30, count 10)."""
     return _view(listing.page_datasets(fixtures.registry(spark, sf_dir), page_no=3)) \
         .withColumn("position", F.col("position").cast("long"))
 
 
 @query
 def datasets_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Datasets created in a time range, offset 2, count 5."""
     reg = fixtures.registry(spark, sf_dir)
     return _view(listing.list_datasets(reg, start="1994-01-01 06:00:00", end="1994-01-01 20:00:00",
                                        count=5, offset=2)) \
@@ -122,6 +127,7 @@ def datasets_range(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def list_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every partition of every requested dataset name, newest first."""
     reg = fixtures.registry(spark, sf_dir)
     req = fixtures.table(spark, sf_dir, "customer").select(F.col("c_name").alias("dataset_name"))
     return listing.list_partitions(reg, requests=req)
@@ -129,6 +135,7 @@ def list_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def partitions_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per dataset, partitions created in a range, offset 1, count 3."""
     reg = fixtures.registry(spark, sf_dir)
     return listing.list_partitions(reg, start="1996-01-01 00:00:00", end="1999-12-31 00:00:00",
                                    count=3, offset=1) \
@@ -137,55 +144,65 @@ def partitions_range(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def partitions_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The second and third newest partitions of every dataset."""
     return listing.partitions_page(fixtures.registry(spark, sf_dir), count=2, offset=1) \
         .withColumn("position", F.col("position").cast("long"))
 
 
 @query
 def partitions_skip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per dataset, every partition after the three newest."""
     return listing.list_partitions(fixtures.registry(spark, sf_dir), offset=3)
 
 
 @query
 def partition_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every partition with its latest badge, size and display time."""
     return lookup.partition_view(fixtures.partitions(spark, sf_dir))
 
 
 @query
 def find_datasets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Datasets by name; nation names are never found."""
     reg = fixtures.registry(spark, sf_dir)
     return _view(lookup.find_datasets(reg, dataset_name_requests(spark, sf_dir)))
 
 
 @query
 def find_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P5: one lookup per order: its file, `latest`, or a missing name."""
     return lookup.find_partitions(fixtures.registry(spark, sf_dir), partition_requests(spark, sf_dir))
 
 
 @query
 def find_managers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Managers by api key; half the keys do not exist."""
     return lookup.find_managers(fixtures.managers(spark, sf_dir), api_key_requests(spark, sf_dir))
 
 
 @query
 def manager_public(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The public columns of every manager."""
     return lookup.manager_public(fixtures.managers(spark, sf_dir))
 
 
 @query
 def manager_datasets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The datasets of every requested manager api key."""
     reg = fixtures.registry(spark, sf_dir)
     return _view(lookup.manager_datasets(reg, api_key_requests(spark, sf_dir)))
 
 
 @query
 def partitions_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The partitions of the requested dataset names."""
     return lookup.partitions_by_name(fixtures.registry(spark, sf_dir),
                                      dataset_name_requests(spark, sf_dir))
 
 
 @query
 def search_datasets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Name search for five kinds of terms per nation (broadcast path)."""
     return _view(lookup.search_datasets(fixtures.registry(spark, sf_dir), search_terms(spark, sf_dir)))
 
 
@@ -198,29 +215,34 @@ def search_datasets_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def search_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A3: hits per search term, zero included."""
     return lookup.search_counts(fixtures.registry(spark, sf_dir), search_terms(spark, sf_dir))
 
 
 @query
 def schema_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Declared schema fields per dataset in display order."""
     return listing.schema_fields(fixtures.datasets(spark, sf_dir)) \
         .withColumn("position", F.col("position").cast("long"))
 
 
 @query
 def storage_uri(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each dataset's bucket and storage URI by classification."""
     buckets = spark.createDataFrame(list(BUCKETS.items()), "classification string, bucket string")
     return lookup.storage_uri(fixtures.datasets(spark, sf_dir), buckets)
 
 
 @query
 def dataset_freshness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A2/M8: datasets with updated_at raised to their newest partition."""
     return _view(listing.dataset_freshness(fixtures.datasets(spark, sf_dir),
                                            fixtures.partitions(spark, sf_dir)))
 
 
 @query
 def expected_ext(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """the file extension each dataset's format and compression imply."""
     d = fixtures.datasets(spark, sf_dir)
     return d.select("dataset_id", "dataset_format", "dataset_compression",
                     formats.expected_ext("dataset_format", "dataset_compression").alias("expected_ext"))
@@ -228,6 +250,7 @@ def expected_ext(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows whose parent is missing (none in these tables)."""
     return lookup.orphans(fixtures.registry(spark, sf_dir))
 
 
@@ -248,17 +271,20 @@ def _routed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def flatten_envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S3: pull responses flattened to one row per message."""
     return events.flatten_envelope(fixtures.envelopes(spark, sf_dir)).drop("data")
 
 
 @query
 def decode_notifications(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Decoded payload fields and the dead-letter reason."""
     return _decoded(spark, sf_dir).select(
         "message_id", "object_name", "self_link", "size", "dataset_name", "partition_name", "reason")
 
 
 @query
 def parse_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """dataset and partition name of every notification's object."""
     n = fixtures.notifications(spark, sf_dir)
     return n.select("message_id", "object_id",
                     paths.dataset_of("object_id").alias("dataset_name"),
@@ -267,11 +293,13 @@ def parse_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def dead_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages that cannot be applied, with the reason."""
     return events.dead_letters(_decoded(spark, sf_dir))
 
 
 @query
 def route_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The action the routing table gives every message."""
     return _routed(spark, sf_dir).select(
         "message_id", "dataset_name", "partition_name", "dataset_id", "action", "acked")
 
@@ -360,6 +388,7 @@ def register_datasets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def register_rejected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rejected dataset configs with their reason."""
     reg = fixtures.registry(spark, sf_dir)
     return mutations.register_datasets(reg, dataset_configs(spark, sf_dir), NOW)[1]
 
@@ -385,6 +414,7 @@ def register_managers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def register_managers_rejected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rejected manager sign-ups with their reason."""
     reg = fixtures.registry(spark, sf_dir)
     return mutations.register_managers(reg, manager_rows(spark, sf_dir), MANAGER_DOMAIN, NOW)[1]
 
@@ -412,6 +442,7 @@ def partition_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def upsert_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Partitions after one registration per line item."""
     reg = fixtures.registry(spark, sf_dir)
     return mutations.upsert_partitions(reg, partition_rows(spark, sf_dir), NOW)[0].partitions
 
@@ -451,11 +482,13 @@ def generate_datasets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def constraint_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Violations per constraint of a registry loaded without them."""
     return quality.constraint_report(fixtures.dirty_registry(spark, sf_dir))
 
 
 @query
 def unique_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys held by more than one row."""
     return quality.unique_violations(fixtures.dirty_registry(spark, sf_dir))
 
 
@@ -471,6 +504,7 @@ def scan_datasets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def scan_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The partitions table with its fixed schema."""
     return fixtures.partitions(spark, sf_dir)
 
 
@@ -489,11 +523,13 @@ def config_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def attribute_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every enum value in declaration order with its dataset count."""
     return listing.attribute_usage(fixtures.datasets(spark, sf_dir))
 
 
 @query
 def find_managers_by_email(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Managers by email address."""
     n = fixtures.table(spark, sf_dir, "nation")
     req = n.select(F.concat(F.lower("n_name"), F.lit("@example.com")).alias("manager_email")).unionByName(
         n.select(F.concat(F.lower("n_name"), F.lit("@elsewhere.org")).alias("manager_email")))
@@ -502,14 +538,17 @@ def find_managers_by_email(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def null_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows with a missing required value."""
     return quality.row_violations(fixtures.dirty_registry(spark, sf_dir), "not null")
 
 
 @query
 def length_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values longer than their column allows."""
     return quality.row_violations(fixtures.dirty_registry(spark, sf_dir), "length")
 
 
 @query
 def domain_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C4: enum columns outside their domain."""
     return quality.row_violations(fixtures.dirty_registry(spark, sf_dir), "in domain")

@@ -91,8 +91,13 @@ def apply_decoded(spark: SparkSession, decoded: DataFrame, root: str, version: i
     prev = max(v for v in committed_versions(spark, root) if v < version)
     reg = load_registry(spark, root, prev)
     pending = read_side_table(spark, root, "pending", prev, DECODED)
+    # a pending message whose dataset is still unregistered can only be
+    # retried again: carry it over as is; only the rest re-enters the fold
+    names = reg.datasets.select("dataset_name")
+    revived = pending.join(names, "dataset_name", "left_semi")
+    waiting = pending.join(names, "dataset_name", "left_anti")
     # the micro-batch is decoded once and read by every later step
-    batch = materialise(decoded.select(*DECODED.fieldNames()).unionByName(pending))
+    batch = materialise(decoded.select(*DECODED.fieldNames()).unionByName(revived))
     routed = route_events(batch, reg.datasets, narrow=True)
     eff = fold.materialise_batch(routed)
     # only the partition buckets of datasets this batch touches are read
@@ -105,7 +110,8 @@ def apply_decoded(spark: SparkSession, decoded: DataFrame, root: str, version: i
     sm = fold.summarise(part, routed, eff)
     partitions = fold.folded_partitions(part, sm, base_id)
     new_reg = Registry(reg.managers, fold.folded_datasets(part, sm), partitions)
-    new_pending = eff.where(F.col("action") == RETRY).select(*DECODED.fieldNames())
+    new_pending = (eff.where(F.col("action") == RETRY).select(*DECODED.fieldNames())
+                   .unionByName(waiting))
     # the largest id only grows by this batch's new rows (all in touched buckets)
     new_max = partitions.agg(F.max("partition_id")).first()[0] or 0
     commit_snapshot(new_reg, root, version, touched_buckets=touched, side={

@@ -4,12 +4,14 @@ Each micro-batch of pull responses is folded into the registry inside
 ``foreachBatch``:
 
     flatten → decode → (+ pending of the previous version) → route → fold
-    → write registry version ``batch_id + 1`` (+ pending, dead letters)
+    → write the next registry version (+ pending, dead letters, meta)
     → commit marker
 
-State is the registry itself. A replayed batch (after a failure between
-the sink's write and the checkpoint commit) finds its version committed and
-returns; a batch that failed before its marker is rewritten in place.
+State is the registry itself. Each version records the last stream batch
+it holds, so a replayed batch (after a failure between the sink's write
+and the stream's checkpoint commit) is recognised and skipped even when
+registrations or retries made versions in between; a batch that failed
+before its commit marker is simply written again.
 Ordering holds inside a batch only, as in the reference.
 """
 
@@ -29,8 +31,7 @@ from ..operators.events import (DELETE_DATASET, DELETE_PARTITION, RETRY, UPSERT,
 from ..session import checkpoint_dir, materialise
 from ..sources.notifications import read_notifications
 from ..sources.registry import (Registry, bucket_of, commit_snapshot, committed_versions,
-                                is_committed, load_bucketed, load_partitions, load_registry,
-                                read_side_table)
+                                load_bucketed, load_partitions, load_registry, read_side_table)
 
 # Actions that change partition rows (their datasets' buckets are rewritten).
 CHANGES = [UPSERT, DELETE_PARTITION, DELETE_DATASET]
@@ -58,37 +59,57 @@ DEAD = T.StructType([
 ])
 
 
-META = T.StructType([T.StructField("max_partition_id", T.LongType())])
+# One row per version: the largest partition id ever assigned, and the
+# last stream batch folded in (-1: none). Versions are also made by
+# registrations, retries and compaction, so batch ids and versions differ.
+META = T.StructType([T.StructField("max_partition_id", T.LongType()),
+                     T.StructField("last_batch_id", T.LongType())])
 
 
-def _meta(spark: SparkSession, max_id: int) -> DataFrame:
-    return spark.createDataFrame([(int(max_id),)], META)
+def _meta(spark: SparkSession, max_id: int, last_batch_id: int) -> DataFrame:
+    return spark.createDataFrame([(int(max_id), int(last_batch_id))], META)
+
+
+def _read_meta(spark: SparkSession, root: str, version: int):
+    return read_side_table(spark, root, "_meta", version, META).first()
 
 
 def max_partition_id(spark: SparkSession, root: str, version: int) -> int:
     """Largest partition id ever assigned up to ``version``: one stored row
     per version, so a batch never scans the whole partitions table for it
     (falls back to a scan for a registry written without it)."""
-    row = read_side_table(spark, root, "_meta", version, META).first()
-    if row is not None:
-        return row["max_partition_id"] or 0
+    row = _read_meta(spark, root, version)
+    if row is not None and row["max_partition_id"] is not None:
+        return row["max_partition_id"]
     return load_registry(spark, root, version).partitions.agg(F.max("partition_id")).first()[0] or 0
 
 
+def last_batch_id(spark: SparkSession, root: str, version: int) -> int:
+    """The last stream batch whose messages are in ``version`` (-1: none)."""
+    row = _read_meta(spark, root, version)
+    return -1 if row is None or row["last_batch_id"] is None else row["last_batch_id"]
+
+
 def init_registry(reg: Registry, root: str) -> None:
     """Write ``reg`` as version 0 unless a version is committed already."""
     spark = reg.datasets.sparkSession
     if not committed_versions(spark, root):
         max_id = reg.partitions.agg(F.max("partition_id")).first()[0] or 0
-        commit_snapshot(reg, root, 0, side={"_meta": _meta(spark, max_id)})
+        commit_snapshot(reg, root, 0, side={"_meta": _meta(spark, max_id, -1)})
 
 
-def apply_decoded(spark: SparkSession, decoded: DataFrame, root: str, version: int) -> None:
+def apply_decoded(spark: SparkSession, decoded: DataFrame, root: str,
+                  batch_id: int | None = None) -> int:
     """Fold decoded messages (plus pending ones) into the newest committed
-    registry and commit the result as ``version``."""
-    if is_committed(spark, root, version):
-        return
-    prev = max(v for v in committed_versions(spark, root) if v < version)
+    registry and commit the result as the next version; returns the
+    version. ``batch_id`` (a stream batch) makes it idempotent: a batch the
+    newest version already holds is not applied again. An interrupted
+    version (no commit marker) is simply written again."""
+    prev = committed_versions(spark, root)[-1]
+    done = last_batch_id(spark, root, prev)
+    if batch_id is not None and batch_id <= done:
+        return prev
+    version = prev + 1
     reg = load_registry(spark, root, prev)
     pending = read_side_table(spark, root, "pending", prev, DECODED)
     # a pending message whose dataset is still unregistered can only be
@@ -117,8 +138,9 @@ def apply_decoded(spark: SparkSession, decoded: DataFrame, root: str, version: i
     commit_snapshot(new_reg, root, version, touched_buckets=touched, side={
         "pending": new_pending,
         "dead_letters": dead_letters(batch).select(*DEAD.fieldNames()),
-        "_meta": _meta(spark, max(base_id, new_max)),
+        "_meta": _meta(spark, max(base_id, new_max), done if batch_id is None else batch_id),
     })
+    return version
 
 
 def apply_batch(root: str):
@@ -126,7 +148,7 @@ def apply_batch(root: str):
     def apply(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         decoded = decode_notifications(flatten_envelope(batch))
-        apply_decoded(spark, decoded, root, batch_id + 1)
+        apply_decoded(spark, decoded, root, batch_id)
     return apply
 
 
@@ -146,11 +168,7 @@ def start_stream(spark: SparkSession, source: str, root: str, checkpoint: str,
 def retry_pending(spark: SparkSession, root: str) -> int:
     """T4 for a quiet stream: fold the pending messages alone (they may
     match datasets registered since) as a new version; returns it."""
-    versions = committed_versions(spark, root)
-    version = versions[-1] + 1
-    empty = spark.createDataFrame([], DECODED)
-    apply_decoded(spark, empty, root, version)
-    return version
+    return apply_decoded(spark, spark.createDataFrame([], DECODED), root)
 
 
 def current(spark: SparkSession, root: str) -> tuple[Registry, DataFrame]:
@@ -179,7 +197,8 @@ def register_and_commit(spark: SparkSession, root: str, configs: DataFrame, now)
     new_ids = new_reg.datasets.join(reg.datasets.select("dataset_id"), "dataset_id", "left_anti")
     buckets = [r["b"] for r in new_ids.select(bucket_of("dataset_id").alias("b")).distinct().collect()]
     commit_snapshot(new_reg, root, version, touched_buckets=[], touched_dataset_buckets=buckets, side={
-        "pending": pending, "_meta": _meta(spark, max_partition_id(spark, root, prev))})
+        "pending": pending,
+        "_meta": _meta(spark, max_partition_id(spark, root, prev), last_batch_id(spark, root, prev))})
     return version, rejected
 
 
@@ -188,10 +207,8 @@ def backfill(spark: SparkSession, source: str, root: str) -> int:
     log at once, e.g. to rebuild a registry) and commit it as the next
     version; returns that version."""
     from ..sources.notifications import read_notifications_batch
-    version = committed_versions(spark, root)[-1] + 1
     decoded = decode_notifications(flatten_envelope(read_notifications_batch(spark, source)))
-    apply_decoded(spark, decoded, root, version)
-    return version
+    return apply_decoded(spark, decoded, root)
 
 
 def compact(spark: SparkSession, root: str) -> int:
@@ -203,6 +220,6 @@ def compact(spark: SparkSession, root: str) -> int:
     reg = load_registry(spark, root, prev)
     commit_snapshot(reg, root, version, side={
         "pending": read_side_table(spark, root, "pending", prev, DECODED),
-        "_meta": _meta(spark, max_partition_id(spark, root, prev)),
+        "_meta": _meta(spark, max_partition_id(spark, root, prev), last_batch_id(spark, root, prev)),
     })
     return version

@@ -198,6 +198,7 @@ def register_and_commit(spark: SparkSession, root: str, configs: DataFrame, now)
     buckets = [r["b"] for r in new_ids.select(bucket_of("dataset_id").alias("b")).distinct().collect()]
     commit_snapshot(new_reg, root, version, touched_buckets=[], touched_dataset_buckets=buckets, side={
         "pending": pending,
+        "dead_letters": spark.createDataFrame([], DEAD),
         "_meta": _meta(spark, max_partition_id(spark, root, prev), last_batch_id(spark, root, prev))})
     return version, rejected
 
@@ -220,6 +221,7 @@ def compact(spark: SparkSession, root: str) -> int:
     reg = load_registry(spark, root, prev)
     commit_snapshot(reg, root, version, side={
         "pending": read_side_table(spark, root, "pending", prev, DECODED),
+        "dead_letters": spark.createDataFrame([], DEAD),
         "_meta": _meta(spark, max_partition_id(spark, root, prev), last_batch_id(spark, root, prev)),
     })
     return version

@@ -9,7 +9,10 @@ A registry is three DataFrames. On storage:
   ``<root>/_buckets/<table>/v=<v>/`` (a touched bucket left empty is listed
   too, so it hides older rows). A reader takes every bucket from the newest
   committed version that wrote it;
-* ``<root>/_commits/<version>``: the commit marker, written last.
+* ``<root>/_bucketmap/<table>/v=<v>/``: the cumulative bucket → version map
+  at ``v`` (at most ``BUCKETS`` rows), so a reader of ``v`` reads one file;
+* ``<root>/_commits/<version>``: the commit marker, written last, then the
+  ``_commits/_latest`` pointer (checked forward by readers).
 
 A crash between writing a version and its marker leaves the previous
 registry in force; a replayed batch rewrites the same version in place.
@@ -75,6 +78,33 @@ def is_committed(spark: SparkSession, root: str, version: int) -> bool:
     return _exists(spark, os.path.join(root, "_commits", str(version)))
 
 
+def latest_version(spark: SparkSession, root: str) -> int | None:
+    """Newest committed version from the pointer written after each commit
+    (checked forward, since a crash can leave it one behind); a listing of
+    the commit markers only when there is no pointer."""
+    fs, p = _fs(spark, os.path.join(root, "_commits", "_latest"))
+    if fs.exists(p):
+        stream = fs.open(p)
+        try:
+            v = int(spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8").strip())
+        finally:
+            stream.close()
+        while is_committed(spark, root, v + 1):
+            v += 1
+        return v
+    versions = committed_versions(spark, root)
+    return versions[-1] if versions else None
+
+
+def _write_latest(spark: SparkSession, root: str, version: int) -> None:
+    fs, p = _fs(spark, os.path.join(root, "_commits", "_latest"))
+    out = fs.create(p, True)
+    try:
+        out.write(str(version).encode())
+    finally:
+        out.close()
+
+
 BUCKETED = ("datasets", "partitions")
 
 
@@ -82,7 +112,12 @@ def bucket_versions(spark: SparkSession, root: str, version: int,
                     table: str = "partitions") -> dict[int, int]:
     """For each bucket of ``table``, the newest committed version <=
     ``version`` that wrote it (at most ``BUCKETS`` small rows reach the
-    driver)."""
+    driver). Read from the version's bucket map; older layouts fall back
+    to every version's list of written buckets."""
+    mapped = os.path.join(root, "_bucketmap", table, f"v={version}")
+    if _exists(spark, mapped):
+        return {r["bucket"]: r["v"] for r in
+                spark.read.schema("bucket int, v int").parquet(mapped).collect()}
     committed = [v for v in committed_versions(spark, root) if v <= version]
     listing = os.path.join(root, "_buckets", table)
     if not committed or not _exists(spark, listing):
@@ -116,10 +151,9 @@ def load_partitions(spark: SparkSession, root: str, version: int,
 def load_registry(spark: SparkSession, root: str, version: int | None = None) -> Registry:
     """Scan the newest committed registry version with fixed schemas."""
     if version is None:
-        versions = committed_versions(spark, root)
-        if not versions:
+        version = latest_version(spark, root)
+        if version is None:
             return empty_registry(spark)
-        version = versions[-1]
     managers = spark.read.schema(S.MANAGERS).parquet(os.path.join(root, "managers", f"v={version}"))
     return Registry(managers, *(load_bucketed(spark, root, t, version) for t in BUCKETED))
 
@@ -143,6 +177,15 @@ def _write_bucketed(df: DataFrame, root: str, table: str, version: int, touched:
          .parquet(os.path.join(root, table, f"v={version}")))
     (spark.createDataFrame([(b,) for b in touched], T.StructType([T.StructField("bucket", T.IntegerType())]))
      .coalesce(1).write.mode("overwrite").parquet(os.path.join(root, "_buckets", table, f"v={version}")))
+    # cumulative map bucket -> version that holds it, so readers of this
+    # version read one small file instead of every version's list
+    prev = latest_version(spark, root)
+    if prev is not None and prev >= version:     # rewriting a committed version
+        prev = version - 1
+    current = {} if prev is None or prev < 0 else bucket_versions(spark, root, prev, table)
+    current.update({b: version for b in touched})
+    (spark.createDataFrame(sorted(current.items()), "bucket int, v int").coalesce(1)
+     .write.mode("overwrite").parquet(os.path.join(root, "_bucketmap", table, f"v={version}")))
 
 
 def commit_snapshot(reg: Registry, root: str, version: int,
@@ -173,3 +216,4 @@ def commit_snapshot(reg: Registry, root: str, version: int,
         df.write.mode("overwrite").parquet(os.path.join(root, name, f"v={version}"))
     fs, p = _fs(spark, os.path.join(root, "_commits", str(version)))
     fs.create(p, True).close()
+    _write_latest(spark, root, version)

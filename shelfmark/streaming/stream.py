@@ -31,7 +31,8 @@ from ..operators.events import (DELETE_DATASET, DELETE_PARTITION, RETRY, UPSERT,
 from ..session import checkpoint_dir, materialise
 from ..sources.notifications import read_notifications
 from ..sources.registry import (Registry, bucket_of, commit_snapshot, committed_versions,
-                                load_bucketed, load_partitions, load_registry, read_side_table)
+                                latest_version, load_bucketed, load_partitions, load_registry,
+                                read_side_table)
 
 # Actions that change partition rows (their datasets' buckets are rewritten).
 CHANGES = [UPSERT, DELETE_PARTITION, DELETE_DATASET]
@@ -105,7 +106,7 @@ def apply_decoded(spark: SparkSession, decoded: DataFrame, root: str,
     version. ``batch_id`` (a stream batch) makes it idempotent: a batch the
     newest version already holds is not applied again. An interrupted
     version (no commit marker) is simply written again."""
-    prev = committed_versions(spark, root)[-1]
+    prev = latest_version(spark, root)
     done = last_batch_id(spark, root, prev)
     if batch_id is not None and batch_id <= done:
         return prev
@@ -173,7 +174,7 @@ def retry_pending(spark: SparkSession, root: str) -> int:
 
 def current(spark: SparkSession, root: str) -> tuple[Registry, DataFrame]:
     """Newest committed registry and its pending messages."""
-    v = committed_versions(spark, root)[-1]
+    v = latest_version(spark, root)
     return load_registry(spark, root, v), read_side_table(spark, root, "pending", v, DECODED)
 
 
@@ -188,8 +189,8 @@ def register_and_commit(spark: SparkSession, root: str, configs: DataFrame, now)
     committed version (pending messages carried over, so a later
     ``retry_pending`` or batch can apply them). Returns (version, rejected)."""
     from ..operators.mutations import register_datasets
-    versions = committed_versions(spark, root)
-    prev, version = versions[-1], versions[-1] + 1
+    prev = latest_version(spark, root)
+    version = prev + 1
     reg = load_registry(spark, root, prev)
     new_reg, rejected = register_datasets(reg, configs, now)
     pending = read_side_table(spark, root, "pending", prev, DECODED)
@@ -216,8 +217,8 @@ def compact(spark: SparkSession, root: str) -> int:
     """Rewrite the current registry as a new version holding every bucket
     (readers then open one version folder per table instead of many); pending
     messages and the largest id are carried over. Returns the version."""
-    versions = committed_versions(spark, root)
-    prev, version = versions[-1], versions[-1] + 1
+    prev = latest_version(spark, root)
+    version = prev + 1
     reg = load_registry(spark, root, prev)
     commit_snapshot(reg, root, version, side={
         "pending": read_side_table(spark, root, "pending", prev, DECODED),

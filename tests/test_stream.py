@@ -211,3 +211,30 @@ def test_batches_interleaved_with_registrations(spark):
     names = sorted(r.partition_name for r in stream.current(spark, root)[0].partitions.collect())
     assert names == ["x", "y"]
     assert stream.last_batch_id(spark, root, 3) == 1
+
+
+def test_version_metadata(spark):
+    """The latest-version pointer and the per-version bucket map agree
+    with the commit markers and the per-version bucket lists."""
+    import datetime as dt
+    from shelfmark import schemas as S
+    from shelfmark.sources import registry as R
+    root = os.path.join(tempfile.mkdtemp(prefix="meta-test-"), "registry")
+    t0 = dt.datetime(2024, 1, 1)
+    managers = spark.createDataFrame([(1, "m@x.org", "k", False, t0, t0)], S.MANAGERS)
+    datasets = spark.createDataFrame([(i, f"d{i}", "d", "csv", "zip", "public", {}, 1, t0, t0)
+                                      for i in range(1, 4)], S.DATASETS)
+    stream.init_registry(R.Registry(managers, datasets, spark.createDataFrame([], S.PARTITIONS)), root)
+    for i in (1, 2):
+        m = spark.createDataFrame([(f"a{i}", f"m{i}", t0, S.EVENT_FINALIZE, t0, None, f"d{i}/f", "u", i,
+                                    f"d{i}", "f", None)], stream.DECODED)
+        stream.apply_decoded(spark, m, root, i - 1)
+    assert R.latest_version(spark, root) == 2 == R.committed_versions(spark, root)[-1]
+    mapped = R.bucket_versions(spark, root, 2, "partitions")
+    assert len(mapped) == R.BUCKETS and set(mapped.values()) <= {0, 1, 2}
+    b2 = spark.range(1).select(R.bucket_of(F.lit(2).cast("long"))).first()[0]
+    assert mapped[b2] == 2                       # dataset 2's bucket was written by version 2
+    # the map equals what the per-version bucket lists give
+    listed = (spark.read.schema("bucket int, v int").parquet(os.path.join(root, "_buckets", "partitions"))
+              .groupBy("bucket").agg(F.max("v").alias("v")).collect())
+    assert {r.bucket: r.v for r in listed} == mapped

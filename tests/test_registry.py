@@ -195,3 +195,13 @@ def test_all_range_combinations(spark):
         got_d = listing.list_datasets(reg, **kw_d)
         got_d = [r.dataset_id for r in (got_d.orderBy("position").collect() if c else got_d.collect())]
         assert got_d == want_d, kw_d
+
+
+def test_config_reader_paths(spark, tmp_path):
+    """dd.json files are read from a file, a glob or a folder (recursively)."""
+    here = os.path.dirname(__file__)
+    single = configs.read_dataset_configs(spark, os.path.join(here, "data", "dd.json"))
+    by_glob = configs.read_dataset_configs(spark, os.path.join(here, "data", "*.json"))
+    by_dir = configs.read_dataset_configs(spark, os.path.join(here, "data"))
+    for df in (single, by_glob, by_dir):
+        assert [r.name for r in df.collect()] == ["example_dataset"]

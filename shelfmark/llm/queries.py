@@ -4,10 +4,23 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality_rules
+from . import bpe, quality_rules, url_rules
 from .common import prepare, spread, table
 
 
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op4_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's url against the allow and block rules."""
+    prepare(spark)
+    return url_rules.judge(table(spark, sf_dir, "pages"),
+                           url_rules.rule_frame(spark, url_rules.RULES))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statistics and verdict of every document (learned decision list)."""
     prepare(spark)
@@ -16,7 +29,14 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(spread(docs.select("doc_id", "text")), rules)
 
 
-QUERIES = {f.__name__: f for f in (op6_quality_rules,)}
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded and decoded with a public BPE vocabulary."""
+    prepare(spark)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return bpe.encode(spread(docs), tokenizer_path(), keep_ids=False)
+
+
+QUERIES = {f.__name__: f for f in (op4_url_rules, op6_quality_rules, op7_bpe)}
 
 #: DuckDB SQL by query, where SQL can express it.
 SQL: dict[str, str] = {}

@@ -5,7 +5,7 @@ some token of the vocabulary. A byte pair that no token contains is thus a
 certain cut: the fragments on both sides are encoded independently and their
 ids concatenated. Cuts depend on the vocabulary alone, so fragments repeat
 across a corpus far more often than texts do, and a bounded table of encoded
-fragments and words serves a whole partition.
+fragments and chunks serves a whole partition.
 
 The tokenizer file is a parameter (a ``tokenizers`` JSON file with a BPE
 model, byte-level alphabet and a word-end suffix); it is read once in each
@@ -20,8 +20,11 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
+import sys
 from array import array
 from functools import lru_cache
+from itertools import chain
 
 import pyarrow as pa
 import regex
@@ -29,9 +32,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Words and fragments that a worker remembers at most, each.
+#: Chunks of text and fragments that a worker remembers at most, each.
 MEMORY = 500_000
-#: The longest words remembered; longer ones are encoded anew each time.
+#: The longest of them; longer ones are encoded anew each time.
 MEMORY_WORD = 64
 
 #: Below this code point a text is its own NFC form, and Python lower-cases
@@ -39,6 +42,26 @@ MEMORY_WORD = 64
 PLAIN = 0x300
 
 
+#: Python's split() takes these for white space, the library doesn't.
+SEPARATORS = re.compile("[\x1c-\x1f]")
+
+
+class Chunks(dict):
+    """Ids of the pieces of text between white space, a bounded number."""
+
+    def __init__(self, encoder: Encoder):
+        super().__init__()
+        self.encoder = encoder
+
+    def __missing__(self, text: str) -> tuple:
+        ids = self.encoder.chunk(text)
+        if len(text) <= MEMORY_WORD:
+            if len(self) >= MEMORY:
+                self.clear()
+            self[text] = ids
+        return ids
+
+
 class Encoder:
     """Ids and decoded text of whole texts, for one tokenizer file."""
 
@@ -71,7 +94,7 @@ class Encoder:
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.word = regex.compile(split["pattern"]["Regex"])
         self.alphabet = [self._byte(b) for b in range(256)]
-        self.words: dict[str, tuple] = {}
+        self.chunks = Chunks(self)
         self.fragments: dict[tuple[str, bool], tuple] = {}
 
     def _byte(self, b: int) -> str:
@@ -106,7 +129,7 @@ class Encoder:
 
     def encode_word(self, byte_word: str) -> tuple:
         parts = self.cuts(byte_word)
-        if len(parts) == 1:  # remembered as a word
+        if len(parts) == 1:  # its chunk is remembered
             return tuple([t.id for t in self.last.tokenize(byte_word)])
         ids: list[int] = []
         for p in parts[:-1]:
@@ -114,27 +137,21 @@ class Encoder:
         ids += self.fragment(parts[-1], True)
         return tuple(ids)
 
-    def remember(self, word: str) -> tuple:
-        alphabet = self.alphabet
-        ids = self.encode_word("".join([alphabet[b] for b in word.encode("utf-8")]))
-        if len(word) <= MEMORY_WORD:
-            if len(self.words) >= MEMORY:
-                self.words.clear()
-            self.words[word] = ids
-        return ids
+    def chunk(self, text: str) -> tuple:
+        """Ids of lower-cased text without white space."""
+        alphabet, ids = self.alphabet, []
+        for word in self.word.findall(text):
+            ids += self.encode_word("".join([alphabet[b] for b in word.encode("utf-8")]))
+        return tuple(ids)
 
-    def _plain(self, text: str, ids: array) -> None:
+    def _plain(self, text: str) -> list:
         """Ids of a piece without added tokens."""
-        if not text:
-            return
-        if text.isascii() or max(text) < chr(PLAIN):
-            known, remember = self.words.get, self.remember
-            for w in self.word.findall(text.lower()):
-                ids.extend(known(w) or remember(w))
-        else:  # any script: the library's own normal form and word split
-            text = self.library.normalizer.normalize_str(text)
-            for w, _ in self.library.pre_tokenizer.pre_tokenize_str(text):
-                ids.extend(self.encode_word(w))
+        if (text.isascii() or max(text) < chr(PLAIN)) and not SEPARATORS.search(text):
+            return list(chain.from_iterable(map(self.chunks.__getitem__, text.lower().split())))
+        # any script: the library's own normal form and word split
+        text = self.library.normalizer.normalize_str(text)
+        return [i for w, _ in self.library.pre_tokenizer.pre_tokenize_str(text)
+                for i in self.encode_word(w)]
 
     def encode(self, text: str | None) -> array:
         ids = array("I")
@@ -142,10 +159,12 @@ class Encoder:
             return ids
         at = 0
         for m in self.marks.finditer(text) if self.marks else ():
-            self._plain(text[at:m.start()], ids)
+            if m.start() > at:
+                ids.extend(self._plain(text[at:m.start()]))
             ids.append(self.added[m.group()])
             at = m.end()
-        self._plain(text[at:], ids)
+        if at < len(text):
+            ids.extend(self._plain(text[at:]))
         return ids
 
     def decode(self, ids) -> str:
@@ -159,8 +178,6 @@ def encoder(path: str) -> Encoder:
 
 
 def little_endian(ids: array) -> bytes:
-    import sys
-
     if sys.byteorder == "big" or ids.itemsize != 4:
         import numpy as np
         return np.asarray(ids, dtype="<u4").tobytes()

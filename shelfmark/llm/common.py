@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import os
+import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,8 +21,30 @@ BATCH_ROWS = 256
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Makes this package importable in the Python workers, once for each
+    application: Spark sends the zip to every executor."""
+    sc = spark.sparkContext
+    if sc.applicationId not in _SHIPPED:
+        package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+        path = os.path.join(tempfile.mkdtemp(prefix="package-"), "shelfmark_package.zip")
+        with zipfile.ZipFile(path, "w") as z:
+            for folder, _, names in os.walk(package):
+                for n in names:
+                    if n.endswith(".py"):
+                        full = os.path.join(folder, n)
+                        z.write(full, os.path.relpath(full, os.path.dirname(package)))
+        sc.addPyFile(path)
+        _SHIPPED.add(sc.applicationId)
+
+
 def prepare(spark: SparkSession) -> SparkSession:
-    """Session settings the Python-backed operators rely on."""
+    """The package on the workers, and the session settings that the
+    Python-backed operators rely on."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     checkpoint_dir(spark)
     return spark

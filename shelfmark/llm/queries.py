@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, quality_rules, url_rules
+from . import bpe, langid, quality_rules, url_rules, warc
 from .common import prepare, spread, table
 
 
@@ -21,6 +21,14 @@ def op4_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
                            url_rules.rule_frame(spark, url_rules.RULES))
 
 
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from those not held out."""
+    prepare(spark)
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit(docs)
+    return langid.predict(spread(docs.select("doc_id", "text")), model)
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statistics and verdict of every document (learned decision list)."""
     prepare(spark)
@@ -36,7 +44,13 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(spread(docs), tokenizer_path(), keep_ids=False)
 
 
-QUERIES = {f.__name__: f for f in (op4_url_rules, op6_quality_rules, op7_bpe)}
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as a WARC record, from the index of the archives."""
+    prepare(spark)
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+QUERIES = {f.__name__: f for f in (op4_url_rules, op5_language, op6_quality_rules, op7_bpe, op10_warc)}
 
 #: DuckDB SQL by query, where SQL can express it.
 SQL: dict[str, str] = {}

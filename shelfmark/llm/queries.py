@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, langid, quality_rules, url_rules, warc
+from . import bpe, decontaminate, langid, quality_rules, url_rules, warc
 from .common import prepare, spread, table
 
 
@@ -14,6 +14,13 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every stretch of a document that is a benchmark item, but for edits."""
+    prepare(spark)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontaminate.matches(spread(docs), table(spark, sf_dir, "benchmark"))
+
+
 def op4_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's url against the allow and block rules."""
     prepare(spark)
@@ -50,7 +57,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op4_url_rules, op5_language, op6_quality_rules, op7_bpe, op10_warc)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op4_url_rules, op5_language, op6_quality_rules, op7_bpe, op10_warc)}
 
 #: DuckDB SQL by query, where SQL can express it.
 SQL: dict[str, str] = {}

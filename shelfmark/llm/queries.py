@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, langid, quality_rules, url_rules, warc
+from . import bpe, decontaminate, langid, neardup, quality_rules, url_rules, warc
 from .common import prepare, spread, table
 
 
@@ -21,6 +21,12 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(spread(docs), table(spark, sf_dir, "benchmark"))
 
 
+def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of documents whose sets of three-word shingles are 85 % alike."""
+    prepare(spark)
+    return neardup.groups(table(spark, sf_dir, "documents"), k=3, percent=85)
+
+
 def op4_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's url against the allow and block rules."""
     prepare(spark)
@@ -57,7 +63,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op4_url_rules, op5_language, op6_quality_rules, op7_bpe, op10_warc)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_near_duplicates, op4_url_rules, op5_language, op6_quality_rules, op7_bpe, op10_warc)}
 
 #: DuckDB SQL by query, where SQL can express it.
 SQL: dict[str, str] = {}

@@ -35,14 +35,14 @@ from pyspark.sql import functions as F
 
 from .common import spread, stored
 from .components import components
+from .hashing import Hashes, mix, times
 
 SIZE, BAND = 128, 4
 #: Centres a bucket takes in each round after the first.
 CENTRES = 8
 
-_M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
+_M1, _M2 = 0x9E3779B97F4A7C15, 0x94D049BB133111EB
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
-_BASE = 0x100000001B3
 
 
 def word_list(text: str | None) -> list[bytes]:
@@ -57,19 +57,6 @@ def shingles(words: list[bytes], k: int) -> set:
     return set(zip(*(words[i:] for i in range(k))))
 
 
-def _mix(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(30))) * _M2
-    h = (h ^ (h >> np.uint64(27))) * _M3
-    return h ^ (h >> np.uint64(31))
-
-
-def _powers(n: int, base: int) -> np.ndarray:
-    out = np.full(n, np.uint64(base), dtype=np.uint64)
-    if n:
-        out[0] = 1
-    return np.multiply.accumulate(out)
-
-
 def shingle_hashes(docs: list[list[bytes]], k: int) -> tuple[np.ndarray, np.ndarray]:
     """A 64-bit hash of every shingle of every document (with repeats), and
     the number of the document: from prefix polynomials over the words."""
@@ -88,11 +75,7 @@ def shingle_hashes(docs: list[list[bytes]], k: int) -> tuple[np.ndarray, np.ndar
     if not owner:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     raw = np.frombuffer(b"".join(b" ".join(w) + b" " for w in docs if w), dtype=np.uint8)
-    prefix = np.zeros(len(raw) + 1, dtype=np.uint64)
-    np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * _powers(len(raw), _BASE), out=prefix[1:])
-    a, b = np.concatenate(first), np.concatenate(last)
-    inverse = _powers(len(raw) + 1, pow(_BASE, -1, 1 << 64))
-    return _mix((prefix[b] - prefix[a]) * inverse[a]), np.concatenate(owner)
+    return mix(Hashes(raw).of(np.concatenate(first), np.concatenate(last))), np.concatenate(owner)
 
 
 def sketch(hashes: np.ndarray, owner: np.ndarray, n: int, size: int = SIZE) -> np.ndarray:
@@ -102,12 +85,12 @@ def sketch(hashes: np.ndarray, owner: np.ndarray, n: int, size: int = SIZE) -> n
     open_docs[owner] = True
     h, d = hashes, owner
     for r in range(2 * size):
-        v = _mix(h ^ np.uint64((r + 1) * 0x9E3779B97F4A7C15 % (1 << 64)))
+        v = mix(h ^ times(r + 1, _M1))
         bins = (v % np.uint64(size)).astype(np.int64) if r < size else np.full(len(v), r - size)
         seen = np.full(n * size, _NONE, dtype=np.uint64)
         np.minimum.at(seen, d * size + bins, v >> np.uint64(8))
         new = (out == _NONE) & (seen != _NONE)
-        out[new] = _mix(seen[new] + np.uint64(r * 0x94D049BB133111EB % (1 << 64)))
+        out[new] = mix(seen[new] + times(r, _M2))
         full = (out.reshape(n, size) != _NONE).all(axis=1)
         open_docs &= ~full
         if not open_docs.any():
@@ -121,9 +104,9 @@ def bands(matrix: np.ndarray, rows: int = BAND) -> np.ndarray:
     """One 64-bit bucket key for each band of each row."""
     n, size = matrix.shape
     m = matrix.reshape(n, size // rows, rows)
-    key = np.broadcast_to(np.arange(1, size // rows + 1, dtype=np.uint64) * _M1, (n, size // rows)).copy()
+    key = np.broadcast_to(np.arange(1, size // rows + 1, dtype=np.uint64) * np.uint64(_M1), (n, size // rows)).copy()
     for i in range(rows):
-        key = _mix(key ^ m[:, :, i]) + _M1
+        key = mix(key ^ m[:, :, i]) + np.uint64(_M1)
     return key
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, langid, neardup, quality_rules, suffixes, url_rules, warc
+from . import bpe, decontaminate, langid, lm, neardup, quality_rules, suffixes, url_rules, warc
 from .common import prepare, spread, table
 
 
@@ -57,6 +57,12 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(spread(docs), tokenizer_path(), keep_ids=False)
 
 
+def op8_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's log10 probability under an interpolated bigram model."""
+    prepare(spark)
+    return lm.scores(table(spark, sf_dir, "documents"))
+
+
 def op9_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the 200-byte strings that start twice."""
     prepare(spark)
@@ -69,7 +75,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_near_duplicates, op4_url_rules, op5_language, op6_quality_rules, op7_bpe, op9_suffix_array, op10_warc)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_near_duplicates, op4_url_rules, op5_language, op6_quality_rules, op7_bpe, op8_language_model, op9_suffix_array, op10_warc)}
 
 #: DuckDB SQL by query, where SQL can express it.
 SQL: dict[str, str] = {}

@@ -26,6 +26,7 @@ from array import array
 from functools import lru_cache
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -179,7 +180,6 @@ def encoder(path: str) -> Encoder:
 
 def little_endian(ids: array) -> bytes:
     if sys.byteorder == "big" or ids.itemsize != 4:
-        import numpy as np
         return np.asarray(ids, dtype="<u4").tobytes()
     return ids.tobytes()
 
@@ -187,30 +187,29 @@ def little_endian(ids: array) -> bytes:
 def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text",
            keep_ids: bool = True) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 and (``keep_ids``) the
-    ids and the decoded text themselves."""
+    ids themselves."""
     src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     schema = T.StructType([src.schema["doc_id"], T.StructField("n_tokens", T.LongType()),
                            T.StructField("ids_sha256", T.StringType()),
                            T.StructField("decoded_sha256", T.StringType())])
     if keep_ids:
-        schema = schema.add("ids", T.ArrayType(T.LongType())).add("decoded", T.StringType())
+        schema = schema.add("ids", T.ArrayType(T.IntegerType()))
 
     def run(batches):
         enc = encoder(tokenizer)
         for b in batches:
-            n, a, d, all_ids, all_texts = [], [], [], [], []
+            n, a, d, every = [], [], [], array("I")
             for text in b.column("text"):
                 ids = enc.encode(text.as_py())
-                decoded = enc.decode(ids)
                 n.append(len(ids))
                 a.append(hashlib.sha256(little_endian(ids)).hexdigest())
-                d.append(hashlib.sha256(decoded.encode("utf-8")).hexdigest())
+                d.append(hashlib.sha256(enc.decode(ids).encode("utf-8")).hexdigest())
                 if keep_ids:
-                    all_ids.append(ids.tolist())
-                    all_texts.append(decoded)
+                    every.extend(ids)
             cols = [b.column("doc_id"), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(d, pa.string())]
             if keep_ids:
-                cols += [pa.array(all_ids, pa.list_(pa.int64())), pa.array(all_texts, pa.string())]
+                ends = np.cumsum([0, *n]).astype(np.int32)
+                cols.append(pa.ListArray.from_arrays(ends, np.array(every, dtype=np.int32)))
             yield pa.RecordBatch.from_arrays(cols, names=schema.names)
 
     return src.mapInArrow(run, schema)

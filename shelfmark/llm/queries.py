@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, langid, lm, neardup, quality_rules, suffixes, url_rules, warc
+from . import bpe, decontaminate, langid, lm, neardup, quality_rules, secrets, suffixes, url_rules, warc
 from .common import prepare, spread, table
 
 
@@ -27,6 +27,13 @@ def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.groups(table(spark, sf_dir, "documents"), k=3, percent=85)
 
 
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every candidate secret of the documents, judged by the forest."""
+    prepare(spark)
+    trees = secrets.train(secrets.labelled_findings(spark))
+    return secrets.scan(spread(table(spark, sf_dir, "documents").select("doc_id", "text", "source")), trees)
+
+
 def op4_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's url against the allow and block rules."""
     prepare(spark)
@@ -75,7 +82,9 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_near_duplicates, op4_url_rules, op5_language, op6_quality_rules, op7_bpe, op8_language_model, op9_suffix_array, op10_warc)}
+QUERIES = {f.__name__: f for f in (
+    op1_decontamination, op2_near_duplicates, op3_secrets, op4_url_rules, op5_language,
+    op6_quality_rules, op7_bpe, op8_language_model, op9_suffix_array, op10_warc)}
 
 #: DuckDB SQL by query, where SQL can express it.
 SQL: dict[str, str] = {}

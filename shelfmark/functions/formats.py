@@ -37,11 +37,6 @@ def domain_value(domain: list[str], index) -> Column:
     return F.element_at(F.array(*[F.lit(v) for v in domain]), (_c(index) + 1).cast("int"))
 
 
-def normalize_enum(c) -> Column:
-    """Enum values are stored by their lowercase display name."""
-    return F.lower(F.trim(_c(c)))
-
-
 def email_in_domain(email, domain: str | None) -> Column:
     """``'@' + domain`` occurs in the address (a substring test, as the
     reference does); no configured domain accepts every address."""

@@ -10,15 +10,13 @@ position inside the partition.
 
 from __future__ import annotations
 
-import itertools
-
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import checkpoint_dir, materialise
 
 
-def assign_ids(df: DataFrame, order: list[str], base: int, name: str,
+def assign_ids(df: DataFrame, order: list[str] | list[Column], base: int, name: str,
                num_partitions: int | None = None) -> DataFrame:
     """Add ``name`` = ``base + 1, base + 2, ...`` following ``order``
     (which must be a total order on the rows)."""
@@ -36,7 +34,8 @@ def assign_ids(df: DataFrame, order: list[str], base: int, name: str,
         total += counts[pid]
     if not offsets:
         return ranged.drop("_pid", "_mono").withColumn(name, F.lit(None).cast("long"))
-    offset_of = F.create_map(*[F.lit(x) for x in itertools.chain(*offsets.items())])
+    # one row a shuffle partition
+    starts = F.broadcast(spark.createDataFrame(list(offsets.items()), "_pid int, _start long"))
     local = F.col("_mono") - F.shiftleft(F.col("_pid").cast("long"), 33)
-    return (ranged.withColumn(name, F.lit(base) + offset_of[F.col("_pid")] + local + 1)
-            .drop("_pid", "_mono"))
+    return (ranged.join(starts, "_pid").withColumn(name, F.lit(base) + F.col("_start") + local + 1)
+            .drop("_pid", "_mono", "_start"))

@@ -33,7 +33,7 @@ def parse_size(size) -> Column:
     """Decimal integer text → bigint; NULL for anything else (blanks,
     decimals, overflow), where the reference would stop its loop."""
     s = _c(size)
-    return F.when(s.rlike(r"^[+-]?[0-9]+$"), s.try_cast("bigint"))
+    return F.when(s.rlike(r"\A[+-]?[0-9]+\z"), s.try_cast("bigint"))
 
 
 def missing_required(payload) -> Column:

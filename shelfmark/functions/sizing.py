@@ -31,6 +31,10 @@ def spread(df: DataFrame) -> DataFrame:
     (one small file, one micro-batch). Inputs that are already split pass
     through unchanged, so a large scan never pays an extra shuffle."""
     try:
+        # only a scan is dealt out: asking a plan with a shuffle for its
+        # partitions would run it
+        if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
+            return df
         parallelism = df.sparkSession.sparkContext.defaultParallelism
         splits = df.rdd.getNumPartitions()
     except Exception:  # sessions without RDD access (Spark Connect): leave as is

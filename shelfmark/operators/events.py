@@ -32,9 +32,22 @@ _WRITE_EVENTS = [S.EVENT_FINALIZE, S.EVENT_METADATA_UPDATE, S.EVENT_ARCHIVE]
 
 def flatten_envelope(raw: DataFrame) -> DataFrame:
     """S3: one row per received message; a pull without messages (missing
-    or empty list) gives no rows. Times become UTC wall-clock values."""
-    m = raw.select(F.explode("receivedMessages").alias("m"))
+    or empty list) gives no rows. Times become UTC wall-clock values.
+
+    ``missing`` says why an envelope can't be applied: the first required
+    field that is absent (or a time that is none). A response that could not
+    be read at all gives one row with its text as ``data``, so that it ends
+    as a dead letter and not as nothing."""
+    unreadable = F.col(S.UNREADABLE) if S.UNREADABLE in raw.columns else F.lit(None).cast("string")
+    lost = F.col("receivedMessages").isNull() & unreadable.isNotNull()
+    nothing = F.array(F.lit(None).cast(S.MESSAGE))
+    m = raw.select(F.explode(F.when(lost, nothing).otherwise(F.col("receivedMessages"))).alias("m"),
+                   F.when(lost, unreadable).alias("_lost"))
     a = "m.message.attributes"
+    missing = F.lit(None).cast("string")
+    for f in reversed(S.ENVELOPE_REQUIRED):
+        missing = F.when(F.col(f"m.{f}").isNull(), F.lit("missing field " + f.rpartition(".")[2])).otherwise(missing)
+    missing = F.when(F.col("_lost").isNotNull(), F.lit("unreadable pull response")).otherwise(missing)
     return m.select(
         F.col("m.ackId").alias("ack_id"),
         F.col("m.message.messageId").alias("message_id"),
@@ -43,7 +56,8 @@ def flatten_envelope(raw: DataFrame) -> DataFrame:
         F.col(f"{a}.eventTime").cast(S.TS).alias("event_time"),
         F.col(f"{a}.objectId").alias("object_id"),
         F.col(f"{a}.overwrittenByGeneration").alias("overwritten_by_generation"),
-        F.col("m.message.data").alias("data"),
+        F.coalesce("m.message.data", "_lost").alias("data"),
+        missing.alias("missing"),
     )
 
 
@@ -51,16 +65,24 @@ def decode_notifications(flat: DataFrame) -> DataFrame:
     """Decode the payload and give each message either a
     ``reason`` (dead letter) or the fields the router needs.
 
-    Reasons: undecodable payload, a missing required key, a size that is
-    not an integer, an unknown event type, an empty object name. The
+    Reasons: an unreadable response or a required envelope field that is
+    missing (flat rows without a column ``missing`` are checked for their
+    own columns), undecodable payload, a missing required key, a size that
+    is not an integer, an unknown event type, an empty object name. The
     reference retries the first, fails the pull on the next ones and stops
     on a bad size; here each becomes a dead letter and the batch goes on.
     """
     p = F.col("_p")
     size = parse_size(p["size"])
     name = p["name"]
+    if "missing" not in flat.columns:
+        absent = F.lit(None).cast("string")
+        for c in ("event_time", "publish_time", "message_id", "ack_id"):
+            absent = F.when(F.col(c).isNull(), F.lit("missing field " + c)).otherwise(absent)
+        flat = flat.withColumn("missing", absent)
     reason = (
-        F.when(p.isNull() | p[CORRUPT].isNotNull(), F.lit("undecodable payload"))
+        F.when(F.col("missing").isNotNull(), F.col("missing"))
+        .when(p.isNull() | p[CORRUPT].isNotNull(), F.lit("undecodable payload"))
         .when(missing_required(p).isNotNull(), F.concat(F.lit("missing key "), missing_required(p)))
         .when(size.isNull(), F.lit("size is not an integer"))
         .when(~F.col("event_type").isin(*S.EVENT_TYPES) | F.col("event_type").isNull(),

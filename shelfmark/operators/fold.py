@@ -14,9 +14,11 @@ the message's event_time:
 * retry: kept for the next batch (pending); everything else has no effect.
 
 Set form. Everything is per-key aggregation with map-side partial
-aggregation, joined back to the messages; there is no per-key window, so a
-dataset or a single file holding a third of the batch never lands in one
-task (AQE splits the skewed side of the join-backs). Per key
+aggregation, joined back to the messages; there is no per-key window. The
+summaries are materialised before they are joined back: both sides of a
+join-back are then plain shuffles, which is the shape that AQE's skew rule
+splits, so a dataset or a file holding a third of the batch never sits in
+one task. Per key
 ``(dataset_id, partition_name)``:
 
 * ``lu``/``ld``: last upsert / last delete; the key survives iff lu > ld.
@@ -95,18 +97,18 @@ def summarise(reg: Registry, routed: DataFrame, eff: DataFrame | None = None) ->
     o = F.col("_o")
 
     # pass 1: last upsert, last delete, first upsert, values of the last upsert
-    p1 = keyed.groupBy(*KEY).agg(
+    p1 = materialise(keyed.groupBy(*KEY).agg(
         F.max(F.when(is_up, o)).alias("lu"),
         F.max(F.when(is_del, o)).alias("ld"),
         F.min(F.when(is_up, o)).alias("fu"),
         F.max_by(F.when(is_up, F.struct("partition_url", "partition_size", "event_time")),
                  F.when(is_up, o)).alias("last"),
-    )
+    ))
     # pass 2: first upsert after ld, last delete before lu
-    p2 = keyed.join(p1.select(*KEY, "lu", "ld"), KEY).groupBy(*KEY).agg(
+    p2 = materialise(keyed.join(p1.select(*KEY, "lu", "ld"), KEY).groupBy(*KEY).agg(
         F.min(F.when(is_up & (F.col("ld").isNull() | (o > F.col("ld"))), o)).alias("fa"),
         F.max(F.when(is_del & (o < F.col("lu")), o)).alias("dstar"),
-    )
+    ))
     # pass 3: first upsert after d*
     p3 = keyed.join(p2.where(F.col("dstar").isNotNull()).select(*KEY, "dstar"), KEY).groupBy(*KEY).agg(
         F.min(F.when(is_up & (o > F.col("dstar")), o)).alias("fstar"))

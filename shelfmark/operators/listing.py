@@ -6,11 +6,12 @@ newest-``created_at`` first; ids break ties so every page is deterministic.
 Scale notes
 * Whole-table orders are range-partitioned sorts: a dataset holding a third
   of all partitions is split across ranges by its timestamps.
-* Per-dataset pages filter ``row_number() <= offset + count``; Catalyst then
-  plans a partial ``WindowGroupLimit`` before the shuffle, so a hot dataset
-  ships at most ``offset + count`` rows per map task.
-* An offset without a count never funnels the table through one task: the
-  first ``offset`` keys are found as a bounded top-k and anti-joined away.
+* Per-dataset pages that end within ``GROUP_ROWS`` filter ``row_number()``;
+  Catalyst plans a partial ``WindowGroupLimit`` before the shuffle for
+  those, so a hot dataset ships at most so many rows per map task.
+* Pages over all rows that end within ``PAGE_ROWS`` are a top-k.
+* Deeper pages number the rows by a range-partitioned sort and one count a
+  partition, and filter on the number: no task sees more than its range.
 * The newest partition per dataset is a grouped ``max_by`` with map-side
   partial aggregation, immune to a hot dataset.
 """
@@ -21,11 +22,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import schemas as S
+from ..functions.ids import assign_ids
 from ..functions.sizing import broadcast_if_bounded
+from ..session import materialise
 from ..sources.registry import Registry
 
 
-
 def dataset_order() -> list[Column]:
     return [F.desc("updated_at"), F.desc("dataset_id")]
 
@@ -55,35 +57,41 @@ def dataset_view(reg: Registry) -> DataFrame:
     return reg.datasets.join(m, "manager_id").select(*S.DATASET_VIEW_COLUMNS)
 
 
-def _top_keys(df: DataFrame, order: list[Column], keys: list[str], n: int) -> DataFrame:
-    """Keys of the first ``n`` rows in ``order`` (a bounded top-k)."""
-    return df.orderBy(*order).limit(n).select(*keys)
+# Rows a top-k gathers in one task at most, and rows of one dataset that
+# Spark limits before the shuffle (spark.sql.optimizer.windowGroupLimitThreshold).
+PAGE_ROWS, GROUP_ROWS = 10_000, 1_000
 
 
 def page(df: DataFrame, order: list[Column], keys: list[str], count: int | None = None,
          offset: int | None = None, position: bool = True) -> DataFrame:
     """Global ORDER BY / OFFSET / LIMIT.
 
-    With a count the page is a ``TakeOrderedAndProject`` of ``offset+count``
-    rows and gets a 1-based ``position``. With only an offset the first
-    ``offset`` keys are removed by an anti join and the rest stays a
-    distributed sort (no position: it would need a single-task window).
+    A page with a count has a 1-based ``position``. One that ends within
+    ``PAGE_ROWS`` is a ``TakeOrderedAndProject``; a deeper one, or an offset
+    without a count beyond that bound, is a filter on the rows' numbers.
+    A short offset without a count is removed by an anti join on ``keys``.
     """
     _check_paging(count, offset)
+    first, end = offset or 0, (offset or 0) + (count or 0)
+    if count is None and not first:
+        return df.orderBy(*order)
+    if end > PAGE_ROWS:
+        out = assign_ids(df, order, 0, "position").where(F.col("position") > first)
+        if count is None:
+            return out.drop("position").orderBy(*order)
+        out = out.where(F.col("position") <= end).orderBy("position")
+        return out if position else out.drop("position")
     if count is not None:
         out = df.orderBy(*order)
         if offset:
             out = out.offset(offset)
         out = out.limit(count)
         if position:
-            # the page holds at most `count` rows: a window over it is cheap
-            out = out.withColumn("position", F.row_number().over(Window.orderBy(*order)) + (offset or 0))
+            # the page holds at most PAGE_ROWS rows: a window over it is cheap
+            out = out.withColumn("position", F.row_number().over(Window.orderBy(*order)) + first)
         return out
-    if offset:
-        head = _top_keys(df, order, keys, offset)
-        small = broadcast_if_bounded(head)
-        df = df.join(small if small is not None else head, keys, "left_anti")
-    return df.orderBy(*order)
+    head = broadcast_if_bounded(df.orderBy(*order).limit(first).select(*keys))
+    return df.join(head, keys, "left_anti").orderBy(*order)
 
 
 def list_datasets(reg: Registry, start=None, end=None, count: int | None = None,
@@ -130,16 +138,31 @@ def list_partitions(reg: Registry, requests: DataFrame | None = None, start=None
     [start, end], newest first, then offset and count within each dataset."""
     _check_paging(count, offset)
     parts = _range_filter(_requested(reg, requests), start, end)
+    first, last = offset or 0, (offset or 0) + (count or 0)
+    if count is None and not first:
+        return parts.orderBy("dataset_id", *partition_order())
+    if last > GROUP_ROWS:
+        out = _numbered(parts)
+        if count is None:
+            return out.where(F.col("position") > first).drop("position").orderBy("dataset_id", *partition_order())
+        return out.where((F.col("position") > first) & (F.col("position") <= last))
     w = Window.partitionBy("dataset_id").orderBy(*partition_order())
     if count is not None:
-        lo, hi = (offset or 0), (offset or 0) + count
         return (parts.withColumn("position", F.row_number().over(w))
-                .where((F.col("position") > lo) & (F.col("position") <= hi)))
-    if offset:
-        head = (parts.withColumn("position", F.row_number().over(w))
-                .where(F.col("position") <= offset).select("dataset_id", "partition_id"))
-        parts = parts.join(head, ["dataset_id", "partition_id"], "left_anti")
-    return parts.orderBy("dataset_id", *partition_order())
+                .where((F.col("position") > first) & (F.col("position") <= last)))
+    head = (parts.withColumn("position", F.row_number().over(w))
+            .where(F.col("position") <= first).select("dataset_id", "partition_id"))
+    return parts.join(head, ["dataset_id", "partition_id"], "left_anti").orderBy("dataset_id", *partition_order())
+
+
+def _numbered(parts: DataFrame) -> DataFrame:
+    """``position`` of each partition within its dataset, however large the
+    dataset is: all rows are numbered in (dataset, order) by ranges, and the
+    dataset's first number is taken off."""
+    rows = assign_ids(parts, [F.col("dataset_id"), *partition_order()], 0, "_n")
+    starts = materialise(rows.groupBy("dataset_id").agg(F.min("_n").alias("_first")))
+    return (rows.join(starts, "dataset_id")
+            .withColumn("position", F.col("_n") - F.col("_first") + 1).drop("_n", "_first"))
 
 
 def partitions_page(reg: Registry, count: int, offset: int = 0) -> DataFrame:
@@ -165,17 +188,6 @@ def schema_fields(datasets: DataFrame) -> DataFrame:
     return fields.withColumn("position", F.row_number().over(w))
 
 
-def attribute_variants(spark) -> DataFrame:
-    """The three enum domains in declaration order, one row."""
-    def arr(values):
-        return F.array(*[F.lit(v) for v in values])
-    return spark.range(1).select(
-        arr(S.FORMATS).alias("format_variants"),
-        arr(S.COMPRESSIONS).alias("compression_variants"),
-        arr(S.CLASSIFICATIONS).alias("classification_variants"),
-    )
-
-
 def domain_table(spark) -> DataFrame:
     """The enum domains as (kind, ord, value) rows."""
     rows = [(kind, i, v) for kind, vals in (("format", S.FORMATS), ("compression", S.COMPRESSIONS),
@@ -184,18 +196,15 @@ def domain_table(spark) -> DataFrame:
     return spark.createDataFrame(rows, "kind string, ord int, value string")
 
 
-
-def attribute_usage(datasets: DataFrame) -> DataFrame:
-    """A1/J7 over a registry: every enum value in declaration order with the
-    number of datasets that use it (zero included)."""
-    spark = datasets.sparkSession
-    used = None
-    for kind, col in (("format", "dataset_format"), ("compression", "dataset_compression"),
-                      ("classification", "dataset_classification")):
-        u = datasets.groupBy(F.col(col).alias("value")).agg(F.count(F.lit(1)).alias("datasets")) \
-            .withColumn("kind", F.lit(kind))
-        used = u if used is None else used.unionByName(u)
-    # the domain table has 13 rows by definition
-    return (F.broadcast(domain_table(spark)).join(used, ["kind", "value"], "left")
-            .select("kind", F.col("ord").cast("long").alias("ord"), "value",
-                    F.coalesce("datasets", F.lit(0)).cast("long").alias("datasets")))
+def attribute_variants(datasets: DataFrame) -> DataFrame:
+    """A1/J7 over a registry: for each kind of attribute its values in
+    declaration order and, beside them, how many datasets use each (zero
+    included). One scan, one grouping."""
+    used = (datasets.select(F.expr("stack(3, 'format', dataset_format, 'compression', dataset_compression, "
+                                   "'classification', dataset_classification) AS (kind, value)"))
+            .groupBy("kind", "value").agg(F.count(F.lit(1)).alias("n")))
+    # the domain table has 13 rows by definition, and so has what is collected
+    rows = domain_table(datasets.sparkSession).join(used, ["kind", "value"], "left").groupBy("kind").agg(
+        F.array_sort(F.collect_list(F.struct("ord", "value", F.coalesce("n", F.lit(0)).alias("n")))).alias("v"))
+    return rows.select("kind", F.array_join(F.transform("v", lambda x: x["value"]), ",").alias("variants"),
+                       F.array_join(F.transform("v", lambda x: x["n"].cast("string")), ",").alias("datasets"))

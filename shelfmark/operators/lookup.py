@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from .. import schemas as S
 from ..functions.formats import display_ts, human_size
 from ..functions.sizing import broadcast_if_bounded
+from ..session import materialise
 from ..sources.registry import Registry
 from .listing import dataset_view, latest_partitions
 
@@ -66,14 +67,16 @@ def find_partitions(reg: Registry, requests: DataFrame) -> DataFrame:
     named = parts.select("dataset_id", "partition_name", *cols)
     # the newest partition only of the datasets asked for 'latest'
     asked = req.where(F.col("partition_name") == S.LATEST).select("dataset_id").distinct()
-    newest = latest_partitions(parts.join(asked, "dataset_id", "left_semi")).select(
+    newest = materialise(latest_partitions(parts.join(asked, "dataset_id", "left_semi")).select(
         "dataset_id", F.lit(S.LATEST).alias("partition_name"),
-        F.col("partition_name").alias("resolved_name"), *cols)
-    by_name = (req.where(F.col("partition_name") != S.LATEST)
+        F.col("partition_name").alias("resolved_name"), *cols))
+    # a request without a name is not for the latest and finds nothing
+    asks_latest = F.coalesce(F.col("partition_name") == S.LATEST, F.lit(False))
+    by_name = (req.where(~asks_latest)
                .join(named, ["dataset_id", "partition_name"], "left")
                .withColumn("resolved_name", F.when(F.col("partition_id").isNotNull(),
                                                    F.col("partition_name"))))
-    by_latest = (req.where(F.col("partition_name") == S.LATEST)
+    by_latest = (req.where(asks_latest)
                  .join(newest, ["dataset_id", "partition_name"], "left"))
     out_cols = ["dataset_name", "partition_name", "dataset_id", "resolved_name", *cols]
     return (by_name.select(*out_cols).unionByName(by_latest.select(*out_cols))
@@ -102,12 +105,12 @@ def manager_datasets(reg: Registry, requests: DataFrame) -> DataFrame:
 # Search (P7, J8, A3)
 # ---------------------------------------------------------------------------
 
-def like_term(term) -> Column:
-    """Search term as a LIKE body: ``%`` and ``_`` stay wildcards, ``\\``
-    escapes them or itself; a backslash before any other character is
-    dropped so that character matches itself (PostgreSQL's reading)."""
+def like_pattern(term) -> Column:
+    """``'%' || term || '%'`` as PostgreSQL reads it: ``%`` and ``_`` are
+    wildcards, a backslash makes the next character match itself (also the
+    closing ``%``, after a term that ends in one)."""
     t = F.col(term) if isinstance(term, str) else term
-    return F.regexp_replace(t, r"(\\[%_\\])|\\", "$1")
+    return F.regexp_replace(F.concat(F.lit("%"), t, F.lit("%")), r"(\\[%_\\])|\\", "$1")
 
 
 def _literal_run(t: Column) -> Column:
@@ -133,41 +136,46 @@ NESTED_LOOP_TERMS = 1_000
 def search_datasets(reg: Registry, terms: DataFrame, max_broadcast: int | None = None) -> DataFrame:
     """Every (term, dataset) with ``dataset_name LIKE '%' || term || '%'``.
 
-    Small term sets are broadcast to a nested-loop join. Beyond the bound,
-    terms with a literal piece of three or more characters meet candidate
-    datasets through an equi-join on the rarest trigram of that piece (a
-    trigram index of the names; the LIKE is then applied exactly); the
-    remaining short terms are checked against the bound again before their
-    broadcast join.
+    Small term sets are broadcast to a nested-loop join. Beyond the bound
+    terms meet candidate names through an equi-join on the rarest gram of
+    their longest literal piece: three characters, or the whole piece where
+    it has one or two (the index holds grams of one to three). The LIKE is
+    then applied exactly. Patterns without any literal ask for no more than
+    a length, so that they are collapsed to their distinct kinds first: at
+    least n characters. Names meet these by their length.
     """
     view = dataset_view(reg)
-    t = terms.select("term", like_term("term").alias("_pat")).distinct()
-    cond = F.expr("dataset_name LIKE concat('%', _pat, '%')")
+    t = terms.select("term", like_pattern("term").alias("_pat")).distinct()
+    cond = F.expr("dataset_name LIKE _pat")
     # the nested loop evaluates LIKE for every (name, term) pair, so its
     # bound is about work, not only broadcast size
     small = broadcast_if_bounded(t, NESTED_LOOP_TERMS if max_broadcast is None else max_broadcast)
     if small is not None:
         return view.join(small, cond).drop("_pat")
-    run = _literal_run(F.col("_pat"))
-    t = t.withColumn("_run", F.when(F.length(run) >= 3, run))
-    long_terms = t.where(F.col("_run").isNotNull())
-    short_terms = t.where(F.col("_run").isNull()).drop("_run")
-    # inverted index: dataset names by trigram, and how common each gram is
-    grams = view.select("dataset_id", F.explode(F.array_distinct(_grams(F.col("dataset_name"))))
-                        .alias("_gram"))
+    t = t.withColumn("_run", _literal_run(F.col("_pat")))
+    literal = t.where(F.length("_run") > 0)
+    # inverted index: dataset names by gram, and how common each gram is
+    names = F.col("dataset_name")
+    index = F.array_distinct(F.flatten(F.array(*[_grams(names, n) for n in (1, 2, 3)])))
+    grams = view.select("dataset_id", F.explode(index).alias("_gram"))
     freq = grams.groupBy("_gram").agg(F.count(F.lit(1)).alias("_n"))
     # each term meets candidates through the rarest gram of its literal piece
     # (a gram absent from every name means the term cannot match at all)
-    term_grams = long_terms.select("term", "_pat", F.explode(F.array_distinct(_grams(F.col("_run"))))
-                                   .alias("_gram"))
+    own = F.when(F.length("_run") < 3, F.array("_run")).otherwise(F.array_distinct(_grams(F.col("_run"))))
+    term_grams = literal.select("term", "_pat", F.explode(own).alias("_gram"))
     pick = (term_grams.join(freq, "_gram", "left").fillna(0, ["_n"])
             .groupBy("term", "_pat").agg(F.min_by("_gram", F.struct("_n", "_gram")).alias("_gram")))
     by_gram = (pick.join(grams, "_gram").drop("_gram")
                .join(view, "dataset_id").where(cond).drop("_pat"))
-    small_short = broadcast_if_bounded(short_terms)
-    if small_short is None:
-        raise ValueError("too many search terms without a 3-character literal piece")
-    return by_gram.unionByName(view.join(small_short, cond).drop("_pat"))
+    # only wildcards: the pattern matches every name of at least as many
+    # characters as it has underscores. Each length is met by equality.
+    least = F.length(F.regexp_replace("_pat", "%", ""))
+    blank = t.where(F.length("_run") == 0).select("term", least.alias("_least"))
+    lengths = view.select(F.length("dataset_name").alias("_length")).distinct()
+    wide = blank.select("_least").distinct().join(lengths, F.col("_least") <= F.col("_length"))
+    by_length = (view.withColumn("_length", F.length("dataset_name")).join(wide, "_length")
+                 .join(blank, "_least"))
+    return by_gram.unionByName(by_length.select(*by_gram.columns))
 
 
 def search_counts(reg: Registry, terms: DataFrame) -> DataFrame:
@@ -184,7 +192,9 @@ def search_counts(reg: Registry, terms: DataFrame) -> DataFrame:
 def partition_view(partitions: DataFrame) -> DataFrame:
     """Partitions as the dataset page shows them: a latest
     badge, a human-readable size and a UTC display time."""
-    newest = latest_partitions(partitions).select("dataset_id", F.col("partition_id").alias("_latest"))
+    # one row a dataset, materialised: the join below is of two plain
+    # shuffles then, and AQE can split a dataset with very many partitions
+    newest = materialise(latest_partitions(partitions).select("dataset_id", F.col("partition_id").alias("_latest")))
     return (partitions.join(newest, "dataset_id", "left")
             .withColumn("is_latest", F.coalesce(F.col("partition_id") == F.col("_latest"), F.lit(False)))
             .withColumn("size_display", human_size("partition_size"))

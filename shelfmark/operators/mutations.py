@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import schemas as S
-from ..functions.formats import email_in_domain, generated_name, normalize_enum
+from ..functions.formats import email_in_domain, generated_name
 from ..functions.ids import assign_ids
 from ..functions.sizing import small_side
 from ..session import materialise
@@ -28,14 +28,6 @@ def _max_id(df: DataFrame, col: str) -> int:
     return df.agg(F.max(col)).first()[0] or 0
 
 
-def _first_per(df: DataFrame, key: str) -> DataFrame:
-    """Rows that are the earliest request for their ``key`` (a grouped min
-    joined back; no window over a possibly hot key)."""
-    first = df.groupBy(key).agg(F.min("request_id").alias("_first"))
-    return (df.join(first, key).withColumn("_is_first", F.col("request_id") == F.col("_first"))
-            .drop("_first"))
-
-
 def _decide(df: DataFrame, invalid: Column, taken: DataFrame, key: str) -> DataFrame:
     """Add ``reason``: invalid request, key already registered (J5), or a
     later duplicate in the same batch; NULL means accepted."""
@@ -45,8 +37,12 @@ def _decide(df: DataFrame, invalid: Column, taken: DataFrame, key: str) -> DataF
     asked = small_side(df.select(key).distinct())
     hits = taken.select(key).join(asked, key, "left_semi").distinct()
     df = df.join(hits.withColumn("_taken", F.lit(True)), key, "left")
-    df = _first_per(df.where(F.col("_invalid").isNull()), key).unionByName(
-        df.where(F.col("_invalid").isNotNull()).withColumn("_is_first", F.lit(False)))
+    # the earliest valid request of each key: a grouped minimum, whose ids
+    # (one a key) then mark their rows; request ids are unique, so neither
+    # side of the join has a hot key
+    first = (df.where(F.col("_invalid").isNull()).groupBy(key).agg(F.min("request_id").alias("request_id"))
+             .select("request_id", F.lit(True).alias("_is_first")))
+    df = df.join(first, "request_id", "left").withColumn("_is_first", F.coalesce("_is_first", F.lit(False)))
     reason = (F.when(F.col("_invalid").isNotNull(), F.col("_invalid"))
               .when(F.col("_taken").isNotNull(), F.lit(f"{key} already registered"))
               .when(~F.col("_is_first"), F.lit(f"duplicate {key} in batch")))
@@ -54,11 +50,9 @@ def _decide(df: DataFrame, invalid: Column, taken: DataFrame, key: str) -> DataF
 
 
 def validate_configs(configs: DataFrame, managers: DataFrame) -> DataFrame:
-    """Dataset configs with enum values normalised (F8) and the first rule
-    each one breaks (C3-C5, unknown manager) in ``_reason``, or NULL."""
-    c = (configs.withColumn("format", normalize_enum("format"))
-         .withColumn("compression", normalize_enum("compression"))
-         .withColumn("classification", normalize_enum("classification")))
+    """Dataset configs with the first rule each one breaks (C3-C5, F8: enum
+    values match exactly, unknown manager) in ``_reason``, or NULL."""
+    c = configs
     mids = managers.select("manager_id").withColumn("_mgr", F.lit(True))
     c = c.join(mids, "manager_id", "left")
     reason = (
@@ -99,16 +93,19 @@ def register_datasets(reg: Registry, configs: DataFrame, now) -> tuple[Registry,
     return Registry(reg.managers, datasets, reg.partitions), rejected
 
 
-def api_key_for(email, request_id) -> Column:
-    """Deterministic UUID-shaped key (recomputation after a lost executor
-    gives the same key, which a random UUID would not)."""
-    h = F.sha2(F.concat_ws(":", email, request_id.cast("string")), 256)
+def api_key_for(email, request_id, secret: str) -> Column:
+    """UUID-shaped key: a hash keyed by the caller's secret. Nobody without
+    the secret can compute it, and recomputation after a lost executor gives
+    the same key, which a random UUID would not."""
+    h = F.sha2(F.concat_ws(":", F.lit(secret), email, request_id.cast("string")), 256)
     return F.concat_ws("-", *[F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
 
 
-def register_managers(reg: Registry, rows: DataFrame, domain: str | None, now) -> tuple[Registry, DataFrame]:
+def register_managers(reg: Registry, rows: DataFrame, domain: str | None, now,
+                      secret: str) -> tuple[Registry, DataFrame]:
     """Insert managers (``request_id, manager_email``); the address
-    must contain ``@domain`` and be unique; passwords are not handled."""
+    must contain ``@domain`` and be unique; passwords are not handled. API
+    keys are hashes keyed by ``secret``."""
     email = F.col("manager_email")
     invalid = (F.when(email.isNull(), F.lit("missing field"))
                .when(F.length(email) > S.MAX_EMAIL, F.lit("email too long"))
@@ -117,24 +114,29 @@ def register_managers(reg: Registry, rows: DataFrame, domain: str | None, now) -
     rejected = decided.where(F.col("reason").isNotNull()).select("request_id", "manager_email", "reason")
     accepted = decided.where(F.col("reason").isNull()).select(
         "request_id", "manager_email",
-        api_key_for(email, F.col("request_id")).alias("api_key"),
+        api_key_for(email, F.col("request_id"), secret).alias("api_key"),
         F.lit(False).alias("is_admin"), _ts(now).alias("created_at"), _ts(now).alias("updated_at"))
     new = assign_ids(accepted, ["request_id"], _max_id(reg.managers, "manager_id"), "manager_id")
     managers = reg.managers.unionByName(conform(new, S.MANAGERS))
     return Registry(managers, reg.datasets, reg.partitions), rejected
 
 
-def upsert_partitions(reg: Registry, rows: DataFrame, now) -> tuple[Registry, DataFrame]:
+def upsert_partitions(reg: Registry, rows: DataFrame, now, base_id: int | None = None) -> tuple[Registry, DataFrame]:
     """Register partitions (``request_id, dataset_id,
     partition_name, partition_url, partition_size``). A (dataset, name)
     that exists keeps id and created_at and takes url and size; a new one
     is inserted and raises its dataset's updated_at. The latest request per
-    key wins. ``latest``, over-long values and unknown datasets are
-    rejected."""
+    key wins. ``latest``, over-long or missing values and unknown datasets
+    are rejected. New ids follow ``base_id`` (default: the largest id in
+    ``reg``, which must then hold all partitions)."""
     key = ["dataset_id", "partition_name"]
     ds = reg.datasets.select("dataset_id").withColumn("_known", F.lit(True))
     r = rows.join(ds, "dataset_id", "left")
-    reason = (F.when(F.col("_known").isNull(), F.lit("unknown dataset"))
+    missing = None
+    for c in ("dataset_id", "partition_name", "partition_url", "partition_size"):
+        missing = F.col(c).isNull() if missing is None else missing | F.col(c).isNull()
+    reason = (F.when(missing, F.lit("missing field"))
+              .when(F.col("_known").isNull(), F.lit("unknown dataset"))
               .when(F.col("partition_name") == S.LATEST, F.lit("reserved partition name"))
               .when((F.length("partition_name") > S.MAX_NAME) | (F.length("partition_url") > S.MAX_URL),
                     F.lit("value too long")))
@@ -144,20 +146,22 @@ def upsert_partitions(reg: Registry, rows: DataFrame, now) -> tuple[Registry, Da
     # so the choice never depends on arrival order
     last = (r.where(F.col("reason").isNull()).groupBy(*key)
             .agg(F.max(F.struct("request_id", "partition_url", "partition_size")).alias("v"))
-            .select(*key, "v.partition_url", "v.partition_size"))
-    prior = reg.partitions
-    # one pass over the registry against the (checked) small request keys
-    last = small_side(materialise(last))
-    updated = (prior.drop("partition_url", "partition_size", "updated_at")
-               .join(last, key).withColumn("updated_at", _ts(now)))
-    existing = prior.select(*key).join(last.select(*key), key, "left_semi")
-    inserted = (last.join(existing, key, "left_anti")
-                .withColumn("created_at", _ts(now)).withColumn("updated_at", _ts(now)))
-    inserted = assign_ids(inserted, ["dataset_id", "partition_name"], _max_id(prior, "partition_id"),
-                          "partition_id")
-    untouched = prior.join(last.select(*key), key, "left_anti")
-    partitions = (conform(untouched, S.PARTITIONS).unionByName(conform(updated, S.PARTITIONS))
-                  .unionByName(conform(inserted, S.PARTITIONS)))
+            .select(*key, F.col("v.partition_url").alias("_url"), F.col("v.partition_size").alias("_size"),
+                    F.lit(True).alias("_asked")))
+    # one full outer join, one scan of the registry: matched rows are
+    # updated, unmatched requests inserted, the rest stays. Read twice below
+    # (rows and new rows' ids), so it is written once.
+    both = materialise(reg.partitions.join(last, key, "full"))
+    old = both.where(F.col("partition_id").isNotNull())
+    kept = (old.withColumn("partition_url", F.coalesce("_url", "partition_url"))
+            .withColumn("partition_size", F.coalesce("_size", "partition_size"))
+            .withColumn("updated_at", F.when(F.col("_asked"), _ts(now)).otherwise(F.col("updated_at"))))
+    inserted = both.where(F.col("partition_id").isNull()).select(
+        *key, F.col("_url").alias("partition_url"), F.col("_size").alias("partition_size"),
+        _ts(now).alias("created_at"), _ts(now).alias("updated_at"))
+    base = _max_id(both, "partition_id") if base_id is None else base_id
+    inserted = assign_ids(inserted, key, base, "partition_id")
+    partitions = conform(kept, S.PARTITIONS).unionByName(conform(inserted, S.PARTITIONS))
     touched = small_side(inserted.select("dataset_id").distinct()).withColumn("_ins", F.lit(True))
     datasets = (reg.datasets.join(touched, "dataset_id", "left")
                 .withColumn("updated_at", F.when(F.col("_ins"), F.greatest("updated_at", _ts(now)))

@@ -50,13 +50,22 @@ def _unique_name(table: str, cols: list[str]) -> str:
     return f"{table} unique({', '.join(cols)})"
 
 
+def _held(cols: list[str]) -> Column:
+    """Rows that a unique key concerns: SQL lets NULLs repeat."""
+    out = F.col(cols[0]).isNotNull()
+    for c in cols[1:]:
+        out = out & F.col(c).isNotNull()
+    return out
+
+
 def unique_violations(reg: Registry) -> DataFrame:
-    """Keys held by more than one row."""
+    """Keys held by more than one row (a key with a NULL never is)."""
     out = []
     for table, keys in UNIQUE.items():
         df = getattr(reg, table)
         for cols in keys:
-            dup = df.groupBy(*cols).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
+            dup = df.where(_held(cols)).groupBy(*cols).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
+            # of two columns the first is a number: the first '/' parts them
             out.append(dup.select(F.lit(_unique_name(table, cols)).alias("rule"),
                                   F.concat_ws("/", *[F.col(c).cast("string") for c in cols]).alias("key"),
                                   F.concat(F.col("n").cast("string"), F.lit(" rows")).alias("reason")))
@@ -65,16 +74,16 @@ def unique_violations(reg: Registry) -> DataFrame:
 
 def row_violations(reg: Registry, kind: str | None = None) -> DataFrame:
     """Not-null, length and domain rules, one row per broken rule;
-    ``kind`` ('not null', 'length', 'in domain') selects one family."""
+    ``kind`` ('not null', 'length', 'in domain') selects one family. Each
+    table is read once: a row carries the list of the rules it breaks."""
     out = []
     ids = {"managers": "manager_id", "datasets": "dataset_id", "partitions": "partition_id"}
     for table in S.TABLES:
-        df = getattr(reg, table)
-        for rule, bad in _rules(table).items():
-            if kind and kind not in rule:
-                continue
-            out.append(df.where(F.coalesce(bad, F.lit(False))).select(
-                F.lit(rule).alias("rule"), F.col(ids[table]).cast("string").alias("key"),
+        rules = {r: bad for r, bad in _rules(table).items() if not kind or kind in r}
+        if rules:
+            broken = F.array_compact(F.array(*[F.when(bad, F.lit(r)) for r, bad in rules.items()]))
+            out.append(getattr(reg, table).select(
+                F.explode(broken).alias("rule"), F.col(ids[table]).cast("string").alias("key"),
                 F.lit("violated").alias("reason")))
     return reduce(DataFrame.unionByName, out)
 
@@ -90,7 +99,7 @@ def constraint_report(reg: Registry) -> DataFrame:
         stack = ", ".join(f"'{r}', c{i}" for i, r in enumerate(rules))
         parts.append(sums.selectExpr(f"stack({len(rules)}, {stack}) AS (rule, violations)"))
         for cols in UNIQUE[table]:
-            n = (df.groupBy(*cols).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
+            n = (df.where(_held(cols)).groupBy(*cols).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
                  .agg(F.count(F.lit(1)).alias("violations")))
             parts.append(n.select(F.lit(_unique_name(table, cols)).alias("rule"), "violations"))
     fk = orphans(reg).groupBy("rule").agg(F.count(F.lit(1)).alias("violations"))

@@ -8,6 +8,14 @@ uses aggregates and joins), so a shared mistake is unlikely.
 
 from __future__ import annotations
 
+_FIELDS = "['station:string','reading:float','unit:string','taken_on:date','sensor_no:integer']"
+
+
+def _schema(key: str) -> str:
+    """The declared schema of a fixture dataset, fields in order of name."""
+    return f"array_to_string(list_sort(({_FIELDS})[1:{key} % 5 + 1]), ',')"
+
+
 # Fixture registry as CTEs -------------------------------------------------
 
 _FORMATS = "['plaintext','json','ndjson','csv','tsv','protobuf']"
@@ -35,6 +43,7 @@ datasets_r AS (
          ({_COMPRESSIONS})[c_custkey % 3 + 1] AS dataset_compression,
          ({_CLASSES})[c_custkey % 4 + 1] AS dataset_classification,
          CAST(c_custkey % 5 + 1 AS BIGINT) AS n_fields,
+         {_schema("c_custkey")} AS dataset_schema,
          CAST(c_nationkey AS BIGINT) AS manager_id,
          TIMESTAMP '1994-01-01 00:00:00' + c_custkey * INTERVAL 1 MINUTE AS created_at,
          TIMESTAMP '1994-01-01 00:00:00' + c_custkey * INTERVAL 1 MINUTE AS updated_at
@@ -46,7 +55,7 @@ partitions_r AS (
          'part-' || CAST(o_orderkey AS VARCHAR) || '.' ||
            concat_ws('.', ({_FORMAT_EXT})[o_custkey % 6 + 1],
                      nullif(({_COMPRESSION_EXT})[o_custkey % 3 + 1], '')) AS partition_name,
-         'cloud://org.datasets.dev.' || ({_CLASSES})[o_custkey % 4 + 1] || '/ds-' ||
+         'lake://' || ({_CLASSES})[o_custkey % 4 + 1] || '/ds-' ||
            CAST(o_custkey AS VARCHAR) || '/part-' || CAST(o_orderkey AS VARCHAR) || '.' ||
            concat_ws('.', ({_FORMAT_EXT})[o_custkey % 6 + 1],
                      nullif(({_COMPRESSION_EXT})[o_custkey % 3 + 1], '')) AS partition_url,
@@ -59,7 +68,7 @@ partitions_r AS (
 VIEW = """
 view_r AS (
   SELECT d.dataset_id, d.dataset_name, d.manager_id, m.manager_email, d.dataset_compression,
-         d.dataset_format, d.dataset_classification, d.dataset_desc, d.created_at, d.updated_at
+         d.dataset_format, d.dataset_classification, d.dataset_schema, d.dataset_desc, d.created_at, d.updated_at
   FROM datasets_r d JOIN managers_r m ON d.manager_id = m.manager_id)"""
 
 REGISTRY = "WITH " + ",".join([MANAGERS, DATASETS, PARTITIONS, VIEW])
@@ -67,7 +76,7 @@ REGISTRY = "WITH " + ",".join([MANAGERS, DATASETS, PARTITIONS, VIEW])
 _PCOLS = ("partition_id, partition_name, partition_url, partition_size, dataset_id, "
           "created_at, updated_at")
 _VCOLS = ("dataset_id, dataset_name, manager_id, manager_email, dataset_compression, "
-          "dataset_format, dataset_classification, dataset_desc, created_at, updated_at")
+          "dataset_format, dataset_classification, dataset_schema, dataset_desc, created_at, updated_at")
 
 
 def _q(body: str, *extra_ctes: str) -> str:
@@ -159,7 +168,7 @@ JOIN (SELECT partition_id, k,
 
 SQL["find_datasets"] = _q(f"""
 SELECT r.dataset_name, v.dataset_id, v.manager_id, v.manager_email, v.dataset_compression,
-       v.dataset_format, v.dataset_classification, v.dataset_desc, v.created_at, v.updated_at,
+       v.dataset_format, v.dataset_classification, v.dataset_schema, v.dataset_desc, v.created_at, v.updated_at,
        v.dataset_id IS NOT NULL AS found
 FROM (SELECT c_name AS dataset_name FROM customer UNION ALL SELECT n_name FROM nation) r
 LEFT JOIN view_r v ON v.dataset_name = r.dataset_name""")
@@ -198,7 +207,7 @@ SQL["manager_public"] = _q("SELECT manager_id, manager_email, api_key FROM manag
 
 SQL["manager_datasets"] = _q("""
 SELECT m.api_key, d.dataset_id, d.dataset_name, d.manager_id, '' AS manager_email,
-       d.dataset_compression, d.dataset_format, d.dataset_classification, d.dataset_desc,
+       d.dataset_compression, d.dataset_format, d.dataset_classification, d.dataset_schema, d.dataset_desc,
        d.created_at, d.updated_at
 FROM datasets_r d JOIN managers_r m ON m.manager_id = d.manager_id
 WHERE m.api_key IN (SELECT api_key FROM keys_r)""", _KEYS)
@@ -209,16 +218,19 @@ WHERE d.dataset_name IN (SELECT c_name FROM customer UNION ALL SELECT n_name FRO
 
 _TERMS = r"""
 terms_r AS (
-  SELECT term, regexp_replace(term, '(\\[%_\\])|\\', '\1', 'g') AS pat FROM (
+  SELECT DISTINCT term, regexp_replace('%' || term || '%', '(\\[%_\\])|\\', '\1', 'g') AS pat FROM (
     SELECT '#00000' || lpad(CAST(n_nationkey AS VARCHAR), 2, '0') AS term FROM nation
     UNION ALL SELECT '0001_' || CAST(n_nationkey AS VARCHAR) FROM nation
     UNION ALL SELECT 'r#%' || lpad(CAST(n_nationkey AS VARCHAR), 3, '0') FROM nation
     UNION ALL SELECT '\' || n_name FROM nation
-    UNION ALL SELECT '\_' || CAST(n_nationkey AS VARCHAR) FROM nation))"""
+    UNION ALL SELECT '\_' || CAST(n_nationkey AS VARCHAR) FROM nation
+    UNION ALL SELECT '0' || CAST(n_nationkey AS VARCHAR) || '\' FROM nation
+    UNION ALL SELECT '%' || repeat('_', n_nationkey) FROM nation
+    UNION ALL SELECT substr(CAST(n_nationkey AS VARCHAR), 1, 1) FROM nation))"""
 
 _SEARCH = f"""
 SELECT t.term, {', '.join('v.' + c.strip() for c in _VCOLS.split(','))}
-FROM view_r v JOIN terms_r t ON v.dataset_name LIKE '%' || t.pat || '%' ESCAPE '\\'"""
+FROM view_r v JOIN terms_r t ON v.dataset_name LIKE t.pat ESCAPE '\\'"""
 
 SQL["search_datasets"] = _q(_SEARCH, _TERMS)
 SQL["search_datasets_indexed"] = SQL["search_datasets"]
@@ -232,9 +244,9 @@ SQL["schema_fields"] = _q("""
 SELECT d.dataset_id, d.dataset_name, f.field, f.field_type,
        row_number() OVER (PARTITION BY d.dataset_id ORDER BY length(f.field), f.field) AS position
 FROM datasets_r d
-JOIN (VALUES (1, 'merchant_id', 'integer'), (2, 'merchant_name', 'string'),
-             (3, 'mrr_cents', 'integer'), (4, 'churn_rate', 'float'),
-             (5, 'last_billed', 'date')) f(i, field, field_type) ON f.i <= d.n_fields""")
+JOIN (VALUES (1, 'station', 'string'), (2, 'reading', 'float'),
+             (3, 'unit', 'string'), (4, 'taken_on', 'date'),
+             (5, 'sensor_no', 'integer')) f(i, field, field_type) ON f.i <= d.n_fields""")
 
 SQL["storage_uri"] = _q("""
 SELECT dataset_id, dataset_name, dataset_classification,
@@ -244,7 +256,7 @@ FROM datasets_r""")
 
 SQL["dataset_freshness"] = _q("""
 SELECT d.dataset_id, d.dataset_name, d.dataset_desc, d.dataset_format, d.dataset_compression,
-       d.dataset_classification, d.manager_id, d.created_at,
+       d.dataset_classification, d.dataset_schema, d.manager_id, d.created_at,
        greatest(d.updated_at, (SELECT max(p.created_at) FROM partitions_r p
                                WHERE p.dataset_id = d.dataset_id)) AS updated_at
 FROM datasets_r d""")
@@ -256,14 +268,6 @@ SELECT dataset_id, dataset_format, dataset_compression,
          AS expected_ext
 FROM datasets_r""")
 
-SQL["orphans"] = _q("""
-SELECT 'datasets.manager_id' AS rule, CAST(dataset_id AS VARCHAR) AS key,
-       'no manager ' || CAST(manager_id AS VARCHAR) AS reason
-FROM datasets_r WHERE manager_id NOT IN (SELECT manager_id FROM managers_r)
-UNION ALL
-SELECT 'partitions.dataset_id', CAST(partition_id AS VARCHAR), 'no dataset ' || CAST(dataset_id AS VARCHAR)
-FROM partitions_r WHERE dataset_id NOT IN (SELECT dataset_id FROM datasets_r)""")
-
 # Bucket notifications ----------------------------------------------------
 
 _EVENTS = r"""
@@ -303,6 +307,7 @@ decoded_r AS (
         FROM obj_r)),
 edatasets_r AS (
   SELECT CAST(user_id AS BIGINT) AS dataset_id, 'user_' || CAST(user_id AS VARCHAR) AS dataset_name,
+         """ + _schema("user_id") + r""" AS dataset_schema,
          'events of user ' || CAST(user_id AS VARCHAR) AS dataset_desc,
          (['plaintext','json','ndjson','csv','tsv','protobuf'])[user_id % 6 + 1] AS dataset_format,
          (['uncompressed','zip','gzip'])[user_id % 3 + 1] AS dataset_compression,
@@ -399,8 +404,16 @@ fold_parts_r AS (
 SQL["flatten_envelope"] = "WITH " + _EVENTS.strip() + """
 SELECT 'ack-' || CAST(event_id AS VARCHAR) AS ack_id, CAST(event_id AS VARCHAR) AS message_id,
        ts + INTERVAL 1 SECOND AS publish_time, etype AS event_type, ts AS event_time,
-       object_id, overwritten_by_generation
-FROM obj_r"""
+       object_id, overwritten_by_generation,
+       CASE WHEN event_id % 89 = 0 THEN '@@not-base64@@' ELSE base64(encode(payload)) END AS data
+FROM (SELECT *, '{"kind":"storage#object","id":"org-datasets-events/' || object_id || '/' || event_id ||
+        '","selfLink":"https://storage.example.com/b/org-datasets-events/o/' || object_id ||
+        '","name":"' || object_id || '","bucket":"org-datasets-events","generation":"' || event_id ||
+        '","metageneration":"1","contentType":"application/x-ndjson","timeCreated":"' || t ||
+        '","updated":"' || t || '","storageClass":"STANDARD","timeStorageClassUpdated":"' || t ||
+        '","size":"' || CASE WHEN event_id % 101 = 0 THEN 'n/a'
+                             ELSE CAST(CAST(round(value * 100) AS BIGINT) AS VARCHAR) END || '"}' AS payload
+      FROM (SELECT *, strftime(ts, '%Y-%m-%dT%H:%M:%S.%gZ') AS t FROM obj_r))"""
 
 SQL["decode_notifications"] = "WITH " + _EVENTS.strip() + """
 SELECT message_id, object_name, self_link, size, dataset_name, partition_name, reason FROM decoded_r"""
@@ -425,7 +438,7 @@ SELECT * FROM fold_parts_r"""
 
 SQL["fold_datasets"] = "WITH " + _EVENTS.strip() + "," + _FOLD.strip() + """
 SELECT d.dataset_id, d.dataset_name, d.dataset_desc, d.dataset_format, d.dataset_compression,
-       d.dataset_classification, d.manager_id, d.created_at,
+       d.dataset_classification, d.dataset_schema, d.manager_id, d.created_at,
        greatest(d.updated_at, i.fresh) AS updated_at
 FROM edatasets_r d LEFT JOIN ins_r i ON i.dataset_id = d.dataset_id
 WHERE d.dataset_id NOT IN (SELECT dataset_id FROM deleted_r)"""
@@ -442,9 +455,9 @@ cfg_r AS (
   SELECT s_suppkey AS request_id, CAST(s_nationkey AS BIGINT) AS manager_id,
          CASE WHEN s_suppkey % 7 = 0 THEN 'Customer#' || lpad(CAST(s_suppkey AS VARCHAR), 9, '0')
               ELSE 'supplier_ds_' || CAST(s_suppkey // 2 AS VARCHAR) END AS name,
-         lower(trim(CASE WHEN s_suppkey % 11 = 0 THEN 'Parquet'
+         (CASE WHEN s_suppkey % 11 = 0 THEN 'Parquet'
                          WHEN s_suppkey % 13 = 0 THEN upper(({_FORMATS})[s_suppkey % 6 + 1])
-                         ELSE ({_FORMATS})[s_suppkey % 6 + 1] END)) AS format,
+                         ELSE ({_FORMATS})[s_suppkey % 6 + 1] END) AS format,
          ({_COMPRESSIONS})[s_suppkey % 3 + 1] AS compression,
          ({_CLASSES})[s_nationkey % 4 + 1] AS classification,
          'supplied by ' || s_name AS description
@@ -473,8 +486,8 @@ dec_r AS (
 SQL["register_datasets"] = _q(f"""
 SELECT (SELECT max(dataset_id) FROM datasets_r) + row_number() OVER (ORDER BY request_id) AS dataset_id,
        name AS dataset_name, description AS dataset_desc, format AS dataset_format,
-       compression AS dataset_compression, classification AS dataset_classification, manager_id,
-       {_NOW} AS created_at, {_NOW} AS updated_at
+       compression AS dataset_compression, classification AS dataset_classification,
+       {_schema("request_id")} AS dataset_schema, manager_id, {_NOW} AS created_at, {_NOW} AS updated_at
 FROM dec_r WHERE reason IS NULL""", _CONFIGS)
 
 SQL["register_rejected"] = _q("""
@@ -484,7 +497,7 @@ _SIGNUPS = """
 sign_r AS (
   SELECT s_suppkey AS request_id,
          'mgr' || CAST(s_suppkey // 3 AS VARCHAR) ||
-           CASE WHEN s_suppkey % 9 = 4 THEN '@other.org' ELSE '@valid.email.com' END AS manager_email
+           CASE WHEN s_suppkey % 9 = 4 THEN '@other.org' ELSE '@registry.test' END AS manager_email
   FROM supplier),
 sdec_r AS (
   SELECT *,
@@ -497,7 +510,7 @@ sdec_r AS (
   FROM (SELECT *,
                CASE WHEN manager_email IS NULL THEN 'missing field'
                     WHEN length(manager_email) > 64 THEN 'email too long'
-                    WHEN NOT contains(manager_email, '@valid.email.com')
+                    WHEN NOT contains(manager_email, '@registry.test')
                       THEN 'email outside the domain' END AS invalid
         FROM sign_r))"""
 
@@ -509,7 +522,7 @@ SELECT (SELECT max(manager_id) FROM managers_r) + row_number() OVER (ORDER BY re
        substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-' || substr(h, 13, 4) || '-' ||
          substr(h, 17, 4) || '-' || substr(h, 21, 12),
        false, {_NOW}, {_NOW}
-FROM (SELECT *, sha256(manager_email || ':' || CAST(request_id AS VARCHAR)) AS h FROM sdec_r)
+FROM (SELECT *, sha256('test secret' || ':' || manager_email || ':' || CAST(request_id AS VARCHAR)) AS h FROM sdec_r)
 WHERE reason IS NULL""", _SIGNUPS)
 
 SQL["register_managers_rejected"] = _q("""
@@ -523,7 +536,7 @@ rows_r AS (
               ELSE 'line-' || CAST(l.l_orderkey AS VARCHAR) || '-' ||
                    CAST(CASE WHEN l.l_linenumber = 3 THEN 2 ELSE l.l_linenumber END AS VARCHAR)
          END AS partition_name,
-         'cloud://lines/' || CAST(l.l_orderkey AS VARCHAR) || '/' || CAST(l.l_linenumber AS VARCHAR)
+         'lake://lines/' || CAST(l.l_orderkey AS VARCHAR) || '/' || CAST(l.l_linenumber AS VARCHAR)
            AS partition_url,
          CAST(round(l.l_extendedprice * 100) AS BIGINT) AS partition_size
   FROM lineitem l JOIN partitions_r p ON p.partition_id = l.l_orderkey),
@@ -555,11 +568,33 @@ FROM ins_keys_r""", _UPSERTS)
 
 SQL["upsert_datasets"] = _q(f"""
 SELECT dataset_id, dataset_name, dataset_desc, dataset_format, dataset_compression,
-       dataset_classification, manager_id, created_at,
+       dataset_classification, dataset_schema, manager_id, created_at,
        CASE WHEN dataset_id IN (SELECT dataset_id FROM ins_keys_r) THEN greatest(updated_at, {_NOW})
             ELSE updated_at END AS updated_at
 FROM datasets_r""", _UPSERTS)
 
+SQL["upsert_rejected"] = _q("""
+SELECT request_id, dataset_id, nm AS partition_name,
+       CASE WHEN nm IS NULL OR request_id % 10 = 0 OR request_id % 11 = 0 THEN 'missing field'
+            ELSE 'reserved partition name' END AS reason
+FROM (SELECT *, CASE WHEN request_id % 9 <> 0 THEN partition_name END AS nm FROM rows_r)
+WHERE nm IS NULL OR nm = 'latest' OR request_id % 10 = 0 OR request_id % 11 = 0""", _UPSERTS)
+
+SQL["committed_upsert"] = SQL["upsert_partitions"]
+SQL["committed_managers"] = SQL["register_managers"]
+SQL["committed_datasets"] = SQL["register_datasets"]
+
+SQL["committed_deletes"] = _q("""
+SELECT p.* FROM partitions_r p
+WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_orderstatus = 'F' AND o.o_orderkey = p.partition_id)
+  AND p.dataset_id NOT IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'AUTOMOBILE')""")
+
+SQL["deep_pages"] = _q(f"""
+SELECT * FROM (
+  SELECT p.*, d.dataset_name, {_PPOS_P} AS position
+  FROM partitions_r p JOIN datasets_r d ON d.dataset_id = p.dataset_id)
+WHERE position > 1 AND position <= 2001""")
+
 SQL["delete_partitions"] = _q("""
 SELECT p.* FROM partitions_r p
 WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_orderstatus = 'F' AND o.o_orderkey = p.partition_id)""")
@@ -570,11 +605,12 @@ WHERE p.dataset_id NOT IN (SELECT c_custkey FROM customer WHERE c_mktsegment = '
 
 SQL["generate_datasets"] = f"""
 SELECT c_custkey + 1 AS request_id,
-       'example_dataset_' || CAST(c_custkey + 1 AS VARCHAR) || '_' ||
+       'station_readings_' || CAST(c_custkey + 1 AS VARCHAR) || '_' ||
          replace(replace(replace(replace(strftime({_NOW}, '%Y-%m-%d %H:%M:%S.%f UTC'),
                                          ':', ''), '-', ''), '.', '_'), ' ', '_') AS name,
-       'public' AS classification, 'zip' AS compression, 'protobuf' AS format,
-       'An example dataset config' AS description
+       'internal' AS classification, 'gzip' AS compression, 'ndjson' AS format,
+       'Hourly readings of all stations' AS description,
+       'hour:timestamp,mean_reading:float,station:string' AS schema
 FROM customer"""
 
 # Constraint reports over a registry loaded without constraints ---------------
@@ -593,7 +629,7 @@ ddatasets AS (
 dpartitions AS (
   SELECT CAST(l_orderkey * 8 + l_linenumber AS BIGINT) AS partition_id,
          'line-' || CAST(l_linenumber AS VARCHAR) AS partition_name,
-         'cloud://lines/' || repeat('x', CAST(l_quantity * 6 AS INTEGER)) AS partition_url,
+         'lake://lines/' || repeat('x', CAST(l_quantity * 6 AS INTEGER)) AS partition_url,
          CAST(round(l_extendedprice * 100) AS BIGINT) AS partition_size,
          CAST(l_partkey AS BIGINT) AS dataset_id, l_shipdate AS created_at, l_shipdate AS updated_at
   FROM lineitem)"""
@@ -629,6 +665,14 @@ def _report_sql() -> str:
     return _q(f"SELECT rule, CAST(coalesce(violations, 0) AS BIGINT) AS violations FROM ({body})", _DIRTY)
 
 
+SQL["orphans"] = _q("""
+SELECT 'datasets.manager_id' AS rule, CAST(dataset_id AS VARCHAR) AS key,
+       'no manager ' || CAST(manager_id AS VARCHAR) AS reason
+FROM ddatasets WHERE manager_id NOT IN (SELECT manager_id FROM dmanagers)
+UNION ALL
+SELECT 'partitions.dataset_id', CAST(partition_id AS VARCHAR), 'no dataset ' || CAST(dataset_id AS VARCHAR)
+FROM dpartitions WHERE dataset_id NOT IN (SELECT dataset_id FROM ddatasets)""", _DIRTY)
+
 SQL["constraint_report"] = _report_sql()
 
 SQL["unique_violations"] = _q("""
@@ -649,25 +693,28 @@ FROM dpartitions GROUP BY dataset_id, partition_name HAVING count(*) > 1""", _DI
 
 SQL["scan_datasets"] = _q("""
 SELECT dataset_id, dataset_name, dataset_desc, dataset_format, dataset_compression,
-       dataset_classification, manager_id, created_at, updated_at FROM datasets_r""")
+       dataset_classification, dataset_schema, manager_id, created_at, updated_at FROM datasets_r""")
 
 SQL["scan_partitions"] = _q("SELECT * FROM partitions_r")
 
 SQL["config_roundtrip"] = _q("""
 SELECT dataset_name AS name, dataset_classification AS classification,
        dataset_compression AS compression, dataset_format AS format, dataset_desc AS description,
-       n_fields FROM datasets_r""")
+       dataset_schema AS schema FROM datasets_r""")
 
 SQL["attribute_variants"] = _q(f"""
-SELECT d.kind, CAST(d.ord AS BIGINT) AS ord, d.value, CAST(count(x.v) AS BIGINT) AS datasets
-FROM (SELECT 'format' AS kind, i - 1 AS ord, ({_FORMATS})[i] AS value FROM range(1, 7) t(i)
-      UNION ALL SELECT 'compression', i - 1, ({_COMPRESSIONS})[i] FROM range(1, 4) t(i)
-      UNION ALL SELECT 'classification', i - 1, ({_CLASSES})[i] FROM range(1, 5) t(i)) d
-LEFT JOIN (SELECT 'format' AS kind, dataset_format AS v FROM datasets_r
-           UNION ALL SELECT 'compression', dataset_compression FROM datasets_r
-           UNION ALL SELECT 'classification', dataset_classification FROM datasets_r) x
-  ON x.kind = d.kind AND x.v = d.value
-GROUP BY d.kind, d.ord, d.value""")
+SELECT d.kind, string_agg(d.value, ',' ORDER BY d.ord) AS variants,
+       string_agg(CAST(d.n AS VARCHAR), ',' ORDER BY d.ord) AS datasets
+FROM (SELECT d.kind, d.ord, d.value, count(x.v) AS n
+      FROM (SELECT 'format' AS kind, i - 1 AS ord, ({_FORMATS})[i] AS value FROM range(1, 7) t(i)
+            UNION ALL SELECT 'compression', i - 1, ({_COMPRESSIONS})[i] FROM range(1, 4) t(i)
+            UNION ALL SELECT 'classification', i - 1, ({_CLASSES})[i] FROM range(1, 5) t(i)) d
+      LEFT JOIN (SELECT 'format' AS kind, dataset_format AS v FROM datasets_r
+                 UNION ALL SELECT 'compression', dataset_compression FROM datasets_r
+                 UNION ALL SELECT 'classification', dataset_classification FROM datasets_r) x
+        ON x.kind = d.kind AND x.v = d.value
+      GROUP BY d.kind, d.ord, d.value) d
+GROUP BY d.kind""")
 
 SQL["find_managers_by_email"] = _q("""
 SELECT r.manager_email, m.manager_id, m.api_key, m.manager_id IS NOT NULL AS found

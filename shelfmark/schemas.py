@@ -170,10 +170,19 @@ MESSAGE = T.StructType(
     ]
 )
 
+# Text of a pull response that is no JSON of this shape.
+UNREADABLE = "_corrupt_record"
+
 PULL_RESPONSE = T.StructType(
-    [T.StructField("receivedMessages", T.ArrayType(MESSAGE))]
+    [T.StructField("receivedMessages", T.ArrayType(MESSAGE)),
+     T.StructField(UNREADABLE, T.StringType())]
 )
 
+# Envelope fields without which a message cannot be applied.
+ENVELOPE_REQUIRED = ["ackId", "message.messageId", "message.publishTime", "message.data"] + [
+    f"message.attributes.{n}" for n in ("notificationConfig", "eventType", "eventTime", "payloadFormat",
+                                        "bucketId", "objectId", "objectGeneration")]
+
 _ACL = T.StructType(
     [
         T.StructField(n, T.StringType())

@@ -18,7 +18,6 @@ SESSION_CONF = {
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.parquet.filterPushdown": "true",
-    "spark.sql.parquet.aggregatePushdown": "true",
 }
 
 
@@ -55,8 +54,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
     On a cluster the setting names shared storage and is only read here.
-    Where it is unset (tests, the local bench) a fresh scratch folder is
-    made and registered, so lineage cuts still go through ``checkpoint()``.
+    Where it is unset a local master (tests, the bench) gets a fresh scratch
+    folder, so lineage cuts still go through ``checkpoint()``; any other
+    master is refused, since executors would not see that folder.
     """
     try:
         sc = spark.sparkContext
@@ -64,6 +64,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return spark.conf.get("spark.checkpoint.dir", None)
     path = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not path:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         path = tempfile.mkdtemp(prefix="shelfmark-ckpt-",
                                 dir=os.environ.get("TMPDIR", "/tmp"))
     if not sc.getCheckpointDir():

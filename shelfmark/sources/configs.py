@@ -8,21 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas as S
-from ..functions.formats import normalize_enum
 
 
 def read_dataset_configs(spark: SparkSession, path: str) -> DataFrame:
-    """dd.json files → typed config rows (one JSON object per file), enum
-    values lower-cased; ``source`` is the file the row came from. ``path``
+    """dd.json files → typed config rows (one JSON object per file); enum
+    values must be written exactly; ``source`` is the file the row came from. ``path``
     is a glob, a file, or a folder (read recursively, e.g. an export)."""
     reader = spark.read.schema(S.DATASET_CONFIG).option("multiLine", True)
     if not any(ch in path for ch in "*?[{"):
         reader = reader.option("recursiveFileLookup", True)
     df = reader.json(path)
-    return (df.withColumn("source", F.input_file_name())
-            .withColumn("format", normalize_enum("format"))
-            .withColumn("compression", normalize_enum("compression"))
-            .withColumn("classification", normalize_enum("classification")))
+    return df.withColumn("source", F.input_file_name())
 
 
 def export_configs(datasets: DataFrame, out: str) -> None:
@@ -39,7 +35,6 @@ def export_configs(datasets: DataFrame, out: str) -> None:
     ))
     (datasets.select(F.col("dataset_classification").alias("classification"),
                      F.col("dataset_name").alias("name"), body.alias("value"))
-     .repartition("classification", "name")
      .write.mode("overwrite").partitionBy("classification", "name").text(out))
 
 

@@ -23,15 +23,15 @@ from ..functions.formats import domain_value, expected_ext
 from ..functions.sizing import spread
 from .registry import Registry, conform
 
-# Fixed fixture values.
+# Values of the derived tables.
 EMAIL_DOMAIN = "example.com"
 BUCKET = "org-datasets-events"
 SCHEMA_FIELDS = [
-    ("merchant_id", "integer"),
-    ("merchant_name", "string"),
-    ("mrr_cents", "integer"),
-    ("churn_rate", "float"),
-    ("last_billed", "date"),
+    ("station", "string"),
+    ("reading", "float"),
+    ("unit", "string"),
+    ("taken_on", "date"),
+    ("sensor_no", "integer"),
 ]
 DATASETS_EPOCH = "1994-01-01 00:00:00"
 EVENT_DATASETS_EPOCH = "2023-12-01 00:00:00"
@@ -134,7 +134,7 @@ def partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
         o.select(
             F.col("o_orderkey").alias("partition_id"),
             name.alias("partition_name"),
-            F.concat(F.lit("cloud://org.datasets.dev."), cls, F.lit("/ds-"), ds.cast("string"),
+            F.concat(F.lit("lake://"), cls, F.lit("/ds-"), ds.cast("string"),
                      F.lit("/"), name).alias("partition_url"),
             F.round(F.col("o_totalprice") * 100).cast("long").alias("partition_size"),
             ds.alias("dataset_id"),
@@ -205,7 +205,8 @@ def notifications(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("size").alias("size"),
     )
     data = F.when(eid % 89 == 0, F.lit(UNDECODABLE)).otherwise(
-        F.base64(F.encode(F.to_json(payload), "utf-8")))
+        # without the line breaks that Spark puts in
+        F.regexp_replace(F.base64(F.encode(F.to_json(payload), "utf-8")), r"[\r\n]", ""))
     return ev.select(
         F.concat(F.lit("ack-"), eid.cast("string")).alias("ack_id"),
         eid.cast("string").alias("message_id"),
@@ -309,7 +310,7 @@ def dirty_registry(spark: SparkSession, sf_dir: str) -> Registry:
     parts = conform(li.select(
         (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("partition_id"),
         F.concat(F.lit("line-"), F.col("l_linenumber").cast("string")).alias("partition_name"),
-        F.concat(F.lit("cloud://lines/"), F.repeat(F.lit("x"), (F.col("l_quantity") * 6).cast("int")))
+        F.concat(F.lit("lake://lines/"), F.repeat(F.lit("x"), (F.col("l_quantity") * 6).cast("int")))
         .alias("partition_url"),
         F.round(F.col("l_extendedprice") * 100).cast("long").alias("partition_size"),
         F.col("l_partkey").alias("dataset_id"),

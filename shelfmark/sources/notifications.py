@@ -9,11 +9,12 @@ from .. import schemas as S
 
 
 def read_notifications(spark: SparkSession, path: str, max_files_per_trigger: int | None = None) -> DataFrame:
-    """Streaming DataFrame of pull responses (column ``receivedMessages``).
+    """Streaming DataFrame of pull responses: ``receivedMessages``, and the
+    text of a response that can't be read.
     ``max_files_per_trigger`` bounds a micro-batch, as the pull size does.
     ``path`` is a folder of JSON-lines files or a glob such as ``<dir>/*``
     for files in sub-folders (the glob is matched again on every trigger)."""
-    reader = spark.readStream.schema(S.PULL_RESPONSE)
+    reader = spark.readStream.schema(S.PULL_RESPONSE).option("columnNameOfCorruptRecord", S.UNREADABLE)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     return reader.json(path)
@@ -21,7 +22,7 @@ def read_notifications(spark: SparkSession, path: str, max_files_per_trigger: in
 
 def read_notifications_batch(spark: SparkSession, path: str) -> DataFrame:
     """The same files as one batch (backfill)."""
-    return spark.read.schema(S.PULL_RESPONSE).json(path)
+    return spark.read.schema(S.PULL_RESPONSE).option("columnNameOfCorruptRecord", S.UNREADABLE).json(path)
 
 
 # RFC 3339 with microseconds, the precision Spark timestamps carry.
@@ -44,5 +45,6 @@ def read_notifications_kafka(spark: SparkSession, bootstrap_servers: str, topic:
     if max_offsets_per_trigger:
         reader = reader.option("maxOffsetsPerTrigger", max_offsets_per_trigger)
     return (reader.load()
-            .select(F.from_json(F.col("value").cast("string"), S.PULL_RESPONSE).alias("r"))
-            .select("r.receivedMessages"))
+            .select(F.from_json(F.col("value").cast("string"), S.PULL_RESPONSE,
+                                {"columnNameOfCorruptRecord": S.UNREADABLE}).alias("r"))
+            .select("r.*"))

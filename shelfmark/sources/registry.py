@@ -60,7 +60,7 @@ def _fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def exists(spark: SparkSession, path: str) -> bool:
     fs, p = _fs(spark, path)
     return fs.exists(p)
 
@@ -75,7 +75,7 @@ def committed_versions(spark: SparkSession, root: str) -> list[int]:
 
 
 def is_committed(spark: SparkSession, root: str, version: int) -> bool:
-    return _exists(spark, os.path.join(root, "_commits", str(version)))
+    return exists(spark, os.path.join(root, "_commits", str(version)))
 
 
 def latest_version(spark: SparkSession, root: str) -> int | None:
@@ -115,12 +115,12 @@ def bucket_versions(spark: SparkSession, root: str, version: int,
     driver). Read from the version's bucket map; older layouts fall back
     to every version's list of written buckets."""
     mapped = os.path.join(root, "_bucketmap", table, f"v={version}")
-    if _exists(spark, mapped):
+    if exists(spark, mapped):
         return {r["bucket"]: r["v"] for r in
                 spark.read.schema("bucket int, v int").parquet(mapped).collect()}
     committed = [v for v in committed_versions(spark, root) if v <= version]
     listing = os.path.join(root, "_buckets", table)
-    if not committed or not _exists(spark, listing):
+    if not committed or not exists(spark, listing):
         return {}
     listed = (spark.read.schema("bucket int, v int").parquet(listing)
               .where(F.col("v").isin(committed))
@@ -136,7 +136,7 @@ def load_bucketed(spark: SparkSession, root: str, table: str, version: int,
         if only_buckets is not None and b not in only_buckets:
             continue
         path = os.path.join(root, table, f"v={v}", f"bucket={b}")
-        if _exists(spark, path):        # a listed bucket without rows is empty
+        if exists(spark, path):        # a listed bucket without rows is empty
             paths.append(path)
     if not paths:
         return spark.createDataFrame([], S.TABLES[table])
@@ -162,7 +162,7 @@ def read_side_table(spark: SparkSession, root: str, name: str, version: int, sch
     """A table stored next to a registry version (pending, dead letters);
     empty when that version has none."""
     path = os.path.join(root, name, f"v={version}")
-    if version < 0 or not _exists(spark, path):
+    if version < 0 or not exists(spark, path):
         return spark.createDataFrame([], schema)
     return spark.read.schema(schema).parquet(path)
 

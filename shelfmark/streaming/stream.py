@@ -7,8 +7,10 @@ Each micro-batch of pull responses is folded into the registry inside
     → write the next registry version (+ pending, dead letters, meta)
     → commit marker
 
-State is the registry itself. Each version records the last stream batch
-it holds, so a replayed batch (after a failure between the sink's write
+State is the registry itself. Each version records, for every stream that
+has written to the registry, the last batch it holds. Batch ids belong to a
+stream's checkpoint, so that a new checkpoint on an old registry starts a
+stream of its own. A replayed batch (after a failure between the sink's write
 and the stream's checkpoint commit) is recognised and skipped even when
 registrations or retries made versions in between; a batch that failed
 before its commit marker is simply written again.
@@ -17,6 +19,7 @@ Ordering holds inside a batch only, as in the reference.
 
 from __future__ import annotations
 
+import json
 import os
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,13 +28,13 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from .. import schemas as S
-from ..operators import fold
+from ..operators import fold, mutations
 from ..operators.events import (DELETE_DATASET, DELETE_PARTITION, RETRY, UPSERT, dead_letters,
                                 decode_notifications, flatten_envelope, route_events)
 from ..session import checkpoint_dir, materialise
 from ..sources.notifications import read_notifications
 from ..sources.registry import (Registry, bucket_of, commit_snapshot, committed_versions,
-                                latest_version, load_bucketed, load_partitions, load_registry,
+                                exists, latest_version, load_bucketed, load_partitions, load_registry,
                                 read_side_table)
 
 # Actions that change partition rows (their datasets' buckets are rewritten).
@@ -60,15 +63,15 @@ DEAD = T.StructType([
 ])
 
 
-# One row per version: the largest partition id ever assigned, and the
-# last stream batch folded in (-1: none). Versions are also made by
-# registrations, retries and compaction, so batch ids and versions differ.
+# One row per version: the largest partition id ever assigned, and by stream
+# the last batch folded in. Versions are also made by registrations, other
+# mutations, retries and compaction, so batch ids and versions differ.
 META = T.StructType([T.StructField("max_partition_id", T.LongType()),
-                     T.StructField("last_batch_id", T.LongType())])
+                     T.StructField("batches", T.MapType(T.StringType(), T.LongType()))])
 
 
-def _meta(spark: SparkSession, max_id: int, last_batch_id: int) -> DataFrame:
-    return spark.createDataFrame([(int(max_id), int(last_batch_id))], META)
+def _meta(spark: SparkSession, max_id: int, batches: dict[str, int]) -> DataFrame:
+    return spark.createDataFrame([(int(max_id), batches)], META)
 
 
 def _read_meta(spark: SparkSession, root: str, version: int):
@@ -85,10 +88,16 @@ def max_partition_id(spark: SparkSession, root: str, version: int) -> int:
     return load_registry(spark, root, version).partitions.agg(F.max("partition_id")).first()[0] or 0
 
 
-def last_batch_id(spark: SparkSession, root: str, version: int) -> int:
-    """The last stream batch whose messages are in ``version`` (-1: none)."""
+def last_batches(spark: SparkSession, root: str, version: int) -> dict[str, int]:
+    """By stream, the last batch whose messages are in ``version``."""
     row = _read_meta(spark, root, version)
-    return -1 if row is None or row["last_batch_id"] is None else row["last_batch_id"]
+    return {} if row is None or row["batches"] is None else dict(row["batches"])
+
+
+def stream_id(spark: SparkSession, checkpoint: str) -> str:
+    """The id that Structured Streaming wrote into a checkpoint folder."""
+    row = spark.read.text(os.path.join(checkpoint, "metadata")).first()
+    return json.loads(row["value"])["id"]
 
 
 def init_registry(reg: Registry, root: str) -> None:
@@ -96,20 +105,23 @@ def init_registry(reg: Registry, root: str) -> None:
     spark = reg.datasets.sparkSession
     if not committed_versions(spark, root):
         max_id = reg.partitions.agg(F.max("partition_id")).first()[0] or 0
-        commit_snapshot(reg, root, 0, side={"_meta": _meta(spark, max_id, -1)})
+        commit_snapshot(reg, root, 0, side={"_meta": _meta(spark, max_id, {})})
 
 
 def apply_decoded(spark: SparkSession, decoded: DataFrame, root: str,
-                  batch_id: int | None = None) -> int:
+                  batch_id: int | None = None, stream: str = "") -> int:
     """Fold decoded messages (plus pending ones) into the newest committed
     registry and commit the result as the next version; returns the
-    version. ``batch_id`` (a stream batch) makes it idempotent: a batch the
-    newest version already holds is not applied again. An interrupted
-    version (no commit marker) is simply written again."""
+    version. ``batch_id`` (a batch of ``stream``) makes it idempotent: a
+    batch of that stream that the newest version already holds is not
+    applied again. An interrupted version (no commit marker) is simply
+    written again."""
     prev = latest_version(spark, root)
-    done = last_batch_id(spark, root, prev)
-    if batch_id is not None and batch_id <= done:
-        return prev
+    batches = last_batches(spark, root, prev)
+    if batch_id is not None:
+        if batch_id <= batches.get(stream, -1):
+            return prev
+        batches[stream] = batch_id
     version = prev + 1
     reg = load_registry(spark, root, prev)
     pending = read_side_table(spark, root, "pending", prev, DECODED)
@@ -139,17 +151,18 @@ def apply_decoded(spark: SparkSession, decoded: DataFrame, root: str,
     commit_snapshot(new_reg, root, version, touched_buckets=touched, side={
         "pending": new_pending,
         "dead_letters": dead_letters(batch).select(*DEAD.fieldNames()),
-        "_meta": _meta(spark, max(base_id, new_max), done if batch_id is None else batch_id),
+        "_meta": _meta(spark, max(base_id, new_max), batches),
     })
     return version
 
 
-def apply_batch(root: str):
-    """The ``foreachBatch`` function for registry ``root``."""
+def apply_batch(root: str, checkpoint: str | None = None):
+    """The ``foreachBatch`` function for registry ``root``; ``checkpoint``
+    is the stream's checkpoint folder, whose id guards against replays."""
     def apply(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         decoded = decode_notifications(flatten_envelope(batch))
-        apply_decoded(spark, decoded, root, batch_id)
+        apply_decoded(spark, decoded, root, batch_id, stream_id(spark, checkpoint) if checkpoint else "")
     return apply
 
 
@@ -160,7 +173,7 @@ def start_stream(spark: SparkSession, source: str, root: str, checkpoint: str,
     pull delay) or, with ``available_now``, one pass over what is there."""
     checkpoint_dir(spark)
     stream = read_notifications(spark, source, max_files_per_trigger)
-    writer = stream.writeStream.foreachBatch(apply_batch(root)).option("checkpointLocation", checkpoint)
+    writer = stream.writeStream.foreachBatch(apply_batch(root, checkpoint)).option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if available_now else \
         writer.trigger(processingTime=processing_time)
     return writer.start()
@@ -178,30 +191,95 @@ def current(spark: SparkSession, root: str) -> tuple[Registry, DataFrame]:
     return load_registry(spark, root, v), read_side_table(spark, root, "pending", v, DECODED)
 
 
+def all_dead_letters(spark: SparkSession, root: str) -> DataFrame:
+    """The dead letters of all committed versions, with their version."""
+    folder = os.path.join(root, "dead_letters")
+    versions = committed_versions(spark, root)
+    fields = DEAD.fields + [T.StructField("v", T.IntegerType())]
+    if not versions or not exists(spark, folder):
+        return spark.createDataFrame([], T.StructType(fields))
+    return (spark.read.schema(T.StructType(fields)).parquet(folder)
+            .where(F.col("v").isin(versions)).withColumnRenamed("v", "version"))
+
+
 def registry_root(spark: SparkSession, name: str) -> str:
     """A registry folder under the shared checkpoint folder."""
     return os.path.join(checkpoint_dir(spark), name)
 
 
+# ---------------------------------------------------------------------------
+# Mutations against the stored registry
+# ---------------------------------------------------------------------------
+
+def _buckets(ids: DataFrame) -> list[int]:
+    """The buckets of some dataset ids (at most BUCKETS numbers)."""
+    return [r["b"] for r in ids.where("dataset_id is not null").select(bucket_of("dataset_id").alias("b"))
+            .distinct().collect()]
+
+
+def _commit(spark: SparkSession, root: str, prev: int, reg: Registry, partitions: list[int], datasets: list[int],
+            max_id: int | None = None) -> int:
+    """``reg`` as the version after ``prev``: only the named buckets are
+    written, pending messages and stream positions are carried over."""
+    known = max_partition_id(spark, root, prev)
+    commit_snapshot(reg, root, prev + 1, touched_buckets=partitions, touched_dataset_buckets=datasets, side={
+        "pending": read_side_table(spark, root, "pending", prev, DECODED),
+        "dead_letters": spark.createDataFrame([], DEAD),
+        "_meta": _meta(spark, max(known, max_id or 0), last_batches(spark, root, prev))})
+    return prev + 1
+
 
 def register_and_commit(spark: SparkSession, root: str, configs: DataFrame, now) -> tuple[int, DataFrame]:
     """M1 against the stored registry: register dataset configs as a new
     committed version (pending messages carried over, so a later
     ``retry_pending`` or batch can apply them). Returns (version, rejected)."""
-    from ..operators.mutations import register_datasets
     prev = latest_version(spark, root)
-    version = prev + 1
     reg = load_registry(spark, root, prev)
-    new_reg, rejected = register_datasets(reg, configs, now)
-    pending = read_side_table(spark, root, "pending", prev, DECODED)
+    new_reg, rejected = mutations.register_datasets(reg, configs, now)
     # only the buckets of the new datasets are written; partitions unchanged
     new_ids = new_reg.datasets.join(reg.datasets.select("dataset_id"), "dataset_id", "left_anti")
-    buckets = [r["b"] for r in new_ids.select(bucket_of("dataset_id").alias("b")).distinct().collect()]
-    commit_snapshot(new_reg, root, version, touched_buckets=[], touched_dataset_buckets=buckets, side={
-        "pending": pending,
-        "dead_letters": spark.createDataFrame([], DEAD),
-        "_meta": _meta(spark, max_partition_id(spark, root, prev), last_batch_id(spark, root, prev))})
-    return version, rejected
+    return _commit(spark, root, prev, new_reg, [], _buckets(new_ids)), rejected
+
+
+def sign_up_and_commit(spark: SparkSession, root: str, rows: DataFrame, domain: str | None, now,
+                       secret: str) -> tuple[int, DataFrame]:
+    """M2 against the stored registry. Returns (version, rejected)."""
+    prev = latest_version(spark, root)
+    new_reg, rejected = mutations.register_managers(load_registry(spark, root, prev), rows, domain, now, secret)
+    return _commit(spark, root, prev, new_reg, [], []), rejected
+
+
+def upsert_and_commit(spark: SparkSession, root: str, rows: DataFrame, now) -> tuple[int, DataFrame]:
+    """M3 against the stored registry: reads and writes only the buckets of
+    the requests' datasets. Returns (version, rejected)."""
+    prev = latest_version(spark, root)
+    reg = load_registry(spark, root, prev)
+    touched = _buckets(rows.select("dataset_id"))
+    part = reg._replace(datasets=load_bucketed(spark, root, "datasets", prev, only_buckets=touched),
+                        partitions=load_partitions(spark, root, prev, only_buckets=touched))
+    new_reg, rejected = mutations.upsert_partitions(part, rows, now, max_partition_id(spark, root, prev))
+    max_id = new_reg.partitions.agg(F.max("partition_id")).first()[0]
+    return _commit(spark, root, prev, new_reg, touched, touched, max_id), rejected
+
+
+def delete_partitions_and_commit(spark: SparkSession, root: str, requests: DataFrame) -> int:
+    """M5 against the stored registry; returns the version."""
+    prev = latest_version(spark, root)
+    reg = load_registry(spark, root, prev)
+    touched = _buckets(requests.select("dataset_id"))
+    part = reg._replace(partitions=load_partitions(spark, root, prev, only_buckets=touched))
+    return _commit(spark, root, prev, mutations.delete_partitions(part, requests), touched, [])
+
+
+def delete_datasets_and_commit(spark: SparkSession, root: str, requests: DataFrame) -> int:
+    """M6 against the stored registry (partitions go too); returns the version."""
+    prev = latest_version(spark, root)
+    reg = load_registry(spark, root, prev)
+    gone = reg.datasets.join(requests.select("dataset_name").distinct(), "dataset_name", "left_semi")
+    touched = _buckets(gone.select("dataset_id"))
+    part = reg._replace(datasets=load_bucketed(spark, root, "datasets", prev, only_buckets=touched),
+                        partitions=load_partitions(spark, root, prev, only_buckets=touched))
+    return _commit(spark, root, prev, mutations.delete_datasets(part, requests), touched, touched)
 
 
 def backfill(spark: SparkSession, source: str, root: str) -> int:
@@ -223,6 +301,6 @@ def compact(spark: SparkSession, root: str) -> int:
     commit_snapshot(reg, root, version, side={
         "pending": read_side_table(spark, root, "pending", prev, DECODED),
         "dead_letters": spark.createDataFrame([], DEAD),
-        "_meta": _meta(spark, max_partition_id(spark, root, prev), last_batch_id(spark, root, prev)),
+        "_meta": _meta(spark, max_partition_id(spark, root, prev), last_batches(spark, root, prev)),
     })
     return version

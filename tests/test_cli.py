@@ -21,7 +21,7 @@ def test_cli_generate_retry_compact(spark):
     assert main(["generate", "--root", root, "--config", os.path.join(HERE, "data", "dd.json"),
                  "--count", "7", "--manager-id", "1"]) == 0
     names = [r.dataset_name for r in load_registry(spark, root).datasets.collect()]
-    assert len(names) == 7 and all(n.startswith("example_dataset_") for n in names)
+    assert len(names) == 7 and all(n.startswith("tide_levels_") for n in names)
     assert main(["retry", "--root", root]) == 0
     assert main(["compact", "--root", root]) == 0
     assert stream.committed_versions(spark, root) == [0, 1, 2, 3]

@@ -9,14 +9,14 @@ from shelfmark.operators import listing
 
 # (object path, dataset, partition) — the reference's unit pairs plus edge cases
 PATHS = [
-    ("example_dataset/2020/03/25/some_partition.pb.tar.gz", "example_dataset",
+    ("some_dataset/2020/03/25/some_partition.pb.tar.gz", "some_dataset",
      "2020/03/25/some_partition.pb.tar.gz"),
     ("o7hrlkjbasd/___pattern-1/23456/some_partition.pb.tar.gz", "o7hrlkjbasd",
      "___pattern-1/23456/some_partition.pb.tar.gz"),
     ("w/1_1__1___1_____1---3343-:some_partition.pb.tar.gz", "w",
      "1_1__1___1_____1---3343-:some_partition.pb.tar.gz"),
     ("__r34-d--de-fsine3/s", "__r34-d--de-fsine3", "s"),
-    ("example_dataset", "example_dataset", None),
+    ("some_dataset", "some_dataset", None),
     ("o7hrlkjbasd", "o7hrlkjbasd", None),
     ("a/a/x.csv", "a", "x.csv"),
     ("a/", "a", ""),
@@ -66,14 +66,14 @@ def test_display_ts(spark):
 
 def test_generated_name(spark):
     row = spark.sql("SELECT TIMESTAMP_NTZ'2021-02-03 04:05:06.789' AS t").select(
-        formats.generated_name(F.lit("example_dataset"), F.lit(7), F.col("t")).alias("n")).first()
-    assert row.n == "example_dataset_7_20210203_040506_789000_UTC"
+        formats.generated_name(F.lit("some_dataset"), F.lit(7), F.col("t")).alias("n")).first()
+    assert row.n == "some_dataset_7_20210203_040506_789000_UTC"
 
 
 def test_email_in_domain(spark):
-    df = spark.createDataFrame([("abc@valid.email.com",), ("abc@other.org",),
-                                ("x@valid.email.com.evil.org",)], "e string")
-    got = [r.ok for r in df.select(formats.email_in_domain("e", "valid.email.com").alias("ok")).collect()]
+    df = spark.createDataFrame([("abc@registry.test",), ("abc@other.org",),
+                                ("x@registry.test.evil.org",)], "e string")
+    got = [r.ok for r in df.select(formats.email_in_domain("e", "registry.test").alias("ok")).collect()]
     assert got == [True, False, True]  # a substring test, as in the reference
     assert df.select(formats.email_in_domain("e", None).alias("ok")).where("ok").count() == 3
 
@@ -96,7 +96,7 @@ def test_dataframe_wrappers(spark):
     from shelfmark.operators.mutations import generate_n_datasets
     df = parse_paths(spark.createDataFrame([("a/a/x.csv",)], "object_name string"))
     assert df.select("dataset_name", "partition_name").first() == ("a", "x.csv")
-    tpl = {"name": "example_dataset", "classification": "public", "compression": "zip",
+    tpl = {"name": "some_dataset", "classification": "public", "compression": "zip",
            "format": "protobuf", "description": "d", "schema": {"id": "integer"}}
     rows = generate_n_datasets(spark, tpl, 50, "2020-01-01 00:00:00").collect()
-    assert len(rows) == 50 and rows[0].name.startswith("example_dataset_1_20200101_000000")
+    assert len(rows) == 50 and rows[0].name.startswith("some_dataset_1_20200101_000000")

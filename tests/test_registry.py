@@ -17,7 +17,7 @@ NOW = "2021-06-01 00:00:00"
 
 def registry(spark, names=("ds",), n_parts=0, part_step_ms=100):
     managers = spark.createDataFrame(
-        [(1, "owner@valid.email.com", "key-1", False, T0, T0)], S.MANAGERS)
+        [(1, "owner@registry.test", "key-1", False, T0, T0)], S.MANAGERS)
     ds = [(i + 1, n, "desc", "csv", "gzip", "public", {"id": "integer"}, 1,
            T0 + dt.timedelta(seconds=i), T0 + dt.timedelta(seconds=i)) for i, n in enumerate(names)]
     parts = [(i + 1, f"p{i:02d}.csv.tar.gz", f"cloud://x/p{i}", 1000 + i, 1,
@@ -131,11 +131,10 @@ def test_register_from_config(spark, tmp_path):
     reg = registry(spark, ["other"])
     new, rejected = mutations.register_datasets(reg, cfg, NOW)
     assert rejected.count() == 0
-    row = new.datasets.where("dataset_name = 'example_dataset'").first()
-    assert row.dataset_schema == {"id": "integer", "merchant_name": "string", "mrr_cents": "integer",
-                                  "churn_rate": "float", "subs_gained": "integer", "subs_lost": "integer"}
+    row = new.datasets.where("dataset_name = 'tide_levels'").first()
+    assert row.dataset_schema == {"harbour": "string", "measured_at": "timestamp", "level_cm": "float"}
     assert (row.dataset_format, row.dataset_compression, row.dataset_classification) == \
-        ("protobuf", "zip", "public")
+        ("csv", "gzip", "public")
     assert row.dataset_id == 2
     # the same config again conflicts with the registered name
     _, rejected = mutations.register_datasets(new, cfg, NOW)
@@ -143,19 +142,19 @@ def test_register_from_config(spark, tmp_path):
     # export writes one folder per classification and name
     out = str(tmp_path / "export")
     configs.export_configs(new.datasets, out)
-    back = spark.read.json(configs.config_path(out, "public", "example_dataset"))
-    assert back.first()["schema"]["subs_lost"] == "integer"
+    back = spark.read.json(configs.config_path(out, "public", "tide_levels"))
+    assert back.first()["schema"]["level_cm"] == "float"
 
 
 def test_managers(spark):
     reg = registry(spark)
-    rows = spark.createDataFrame([(1, "a@valid.email.com"), (2, "b@elsewhere.org"), (3, "a@valid.email.com"),
-                                  (4, "owner@valid.email.com")], "request_id long, manager_email string")
-    new, rejected = mutations.register_managers(reg, rows, "valid.email.com", NOW)
+    rows = spark.createDataFrame([(1, "a@registry.test"), (2, "b@elsewhere.org"), (3, "a@registry.test"),
+                                  (4, "owner@registry.test")], "request_id long, manager_email string")
+    new, rejected = mutations.register_managers(reg, rows, "registry.test", NOW, "s")
     assert {r.request_id: r.reason for r in rejected.collect()} == {
         2: "email outside the domain", 3: "duplicate manager_email in batch",
         4: "manager_email already registered"}
-    m = new.managers.where("manager_email = 'a@valid.email.com'").first()
+    m = new.managers.where("manager_email = 'a@registry.test'").first()
     assert m.manager_id == 2 and len(m.api_key) == 36
     found = lookup.find_managers(new.managers, spark.createDataFrame([(m.api_key,), ("nope",)], "api_key string"))
     assert {r.api_key: r.found for r in found.collect()} == {m.api_key: True, "nope": False}
@@ -204,4 +203,4 @@ def test_config_reader_paths(spark, tmp_path):
     by_glob = configs.read_dataset_configs(spark, os.path.join(here, "data", "*.json"))
     by_dir = configs.read_dataset_configs(spark, os.path.join(here, "data"))
     for df in (single, by_glob, by_dir):
-        assert [r.name for r in df.collect()] == ["example_dataset"]
+        assert [r.name for r in df.collect()] == ["tide_levels"]

@@ -13,26 +13,25 @@ the message's event_time:
   messages of that dataset in the batch see an unknown dataset.
 * retry: kept for the next batch (pending); everything else has no effect.
 
-Set form. Everything is per-key aggregation with map-side partial
-aggregation, joined back to the messages; there is no per-key window. The
-summaries are materialised before they are joined back: both sides of a
-join-back are then plain shuffles, which is the shape that AQE's skew rule
-splits, so a dataset or a file holding a third of the batch never sits in
-one task. Per key
-``(dataset_id, partition_name)``:
+Set form. The batch is cut into ``SLICES`` ranges of event time. Messages of
+one key ``(dataset_id, partition_name)`` and one slice meet in a window,
+where each sees the one before it; a hot key, or a dataset holding a third
+of the batch, is thus dealt out over the slices. A slice gives one row per
+key, and a second window over these (at most ``SLICES`` a key) sees the last
+action of the slice before. Per key:
 
 * ``lu``/``ld``: last upsert / last delete; the key survives iff lu > ld.
-* ``fa``: first upsert after ld: the start of the surviving incarnation.
-* ``d*``: last delete before lu; the newest real insert is the first upsert
-  after d*, or the first upsert overall when there is no such delete and
-  the key did not exist before the batch.
+* ``fu``: first upsert.
+* ``turn``: the last upsert whose previous message of the key is a delete:
+  the newest real insert, and the start of the surviving incarnation. Without
+  one these are ``fu``, if the key did not exist before the batch.
 """
 
 from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import schemas as S
@@ -44,6 +43,9 @@ from .events import DEAD_LETTER, DELETE_DATASET, DELETE_PARTITION, RETRY, UPSERT
 
 KEY = ["dataset_id", "partition_name"]
 
+# Ranges of event time that a batch is cut into.
+SLICES = 32
+
 
 def order_key() -> Column:
     return F.struct("event_time", "publish_time", "message_id")
@@ -86,7 +88,7 @@ def materialise_batch(routed: DataFrame) -> DataFrame:
 
 
 def summarise(reg: Registry, routed: DataFrame, eff: DataFrame | None = None) -> Summary:
-    """Per-key summary of a batch (the three aggregate passes)."""
+    """Per-key summary of a batch."""
     if eff is None:
         eff = materialise_batch(routed)
     keyed = eff.where(F.col("action").isin(UPSERT, DELETE_PARTITION)).select(
@@ -96,32 +98,37 @@ def summarise(reg: Registry, routed: DataFrame, eff: DataFrame | None = None) ->
     is_del = F.col("action") == DELETE_PARTITION
     o = F.col("_o")
 
-    # pass 1: last upsert, last delete, first upsert, values of the last upsert
-    p1 = materialise(keyed.groupBy(*KEY).agg(
-        F.max(F.when(is_up, o)).alias("lu"),
-        F.max(F.when(is_del, o)).alias("ld"),
+    # one pass over the materialised batch: bounds of the slices, and how
+    # many distinct keys (deleted datasets) there can be at most
+    micros = F.unix_micros(F.col("event_time").cast("timestamp"))
+    n_keys, n_deleted, bounds = eff.agg(
+        F.count(F.when(F.col("action").isin(UPSERT, DELETE_PARTITION), F.lit(1))),
+        F.count(F.when(F.col("action") == DELETE_DATASET, F.lit(1))),
+        F.percentile_approx(micros, [i / SLICES for i in range(1, SLICES)]),
+    ).first()
+    cut = F.lit(0)
+    for x in sorted(set(bounds or [])):
+        cut = cut + F.when(micros > F.lit(x), 1).otherwise(0)
+    sliced = keyed.withColumn("slice", cut)
+    before = F.lag("action").over(Window.partitionBy(*KEY, "slice").orderBy("_o"))
+    runs = sliced.withColumn("_before", before).groupBy(*KEY, "slice").agg(
+        F.max(F.when(is_up, o)).alias("lu"), F.max(F.when(is_del, o)).alias("ld"),
         F.min(F.when(is_up, o)).alias("fu"),
+        F.max(F.when(is_up & (F.col("_before") == DELETE_PARTITION), o)).alias("turn"),
+        F.min_by("action", o).alias("first"),
         F.max_by(F.when(is_up, F.struct("partition_url", "partition_size", "event_time")),
-                 F.when(is_up, o)).alias("last"),
-    ))
-    # pass 2: first upsert after ld, last delete before lu
-    p2 = materialise(keyed.join(p1.select(*KEY, "lu", "ld"), KEY).groupBy(*KEY).agg(
-        F.min(F.when(is_up & (F.col("ld").isNull() | (o > F.col("ld"))), o)).alias("fa"),
-        F.max(F.when(is_del & (o < F.col("lu")), o)).alias("dstar"),
-    ))
-    # pass 3: first upsert after d*
-    p3 = keyed.join(p2.where(F.col("dstar").isNotNull()).select(*KEY, "dstar"), KEY).groupBy(*KEY).agg(
-        F.min(F.when(is_up & (o > F.col("dstar")), o)).alias("fstar"))
+                 F.when(is_up, o)).alias("last"))
+    ends_deleted = F.col("ld").isNotNull() & (F.col("lu").isNull() | (F.col("ld") > F.col("lu")))
+    after_delete = F.lag(ends_deleted).over(Window.partitionBy(*KEY).orderBy("slice"))
+    # the slice's first message is the turn if the slice before ends deleted
+    turn = F.coalesce("turn", F.when((F.col("first") == UPSERT) & F.coalesce(after_delete, F.lit(False)), F.col("fu")))
+    per_key = runs.withColumn("turn", turn).groupBy(*KEY).agg(
+        F.max("lu").alias("lu"), F.max("ld").alias("ld"), F.min("fu").alias("fu"), F.max("turn").alias("turn"),
+        F.max_by("last", "lu").alias("last"))
 
     # The registry is large and a batch is not: the batch's keys and deleted
     # datasets are broadcast (after a size check) so the registry is scanned
     # map-side, never shuffled, for every lookup against it.
-    # one pass over the materialised batch bounds both sizes: there are no
-    # more distinct keys (deleted datasets) than key (delete) messages
-    n_keys, n_deleted = eff.agg(
-        F.count(F.when(F.col("action").isin(UPSERT, DELETE_PARTITION), F.lit(1))),
-        F.count(F.when(F.col("action") == DELETE_DATASET, F.lit(1))),
-    ).first()
     small = n_keys <= MAX_BROADCAST_ROWS
     touched = keyed.select(*KEY).distinct()
     touched = F.broadcast(touched) if small else touched
@@ -130,12 +137,11 @@ def summarise(reg: Registry, routed: DataFrame, eff: DataFrame | None = None) ->
     prior = reg.partitions.join(touched, KEY).select(
         *KEY, F.lit(True).alias("had"), F.col("partition_id").alias("prior_id"),
         F.col("created_at").alias("prior_created"), F.col("updated_at").alias("prior_updated"))
-    keys = (p1.join(p2, KEY).join(p3, KEY, "left").join(prior, KEY, "left")
-            .withColumn("had", F.coalesce("had", F.lit(False))))
+    keys = per_key.join(prior, KEY, "left").withColumn("had", F.coalesce("had", F.lit(False)))
     survives = F.col("lu").isNotNull() & (F.col("ld").isNull() | (F.col("lu") > F.col("ld")))
-    last_ins = (F.when(F.col("dstar").isNotNull(), F.col("fstar"))
-                .when(F.col("lu").isNotNull() & ~F.col("had"), F.col("fu")))
-    keys = materialise(keys.withColumn("survives", survives).withColumn("last_ins", last_ins))
+    last_ins = F.coalesce("turn", F.when(~F.col("had"), F.col("fu")))
+    keys = materialise(keys.withColumn("survives", survives).withColumn("last_ins", last_ins)
+                       .withColumn("fa", F.coalesce("turn", "fu")))
     return Summary(eff, keys, touched, deleted, small)
 
 

@@ -10,13 +10,16 @@ equal to their similarity, with the concentration of independent trials.
 Bands of four coordinates give candidate buckets: with 32 bands a pair at
 similarity 0.85 is missed with probability below 1e-10 (0.8: 5e-8).
 
-Links are confirmed on the full sets, exactly. Equal word sequences are one
-node. In a bucket only the pairs with a centre (its least node) are
-confirmed first; linked nodes then become one component. In buckets that
-still hold several components further centres, taken from the smaller ones,
-are compared with the nodes of other components, until each bucket is one
-component or each of its pairs across components was refused. So no link is
-lost, and a group of n copies costs about n comparisons, not n squared.
+Links are confirmed on the full sets, exactly, and equal word sequences are
+one node. First each bucket's nodes are compared with its least node, in
+buckets of four, eight and sixteen coordinates; linked nodes become one
+component. A group of n near copies thus costs about n comparisons. What is
+left are buckets of several components. Their pairs across components are
+judged by a second, larger sketch, block against block: a pair goes on to
+the exact comparison unless so few of its ``LARGE`` coordinates agree that a
+link has a probability below ``LOSS``. A pair is looked at in the first
+bucket it shares only. Big buckets are dealt out over blocks of ``BLOCK``
+nodes, so that no task holds a whole group.
 
 Defined results: a null text or one without words has an empty set and is
 linked with nothing; rows of equal ids are one document (its rows share the
@@ -27,6 +30,7 @@ gives an empty result; only the id and text columns are read.
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -38,8 +42,9 @@ from .components import components
 from .hashing import Hashes, mix, times
 
 SIZE, BAND = 128, 4
-#: Centres a bucket takes in each round after the first.
-CENTRES = 8
+#: Coordinates of the second sketch (their last eight bits are kept), the
+#: probability of losing a link by it, and nodes of a bucket in one block.
+LARGE, LOSS, BLOCK = 1024, 1e-8, 512
 
 _M1, _M2 = 0x9E3779B97F4A7C15, 0x94D049BB133111EB
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -152,6 +157,94 @@ def _confirm(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFr
     return rows.select("a", "b", "ta", "tb").mapInArrow(run, "u long, v long")
 
 
+def _wider(keys: np.ndarray) -> np.ndarray:
+    """Bucket keys of two and of four neighbouring bands."""
+    two = mix(keys[:, ::2] ^ mix(keys[:, 1::2]))
+    four = mix(two[:, ::2] ^ mix(two[:, 1::2]))
+    return np.concatenate([two, four], axis=1)
+
+
+def _wide_keys(batches):
+    for b in batches:
+        keys = np.array(b.column("keys").to_pylist(), dtype=np.int64).view(np.uint64)
+        wide = _wider(keys).view(np.int64) if len(keys) else []
+        yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(list(wide), pa.list_(pa.int64()))],
+                                         names=["node", "keys"])
+
+
+def _signatures(k: int):
+    """The large sketch of each text, eight bits a coordinate."""
+    def run(batches):
+        for b in batches:
+            texts = [word_list(t.as_py()) for t in b.column("text")]
+            h, owner = shingle_hashes(texts, k)
+            low = (sketch(h, owner, len(texts), LARGE) & np.uint64(255)).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([x.tobytes() for x in low], pa.binary())],
+                                             names=["node", "sig"])
+    return run
+
+
+def least_agreement(similarity: float, size: int = LARGE, loss: float = LOSS) -> int:
+    """Agreeing coordinates that a pair at ``similarity`` has but for a
+    probability of ``loss`` (Chernoff's bound)."""
+    for x in range(int(similarity * size), 0, -1):
+        q = x / size
+        distance = q * math.log(q / similarity) + (1 - q) * math.log((1 - q) / (1 - similarity))
+        if size * distance >= -math.log(loss):
+            return x
+    return 0
+
+
+def _across(percent: int):
+    """Blocks of one bucket (rows sorted by bucket and block): pairs of
+    different components that may be linked."""
+    least = least_agreement(percent / 100)
+    names = ["key", "i", "j", "band", "left", "node", "n", "component", "keys", "sig"]
+
+    def pairs(rows):
+        left = [r for r in rows if r[4]]
+        right = [r for r in rows if not r[4]]
+        if not left or not right:
+            return [], []
+        band = rows[0][3]
+        node, n, comp = (np.array([r[c] for r in right], dtype=np.int64) for c in (5, 6, 7))
+        keys = np.array([r[8] for r in right], dtype=np.int64)
+        sig = np.frombuffer(b"".join(r[9] for r in right), dtype=np.uint8).reshape(len(right), -1)
+        a, b = [], []
+        for r in left:
+            fit = (comp != r[7]) & (100 * np.minimum(n, r[6]) >= percent * np.maximum(n, r[6]))
+            at = np.flatnonzero(fit)
+            if not len(at):
+                continue
+            # of the buckets that both are in, this must be the first
+            at = at[(keys[at] == np.array(r[8], dtype=np.int64)).argmax(axis=1) == band]
+            at = at[(sig[at] == np.frombuffer(r[9], dtype=np.uint8)).sum(axis=1) >= least]
+            for x in node[at].tolist():
+                a.append(min(x, r[5]))
+                b.append(max(x, r[5]))
+        return a, b
+
+    def run(batches):
+        rows = []
+        for batch in batches:
+            for r in zip(*(batch.column(c).to_pylist() for c in names)):
+                if rows and r[:3] != rows[-1][:3]:
+                    a, b = pairs(rows)
+                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+                    rows = []
+                rows.append(r)
+        a, b = pairs(rows) if rows else ([], [])
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return run
+
+
+def _star(rows: DataFrame, name: str) -> DataFrame:
+    """(key, a): the buckets of two or more nodes with their least node."""
+    return stored(rows.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("z"))
+                  .where("a < z").select("key", "a"), name)
+
+
 def groups(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id",
            text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row."""
@@ -164,56 +257,60 @@ def groups(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id
                     .where("n > 1").select("digest", "node"), "copies")
     rows = stored(every.select("doc_id", "n_shingles", "digest").join(copies, "digest", "left")
                   .select("doc_id", "n_shingles", F.coalesce("node", "doc_id").alias("node")), "nodes")
-    nodes = (every.join(copies, "digest", "left").where("node is null or node = doc_id")
-             .where("doc_id is not null")
-             .select(F.col("doc_id").alias("node"), "n_shingles", F.explode("keys").alias("key")))
-
-    # buckets of two or more nodes, with their least node as first centre
-    bucket = stored(nodes.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("z"))
-                    .where("a < z").select("key", "a"), "buckets")
-    live = stored(nodes.join(bucket, "key").select("key", "a", "node", "n_shingles"), "bucket-rows")
-    size = live.groupBy("node").agg(F.min("n_shingles").alias("n"))
-    size = stored(size, "bucket-nodes")
-    texts = stored(src.join(size.select(F.col("node").alias("doc_id")), "doc_id", "left_semi"), "bucket-texts")
-
-    def able(p: DataFrame) -> DataFrame:
-        """Distinct pairs whose set sizes alone don't rule the link out."""
-        na = size.select(F.col("node").alias("a"), F.col("n").alias("na"))
-        nb = size.select(F.col("node").alias("b"), F.col("n").alias("nb"))
-        return p.distinct().join(na, "a").join(nb, "b").where(
-            100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).select("a", "b")
-
-    pairs = stored(able(live.where("a != node").select("a", F.col("node").alias("b"))), "pairs")
+    own = (every.join(copies, "digest", "left").where("node is null or node = doc_id")
+           .where("doc_id is not null and n_shingles > 0")
+           .select(F.col("doc_id").alias("node"), "n_shingles", "keys"))
+    banded = own.select("node", F.posexplode("keys").alias("band", "key"))
+    bucket = _star(banded, "buckets")
+    live = stored(banded.join(bucket, "key"), "bucket-rows")
+
+    # the nodes that share a bucket: their keys, set sizes and texts
+    members = stored(own.join(live.select("node").distinct(), "node", "left_semi")
+                     .groupBy("node").agg(F.min(F.struct(F.col("n_shingles").alias("n"), "keys")).alias("x"))
+                     .select("node", "x.n", "x.keys"), "bucket-nodes")
+    texts = stored(src.join(members.select(F.col("node").alias("doc_id")), "doc_id", "left_semi"), "bucket-texts")
+
+    # stars in buckets of four, eight and sixteen coordinates
+    wide = stored(members.select("node", "keys").mapInArrow(_wide_keys, "node long, keys array<long>")
+                  .select("node", F.explode("keys").alias("key")), "wide-rows")
+    pairs = live.select("a", F.col("node").alias("b")).unionByName(
+        wide.join(_star(wide, "wide-buckets"), "key").select("a", F.col("node").alias("b"))).where("a < b").distinct()
+    sizes = members.select(F.col("node").alias("a"), F.col("n").alias("na"))
+    pairs = stored(pairs.join(sizes, "a").join(sizes.toDF("b", "nb"), "b").where(
+        100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).select("a", "b"), "pairs")
     links = stored(_confirm(pairs, texts, k, percent), "links")
     label = components(links)
-    tested = pairs
-    used = bucket.select("key", F.col("a").alias("node"))
-    live = live.select("key", "node")
-
-    while True:
-        # rows that were no centre yet, in buckets of several components
-        rest = live.join(used, ["key", "node"], "left_anti").join(label, "node", "left").select(
-            "key", "node", F.coalesce("component", "node").alias("component"))
-        mixed = rest.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
-        rest = stored(rest.join(mixed.select("key"), "key", "left_semi"), "mixed-rows")
-        if not rest.limit(1).count():
-            break
-        shares = rest.groupBy("key", "component").agg(F.count("*").alias("n"))
-        largest = stored(shares.groupBy("key").agg(F.max(F.struct("n", "component"))["component"].alias("largest")), "largest")
-        small = rest.join(largest, "key").where("component != largest")
-        centre = stored(small.groupBy("key", F.pmod(F.xxhash64("node"), F.lit(CENTRES)).alias("slot"))
-                        .agg(F.min(F.struct("node", "component")).alias("c"))
-                        .select("key", F.col("c.node").alias("a"), F.col("c.component").alias("ca")), "centres")
-        new = (rest.join(centre, "key").where("component != ca")
-               .select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")))
-        fresh = stored(able(new).join(tested, ["a", "b"], "left_anti"), "pairs")
-        found = stored(_confirm(fresh, texts, k, percent), "links")
-        tested = tested.unionByName(fresh)
-        used = used.unionByName(centre.select("key", F.col("a").alias("node")))
-        live = rest.select("key", "node")
-        if found.limit(1).count():
-            links = links.unionByName(found)
-            label = components(links)
+
+    # buckets that still hold several components
+    coloured = stored(live.select("key", "band", "node").join(label, "node", "left").select(
+        "key", "band", "node", F.coalesce("component", "node").alias("component")), "coloured-rows")
+    shares = coloured.groupBy("key", "component").agg(F.count("*").alias("n"))
+    mixed = stored(shares.groupBy("key").agg(
+        F.max(F.struct("n", "component"))["component"].alias("largest"), F.sum("n").alias("size"),
+        (F.sum("n") - F.max("n")).alias("minor")).where("minor > 0"), "mixed-buckets")
+    if mixed.limit(1).count():
+        blocks = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
+        slot = lambda c: F.pmod(F.xxhash64("node"), blocks(c)).cast("int")
+        rest = coloured.join(mixed, "key")
+        # rows of the smaller components against all rows, block by block
+        all_ = lambda c: F.explode(F.sequence(F.lit(0), blocks(c) - 1))
+        left = rest.where("component != largest").select(
+            "key", "band", "node", "component", F.lit(True).alias("left"), slot("minor").alias("i"), all_("size").alias("j"))
+        right = rest.select(
+            "key", "band", "node", "component", F.lit(False).alias("left"), all_("minor").alias("i"), slot("size").alias("j"))
+        both = left.unionByName(right)
+        nodes = members.join(rest.select("node").distinct(), "node", "left_semi")
+        signed = stored(texts.join(nodes.select(F.col("node").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "text")
+                        .mapInArrow(_signatures(k), "node long, sig binary"), "signatures")
+        n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        found = (both.join(signed, "node").join(members, "node")
+                 .select("key", "i", "j", "band", "left", "node", "n", "component", "keys", "sig")
+                 .repartition(n, "key", "i", "j").sortWithinPartitions("key", "i", "j")
+                 .mapInArrow(_across(percent), "a long, b long"))
+        fresh = stored(found.distinct().join(pairs, ["a", "b"], "left_anti"), "pairs-across")
+        more = stored(_confirm(fresh, texts, k, percent), "links-across")
+        if more.limit(1).count():
+            label = components(links.unionByName(more))
 
     out = rows.join(label, "node", "left")
     component = F.coalesce("component", "node")

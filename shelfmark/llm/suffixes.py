@@ -41,14 +41,14 @@ from .hashing import BASES, Hashes, mix
 LENGTH = 200
 #: Anchor lengths, the first for all classes, the others for hot ones.
 ANCHORS = (50, 100, 150, 200)
-HOT = 20_000
+HOT = 4_000
 #: Bytes of text hashed at once; the windows of longer texts are dealt out
 #: over several pieces.
 PIECE = 4_000_000
 #: Bytes of blocks that are suffix-sorted at once, at least one class.
 SORTED = 1_000_000
-#: Rows that may be broadcast, after a count; more are joined by a shuffle.
-BROADCAST_ROWS = 500_000
+#: Document keys (12 bytes each) that may be broadcast, after a count.
+BROADCAST_KEYS = 1_000_000
 
 _PLACE = 24                                   # bits of a place in a piece
 _LOW = np.uint64((1 << _PLACE) - 1)
@@ -265,9 +265,15 @@ def _sorted_spans(batches):
 
 # --- the operator ---------------------------------------------------------
 
-def _bounded(df: DataFrame, rows: int) -> DataFrame:
-    """``df`` to broadcast if it has at most ``rows`` rows, else as it is."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def _parted(docs: DataFrame, lists: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """(documents that ``lists`` is about, the others), parted in the scan by
+    a broadcast of their keys where these are few enough, so that the others'
+    texts are not shuffled; beyond the bound (all documents, None)."""
+    keys = lists.select("doc", "h")
+    if keys.limit(BROADCAST_KEYS + 1).count() > BROADCAST_KEYS:
+        return docs, None
+    keys = F.broadcast(keys)
+    return docs.join(keys, ["doc", "h"], "left_semi"), docs.join(keys, ["doc", "h"], "left_anti")
 
 
 def _row_key(id_col: Column, text: Column) -> tuple[Column, Column]:
@@ -280,7 +286,8 @@ def _row_key(id_col: Column, text: Column) -> tuple[Column, Column]:
 def _fetch(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """The bytes of the wanted blocks (doc, h, a, c, n, q, lr)."""
     lists = wanted.groupBy("doc", "h").agg(F.collect_list(F.struct("a", "c", "n", "q", "lr")).alias("wanted"))
-    rows = docs.join(_bounded(stored(lists, "wanted-blocks"), BROADCAST_ROWS), ["doc", "h"])
+    lists = stored(lists, "wanted-blocks")
+    rows = _parted(docs, lists)[0].join(lists.hint("merge"), ["doc", "h"])
 
     def run(batches):
         for b in batches:
@@ -377,7 +384,11 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ho
 def _without(src: DataFrame, lists: DataFrame) -> DataFrame:
     """The rows with what is left of their texts, by the starts of repeated
     windows."""
-    joined = src.join(_bounded(lists, BROADCAST_ROWS), ["doc", "h"], "left")
+    mine, others = _parted(src, lists)
+    joined = mine.join(lists.hint("merge"), ["doc", "h"], "left").select("doc_id", "text", "starts")
+    if others is not None:
+        nothing = F.lit(None).cast(lists.schema["starts"].dataType).alias("starts")
+        joined = joined.unionByName(others.select("doc_id", "text", nothing))
     span = T.StructType([T.StructField("start", T.LongType()), T.StructField("stop", T.LongType())])
     schema = T.StructType([src.schema["doc_id"], *(T.StructField(n, T.LongType()) for n in ("n_bytes", "n_removed", "n_spans")),
                            T.StructField("kept_sha256", T.StringType()), T.StructField("spans", T.ArrayType(span))])

@@ -79,13 +79,13 @@ def test_email_in_domain(spark):
 
 
 def test_attribute_variants(spark):
-    row = listing.attribute_variants(spark).first()
-    assert row.format_variants == S.FORMATS and row.compression_variants == S.COMPRESSIONS
-    assert row.classification_variants == S.CLASSIFICATIONS
-    for v in ("protobuf", "ndjson"):
-        assert v in row.format_variants
-    assert "internal" in row.classification_variants and "confidential" in row.classification_variants
-    assert "uncompressed" in row.compression_variants
+    rows = [("csv", "zip", "public"), ("csv", "gzip", "public"), ("json", "zip", "internal")]
+    ds = spark.createDataFrame(rows, "dataset_format string, dataset_compression string, dataset_classification string")
+    got = {r.kind: dict(zip(r.variants.split(","), map(int, r.datasets.split(",")))) for r in
+           listing.attribute_variants(ds).collect()}
+    assert {k: list(v) for k, v in got.items()} == {
+        "format": S.FORMATS, "compression": S.COMPRESSIONS, "classification": S.CLASSIFICATIONS}
+    assert got["format"]["csv"] == 2 and got["format"]["tsv"] == 0 and got["classification"]["internal"] == 1
     kinds = {r.kind: r.n for r in listing.domain_table(spark).groupBy("kind").agg(
         F.count("*").alias("n")).collect()}
     assert kinds == {"format": 6, "compression": 3, "classification": 4}

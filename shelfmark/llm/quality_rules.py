@@ -232,5 +232,8 @@ def filter_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     # judged in the row itself: the document rides along under its own struct
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc_id"),
                        F.col("text"))
-    kept = judge(rows, rules).where("kept")
+    # a row number in the condition keeps it above the statistics: pushed
+    # below them it would hold a copy of each statistic for each use of it
+    kept = (judge(rows, rules).withColumn("row", F.monotonically_increasing_id())
+            .where("kept and row >= 0"))
     return kept.select(*[F.col("doc_id").getField(c).alias(c) for c in docs.columns])

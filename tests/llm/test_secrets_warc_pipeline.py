@@ -147,3 +147,41 @@ def test_every_operator_is_registered():
     for n in range(1, 11):
         assert sum(bool(re.match(rf"op{n}_", x)) for x in names) == 1
     assert os.path.isdir(SF)
+
+
+NAMED = [("password = \"Tr0ub4dor&3\"", "Tr0ub4dor&3"), ("password: 'S3cr3t!Pass.word#2024'", "S3cr3t!Pass.word#2024"),
+         ("connect postgres://u:p4ssw0rd12@host/db", "p4ssw0rd12"), ("DB_PASSWORD=hunter2!x end", "hunter2!x"),
+         ("AWS_SECRET_ACCESS_KEY=wJalrXUtnFEMI/K7MDENG/bPxRfiCYzzkeyzzkey", "wJalrXUtnFEMI/K7MDENG/bPxRfiCYzzkeyzzkey"),
+         ("auth_token = qXvBnMzKpLwRtYsDfGhJ", "qXvBnMzKpLwRtYsDfGhJ"), ("the password is Zk9!pq7x now", "Zk9!pq7x")]
+
+
+def test_values_that_a_name_stands_before(llm, trees):
+    """Short values, marks inside, letters alone and names joined by = are
+    found as such, judged and replaced; plain words stay."""
+    plain = "the password is wrong, author: Jane, auth_token = get_token() and a neighbourhood in wintertime"
+    rows = [(i, f"walks {t}") for i, (t, _) in enumerate(NAMED)] + [(100, plain), (101, 'password = "" and token =')]
+    docs = documents(llm, rows)
+    got = {(r.doc_id, r.candidate): r for r in S.scan(docs, trees).collect()}
+    for i, (t, value) in enumerate(NAMED):
+        assert got[i, value].is_secret, t
+        assert f"walks {t}"[got[i, value].start:][:len(value)] == value
+    clean = {r.doc_id: r.text for r in S.redacted(docs, trees).collect()}
+    for i, (t, value) in enumerate(NAMED):
+        assert clean[i] == f"walks {t}".replace(value, "[SECRET]")
+    assert clean[100] == plain and clean[101] == 'password = "" and token ='
+
+
+def test_findings_not_found_are_misses(llm, trees):
+    """Recall and precision with every labelled finding in the sum."""
+    held = S.labelled_findings(llm, 9000).subtract(S.labelled_findings(llm, 6000))
+    rows = held.select("candidate", "left", "right", "path", "label").collect()
+    d = llm.createDataFrame([(i, f"{r.left}{r.candidate}{r.right}", r.path) for i, r in enumerate(rows)],
+                            "doc_id long, text string, source string")
+    hit = {}
+    for r in S.scan(d, trees).where("is_secret").collect():
+        at = len(rows[r.doc_id].left)
+        if r.start < at + len(rows[r.doc_id].candidate) and r.start + len(r.candidate) > at:
+            hit[r.doc_id] = True
+    good = sum(bool(r.label) for r in rows)
+    true = sum(bool(rows[i].label) for i in hit)
+    assert true >= 0.9 * good and true >= 0.9 * len(hit)

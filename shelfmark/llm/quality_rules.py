@@ -4,7 +4,8 @@ Text statistics are DataFrame expressions over the whole text. A decision
 list is learned from labelled statistics by sequential covering: a rule is
 grown greedily (FOIL gain over threshold tests) on two thirds of the
 labelled rows, pruned from its end on the other third, kept if it is
-precise there, and the rows it covers are removed before the next rule.
+precise there, and the rows it covers are removed before the next rule; of
+one that is not kept, only the bad rows that it was grown on are set aside.
 The list becomes one ordered ``when(...).when(...)`` expression, so judging
 a corpus is a projection of the scan: no shuffle and no Python.
 
@@ -31,6 +32,9 @@ FIT_ROWS = 10_000
 MAX_TESTS, MAX_RULES, CUTS = 3, 12, 24
 #: A rule stays if so much of what it covers among the pruning rows is bad.
 PRECISION = 0.97
+#: With wrong labels among them: or if even the lower confidence bound (normal
+#: quantile ``Z``) closes this part of the gap from the base rate to 1.
+GAIN, Z = 0.8, 1.96
 #: Least bad rows that a rule covers among the growing rows.
 SUPPORT = 8
 
@@ -169,19 +173,33 @@ def _prune(rows: list, tests: list[Test]) -> list[Test]:
     return tests[:max(range(1, len(tests) + 1), key=worth)] if tests else tests
 
 
+def _precise(p: int, n: int, base: float) -> bool:
+    """Whether a rule that covers ``p`` bad and ``n`` good pruning rows stays;
+    ``base`` is the share of bad rows."""
+    if not p:
+        return False
+    share, total = p / (p + n), p + n
+    # Wilson's lower bound
+    low = (share + Z * Z / (2 * total) - Z * math.sqrt(share * (1 - share) / total + Z * Z / (4 * total * total))) / (1 + Z * Z / total)
+    return share >= PRECISION or low >= base + GAIN * (1 - base)
+
+
 def learn(rows: list[tuple[dict, bool]], names: list[str] = RATIOS) -> list[list[Test]]:
     """Ordered rules (conjunctions) for bad rows; ``rows``: (statistics, bad)."""
     grow = [x for i, x in enumerate(rows) if i % 3 != 2]
     prune = [x for i, x in enumerate(rows) if i % 3 == 2]
+    base = sum(bad for _, bad in prune) / max(1, len(prune))
     rules: list[list[Test]] = []
     while len(rules) < MAX_RULES and sum(bad for _, bad in grow) >= SUPPORT:
         tests = _prune(prune, _grow(grow, names))
-        p, n = _counts(prune, tests)
-        if not tests or not p or p / (p + n) < PRECISION:
+        if not tests:
             break
-        rules.append(tests)
         left = lambda part: [x for x in part if not all(t.holds(x[0]) for t in tests)]
-        grow, prune = left(grow), left(prune)
+        if _precise(*_counts(prune, tests), base):
+            rules.append(tests)
+            grow, prune = left(grow), left(prune)
+        else:               # later rules are still judged on all that it covers
+            grow = [x for x in grow if not (x[1] and all(t.holds(x[0]) for t in tests))]
     return rules
 
 

@@ -54,6 +54,34 @@ def test_learned_list_rejects_and_keeps(llm):
     assert left.columns == docs.columns and left.count() == sum(q for *_, q in rows)
 
 
+def stats(rng, **given):
+    return {n: rng.random() / 10 for n in Q.RATIOS} | given
+
+
+def test_an_imprecise_rule_hides_no_other():
+    """Many rows that only one in five labels call good, and few of another
+    kind that all call bad."""
+    rng = random.Random(4)
+    rows = [(stats(rng, symbol_share=0.9), rng.random() < 0.8) for _ in range(900)]
+    rows += [(stats(rng, exclaim_share=0.9), True) for _ in range(150)] + [(stats(rng), False) for _ in range(3000)]
+    rng.shuffle(rows)
+    rules = Q.learn(rows)
+    fires = lambda **given: any(all(t.holds(stats(rng, **given)) for t in r) for r in rules)
+    assert fires(exclaim_share=0.9) and not fires() and not fires(symbol_share=0.9)
+
+
+def test_wrong_labels_leave_rules():
+    """Six in a hundred labels are wrong: most bad rows are still told apart."""
+    rng = random.Random(5)
+    rows = []
+    for i in range(3000):
+        bad = i % 4 == 0
+        rows.append((stats(rng, symbol_share=0.9) if bad else stats(rng), bad != (rng.random() < 0.06)))
+    rules = Q.learn(rows)
+    fires = lambda **given: any(all(t.holds(stats(rng, **given)) for t in r) for r in rules)
+    assert sum(fires(symbol_share=0.9) for _ in range(500)) > 250 and sum(fires() for _ in range(500)) < 10
+
+
 def test_without_labels_the_base_decides(llm):
     docs = documents(llm, EDGES)
     empty = llm.createDataFrame([], "doc_id long, quality int")

@@ -185,3 +185,19 @@ def test_findings_not_found_are_misses(llm, trees):
     good = sum(bool(r.label) for r in rows)
     true = sum(bool(rows[i].label) for i in hit)
     assert true >= 0.9 * good and true >= 0.9 * len(hit)
+
+
+def test_forest_on_contexts_not_learned_from(llm):
+    """Whole templates are held out: every third."""
+    seen, unseen = ([t for i, t in enumerate(S.TEMPLATES) if (i % 3 == 2) == held] for held in (False, True))
+    assert not {t[1:3] for t in seen} & {t[1:3] for t in unseen}
+    forest = S.train(S.labelled_findings(llm, 3000, seen))
+    rows = S.labelled_findings(llm, 3000, unseen).collect()
+    d = llm.createDataFrame([(i, f"{r.left}{r.candidate}{r.right}", r.path) for i, r in enumerate(rows)],
+                            "doc_id long, text string, source string")
+    hit = {r.doc_id for r in S.scan(d, forest).where("is_secret").collect()
+           if r.start < len(rows[r.doc_id].left + rows[r.doc_id].candidate)
+           and r.start + len(r.candidate) > len(rows[r.doc_id].left)}
+    true, good = sum(rows[i].label for i in hit), sum(r.label for r in rows)
+    print(f"precision {true / len(hit):.3f}, recall {true / good:.3f} of {good} secrets in {len(rows)} findings")
+    assert true >= 0.85 * good and true >= 0.7 * len(hit)

@@ -129,7 +129,12 @@ def route_events(decoded: DataFrame, datasets: DataFrame, narrow: bool = False)
         names = small_side(decoded.select("dataset_name").where(F.col("dataset_name").isNotNull())
                            .distinct())
         ds = ds.join(names, "dataset_name", "left_semi")
-    r = decoded.join(ds, "dataset_name", "left")
+    return with_actions(decoded.join(ds, "dataset_name", "left"))
+
+
+def with_actions(r: DataFrame) -> DataFrame:
+    """The routing table for messages that know their ``dataset_id`` (null:
+    there is none at that time)."""
     p, et = F.col("partition_name"), F.col("event_type")
     known = F.col("dataset_id").isNotNull()
     too_long = (F.length(p) > S.MAX_NAME) | (F.length("self_link") > S.MAX_URL)

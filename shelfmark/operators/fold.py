@@ -13,12 +13,12 @@ the message's event_time:
   messages of that dataset in the batch see an unknown dataset.
 * retry: kept for the next batch (pending); everything else has no effect.
 
-Set form. The batch is cut into ``SLICES`` ranges of event time. Messages of
-one key ``(dataset_id, partition_name)`` and one slice meet in a window,
-where each sees the one before it; a hot key, or a dataset holding a third
-of the batch, is thus dealt out over the slices. A slice gives one row per
-key, and a second window over these (at most ``SLICES`` a key) sees the last
-action of the slice before. Per key:
+Set form. The batch is range partitioned and sorted by key
+``(dataset_id, partition_name)`` and order, and kept so: a task's stretch of
+one key is a run, as long as a task is large, and a hot key has many. A run
+becomes one row: its first action, its last upsert and delete, and its last
+upsert that follows a delete. A key's runs are then put together in order (at
+most one a task), each seeing how the one before it ended. Per key:
 
 * ``lu``/``ld``: last upsert / last delete; the key survives iff lu > ld.
 * ``fu``: first upsert.
@@ -39,13 +39,11 @@ from ..functions.ids import assign_ids
 from ..functions.sizing import MAX_BROADCAST_ROWS, small_side
 from ..session import materialise
 from ..sources.registry import Registry, conform
-from .events import DEAD_LETTER, DELETE_DATASET, DELETE_PARTITION, RETRY, UPSERT, unknown_action
+from .events import DEAD_LETTER, DELETE_DATASET, DELETE_PARTITION, RETRY, UPSERT, unknown_action, with_actions
+from .mutations import accepted_configs, validate_configs
 
 KEY = ["dataset_id", "partition_name"]
 
-# Ranges of event time that a batch is cut into.
-SLICES = 32
-
 
 def order_key() -> Column:
     return F.struct("event_time", "publish_time", "message_id")
@@ -82,45 +80,46 @@ def pending_messages(routed: DataFrame) -> DataFrame:
 
 
 def materialise_batch(routed: DataFrame) -> DataFrame:
-    """The routed batch materialised once (lineage cut) with its effective
-    actions; every later pass reads it."""
-    return effective_actions(materialise(routed))
+    """The routed batch in runs, materialised once (lineage cut), with its
+    effective actions; every later pass reads it. The shuffle's partitions
+    follow the advisory size, so a run is bounded by bytes."""
+    keyed = routed.withColumn("_o", order_key())
+    runs = keyed.repartitionByRange(*KEY, "_o").sortWithinPartitions(*KEY, "_o")
+    return effective_actions(materialise(runs.withColumn("_run", F.spark_partition_id())))
+
+
+def action_counts(eff: DataFrame) -> dict[str, int]:
+    """Messages by effective action (a handful of rows)."""
+    return {r["action"]: r["count"] for r in eff.groupBy("action").count().collect()}
 
 
-def summarise(reg: Registry, routed: DataFrame, eff: DataFrame | None = None) -> Summary:
+def summarise(reg: Registry, routed: DataFrame, eff: DataFrame | None = None,
+              counts: dict[str, int] | None = None) -> Summary:
     """Per-key summary of a batch."""
     if eff is None:
         eff = materialise_batch(routed)
+    if counts is None:
+        counts = action_counts(eff)
     keyed = eff.where(F.col("action").isin(UPSERT, DELETE_PARTITION)).select(
-        *KEY, "_o", "action", "event_time",
+        *KEY, "_o", "_run", "action", "event_time",
         F.col("self_link").alias("partition_url"), F.col("size").alias("partition_size"))
     is_up = F.col("action") == UPSERT
     is_del = F.col("action") == DELETE_PARTITION
     o = F.col("_o")
 
-    # one pass over the materialised batch: bounds of the slices, and how
-    # many distinct keys (deleted datasets) there can be at most
-    micros = F.unix_micros(F.col("event_time").cast("timestamp"))
-    n_keys, n_deleted, bounds = eff.agg(
-        F.count(F.when(F.col("action").isin(UPSERT, DELETE_PARTITION), F.lit(1))),
-        F.count(F.when(F.col("action") == DELETE_DATASET, F.lit(1))),
-        F.percentile_approx(micros, [i / SLICES for i in range(1, SLICES)]),
-    ).first()
-    cut = F.lit(0)
-    for x in sorted(set(bounds or [])):
-        cut = cut + F.when(micros > F.lit(x), 1).otherwise(0)
-    sliced = keyed.withColumn("slice", cut)
-    before = F.lag("action").over(Window.partitionBy(*KEY, "slice").orderBy("_o"))
-    runs = sliced.withColumn("_before", before).groupBy(*KEY, "slice").agg(
+    # how many distinct keys (deleted datasets) there can be at most
+    n_keys, n_deleted = counts.get(UPSERT, 0) + counts.get(DELETE_PARTITION, 0), counts.get(DELETE_DATASET, 0)
+    before = F.lag("action").over(Window.partitionBy(*KEY, "_run").orderBy("_o"))
+    runs = keyed.withColumn("_before", before).groupBy(*KEY, "_run").agg(
         F.max(F.when(is_up, o)).alias("lu"), F.max(F.when(is_del, o)).alias("ld"),
         F.min(F.when(is_up, o)).alias("fu"),
         F.max(F.when(is_up & (F.col("_before") == DELETE_PARTITION), o)).alias("turn"),
-        F.min_by("action", o).alias("first"),
+        F.min_by("action", o).alias("first"), F.min(o).alias("fo"),
         F.max_by(F.when(is_up, F.struct("partition_url", "partition_size", "event_time")),
                  F.when(is_up, o)).alias("last"))
     ends_deleted = F.col("ld").isNotNull() & (F.col("lu").isNull() | (F.col("ld") > F.col("lu")))
-    after_delete = F.lag(ends_deleted).over(Window.partitionBy(*KEY).orderBy("slice"))
-    # the slice's first message is the turn if the slice before ends deleted
+    after_delete = F.lag(ends_deleted).over(Window.partitionBy(*KEY).orderBy("fo"))
+    # the run's first message is the turn if the run before ends deleted
     turn = F.coalesce("turn", F.when((F.col("first") == UPSERT) & F.coalesce(after_delete, F.lit(False)), F.col("fu")))
     per_key = runs.withColumn("turn", turn).groupBy(*KEY).agg(
         F.max("lu").alias("lu"), F.max("ld").alias("ld"), F.min("fu").alias("fu"), F.max("turn").alias("turn"),
@@ -145,45 +144,80 @@ def summarise(reg: Registry, routed: DataFrame, eff: DataFrame | None = None) ->
     return Summary(eff, keys, touched, deleted, small)
 
 
-def folded_datasets(reg: Registry, sm: Summary) -> DataFrame:
-    """Datasets after the batch: deleted ones removed, updated_at raised to
-    the newest real partition insert (M8)."""
+def _fresh_datasets(reg: Registry, sm: Summary) -> DataFrame:
+    """The datasets whose updated_at the batch raises to the newest real
+    partition insert (M8)."""
     fresh = (sm.keys.where(F.col("last_ins").isNotNull())
              .groupBy("dataset_id").agg(F.max(F.col("last_ins.event_time")).alias("_fresh")))
-    datasets = (reg.datasets.join(sm.deleted, "dataset_id", "left_anti")
-                # one row per dataset with touched keys: bounded when the keys are
-                .join(F.broadcast(fresh) if sm.small else fresh, "dataset_id", "left")
-                .withColumn("updated_at", F.greatest("updated_at", "_fresh"))
-                .drop("_fresh"))
-    return conform(datasets, S.DATASETS)
+    # one row per dataset with touched keys: bounded when the keys are
+    return (reg.datasets.join(sm.deleted, "dataset_id", "left_anti")
+            .join(F.broadcast(fresh) if sm.small else fresh, "dataset_id")
+            .where(F.col("_fresh") > F.col("updated_at"))
+            .withColumn("updated_at", F.col("_fresh")).drop("_fresh"))
 
 
-def folded_partitions(reg: Registry, sm: Summary, base_id: int | None = None) -> DataFrame:
-    """Partitions after the batch: untouched rows, surviving rows that keep
-    their identity, and new incarnations with fresh ids above ``base_id``
-    (default: the largest id in ``reg``)."""
-    keys = sm.keys
-    kept_cols = dict(
-        partition_url=F.col("last.partition_url"),
-        partition_size=F.col("last.partition_size"),
-        updated_at=F.col("last.event_time"),
-    )
+def _put_partitions(reg: Registry, sm: Summary, base_id: int) -> DataFrame:
+    """Surviving keys: rows that keep their identity, and new incarnations
+    with fresh ids above ``base_id``."""
+    keys = sm.keys.join(sm.deleted, "dataset_id", "left_anti").where("survives")
+    kept = F.col("had") & F.col("ld").isNull()
+    cols = [F.col("last.partition_url").alias("partition_url"), F.col("last.partition_size").alias("partition_size")]
     # a kept row's updated_at never moves back (a late message is older)
-    same = keys.where(F.col("survives") & F.col("had") & F.col("ld").isNull()).select(
-        *KEY, F.col("prior_id").alias("partition_id"), F.col("prior_created").alias("created_at"),
-        *[v.alias(k) for k, v in kept_cols.items() if k != "updated_at"],
+    same = keys.where(kept).select(
+        *KEY, F.col("prior_id").alias("partition_id"), F.col("prior_created").alias("created_at"), *cols,
         F.greatest("prior_updated", F.col("last.event_time")).alias("updated_at"))
-    fresh_rows = keys.where(F.col("survives") & ~(F.col("had") & F.col("ld").isNull())).select(
-        *KEY, F.col("fa.event_time").alias("created_at"), *[v.alias(k) for k, v in kept_cols.items()])
-    fresh_rows = fresh_rows.join(sm.deleted, "dataset_id", "left_anti")
+    fresh = keys.where(~kept).select(*KEY, F.col("fa.event_time").alias("created_at"), *cols,
+                                     F.col("last.event_time").alias("updated_at"))
+    new = assign_ids(fresh, ["created_at", "dataset_id", "partition_name"], base_id, "partition_id")
+    return conform(same, S.PARTITIONS).unionByName(conform(new, S.PARTITIONS))
+
+
+def changes(reg: Registry, sm: Summary, base_id: int, counts: dict[str, int],
+            new: DataFrame | None = None) -> tuple[dict[str, DataFrame], dict[str, DataFrame]]:
+    """What a stored registry has to note of a batch: (rows to put, keys to
+    drop), by table; only what the batch's actions (``counts``) can change. A
+    deleted dataset's partitions go with its id. ``new``: the datasets among
+    ``reg``'s that the batch itself registered."""
+    put, drop = {}, {}
+    ids = sm.deleted.select("dataset_id")
+    if counts.get(UPSERT):
+        put = {"datasets": conform(_fresh_datasets(reg, sm), S.DATASETS), "partitions": _put_partitions(reg, sm, base_id)}
+    if counts.get(DELETE_PARTITION):
+        drop["partitions"] = sm.keys.where(F.col("had") & ~F.col("survives")).select(*KEY)
+    if counts.get(DELETE_DATASET):
+        whole = ids.withColumn("partition_name", F.lit(None).cast("string"))
+        drop["partitions"] = drop["partitions"].unionByName(whole) if "partitions" in drop else whole
+        drop["datasets"] = ids
+        drop["names"] = reg.datasets.join(sm.deleted, "dataset_id", "left_semi").select("dataset_name")
+    if new is not None:
+        left = new.join(sm.deleted, "dataset_id", "left_anti")
+        put["names"] = left.select("dataset_name", "dataset_id")
+        put["fresh"] = left.select("dataset_name")
+        if "datasets" in put:
+            raised = put["datasets"]
+            put["datasets"] = raised.unionByName(
+                conform(left.join(raised.select("dataset_id"), "dataset_id", "left_anti"), S.DATASETS))
+        else:
+            put["datasets"] = left
+        if "names" in drop:  # a name that goes and comes back is not dropped
+            drop["names"] = drop["names"].join(put["fresh"], "dataset_name", "left_anti").distinct()
+    return put, drop
+
+
+def folded_datasets(reg: Registry, sm: Summary) -> DataFrame:
+    """Datasets after the batch."""
+    fresh = conform(_fresh_datasets(reg, sm), S.DATASETS)
+    ids = F.broadcast(fresh.select("dataset_id")) if sm.small else fresh.select("dataset_id")
+    return conform(reg.datasets.join(sm.deleted, "dataset_id", "left_anti")
+                   .join(ids, "dataset_id", "left_anti"), S.DATASETS).unionByName(fresh)
+
+
+def folded_partitions(reg: Registry, sm: Summary, base_id: int | None = None) -> DataFrame:
+    """Partitions after the batch: untouched rows and those of surviving
+    keys, whose new ids follow ``base_id`` (default: the largest in ``reg``)."""
     base = base_id if base_id is not None else (reg.partitions.agg(F.max("partition_id")).first()[0] or 0)
-    new_rows = assign_ids(fresh_rows, ["created_at", "dataset_id", "partition_name"], base,
-                          "partition_id")
-    untouched = reg.partitions.join(sm.touched, KEY, "left_anti")
-    return (conform(untouched, S.PARTITIONS)
-            .unionByName(conform(same, S.PARTITIONS))
-            .join(sm.deleted, "dataset_id", "left_anti")
-            .unionByName(conform(new_rows, S.PARTITIONS)))
+    untouched = reg.partitions.join(sm.touched, KEY, "left_anti").join(sm.deleted, "dataset_id", "left_anti")
+    return conform(untouched, S.PARTITIONS).unionByName(_put_partitions(reg, sm, base))
 
 
 def fold_events(reg: Registry, routed: DataFrame) -> tuple[Registry, DataFrame]:
@@ -192,3 +226,81 @@ def fold_events(reg: Registry, routed: DataFrame) -> tuple[Registry, DataFrame]:
     sm = summarise(reg, routed)
     pending = sm.eff.where(F.col("action") == RETRY).drop("_o")
     return Registry(reg.managers, folded_datasets(reg, sm), folded_partitions(reg, sm)), pending
+
+
+# ---------------------------------------------------------------------------
+# Registrations in the log
+# ---------------------------------------------------------------------------
+
+class Log(NamedTuple):
+    routed: DataFrame    # messages with the dataset that is registered at their time
+    new: DataFrame       # datasets that the log registers (deleted ones too)
+    rejected: DataFrame  # registrations that were refused, with the reason
+
+
+def _registered_at() -> Column:
+    """A registration's place in event order: before the messages of its time."""
+    return F.struct(F.col("at").cast(S.TS).alias("event_time"),
+                    F.lit("0001-01-01").cast(S.TS).alias("publish_time"),
+                    F.lpad(F.col("request_id").cast("string"), 20, "0").alias("message_id"))
+
+
+def route_log(managers: DataFrame, names: DataFrame, decoded: DataFrame, registrations: DataFrame,
+              base_id: int) -> Log:
+    """Messages and dataset registrations (configs with a time ``at``) of one
+    log, in event order: a registration is refused while its name is taken, a
+    deletion of a dataset frees the name, and each message belongs to the
+    dataset that has its name at that time (or to none, as in
+    ``route_events``).
+
+    ``names`` (dataset_name, dataset_id) is what is registered before; new ids
+    follow ``base_id``. Only registrations and deletions of datasets, a few
+    rows a name, go through a window; the messages meet the spans of their
+    name's datasets in one join, whose side is broadcast if proven small.
+    """
+    valid = validate_configs(registrations, managers).withColumn("_o", _registered_at())
+    wanted = valid.where(F.col("_reason").isNull())
+    asked = small_side(decoded.select("dataset_name").unionByName(wanted.select(F.col("name").alias("dataset_name")))
+                       .dropna().distinct())
+    names = names.select("dataset_name", "dataset_id").join(asked, "dataset_name", "left_semi")
+    deletes = decoded.where((F.col("event_type") == S.EVENT_DELETE) & F.col("partition_name").isNull()
+                            & F.col("overwritten_by_generation").isNull() & F.col("reason").isNull()
+                            & F.col("dataset_name").isNotNull())
+    turns = (wanted.select(F.col("name").alias("dataset_name"), "_o", F.col("request_id").alias("_request"))
+             .unionByName(deletes.select("dataset_name", order_key().alias("_o"), F.lit(None).cast("long").alias("_request"))))
+    w = Window.partitionBy("dataset_name").orderBy("_o")
+    opens = F.col("_request").isNotNull()
+    taken = F.coalesce(F.lag(opens).over(w), F.col("dataset_id").isNotNull())
+    turns = materialise(turns.join(names, "dataset_name", "left")
+                        .withColumn("_taken", taken).withColumn("_opens", opens))
+    refused = turns.where("_opens AND _taken").select(F.col("_request").alias("request_id"))
+    rejected = (valid.where(F.col("_reason").isNotNull()).select("request_id", "name", F.col("_reason").alias("reason"))
+                .unionByName(valid.join(refused, "request_id", "left_semi").select(
+                    "request_id", "name", F.lit("dataset_name already registered").alias("reason"))))
+    opened = turns.where("_opens AND NOT _taken").select(F.col("_request").alias("request_id"))
+    new = materialise(assign_ids(accepted_configs(wanted.join(opened, "request_id", "left_semi"), F.col("at")),
+                                 ["created_at", "request_id"], base_id, "dataset_id"))
+
+    # only what changes a name's state: it opens if free, closes if taken
+    state = turns.where("_opens <> _taken")
+    spans = (state.withColumn("_to", F.lead("_o").over(w)).where("_opens").select(
+        "dataset_name", F.col("_request").alias("request_id"), F.col("_o").alias("_from"), "_to")
+        .join(new.select("request_id", "dataset_id"), "request_id").drop("request_id"))
+    first = state.where("NOT _opens").groupBy("dataset_name").agg(F.min("_o").alias("_to"))
+    before = names.join(first, "dataset_name", "left").select(
+        "dataset_name", F.lit(None).cast(turns.schema["_o"].dataType).alias("_from"), "_to", "dataset_id")
+    spans = small_side(materialise(spans.unionByName(before)).withColumnRenamed("dataset_name", "_name"))
+    o = order_key()
+    inside = ((F.col("dataset_name") == F.col("_name")) & (F.col("_from").isNull() | (o > F.col("_from")))
+              & (F.col("_to").isNull() | (o <= F.col("_to"))))
+    routed = with_actions(decoded.join(spans, inside, "left").drop("_name", "_from", "_to"))
+    return Log(routed, new, rejected)
+
+
+def fold_log(reg: Registry, decoded: DataFrame, registrations: DataFrame) -> tuple[Registry, DataFrame, DataFrame]:
+    """Apply messages and registrations of one log to ``reg``. Returns the
+    new registry, the pending messages and the refused registrations."""
+    base = reg.datasets.agg(F.max("dataset_id")).first()[0] or 0
+    log = route_log(reg.managers, reg.datasets, materialise(decoded), registrations, base)
+    reg = reg._replace(datasets=reg.datasets.unionByName(conform(log.new, S.DATASETS)))
+    return *fold_events(reg, log.routed), log.rejected

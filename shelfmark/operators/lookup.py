@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 
 from .. import schemas as S
 from ..functions.formats import display_ts, human_size
-from ..functions.sizing import broadcast_if_bounded
+from ..functions.sizing import broadcast_if_bounded, small_side
 from ..session import materialise
+from ..sources.derived import grams, name_grams
 from ..sources.registry import Registry
 from .listing import dataset_view, latest_partitions
 
@@ -50,24 +51,26 @@ def find_datasets(reg: Registry, requests: DataFrame) -> DataFrame:
             .withColumn("found", F.coalesce("found", F.lit(False))))
 
 
-def find_partitions(reg: Registry, requests: DataFrame) -> DataFrame:
+def find_partitions(reg: Registry, requests: DataFrame, newest: DataFrame | None = None) -> DataFrame:
     """P5: partitions by (dataset_name, partition_name); the name
-    ``latest`` stands for the dataset's newest partition (W1)."""
+    ``latest`` stands for the dataset's newest partition (W1), which
+    ``newest`` may hold already."""
     requests = requests.select("dataset_name", "partition_name")
     ds = reg.datasets.select("dataset_id", "dataset_name")
     parts = reg.partitions
     wanted = broadcast_if_bounded(requests.select("dataset_name").distinct())
     if wanted is not None:
-        # few datasets asked for: read only theirs, map-side (names are
-        # unique, so the matched datasets are as few as the names)
+        # few datasets asked for: read only theirs, map-side
         ds = ds.join(wanted, "dataset_name", "left_semi")
-        parts = parts.join(F.broadcast(ds.select("dataset_id")), "dataset_id", "left_semi")
+        parts = parts.join(small_side(ds.select("dataset_id")), "dataset_id", "left_semi")
     req = requests.join(ds, "dataset_name", "left")
     cols = [c for c in S.PARTITION_COLUMNS if c not in ("dataset_id", "partition_name")]
     named = parts.select("dataset_id", "partition_name", *cols)
     # the newest partition only of the datasets asked for 'latest'
     asked = req.where(F.col("partition_name") == S.LATEST).select("dataset_id").distinct()
-    newest = materialise(latest_partitions(parts.join(asked, "dataset_id", "left_semi")).select(
+    if newest is None:
+        newest = latest_partitions(parts.join(asked, "dataset_id", "left_semi"))
+    newest = materialise(newest.select(
         "dataset_id", F.lit(S.LATEST).alias("partition_name"),
         F.col("partition_name").alias("resolved_name"), *cols))
     # a request without a name is not for the latest and finds nothing
@@ -124,49 +127,60 @@ def _literal_run(t: Column) -> Column:
                        lambda acc, x: F.when(F.length(x) > F.length(acc), x).otherwise(acc))
 
 
-def _grams(s: Column, n: int = 3) -> Column:
-    return F.transform(F.sequence(F.lit(1), F.greatest(F.length(s) - n + 1, F.lit(1))),
-                       lambda i: F.substring(s, i, n))
-
-
 # Term sets up to this size are matched by a broadcast nested loop.
 NESTED_LOOP_TERMS = 1_000
 
 
+def search_terms(terms: DataFrame) -> DataFrame:
+    """Distinct terms with their pattern and its longest literal piece."""
+    t = terms.select("term", like_pattern("term").alias("_pat")).distinct()
+    return t.withColumn("_run", _literal_run(F.col("_pat")))
+
+
+def _matches() -> Column:
+    """The LIKE; the literal piece is looked for first, since a pattern that
+    differs from row to row is compiled for each."""
+    return F.expr("instr(dataset_name, _run) > 0 AND dataset_name LIKE _pat")
+
+
 def search_datasets(reg: Registry, terms: DataFrame, max_broadcast: int | None = None) -> DataFrame:
     """Every (term, dataset) with ``dataset_name LIKE '%' || term || '%'``.
 
-    Small term sets are broadcast to a nested-loop join. Beyond the bound
-    terms meet candidate names through an equi-join on the rarest gram of
-    their longest literal piece: three characters, or the whole piece where
-    it has one or two (the index holds grams of one to three). The LIKE is
-    then applied exactly. Patterns without any literal ask for no more than
-    a length, so that they are collapsed to their distinct kinds first: at
-    least n characters. Names meet these by their length.
+    Small term sets are broadcast to a nested-loop join; beyond the bound
+    terms meet candidate names through their grams (``search_by_grams``).
     """
     view = dataset_view(reg)
-    t = terms.select("term", like_pattern("term").alias("_pat")).distinct()
-    cond = F.expr("dataset_name LIKE _pat")
-    # the nested loop evaluates LIKE for every (name, term) pair, so its
-    # bound is about work, not only broadcast size
+    t = search_terms(terms)
+    # the nested loop meets every (name, term) pair, so its bound is about
+    # work, not only broadcast size
     small = broadcast_if_bounded(t, NESTED_LOOP_TERMS if max_broadcast is None else max_broadcast)
     if small is not None:
-        return view.join(small, cond).drop("_pat")
-    t = t.withColumn("_run", _literal_run(F.col("_pat")))
+        return view.join(small, _matches()).drop("_pat", "_run")
+    names = view.select("dataset_id", "dataset_name")
+    return search_by_grams(view, lambda wanted: grams(names), t)
+
+
+def search_by_grams(view: DataFrame, index, t: DataFrame) -> DataFrame:
+    """Terms meet names through an equi-join on the rarest gram of their
+    longest literal piece: three characters, or the whole piece where it has
+    one or two. ``index(wanted)`` gives rows (gram, dataset_id, dataset_name)
+    that hold all of the wanted grams. The rows have the name, so that the
+    LIKE decides at once and only matches are joined to their datasets.
+    Patterns without any literal ask for no more than a length: at least n
+    characters. Names meet these by their length.
+    """
     literal = t.where(F.length("_run") > 0)
-    # inverted index: dataset names by gram, and how common each gram is
-    names = F.col("dataset_name")
-    index = F.array_distinct(F.flatten(F.array(*[_grams(names, n) for n in (1, 2, 3)])))
-    grams = view.select("dataset_id", F.explode(index).alias("_gram"))
-    freq = grams.groupBy("_gram").agg(F.count(F.lit(1)).alias("_n"))
-    # each term meets candidates through the rarest gram of its literal piece
-    # (a gram absent from every name means the term cannot match at all)
-    own = F.when(F.length("_run") < 3, F.array("_run")).otherwise(F.array_distinct(_grams(F.col("_run"))))
-    term_grams = literal.select("term", "_pat", F.explode(own).alias("_gram"))
-    pick = (term_grams.join(freq, "_gram", "left").fillna(0, ["_n"])
-            .groupBy("term", "_pat").agg(F.min_by("_gram", F.struct("_n", "_gram")).alias("_gram")))
-    by_gram = (pick.join(grams, "_gram").drop("_gram")
-               .join(view, "dataset_id").where(cond).drop("_pat"))
+    own = F.when(F.length("_run") < 3, F.array("_run")).otherwise(name_grams(F.col("_run"), (3,)))
+    term_grams = materialise(literal.select("term", "_pat", "_run", F.explode(own).alias("gram")))
+    wanted = small_side(term_grams.select("gram").distinct())
+    # the wanted grams' rows, once: for how common each is, and to be met
+    rows = materialise(index(wanted).join(wanted, "gram", "left_semi"))
+    freq = rows.groupBy("gram").agg(F.count(F.lit(1)).alias("_n"))
+    # a gram absent from every name means the term cannot match at all
+    pick = (term_grams.join(freq, "gram", "left").fillna(0, ["_n"])
+            .groupBy("term", "_pat", "_run").agg(F.min_by("gram", F.struct("_n", "gram")).alias("gram")))
+    found = pick.join(rows, "gram").where(_matches()).select("term", "dataset_id")
+    by_gram = found.join(view, "dataset_id").select("term", *view.columns)
     # only wildcards: the pattern matches every name of at least as many
     # characters as it has underscores. Each length is met by equality.
     least = F.length(F.regexp_replace("_pat", "%", ""))

@@ -69,28 +69,41 @@ def validate_configs(configs: DataFrame, managers: DataFrame) -> DataFrame:
     return c.withColumn("_reason", reason).drop("_mgr")
 
 
-def register_datasets(reg: Registry, configs: DataFrame, now) -> tuple[Registry, DataFrame]:
-    """Insert dataset configs (``request_id, manager_id, name,
-    format, compression, classification, description, schema``)."""
-    v = validate_configs(configs, reg.managers).withColumnRenamed("name", "dataset_name")
-    decided = _decide(v, F.col("_reason"), reg.datasets, "dataset_name").drop("_reason")
-    rejected = decided.where(F.col("reason").isNotNull()).select(
-        "request_id", F.col("dataset_name").alias("name"), "reason")
-    accepted = decided.where(F.col("reason").isNull()).select(
+def accepted_configs(configs: DataFrame, at: Column) -> DataFrame:
+    """Accepted configs as dataset rows without an id, created at ``at``."""
+    return configs.select(
         "request_id",
-        "dataset_name",
+        F.col("name").alias("dataset_name"),
         F.col("description").alias("dataset_desc"),
         F.col("format").alias("dataset_format"),
         F.col("compression").alias("dataset_compression"),
         F.col("classification").alias("dataset_classification"),
         F.col("schema").alias("dataset_schema"),
         "manager_id",
-        _ts(now).alias("created_at"),
-        _ts(now).alias("updated_at"),
+        at.cast(S.TS).alias("created_at"),
+        at.cast(S.TS).alias("updated_at"),
     )
-    new = assign_ids(accepted, ["request_id"], _max_id(reg.datasets, "dataset_id"), "dataset_id")
-    datasets = reg.datasets.unionByName(conform(new, S.DATASETS))
-    return Registry(reg.managers, datasets, reg.partitions), rejected
+
+
+def new_datasets(managers: DataFrame, taken: DataFrame, configs: DataFrame, now,
+                 base: int) -> tuple[DataFrame, DataFrame]:
+    """(accepted datasets with ids after ``base``, rejected requests)
+    of dataset configs (``request_id, manager_id, name, format, compression,
+    classification, description, schema``); ``taken`` holds the registered
+    ``dataset_name``."""
+    v = validate_configs(configs, managers).withColumnRenamed("name", "dataset_name")
+    decided = _decide(v, F.col("_reason"), taken, "dataset_name").drop("_reason")
+    rejected = decided.where(F.col("reason").isNotNull()).select(
+        "request_id", F.col("dataset_name").alias("name"), "reason")
+    accepted = accepted_configs(decided.where(F.col("reason").isNull()).withColumnRenamed("dataset_name", "name"),
+                                _ts(now))
+    return conform(assign_ids(accepted, ["request_id"], base, "dataset_id"), S.DATASETS), rejected
+
+
+def register_datasets(reg: Registry, configs: DataFrame, now) -> tuple[Registry, DataFrame]:
+    """Insert dataset configs."""
+    new, rejected = new_datasets(reg.managers, reg.datasets, configs, now, _max_id(reg.datasets, "dataset_id"))
+    return reg._replace(datasets=reg.datasets.unionByName(new)), rejected
 
 
 def api_key_for(email, request_id, secret: str) -> Column:
@@ -101,34 +114,40 @@ def api_key_for(email, request_id, secret: str) -> Column:
     return F.concat_ws("-", *[F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
 
 
-def register_managers(reg: Registry, rows: DataFrame, domain: str | None, now,
-                      secret: str) -> tuple[Registry, DataFrame]:
-    """Insert managers (``request_id, manager_email``); the address
-    must contain ``@domain`` and be unique; passwords are not handled. API
-    keys are hashes keyed by ``secret``."""
+def new_managers(managers: DataFrame, rows: DataFrame, domain: str | None, now, secret: str,
+                 base: int) -> tuple[DataFrame, DataFrame]:
+    """(accepted managers with ids after ``base``, rejected requests)
+    of sign-ups (``request_id, manager_email``); the address must contain
+    ``@domain`` and be unique; passwords are not handled. API keys are hashes
+    keyed by ``secret``."""
     email = F.col("manager_email")
     invalid = (F.when(email.isNull(), F.lit("missing field"))
                .when(F.length(email) > S.MAX_EMAIL, F.lit("email too long"))
                .when(~email_in_domain(email, domain), F.lit("email outside the domain")))
-    decided = _decide(rows, invalid, reg.managers, "manager_email")
+    decided = _decide(rows, invalid, managers, "manager_email")
     rejected = decided.where(F.col("reason").isNotNull()).select("request_id", "manager_email", "reason")
     accepted = decided.where(F.col("reason").isNull()).select(
         "request_id", "manager_email",
         api_key_for(email, F.col("request_id"), secret).alias("api_key"),
         F.lit(False).alias("is_admin"), _ts(now).alias("created_at"), _ts(now).alias("updated_at"))
-    new = assign_ids(accepted, ["request_id"], _max_id(reg.managers, "manager_id"), "manager_id")
-    managers = reg.managers.unionByName(conform(new, S.MANAGERS))
-    return Registry(managers, reg.datasets, reg.partitions), rejected
+    return conform(assign_ids(accepted, ["request_id"], base, "manager_id"), S.MANAGERS), rejected
 
 
-def upsert_partitions(reg: Registry, rows: DataFrame, now, base_id: int | None = None) -> tuple[Registry, DataFrame]:
+def register_managers(reg: Registry, rows: DataFrame, domain: str | None, now,
+                      secret: str) -> tuple[Registry, DataFrame]:
+    """Insert managers."""
+    new, rejected = new_managers(reg.managers, rows, domain, now, secret, _max_id(reg.managers, "manager_id"))
+    return reg._replace(managers=reg.managers.unionByName(new)), rejected
+
+
+def upsert_changes(reg: Registry, rows: DataFrame, now, base_id: int) -> tuple[dict[str, DataFrame], DataFrame]:
     """Register partitions (``request_id, dataset_id,
     partition_name, partition_url, partition_size``). A (dataset, name)
     that exists keeps id and created_at and takes url and size; a new one
-    is inserted and raises its dataset's updated_at. The latest request per
-    key wins. ``latest``, over-long or missing values and unknown datasets
-    are rejected. New ids follow ``base_id`` (default: the largest id in
-    ``reg``, which must then hold all partitions)."""
+    is inserted, with an id after ``base_id``, and raises its dataset's
+    updated_at. The latest request per key wins. ``latest``, over-long or
+    missing values and unknown datasets are rejected. Returns the rows that
+    change, by table, and the rejected requests."""
     key = ["dataset_id", "partition_name"]
     ds = reg.datasets.select("dataset_id").withColumn("_known", F.lit(True))
     r = rows.join(ds, "dataset_id", "left")
@@ -144,30 +163,37 @@ def upsert_partitions(reg: Registry, rows: DataFrame, now, base_id: int | None =
     rejected = r.where(F.col("reason").isNotNull()).select("request_id", *key, "reason")
     # latest request per key; equal request ids are ordered by their values
     # so the choice never depends on arrival order
-    last = (r.where(F.col("reason").isNull()).groupBy(*key)
-            .agg(F.max(F.struct("request_id", "partition_url", "partition_size")).alias("v"))
-            .select(*key, F.col("v.partition_url").alias("_url"), F.col("v.partition_size").alias("_size"),
-                    F.lit(True).alias("_asked")))
-    # one full outer join, one scan of the registry: matched rows are
-    # updated, unmatched requests inserted, the rest stays. Read twice below
-    # (rows and new rows' ids), so it is written once.
-    both = materialise(reg.partitions.join(last, key, "full"))
-    old = both.where(F.col("partition_id").isNotNull())
-    kept = (old.withColumn("partition_url", F.coalesce("_url", "partition_url"))
-            .withColumn("partition_size", F.coalesce("_size", "partition_size"))
-            .withColumn("updated_at", F.when(F.col("_asked"), _ts(now)).otherwise(F.col("updated_at"))))
-    inserted = both.where(F.col("partition_id").isNull()).select(
-        *key, F.col("_url").alias("partition_url"), F.col("_size").alias("partition_size"),
-        _ts(now).alias("created_at"), _ts(now).alias("updated_at"))
-    base = _max_id(both, "partition_id") if base_id is None else base_id
-    inserted = assign_ids(inserted, key, base, "partition_id")
-    partitions = conform(kept, S.PARTITIONS).unionByName(conform(inserted, S.PARTITIONS))
-    touched = small_side(inserted.select("dataset_id").distinct()).withColumn("_ins", F.lit(True))
-    datasets = (reg.datasets.join(touched, "dataset_id", "left")
-                .withColumn("updated_at", F.when(F.col("_ins"), F.greatest("updated_at", _ts(now)))
-                            .otherwise(F.col("updated_at")))
-                .drop("_ins"))
-    return Registry(reg.managers, conform(datasets, S.DATASETS), partitions), rejected
+    last = materialise(r.where(F.col("reason").isNull()).groupBy(*key)
+                       .agg(F.max(F.struct("request_id", "partition_url", "partition_size")).alias("v"))
+                       .select(*key, F.col("v.partition_url").alias("partition_url"),
+                               F.col("v.partition_size").alias("partition_size")))
+    # the registry is scanned once, map-side where the requests are few; only
+    # its rows that are asked for go on
+    hits = reg.partitions.select(*key, "partition_id", "created_at").join(
+        small_side(last.select(*key)), key, "left_semi")
+    both = materialise(last.join(hits, key, "left").withColumn("updated_at", _ts(now)))
+    kept = both.where(F.col("partition_id").isNotNull())
+    inserted = assign_ids(both.where(F.col("partition_id").isNull()).drop("partition_id")
+                          .withColumn("created_at", _ts(now)), key, base_id, "partition_id")
+    touched = small_side(inserted.select("dataset_id").distinct())
+    fresh = (reg.datasets.join(touched, "dataset_id", "left_semi")
+             .withColumn("updated_at", F.greatest("updated_at", _ts(now))))
+    return {"partitions": conform(kept, S.PARTITIONS).unionByName(conform(inserted, S.PARTITIONS)),
+            "datasets": conform(fresh, S.DATASETS)}, rejected
+
+
+def put_rows(table: DataFrame, put: DataFrame, key: list[str]) -> DataFrame:
+    """``table`` with the rows of ``put`` in place of those of their keys."""
+    return table.join(small_side(put.select(*key)), key, "left_anti").unionByName(put)
+
+
+def upsert_partitions(reg: Registry, rows: DataFrame, now, base_id: int | None = None) -> tuple[Registry, DataFrame]:
+    """M3/M7/M8/C1 on a registry; ids follow ``base_id`` (default: the largest
+    id in ``reg``, which must then hold all partitions)."""
+    base = _max_id(reg.partitions, "partition_id") if base_id is None else base_id
+    put, rejected = upsert_changes(reg, rows, now, base)
+    return reg._replace(datasets=put_rows(reg.datasets, put["datasets"], ["dataset_id"]),
+                        partitions=put_rows(reg.partitions, put["partitions"], ["dataset_id", "partition_name"])), rejected
 
 
 def delete_partitions(reg: Registry, requests: DataFrame) -> Registry:

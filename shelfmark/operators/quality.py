@@ -8,10 +8,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas as S
+from ..functions.sizing import small_side
+from ..sources import registry as R
 from ..sources.registry import Registry
 from .lookup import orphans
 
@@ -88,6 +90,44 @@ def row_violations(reg: Registry, kind: str | None = None) -> DataFrame:
     return reduce(DataFrame.unionByName, out)
 
 
+def commit_violations(spark: SparkSession, root: str, version: int | None = None) -> DataFrame:
+    """C2-C6 for one commit of a stored registry: the violations that its rows
+    make, as in the detail functions. Only the commit's own rows are read,
+    and of the other tables the buckets that hold their keys: a partition
+    and its dataset lie in one bucket, a name in that of ``names`` (a dataset
+    whose name belongs to another id there is the name's second row).
+    Managers are few and read whole."""
+    now = R.manifest(spark, root, version)
+    before = R.manifest(spark, root, now.version - 1) if now.version else None
+
+    def written(table: str) -> DataFrame:
+        old = before.tables.get(table, R.Files()).writes() if before else set()
+        files = now.tables.get(table, R.Files())
+        new = R.Files({b: e for b, e in files.base.items() if e[0] not in old},
+                      [d for d in files.deltas if d["write"] not in old])
+        return R.load_table(spark, root, R.Manifest(now.version, now.buckets, {table: new}, {}, {}), table)
+
+    rows = Registry(*(written(t) for t in S.TABLES))
+    managers = R.load_table(spark, root, now, "managers")
+    buckets = R.buckets_of(rows.partitions, "dataset_id", now)
+    datasets, partitions = (R.load_table(spark, root, now, t, buckets) for t in R.BUCKETED)
+    key = UNIQUE["partitions"][0]
+    near = partitions.join(small_side(rows.partitions.select(*key).distinct()), key, "left_semi")
+    names = R.load_table(spark, root, now, "names", R.buckets_of(rows.datasets, "dataset_name", now))
+    taken = (rows.datasets.select("dataset_name", F.col("dataset_id").alias("_id")).join(names, "dataset_name")
+             .where(F.col("_id") != F.col("dataset_id")).select("dataset_name").distinct())
+    emails = [rows.managers.select(c[0]).distinct() for c in UNIQUE["managers"]]
+    twice = [unique_violations(Registry(managers.join(e, e.columns[0], "left_semi"), rows.datasets.limit(0), near))
+             .where(F.col("rule").contains(e.columns[0])) for e in emails]
+    parts = unique_violations(Registry(managers.limit(0), rows.datasets.limit(0), near))
+    second = taken.select(F.lit(_unique_name("datasets", ["dataset_name"])).alias("rule"),
+                          F.col("dataset_name").alias("key"), F.lit("2 rows").alias("reason"))
+    fk = orphans(Registry(managers, datasets.select("dataset_id", "manager_id"), rows.partitions)).where(
+        F.col("rule") == "partitions.dataset_id").unionByName(
+        orphans(Registry(managers, rows.datasets, rows.partitions.limit(0))))
+    return reduce(DataFrame.unionByName, [row_violations(rows), *twice, parts, second, fk])
+
+
 def constraint_report(reg: Registry) -> DataFrame:
     """Violations per rule (zero included) for every registry constraint."""
     parts = []

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas as S
 from ..functions import formats, paths
-from ..operators import events, fold, listing, lookup, mutations, quality
+from ..operators import events, fold, listing, lookup, mutations, quality, stored
 from ..session import checkpoint_dir
 from ..sources import configs, fixtures
 from ..streaming import stream
@@ -96,10 +96,10 @@ def search_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
-def _stored_root(spark: SparkSession, sf_dir: str) -> str:
+def _stored_root(spark: SparkSession, sf_dir: str, derived: bool = False) -> str:
     """The folder of the fixture registry, committed to the shared folder."""
     root = stream.registry_root(spark, f"registry-{uuid.uuid4().hex}")
-    stream.init_registry(fixtures.registry(spark, sf_dir), root)
+    stream.init_registry(fixtures.registry(spark, sf_dir), root, derived=derived)
     return root
 
 
@@ -494,13 +494,17 @@ def committed_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
 def committed_deletes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stored partitions after two committed deletions."""
     root = _stored_root(spark, sf_dir)
+    _delete_some(spark, sf_dir, root)
+    return stream.current(spark, root)[0].partitions
+
+
+def _delete_some(spark: SparkSession, sf_dir: str, root: str) -> None:
     done = fixtures.table(spark, sf_dir, "orders").where(F.col("o_orderstatus") == "F") \
         .select(F.col("o_orderkey").alias("partition_id"))
     stream.delete_partitions_and_commit(spark, root, fixtures.partitions(spark, sf_dir).join(
         done, "partition_id", "left_semi").select("dataset_id", "partition_name"))
     stream.delete_datasets_and_commit(spark, root, fixtures.table(spark, sf_dir, "customer").where(
         F.col("c_mktsegment") == "AUTOMOBILE").select(F.col("c_name").alias("dataset_name")))
-    return stream.current(spark, root)[0].partitions
 
 
 @query
@@ -597,7 +601,8 @@ def config_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """S5 then S4: export every dataset's config file into the shared
     checkpoint folder and read the files back as typed config rows."""
     out = os.path.join(checkpoint_dir(spark), f"configs-{uuid.uuid4().hex}")
-    configs.export_configs(fixtures.datasets(spark, sf_dir), out)
+    names = spark.createDataFrame(list(BUCKETS.items()), "classification string, bucket string")
+    configs.export_configs(fixtures.datasets(spark, sf_dir), out, names)
     back = configs.read_dataset_configs(spark, out)
     return back.select("name", "classification", "compression", "format", "description",
                        schema_text("schema").alias("schema"))
@@ -634,3 +639,94 @@ def length_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
 def domain_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """C4: enum columns outside their domain."""
     return quality.row_violations(fixtures.dirty_registry(spark, sf_dir), "in domain")
+
+
+# ---------------------------------------------------------------------------
+# The stored registry: stream, lookups, kept tables
+# ---------------------------------------------------------------------------
+
+def _streamed(spark: SparkSession, sf_dir: str) -> str:
+    """The event registry on storage after the whole log in three commits."""
+    root = stream.registry_root(spark, f"events-{uuid.uuid4().hex}")
+    stream.init_registry(fixtures.event_registry(spark, sf_dir), root)
+    decoded = _decoded(spark, sf_dir)
+    parts = stream.parts_of(decoded, -(-decoded.count() // 3))
+    for i, part in enumerate(parts):
+        stream.apply_decoded(spark, part, root, 0, "log", (i, len(parts)))
+    return root
+
+
+@query
+def stored_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored partitions after the log in three parts
+    (ids depend on the parts)."""
+    return stream.current(spark, _streamed(spark, sf_dir))[0].partitions.drop("partition_id")
+
+
+@query
+def stored_dead_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C7 on storage: the dead letters of all commits."""
+    return stream.all_dead_letters(spark, _streamed(spark, sf_dir)).drop("version")
+
+
+@query
+def stored_pending(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T4 on storage: what waits after every second of the unknown names was
+    registered and the waiting messages were tried again."""
+    root = _streamed(spark, sf_dir)
+    waiting = stream.current(spark, root)[1].select("dataset_name").distinct()
+    chosen = waiting.where(F.expr("right(dataset_name, 2)").isin("00", "20", "40", "60", "80"))
+    configs_ = chosen.select(
+        F.xxhash64("dataset_name").alias("request_id"), F.lit(0).cast("long").alias("manager_id"),
+        F.col("dataset_name").alias("name"), F.lit("csv").alias("format"), F.lit("zip").alias("compression"),
+        F.lit("public").alias("classification"), F.lit("late").alias("description"), fixtures.schema_map(F.lit(1)).alias("schema"))
+    stream.register_and_commit(spark, root, configs_, NOW)
+    stream.retry_pending(spark, root)
+    return stream.current(spark, root)[1].select("message_id", "dataset_name", "partition_name")
+
+
+@query
+def stored_find_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P5 on storage: name buckets, then the buckets of the datasets found."""
+    return stored.find_partitions(spark, _stored_root(spark, sf_dir, derived=True), partition_requests(spark, sf_dir))
+
+
+@query
+def stored_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P7, J8 on storage: through the kept grams of the names."""
+    root = _stored_root(spark, sf_dir, derived=True)
+    return _view(stored.search_datasets(spark, root, search_terms(spark, sf_dir)))
+
+
+@query
+def stored_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """W1 on storage: the kept newest partitions after registrations and two
+    deletions, of which some take a newest partition away."""
+    root = _stored_root(spark, sf_dir, derived=True)
+    stream.upsert_and_commit(spark, root, partition_rows(spark, sf_dir), NOW)
+    _delete_some(spark, sf_dir, root)
+    return stored.latest_partitions(spark, root)
+
+
+@query
+def stored_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """L3-L6 on storage: a page in the middle, from the ranges that hold it."""
+    root = _stored_root(spark, sf_dir)
+    return _view(stored.page_datasets(spark, root, 40, 60))
+
+
+@query
+def commit_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C2-C6 of one commit: the registrations of partitions, checked on the
+    buckets they touch, with lengths and datasets that break the rules."""
+    root = _stored_root(spark, sf_dir)
+    rows = partition_rows(spark, sf_dir)
+    bad = (rows.where("partition_name IS NOT NULL AND dataset_id IS NOT NULL").groupBy("dataset_id", "partition_name")
+           .agg(F.max("request_id").alias("r")).where("r % 7 < 2")
+           .select((F.col("r") + 10_000_000).alias("partition_id"),
+                   F.when(F.col("r") % 7 == 0, F.rpad("partition_name", 300, "x")).otherwise(F.col("partition_name")).alias("partition_name"),
+                   F.lit("u").alias("partition_url"), F.lit(1).cast("long").alias("partition_size"),
+                   F.when(F.col("r") % 7 == 1, F.col("dataset_id") + 100_000_000).otherwise(F.col("dataset_id")).alias("dataset_id"),
+                   F.lit(NOW).cast(S.TS).alias("created_at"), F.lit(NOW).cast(S.TS).alias("updated_at")))
+    stream.transact(spark, root, lambda m: (stream.Changes({"partitions": bad}), None))
+    return quality.commit_violations(spark, root)

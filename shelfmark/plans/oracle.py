@@ -749,3 +749,49 @@ def _row_rules_sql(kind: str) -> str:
 SQL["null_violations"] = _row_rules_sql("not null")
 SQL["length_violations"] = _row_rules_sql("length")
 SQL["domain_violations"] = _row_rules_sql("in domain")
+
+# The stored registry -------------------------------------------------------
+
+SQL["stored_stream"] = "WITH " + _EVENTS.strip() + "," + _FOLD.strip() + """
+SELECT partition_name, partition_url, partition_size, dataset_id, created_at, updated_at FROM fold_parts_r"""
+
+SQL["stored_dead_letters"] = SQL["dead_letters"]
+
+SQL["stored_pending"] = "WITH " + _EVENTS.strip() + "," + _FOLD.strip() + """
+SELECT message_id, dataset_name, partition_name FROM eff_r
+WHERE eff = 'retry' AND right(dataset_name, 2) NOT IN ('00', '20', '40', '60', '80')"""
+
+SQL["stored_find_partitions"] = SQL["find_partitions"]
+SQL["stored_search"] = SQL["search_datasets"]
+
+SQL["stored_latest"] = _q(f"""
+SELECT partition_id, partition_name, partition_url, partition_size, dataset_id, created_at, updated_at
+FROM (SELECT u.*, {_PPOS} AS rn FROM upserted_r u
+      WHERE dataset_id NOT IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'AUTOMOBILE')
+        AND NOT EXISTS (SELECT 1 FROM partitions_r p JOIN orders o ON o.o_orderkey = p.partition_id
+                        WHERE o.o_orderstatus = 'F' AND p.dataset_id = u.dataset_id
+                          AND p.partition_name = u.partition_name))
+WHERE rn = 1""", _UPSERTS, f"""
+upserted_r AS (
+  SELECT p.* FROM partitions_r p
+  WHERE NOT EXISTS (SELECT 1 FROM last_r l WHERE l.dataset_id = p.dataset_id AND l.partition_name = p.partition_name)
+  UNION ALL
+  SELECT p.partition_id, p.partition_name, l.url, l.sz, p.dataset_id, p.created_at, {_NOW}
+  FROM partitions_r p JOIN last_r l ON l.dataset_id = p.dataset_id AND l.partition_name = p.partition_name
+  UNION ALL
+  SELECT (SELECT max(partition_id) FROM partitions_r) + row_number() OVER (ORDER BY dataset_id, partition_name),
+         partition_name, url, sz, dataset_id, {_NOW}, {_NOW}
+  FROM ins_keys_r)""")
+
+SQL["stored_page"] = _q(f"""
+SELECT * FROM (SELECT {_VCOLS}, {_POS} AS position FROM view_r)
+WHERE position > 60 AND position <= 100""")
+
+SQL["commit_report"] = _q("""
+SELECT 'partitions.partition_name length <= 255' AS rule, CAST(r + 10000000 AS VARCHAR) AS key, 'violated' AS reason
+FROM asked_r WHERE r % 7 = 0
+UNION ALL
+SELECT 'partitions.dataset_id', CAST(r + 10000000 AS VARCHAR), 'no dataset ' || CAST(dataset_id + 100000000 AS VARCHAR)
+FROM asked_r WHERE r % 7 = 1""", _UPSERTS, """
+asked_r AS (SELECT dataset_id, partition_name, max(request_id) AS r FROM rows_r
+            WHERE dataset_id IS NOT NULL AND partition_name IS NOT NULL GROUP BY dataset_id, partition_name)""")

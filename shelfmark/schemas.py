@@ -290,3 +290,29 @@ NOTIFICATION_COLUMNS = [
     "overwritten_by_generation",
     "data",
 ]
+
+# ---------------------------------------------------------------------------
+# Messages kept with a registry
+# ---------------------------------------------------------------------------
+
+DECODED = T.StructType([
+    T.StructField("ack_id", T.StringType()),
+    T.StructField("message_id", T.StringType()),
+    T.StructField("publish_time", TS),
+    T.StructField("event_type", T.StringType()),
+    T.StructField("event_time", TS),
+    T.StructField("overwritten_by_generation", T.StringType()),
+    T.StructField("object_name", T.StringType()),
+    T.StructField("self_link", T.StringType()),
+    T.StructField("size", T.LongType()),
+    T.StructField("dataset_name", T.StringType()),
+    T.StructField("partition_name", T.StringType()),
+    T.StructField("reason", T.StringType()),
+])
+DEAD = T.StructType([
+    T.StructField("ack_id", T.StringType()),
+    T.StructField("message_id", T.StringType()),
+    T.StructField("event_time", TS),
+    T.StructField("object_name", T.StringType()),
+    T.StructField("reason", T.StringType()),
+])

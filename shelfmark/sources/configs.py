@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-import os
+import sys
+import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
 from .. import schemas as S
 
@@ -21,10 +24,61 @@ def read_dataset_configs(spark: SparkSession, path: str) -> DataFrame:
     return df.withColumn("source", F.input_file_name())
 
 
-def export_configs(datasets: DataFrame, out: str) -> None:
-    """Bulk form of the config upload: one folder per classification and
-    dataset, ``<out>/classification=<c>/name=<dataset>/``, holding the
-    dataset's dd.json content as one JSON line (the file name is Spark's)."""
+def storage_name(name: str) -> str:
+    """A bucket's or dataset's name as folders. What Hadoop paths can't hold
+    (``:``, ``%``, ``\\``, control characters, empty or dotted folders) is
+    written as ``%XX``; every other name is itself."""
+    safe = "".join(f"%{ord(c):02X}" if c in ":%\\" or c < " " else c for c in name)
+    return "/".join(f.replace(".", "%2E") if f in (".", "..") else f or "%00" for f in safe.split("/"))
+
+
+class ConfigWriter(DataSourceWriter):
+    """Each task writes its files aside and renames them when they are whole:
+    a file is never seen in part, and a task that runs again puts the same
+    content there."""
+
+    def __init__(self, root: str):
+        self.root = root
+
+    def write(self, iterator):
+        from pyarrow import fs
+
+        store, root = fs.FileSystem.from_uri(self.root)
+        for row in iterator:
+            folder = f"{root}/{storage_name(row['bucket'])}/{storage_name(row['name'])}"
+            store.create_dir(folder, recursive=True)
+            aside = f"{folder}/.{S.CONFIG_FILE}.{uuid.uuid4().hex}"
+            with store.open_output_stream(aside) as out:
+                out.write(row["value"].encode("utf-8"))
+            store.move(aside, f"{folder}/{S.CONFIG_FILE}")
+        return WriterCommitMessage()
+
+
+class ConfigSink(DataSource):
+    """``df.write.format("dataset_config").option("path", folder)`` for rows of
+    (bucket, name, value)."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "dataset_config"
+
+    def schema(self) -> str:
+        return "bucket string, name string, value string"
+
+    def writer(self, schema, overwrite: bool) -> DataSourceWriter:
+        return ConfigWriter(self.options["path"])
+
+
+def export_configs(datasets: DataFrame, out: str, buckets: DataFrame | None = None) -> None:
+    """Bulk form of the config upload: ``<out>/<bucket>/<dataset>/dd.json``
+    for each dataset, in place of a file that is there. ``buckets`` maps each
+    ``classification`` to its ``bucket``; without it the classification names
+    the bucket. Datasets without a name or bucket have no file."""
+    spark = datasets.sparkSession
+    # the workers need no copy of this package
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
+    cloudpickle.register_pickle_by_value(S)
+    spark.dataSource.register(ConfigSink)
     body = F.to_json(F.struct(
         F.col("dataset_name").alias("name"),
         F.col("dataset_classification").alias("classification"),
@@ -33,10 +87,23 @@ def export_configs(datasets: DataFrame, out: str) -> None:
         F.col("dataset_desc").alias("description"),
         F.col("dataset_schema").alias("schema"),
     ))
-    (datasets.select(F.col("dataset_classification").alias("classification"),
-                     F.col("dataset_name").alias("name"), body.alias("value"))
-     .write.mode("overwrite").partitionBy("classification", "name").text(out))
+    rows = datasets.select(F.col("dataset_classification").alias("bucket"), F.col("dataset_name").alias("name"),
+                           body.alias("value"))
+    if buckets is not None:
+        # one row for each classification: four
+        uri = F.broadcast(buckets.select(F.col("classification").alias("_class"), F.col("bucket").alias("_bucket")))
+        rows = rows.join(uri, F.col("bucket") == F.col("_class"), "left").select(
+            F.col("_bucket").alias("bucket"), "name", "value")
+    (rows.dropna(subset=["bucket", "name"]).write.format("dataset_config").mode("append")
+     .option("path", _uri(spark, out)).save())
+
+
+def _uri(spark: SparkSession, path: str) -> str:
+    """``path`` with the scheme of the file system that Spark finds it on."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    full = str(p.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(p))
+    return full.replace("file:/", "file:///", 1) if full.startswith("file:/") and not full.startswith("file://") else full
 
 
-def config_path(out: str, classification: str, name: str) -> str:
-    return os.path.join(out, f"classification={classification}", f"name={name}")
+def config_path(out: str, bucket: str, name: str) -> str:
+    return f"{out}/{storage_name(bucket)}/{storage_name(name)}/{S.CONFIG_FILE}"

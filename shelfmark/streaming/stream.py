@@ -3,18 +3,23 @@
 Each micro-batch of pull responses is folded into the registry inside
 ``foreachBatch``:
 
-    flatten → decode → (+ pending of the previous version) → route → fold
-    → write the next registry version (+ pending, dead letters, meta)
-    → commit marker
+    flatten → decode → (+ pending messages of newly registered names) → route
+    → fold → commit of the rows that changed (+ pending, dead letters)
 
 State is the registry itself. Each version records, for every stream that
 has written to the registry, the last batch it holds. Batch ids belong to a
 stream's checkpoint, so that a new checkpoint on an old registry starts a
-stream of its own. A replayed batch (after a failure between the sink's write
-and the stream's checkpoint commit) is recognised and skipped even when
-registrations or retries made versions in between; a batch that failed
-before its commit marker is simply written again.
+stream of its own. A replayed batch (after a failure between the commit and
+the stream's checkpoint) is recognised and skipped even when other commits
+made versions in between. Streams, registrations and other mutations may run
+side by side: of two that change the same version one commits, the other is
+worked out anew on that result (``sources.registry.transact``).
 Ordering holds inside a batch only, as in the reference.
+
+Pending messages are only added to. A message can leave when its dataset's
+name is registered: a registration notes its names as fresh, and the next
+fold takes the pending messages of these names alone, from their buckets, and
+drops them there. What a batch costs does not depend on what is pending.
 """
 
 from __future__ import annotations
@@ -24,74 +29,35 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from .. import schemas as S
+from ..functions.ids import assign_ids
+from ..functions.sizing import small_side
 from ..operators import fold, mutations
-from ..operators.events import (DELETE_DATASET, DELETE_PARTITION, RETRY, UPSERT, dead_letters,
+from ..operators.events import (DEAD_LETTER, DELETE_DATASET, DELETE_PARTITION, RETRY, UPSERT, dead_letters,
                                 decode_notifications, flatten_envelope, route_events)
 from ..session import checkpoint_dir, materialise
+from ..sources import registry as R
+from ..sources.configs import export_configs
 from ..sources.notifications import read_notifications
-from ..sources.registry import (Registry, bucket_of, commit_snapshot, committed_versions,
-                                exists, latest_version, load_bucketed, load_partitions, load_registry,
-                                read_side_table)
+from ..sources.registry import (BUCKETS, Changes, Manifest, Registry, buckets_of, commit_snapshot,  # noqa: F401
+                                committed_versions, latest_version, load_registry, load_table, manifest, transact)
+
+DECODED, DEAD = S.DECODED, S.DEAD
 
 # Actions that change partition rows (their datasets' buckets are rewritten).
 CHANGES = [UPSERT, DELETE_PARTITION, DELETE_DATASET]
 
-DECODED = T.StructType([
-    T.StructField("ack_id", T.StringType()),
-    T.StructField("message_id", T.StringType()),
-    T.StructField("publish_time", S.TS),
-    T.StructField("event_type", T.StringType()),
-    T.StructField("event_time", S.TS),
-    T.StructField("overwritten_by_generation", T.StringType()),
-    T.StructField("object_name", T.StringType()),
-    T.StructField("self_link", T.StringType()),
-    T.StructField("size", T.LongType()),
-    T.StructField("dataset_name", T.StringType()),
-    T.StructField("partition_name", T.StringType()),
-    T.StructField("reason", T.StringType()),
-])
-DEAD = T.StructType([
-    T.StructField("ack_id", T.StringType()),
-    T.StructField("message_id", T.StringType()),
-    T.StructField("event_time", S.TS),
-    T.StructField("object_name", T.StringType()),
-    T.StructField("reason", T.StringType()),
-])
-
-
-# One row per version: the largest partition id ever assigned, and by stream
-# the last batch folded in. Versions are also made by registrations, other
-# mutations, retries and compaction, so batch ids and versions differ.
-META = T.StructType([T.StructField("max_partition_id", T.LongType()),
-                     T.StructField("batches", T.MapType(T.StringType(), T.LongType()))])
-
-
-def _meta(spark: SparkSession, max_id: int, batches: dict[str, int]) -> DataFrame:
-    return spark.createDataFrame([(int(max_id), batches)], META)
-
-
-def _read_meta(spark: SparkSession, root: str, version: int):
-    return read_side_table(spark, root, "_meta", version, META).first()
-
 
 def max_partition_id(spark: SparkSession, root: str, version: int) -> int:
-    """Largest partition id ever assigned up to ``version``: one stored row
-    per version, so a batch never scans the whole partitions table for it
-    (falls back to a scan for a registry written without it)."""
-    row = _read_meta(spark, root, version)
-    if row is not None and row["max_partition_id"] is not None:
-        return row["max_partition_id"]
-    return load_registry(spark, root, version).partitions.agg(F.max("partition_id")).first()[0] or 0
+    """Largest partition id ever assigned up to ``version``."""
+    return manifest(spark, root, version).max_ids.get("partitions", 0)
 
 
 def last_batches(spark: SparkSession, root: str, version: int) -> dict[str, int]:
-    """By stream, the last batch whose messages are in ``version``."""
-    row = _read_meta(spark, root, version)
-    return {} if row is None or row["batches"] is None else dict(row["batches"])
+    """By stream, the last batch whose messages are all in ``version``."""
+    return {s: b for s, b in manifest(spark, root, version).batches.items() if "/" not in s}
 
 
 def stream_id(spark: SparkSession, checkpoint: str) -> str:
@@ -100,80 +66,120 @@ def stream_id(spark: SparkSession, checkpoint: str) -> str:
     return json.loads(row["value"])["id"]
 
 
-def init_registry(reg: Registry, root: str) -> None:
-    """Write ``reg`` as version 0 unless a version is committed already."""
-    spark = reg.datasets.sparkSession
-    if not committed_versions(spark, root):
-        max_id = reg.partitions.agg(F.max("partition_id")).first()[0] or 0
-        commit_snapshot(reg, root, 0, side={"_meta": _meta(spark, max_id, {})})
+def init_registry(reg: Registry, root: str, buckets: int = BUCKETS, derived: bool = False) -> None:
+    """Write ``reg`` as version 0 unless a version is committed already;
+    ``derived``: with the tables of ``sources.derived``."""
+    if not committed_versions(reg.datasets.sparkSession, root):
+        commit_snapshot(reg, root, buckets, derived)
+
+
+def _touched(spark: SparkSession, root: str, m: Manifest, buckets: list[int]) -> Registry:
+    """The datasets and partitions of some buckets."""
+    return Registry(load_table(spark, root, m, "managers"),
+                    *(load_table(spark, root, m, t, buckets) for t in R.BUCKETED))
+
+
+def _names(spark: SparkSession, root: str, m: Manifest, asked: DataFrame) -> DataFrame:
+    """The registered names in the buckets of those asked for."""
+    return load_table(spark, root, m, "names", buckets_of(asked, "dataset_name", m))
 
 
 def apply_decoded(spark: SparkSession, decoded: DataFrame, root: str,
-                  batch_id: int | None = None, stream: str = "") -> int:
-    """Fold decoded messages (plus pending ones) into the newest committed
-    registry and commit the result as the next version; returns the
+                  batch_id: int | None = None, stream: str = "", part: tuple[int, int] = (0, 1),
+                  registrations: DataFrame | None = None) -> int:
+    """Fold decoded messages (plus pending ones of newly registered names)
+    into the newest committed registry and commit the result; returns the
     version. ``batch_id`` (a batch of ``stream``) makes it idempotent: a
     batch of that stream that the newest version already holds is not
-    applied again. An interrupted version (no commit marker) is simply
-    written again."""
-    prev = latest_version(spark, root)
-    batches = last_batches(spark, root, prev)
-    if batch_id is not None:
-        if batch_id <= batches.get(stream, -1):
-            return prev
-        batches[stream] = batch_id
-    version = prev + 1
-    reg = load_registry(spark, root, prev)
-    pending = read_side_table(spark, root, "pending", prev, DECODED)
-    # a pending message whose dataset is still unregistered can only be
-    # retried again: carry it over as is; only the rest re-enters the fold
-    names = reg.datasets.select("dataset_name")
-    revived = pending.join(names, "dataset_name", "left_semi")
-    waiting = pending.join(names, "dataset_name", "left_anti")
-    # the micro-batch is decoded once and read by every later step
-    batch = materialise(decoded.select(*DECODED.fieldNames()).unionByName(revived))
-    routed = route_events(batch, reg.datasets, narrow=True)
-    eff = fold.materialise_batch(routed)
-    # only the partition buckets of datasets this batch touches are read
-    # and rewritten; the rest of the registry stays where it is
-    touched = [r["b"] for r in eff.where(F.col("action").isin(*CHANGES))
-               .select(bucket_of("dataset_id").alias("b")).distinct().collect()]
-    part = reg._replace(datasets=load_bucketed(spark, root, "datasets", prev, only_buckets=touched),
-                        partitions=load_partitions(spark, root, prev, only_buckets=touched))
-    base_id = max_partition_id(spark, root, prev)
-    sm = fold.summarise(part, routed, eff)
-    partitions = fold.folded_partitions(part, sm, base_id)
-    new_reg = Registry(reg.managers, fold.folded_datasets(part, sm), partitions)
-    new_pending = (eff.where(F.col("action") == RETRY).select(*DECODED.fieldNames())
-                   .unionByName(waiting))
-    # the largest id only grows by this batch's new rows (all in touched buckets)
-    new_max = partitions.agg(F.max("partition_id")).first()[0] or 0
-    commit_snapshot(new_reg, root, version, touched_buckets=touched, side={
-        "pending": new_pending,
-        "dead_letters": dead_letters(batch).select(*DEAD.fieldNames()),
-        "_meta": _meta(spark, max(base_id, new_max), batches),
-    })
-    return version
-
-
-def apply_batch(root: str, checkpoint: str | None = None):
+    applied again; of a batch in parts, ``part`` is (number, how many), and
+    the parts that are in are not. ``registrations``: configs with a time
+    ``at`` that belong to the same log (``fold.route_log``)."""
+    # decoded once, whatever version it is folded into
+    decoded = materialise(decoded.select(*DECODED.fieldNames()))
+
+    def build(m: Manifest):
+        batches = dict(m.batches)
+        if batch_id is not None:
+            done = f"{stream}/{batch_id}"  # parts of a batch under way
+            if batch_id <= batches.get(stream, -1) or part[0] < batches.get(done, 0):
+                return None, None
+            batches[done] = part[0] + 1
+            if part[0] + 1 == part[1]:
+                del batches[done]
+                batches[stream] = batch_id
+        batch, fresh = decoded, None
+        if m.tables.get("fresh", R.Files()).deltas:
+            fresh = small_side(load_table(spark, root, m, "fresh").distinct())
+            waiting = load_table(spark, root, m, "pending", buckets_of(fresh, "dataset_name", m))
+            revived = waiting.join(fresh, "dataset_name", "left_semi").select(*DECODED.fieldNames())
+            batch = materialise(decoded.unionByName(revived))
+        # only the buckets of names and datasets that the batch touches are read
+        new = None
+        if registrations is None:
+            routed = route_events(batch, _names(spark, root, m, batch.select("dataset_name")), narrow=True)
+        else:
+            asked = batch.select("dataset_name").union(registrations.select("name"))
+            log = fold.route_log(load_table(spark, root, m, "managers"), _names(spark, root, m, asked), batch,
+                                 registrations, m.max_ids.get("datasets", 0))
+            routed, new = log.routed, R.conform(log.new, S.DATASETS)
+        eff = fold.materialise_batch(routed)
+        counts = fold.action_counts(eff)
+        changing = eff.where(F.col("action").isin(*CHANGES))
+        touched = _touched(spark, root, m, buckets_of(changing, "dataset_id", m))
+        if new is not None:
+            touched = touched._replace(datasets=touched.datasets.unionByName(new))
+        sm = fold.summarise(touched, routed, eff, counts)
+        put, drop = fold.changes(touched, sm, m.max_ids.get("partitions", 0), counts, new)
+        if counts.get(RETRY):
+            put["pending"] = eff.where(F.col("action") == RETRY).select(*DECODED.fieldNames())
+        if counts.get(DEAD_LETTER):
+            put["dead_letters"] = dead_letters(batch).withColumn("version", F.lit(m.version + 1))
+        if fresh is not None:
+            drop["pending"] = fresh
+        return Changes(put, drop, clear=["fresh"] if fresh is not None else [], batches=batches), None
+    return transact(spark, root, build)[0]
+
+
+def parts_of(decoded: DataFrame, max_messages: int) -> list[DataFrame]:
+    """A batch in parts of at most ``max_messages``, in event order, so that
+    folding one after the other is folding the batch."""
+    known = ["event_time", "publish_time", "message_id"]
+    rest = F.xxhash64(*[c for c in decoded.columns if c not in known])
+    numbered = materialise(assign_ids(decoded.withColumn("_tie", rest), [*known, "_tie"], -1, "_n").drop("_tie"))
+    last = numbered.agg(F.max("_n")).first()[0]
+    if last is None:
+        return [decoded]
+    part = F.floor(F.col("_n") / max_messages)
+    return [numbered.where(part == i).drop("_n") for i in range(last // max_messages + 1)]
+
+
+def apply_batch(root: str, checkpoint: str | None = None, max_messages: int | None = None):
     """The ``foreachBatch`` function for registry ``root``; ``checkpoint``
-    is the stream's checkpoint folder, whose id guards against replays."""
+    is the stream's checkpoint folder, whose id guards against replays. What
+    is folded at once never has more than ``max_messages`` messages, as a
+    pull hasn't: a larger batch (one file may hold any number) is committed
+    part by part, and a restart goes on after the last part."""
     def apply(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        decoded = decode_notifications(flatten_envelope(batch))
-        apply_decoded(spark, decoded, root, batch_id, stream_id(spark, checkpoint) if checkpoint else "")
+        decoded = decode_notifications(flatten_envelope(batch)).select(*DECODED.fieldNames())
+        stream = stream_id(spark, checkpoint) if checkpoint else ""
+        parts = parts_of(decoded, max_messages) if max_messages else [decoded]
+        for i, part in enumerate(parts):
+            apply_decoded(spark, part, root, batch_id, stream, (i, len(parts)))
+        R.maintain(spark, root)
     return apply
 
 
 def start_stream(spark: SparkSession, source: str, root: str, checkpoint: str,
                  max_files_per_trigger: int | None = None, available_now: bool = False,
-                 processing_time: str = "1 second") -> StreamingQuery:
+                 processing_time: str = "1 second", max_messages: int | None = None) -> StreamingQuery:
     """The continuous loop (every ``processing_time``, like the 1 s
-    pull delay) or, with ``available_now``, one pass over what is there."""
+    pull delay) or, with ``available_now``, one pass over what is there;
+    ``max_messages`` bounds what is folded at once."""
     checkpoint_dir(spark)
     stream = read_notifications(spark, source, max_files_per_trigger)
-    writer = stream.writeStream.foreachBatch(apply_batch(root, checkpoint)).option("checkpointLocation", checkpoint)
+    writer = stream.writeStream.foreachBatch(apply_batch(root, checkpoint, max_messages)) \
+        .option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if available_now else \
         writer.trigger(processingTime=processing_time)
     return writer.start()
@@ -187,19 +193,16 @@ def retry_pending(spark: SparkSession, root: str) -> int:
 
 def current(spark: SparkSession, root: str) -> tuple[Registry, DataFrame]:
     """Newest committed registry and its pending messages."""
-    v = latest_version(spark, root)
-    return load_registry(spark, root, v), read_side_table(spark, root, "pending", v, DECODED)
+    m = manifest(spark, root)
+    return load_registry(spark, root, m.version), load_table(spark, root, m, "pending")
 
 
 def all_dead_letters(spark: SparkSession, root: str) -> DataFrame:
-    """The dead letters of all committed versions, with their version."""
-    folder = os.path.join(root, "dead_letters")
-    versions = committed_versions(spark, root)
-    fields = DEAD.fields + [T.StructField("v", T.IntegerType())]
-    if not versions or not exists(spark, folder):
-        return spark.createDataFrame([], T.StructType(fields))
-    return (spark.read.schema(T.StructType(fields)).parquet(folder)
-            .where(F.col("v").isin(versions)).withColumnRenamed("v", "version"))
+    """All dead letters, with the version that met them."""
+    m = manifest(spark, root)
+    if m is None:
+        return spark.createDataFrame([], R.SPECS["dead_letters"].schema)
+    return load_table(spark, root, m, "dead_letters")
 
 
 def registry_root(spark: SparkSession, name: str) -> str:
@@ -211,96 +214,75 @@ def registry_root(spark: SparkSession, name: str) -> str:
 # Mutations against the stored registry
 # ---------------------------------------------------------------------------
 
-def _buckets(ids: DataFrame) -> list[int]:
-    """The buckets of some dataset ids (at most BUCKETS numbers)."""
-    return [r["b"] for r in ids.where("dataset_id is not null").select(bucket_of("dataset_id").alias("b"))
-            .distinct().collect()]
-
-
-def _commit(spark: SparkSession, root: str, prev: int, reg: Registry, partitions: list[int], datasets: list[int],
-            max_id: int | None = None) -> int:
-    """``reg`` as the version after ``prev``: only the named buckets are
-    written, pending messages and stream positions are carried over."""
-    known = max_partition_id(spark, root, prev)
-    commit_snapshot(reg, root, prev + 1, touched_buckets=partitions, touched_dataset_buckets=datasets, side={
-        "pending": read_side_table(spark, root, "pending", prev, DECODED),
-        "dead_letters": spark.createDataFrame([], DEAD),
-        "_meta": _meta(spark, max(known, max_id or 0), last_batches(spark, root, prev))})
-    return prev + 1
-
-
-def register_and_commit(spark: SparkSession, root: str, configs: DataFrame, now) -> tuple[int, DataFrame]:
+def register_and_commit(spark: SparkSession, root: str, configs: DataFrame, now,
+                        config_root: str | None = None) -> tuple[int, DataFrame]:
     """M1 against the stored registry: register dataset configs as a new
-    committed version (pending messages carried over, so a later
-    ``retry_pending`` or batch can apply them). Returns (version, rejected)."""
-    prev = latest_version(spark, root)
-    reg = load_registry(spark, root, prev)
-    new_reg, rejected = mutations.register_datasets(reg, configs, now)
-    # only the buckets of the new datasets are written; partitions unchanged
-    new_ids = new_reg.datasets.join(reg.datasets.select("dataset_id"), "dataset_id", "left_anti")
-    return _commit(spark, root, prev, new_reg, [], _buckets(new_ids)), rejected
+    committed version and, with ``config_root``, write each new dataset's
+    config file there (S5). Pending messages of the new names are taken up by
+    the next batch or ``retry_pending``. Returns (version, rejected)."""
+    def build(m: Manifest):
+        taken = load_table(spark, root, m, "names", buckets_of(configs, "name", m))
+        new, rejected = mutations.new_datasets(load_table(spark, root, m, "managers"), taken, configs, now,
+                                               m.max_ids.get("datasets", 0))
+        names = new.select("dataset_name", "dataset_id")
+        return Changes({"datasets": new, "names": names, "fresh": names.select("dataset_name")}), (new, rejected)
+    version, (new, rejected) = transact(spark, root, build)
+    if config_root is not None:
+        export_configs(new, config_root)
+    return version, rejected
 
 
 def sign_up_and_commit(spark: SparkSession, root: str, rows: DataFrame, domain: str | None, now,
                        secret: str) -> tuple[int, DataFrame]:
     """M2 against the stored registry. Returns (version, rejected)."""
-    prev = latest_version(spark, root)
-    new_reg, rejected = mutations.register_managers(load_registry(spark, root, prev), rows, domain, now, secret)
-    return _commit(spark, root, prev, new_reg, [], []), rejected
+    def build(m: Manifest):
+        new, rejected = mutations.new_managers(load_table(spark, root, m, "managers"), rows, domain, now, secret,
+                                               m.max_ids.get("managers", 0))
+        return Changes({"managers": new}), rejected
+    return transact(spark, root, build)
 
 
 def upsert_and_commit(spark: SparkSession, root: str, rows: DataFrame, now) -> tuple[int, DataFrame]:
-    """M3 against the stored registry: reads and writes only the buckets of
-    the requests' datasets. Returns (version, rejected)."""
-    prev = latest_version(spark, root)
-    reg = load_registry(spark, root, prev)
-    touched = _buckets(rows.select("dataset_id"))
-    part = reg._replace(datasets=load_bucketed(spark, root, "datasets", prev, only_buckets=touched),
-                        partitions=load_partitions(spark, root, prev, only_buckets=touched))
-    new_reg, rejected = mutations.upsert_partitions(part, rows, now, max_partition_id(spark, root, prev))
-    max_id = new_reg.partitions.agg(F.max("partition_id")).first()[0]
-    return _commit(spark, root, prev, new_reg, touched, touched, max_id), rejected
+    """M3 against the stored registry: reads only the buckets of the
+    requests' datasets and writes only the rows that change. Returns
+    (version, rejected)."""
+    def build(m: Manifest):
+        part = _touched(spark, root, m, buckets_of(rows, "dataset_id", m))
+        put, rejected = mutations.upsert_changes(part, rows, now, m.max_ids.get("partitions", 0))
+        return Changes(put), rejected
+    return transact(spark, root, build)
 
 
 def delete_partitions_and_commit(spark: SparkSession, root: str, requests: DataFrame) -> int:
-    """M5 against the stored registry; returns the version."""
-    prev = latest_version(spark, root)
-    reg = load_registry(spark, root, prev)
-    touched = _buckets(requests.select("dataset_id"))
-    part = reg._replace(partitions=load_partitions(spark, root, prev, only_buckets=touched))
-    return _commit(spark, root, prev, mutations.delete_partitions(part, requests), touched, [])
+    """M5 against the stored registry, of which nothing is read: the keys are
+    noted as gone. Returns the version."""
+    keys = requests.select("dataset_id", "partition_name").dropna().distinct()
+    return transact(spark, root, lambda m: (Changes(drop={"partitions": keys}), None))[0]
 
 
 def delete_datasets_and_commit(spark: SparkSession, root: str, requests: DataFrame) -> int:
-    """M6 against the stored registry (partitions go too); returns the version."""
-    prev = latest_version(spark, root)
-    reg = load_registry(spark, root, prev)
-    gone = reg.datasets.join(requests.select("dataset_name").distinct(), "dataset_name", "left_semi")
-    touched = _buckets(gone.select("dataset_id"))
-    part = reg._replace(datasets=load_bucketed(spark, root, "datasets", prev, only_buckets=touched),
-                        partitions=load_partitions(spark, root, prev, only_buckets=touched))
-    return _commit(spark, root, prev, mutations.delete_datasets(part, requests), touched, touched)
-
-
-def backfill(spark: SparkSession, source: str, root: str) -> int:
+    """M6 against the stored registry: one note for each dataset makes its
+    partitions go too. Returns the version."""
+    def build(m: Manifest):
+        asked = small_side(requests.select("dataset_name").dropna().distinct())
+        names = load_table(spark, root, m, "names", buckets_of(asked, "dataset_name", m))
+        gone = materialise(names.join(asked, "dataset_name", "left_semi"))
+        ids = gone.select("dataset_id")
+        return Changes(drop={"datasets": ids, "partitions": ids, "names": gone.select("dataset_name")}), None
+    return transact(spark, root, build)[0]
+
+
+def backfill(spark: SparkSession, source: str, root: str, registrations: DataFrame | None = None) -> int:
     """Fold every pull response under ``source`` as one batch (the whole
-    log at once, e.g. to rebuild a registry) and commit it as the next
+    log at once, e.g. to rebuild a registry), with the ``registrations``
+    (configs and their time ``at``) of that log, and commit it as the next
     version; returns that version."""
     from ..sources.notifications import read_notifications_batch
     decoded = decode_notifications(flatten_envelope(read_notifications_batch(spark, source)))
-    return apply_decoded(spark, decoded, root)
+    return apply_decoded(spark, decoded, root, registrations=registrations)
 
 
 def compact(spark: SparkSession, root: str) -> int:
-    """Rewrite the current registry as a new version holding every bucket
-    (readers then open one version folder per table instead of many); pending
-    messages and the largest id are carried over. Returns the version."""
-    prev = latest_version(spark, root)
-    version = prev + 1
-    reg = load_registry(spark, root, prev)
-    commit_snapshot(reg, root, version, side={
-        "pending": read_side_table(spark, root, "pending", prev, DECODED),
-        "dead_letters": spark.createDataFrame([], DEAD),
-        "_meta": _meta(spark, max_partition_id(spark, root, prev), last_batches(spark, root, prev)),
-    })
-    return version
+    """Every table as base files alone (readers then merge nothing), as a new
+    version."""
+    return R.compact(spark, root)

@@ -23,14 +23,28 @@ def part_name(path):
     return ds, (None if rest in (ds, "dd.json") else rest)
 
 
-def model(prior_parts, msgs):
-    """prior_parts: {(ds_id, name): (id, url, size, created, updated)}."""
+def model(prior_parts, msgs, registrations=()):
+    """prior_parts: {(ds_id, name): (id, url, size, created, updated)};
+    registrations: (request_id, name, at), before the messages of their time."""
     names = dict(KNOWN)
+    next_id, refused = max(KNOWN.values()), set()
+    log = [((m["event_time"], m["publish_time"], m["message_id"]), m) for m in msgs]
+    log += [((at, dt.datetime.min, f"{i:020d}"), (i, name, at)) for i, name, at in registrations]
+    new_ids = {}
     parts = {k: dict(id=v[0], url=v[1], size=v[2], created=v[3], updated=v[4], prior=True)
              for k, v in prior_parts.items()}
     fresh = {}
     pending, actions = [], {}
-    for m in sorted(msgs, key=lambda m: (m["event_time"], m["publish_time"], m["message_id"])):
+    for _, m in sorted(log, key=lambda x: x[0]):
+        if isinstance(m, tuple):
+            i, ds, at = m
+            if ds in names:
+                refused.add(i)
+            else:
+                next_id += 1
+                names[ds] = new_ids[ds, at] = next_id
+                fresh[next_id] = at
+            continue
         ds, p = m["dataset_name"], m["partition_name"]
         now = m["event_time"]
         if ds in names:
@@ -68,7 +82,7 @@ def model(prior_parts, msgs):
     new = sorted((v["created"], k[0], k[1]) for k, v in parts.items() if not v["prior"])
     for i, (_, dsid, name) in enumerate(new):
         parts[(dsid, name)]["id"] = base + i + 1
-    return names, parts, fresh, pending, actions
+    return (names, parts, fresh, pending, actions, refused) if registrations else (names, parts, fresh, pending, actions)
 
 
 def random_batch(rng, n, hot=0.0):
@@ -140,3 +154,61 @@ def test_fold_matches_sequential_model(spark, seed, hot, drops):
     assert sorted(r.message_id for r in pending.collect()) == sorted(want_pending)
     eff = {r.message_id: r.action for r in fold.effective_actions(routed).collect()}
     assert eff == actions
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_fold_of_a_log_with_registrations(spark, seed):
+    """register → delete → register of one name inside one log, in memory and
+    as a stored backfill, against the sequential model."""
+    import os
+    import tempfile
+
+    from shelfmark.streaming import stream
+    rng = random.Random(1000 + seed)
+    prior_parts = {(1, "f0"): (7, "u://old0", 1, T0 - dt.timedelta(days=1), T0 + dt.timedelta(seconds=20)),
+                   (2, "f1"): (9, "u://old1", 2, T0 - dt.timedelta(days=2), T0 - dt.timedelta(days=2))}
+    msgs = random_batch(rng, 90)
+    for m in msgs:
+        if rng.random() < 0.15:
+            m.update(event_type=S.EVENT_DELETE, overwritten_by_generation=None,
+                     object_name=m["dataset_name"], partition_name=None)
+    regs = [(i, rng.choice("abcxy"), T0 + dt.timedelta(seconds=rng.randint(0, 40))) for i in range(1, 25)]
+    managers = spark.createDataFrame([(1, "m@x.org", "k", False, T0, T0)], S.MANAGERS)
+    old = T0 - dt.timedelta(days=5)
+    datasets = spark.createDataFrame([(i, n, "d", "csv", "zip", "public", {}, 1, old, old) for n, i in KNOWN.items()],
+                                     S.DATASETS)
+    partitions = spark.createDataFrame(
+        [(v[0], k[1], v[1], v[2], k[0], v[3], v[4]) for k, v in prior_parts.items()], S.PARTITIONS)
+    reg = Registry(managers, datasets, partitions)
+    decoded = spark.createDataFrame([tuple(m[f] for f in DECODED.fieldNames()) for m in msgs], DECODED)
+    configs = spark.createDataFrame(
+        [(i, 1, n, "csv", "zip", "public", "d", {"a": "b"}, at) for i, n, at in regs]
+        + [(90, 2, "nobody", "csv", "zip", "public", "d", {}, T0)],
+        "request_id long, manager_id long, name string, format string, compression string, classification string, "
+        "description string, schema map<string,string>, at timestamp_ntz")
+    new, pending, rejected = fold.fold_log(reg, decoded, configs)
+    names, parts, fresh, want_pending, _, refused = model(prior_parts, msgs, regs)
+    assert len(refused) < 24 and max(names.values()) > 3
+    want = {(k[0], k[1]): (v["url"], v["size"], v["created"], v["updated"]) for k, v in parts.items()}
+
+    def check(registry, waiting):
+        got = {(r.dataset_id, r.partition_name): (r.partition_url, r.partition_size, r.created_at, r.updated_at)
+               for r in registry.partitions.collect()}
+        assert got == want
+        assert {r.dataset_name: (r.dataset_id, r.updated_at) for r in registry.datasets.collect()} == {
+            n: (i, max(old, fresh.get(i, old))) for n, i in names.items()}
+        assert sorted(r.message_id for r in waiting.collect()) == sorted(want_pending)
+    check(new, pending)
+    assert {r.request_id: r.reason for r in rejected.collect()} == {
+        **dict.fromkeys(refused, "dataset_name already registered"), 90: "unknown manager"}
+    ids = [r.partition_id for r in new.partitions.collect()]
+    assert len(set(ids)) == len(ids)
+
+    root = os.path.join(tempfile.mkdtemp(prefix="log-test-"), "registry")
+    stream.init_registry(reg, root)
+    stream.apply_decoded(spark, decoded, root, registrations=configs)
+    check(*stream.current(spark, root))
+    # waiting messages of names that the log registered are taken up next
+    stream.retry_pending(spark, root)
+    left = {r.dataset_name for r in stream.current(spark, root)[1].collect()}
+    assert not left & set(names)

@@ -109,60 +109,6 @@ def test_pending_applies_after_registration(spark):
     assert ds.updated_at == dt.datetime(2024, 1, 2)
 
 
-def test_version_rewrites_only_touched_buckets(spark):
-    """A batch rewrites the partition buckets of the datasets it touches;
-    a bucket it empties hides the older rows of that bucket."""
-    import datetime as dt
-    from shelfmark import schemas as S
-    from shelfmark.sources.registry import Registry, bucket_of, load_registry
-    t0 = dt.datetime(2024, 1, 1)
-    ids = spark.range(1, 200).select(F.col("id"), bucket_of("id").alias("b")).collect()
-    a = ids[0]
-    b = next(r for r in ids if r.b != a.b)
-    root = os.path.join(tempfile.mkdtemp(prefix="bucket-test-"), "registry")
-    managers = spark.createDataFrame([(1, "m@x.org", "k", False, t0, t0)], S.MANAGERS)
-    datasets = spark.createDataFrame(
-        [(a.id, "da", "d", "csv", "zip", "public", {}, 1, t0, t0),
-         (b.id, "db", "d", "csv", "zip", "public", {}, 1, t0, t0)], S.DATASETS)
-    parts = spark.createDataFrame([(1, "x", "u://a/x", 1, a.id, t0, t0), (2, "y", "u://b/y", 2, b.id, t0, t0)],
-                                  S.PARTITIONS)
-    stream.init_registry(Registry(managers, datasets, parts), root)
-    msg = [("ack1", "m1", t0, S.EVENT_DELETE, t0 + dt.timedelta(hours=1), None, "da/x", "u://a/x", 1,
-            "da", "x", None)]
-    stream.apply_decoded(spark, spark.createDataFrame(msg, stream.DECODED), root, 1)
-    written = sorted(os.listdir(os.path.join(root, "partitions", "v=1")))
-    assert not any(w.startswith("bucket=") for w in written)          # a's bucket is now empty
-    listed = [r.bucket for r in spark.read.parquet(os.path.join(root, "_buckets", "partitions", "v=1")).collect()]
-    assert listed == [a.b]
-    assert [r.partition_name for r in load_registry(spark, root).partitions.collect()] == ["y"]
-    ds_listed = [r.bucket for r in spark.read.parquet(os.path.join(root, "_buckets", "datasets", "v=1")).collect()]
-    assert ds_listed == [a.b]                                        # datasets: the same single bucket
-    assert sorted(r.dataset_name for r in load_registry(spark, root).datasets.collect()) == ["da", "db"]
-    assert sorted(r.partition_name for r in load_registry(spark, root, 0).partitions.collect()) == ["x", "y"]
-
-
-def test_compact_keeps_contents(spark):
-    import datetime as dt
-    from shelfmark import schemas as S
-    from shelfmark.sources.registry import BUCKETS, Registry, bucket_versions, load_registry
-    t0 = dt.datetime(2024, 1, 1)
-    root = os.path.join(tempfile.mkdtemp(prefix="compact-test-"), "registry")
-    managers = spark.createDataFrame([(1, "m@x.org", "k", False, t0, t0)], S.MANAGERS)
-    datasets = spark.createDataFrame([(i, f"d{i}", "d", "csv", "zip", "public", {}, 1, t0, t0)
-                                      for i in range(1, 6)], S.DATASETS)
-    parts = spark.createDataFrame([(i, f"p{i}", "u", i, i, t0, t0) for i in range(1, 6)], S.PARTITIONS)
-    stream.init_registry(Registry(managers, datasets, parts), root)
-    msg = [("ack1", "m1", t0, S.EVENT_FINALIZE, t0 + dt.timedelta(hours=1), None, "d1/new", "u://n", 7,
-            "d1", "new", None)]
-    stream.apply_decoded(spark, spark.createDataFrame(msg, stream.DECODED), root, 1)
-    before = sorted(tuple(r) for r in load_registry(spark, root).partitions.collect())
-    v = stream.compact(spark, root)
-    assert set(bucket_versions(spark, root, v, "partitions").values()) == {v}
-    assert len(bucket_versions(spark, root, v, "partitions")) == BUCKETS
-    assert sorted(tuple(r) for r in load_registry(spark, root).partitions.collect()) == before
-    assert stream.max_partition_id(spark, root, v) == 6
-
-
 def test_continuous_trigger(spark):
     """The loop with a processing-time trigger (the reference's 1 s
     pull delay) picks up files as they arrive."""
@@ -213,28 +159,49 @@ def test_batches_interleaved_with_registrations(spark):
     assert stream.last_batches(spark, root, 3) == {"": 1}
 
 
-def test_version_metadata(spark):
-    """The latest-version pointer and the per-version bucket map agree
-    with the commit markers and the per-version bucket lists."""
-    import datetime as dt
-    from shelfmark import schemas as S
-    from shelfmark.sources import registry as R
-    root = os.path.join(tempfile.mkdtemp(prefix="meta-test-"), "registry")
-    t0 = dt.datetime(2024, 1, 1)
-    managers = spark.createDataFrame([(1, "m@x.org", "k", False, t0, t0)], S.MANAGERS)
-    datasets = spark.createDataFrame([(i, f"d{i}", "d", "csv", "zip", "public", {}, 1, t0, t0)
-                                      for i in range(1, 4)], S.DATASETS)
-    stream.init_registry(R.Registry(managers, datasets, spark.createDataFrame([], S.PARTITIONS)), root)
-    for i in (1, 2):
-        m = spark.createDataFrame([(f"a{i}", f"m{i}", t0, S.EVENT_FINALIZE, t0, None, f"d{i}/f", "u", i,
-                                    f"d{i}", "f", None)], stream.DECODED)
-        stream.apply_decoded(spark, m, root, i - 1)
-    assert R.latest_version(spark, root) == 2 == R.committed_versions(spark, root)[-1]
-    mapped = R.bucket_versions(spark, root, 2, "partitions")
-    assert len(mapped) == R.BUCKETS and set(mapped.values()) <= {0, 1, 2}
-    b2 = spark.range(1).select(R.bucket_of(F.lit(2).cast("long"))).first()[0]
-    assert mapped[b2] == 2                       # dataset 2's bucket was written by version 2
-    # the map equals what the per-version bucket lists give
-    listed = (spark.read.schema("bucket int, v int").parquet(os.path.join(root, "_buckets", "partitions"))
-              .groupBy("bucket").agg(F.max("v").alias("v")).collect())
-    assert {r.bucket: r.v for r in listed} == mapped
+def test_batch_in_parts_goes_on_after_a_restart(spark, monkeypatch):
+    """One file may hold any number of messages; what is folded at once never
+    exceeds the bound, and a restart folds no part twice."""
+    scratch = tempfile.mkdtemp(prefix="parts-test-")
+    src, root, ckpt = (os.path.join(scratch, d) for d in ("src", "registry", "ckpt"))
+    reg = fixtures.event_registry(spark, SF_SMALL)
+    env = fixtures.envelopes(spark, SF_SMALL).cache()
+    stream.init_registry(reg, root)
+    _write_pulls(spark, env, src, 0, 10**9)                  # one file
+    decoded = events.decode_notifications(events.flatten_envelope(env))
+    total = decoded.count()
+    bound = total // 4
+    sizes, real = [], stream.apply_decoded
+
+    def counted(spark, part, *args, **kw):
+        if len(sizes) == 2:
+            sizes.append(None)
+            raise RuntimeError("lost")
+        before = stream.latest_version(spark, root)
+        after = real(spark, part, *args, **kw)
+        sizes.append(part.count() if after > before else 0)  # 0: skipped
+        return after
+    monkeypatch.setattr(stream, "apply_decoded", counted)
+
+    def run():
+        q = stream.start_stream(spark, src, root, ckpt, available_now=True, max_messages=bound)
+        q.awaitTermination()
+    try:
+        run()
+    except Exception as e:
+        assert "lost" in str(e)
+    assert stream.last_batches(spark, root, stream.latest_version(spark, root)) == {}
+    run()
+    assert sizes[2] is None and sizes[3:5] == [0, 0]         # the parts that were in
+    done = [n for n in sizes if n]
+    assert sum(done) == total and max(done) <= bound
+    (batch,) = stream.last_batches(spark, root, stream.latest_version(spark, root)).values()
+    assert batch == 0
+    got, pending = stream.current(spark, root)
+    want, want_pending = fold.fold_events(reg, events.route_events(decoded, reg.datasets))
+
+    def rows(df, cols):
+        return sorted(tuple(r) for r in df.select(*cols).collect())
+    assert rows(got.partitions, COLS) == rows(want.partitions, COLS)
+    assert rows(got.datasets, ["dataset_id", "updated_at"]) == rows(want.datasets, ["dataset_id", "updated_at"])
+    assert rows(pending, ["message_id"]) == rows(want_pending, ["message_id"])

@@ -9,18 +9,27 @@ every multiple of k + 1 and are twice as wide. Shared q-grams are counted for
 each band, bands that reach the bound are kept, and a banded alignment of the
 item with the band's region confirms or rejects each.
 
+Items under ``min_chars`` characters have too few q-grams to be counted: they
+are looked up exactly, as whole words, through hashes of the text's word
+sequences. Items from ``long_chars`` on are also searched by windows of a
+third of the item, half of one apart, so that a document that quotes half of
+an item word for word (or within a window's own budget) is found; shorter
+items count only whole.
+
 Texts and items are compared in lower case with each run of other characters
 than letters and digits as one space, so changed case, line breaks and
 punctuation cost no edits. Whole texts are scanned, batch by batch, in one
 pass with no shuffle. The benchmark is split into slices of at most
-``slice_chars`` characters (checked), whose q-gram index goes to every task;
-a larger benchmark takes more passes, not more memory.
-
-Defined results: null or empty texts match nothing; null items and those of
-fewer than ``min_chars`` compared characters are no evidence and are left
-out; repeated items and documents match row by row; empty tables give no
-match; each (document row, item) gives its best stretch, the first on ties.
-Only the named columns are read.
+``slice_chars`` characters (checked), whose index is broadcast, one after the
+other; a larger benchmark takes more passes, not more memory. Places that
+share a q-gram with items are counted in portions of ``PORTION``, so that a
+text of a sentence that very many items share costs time, not memory.
+
+Defined results: null or empty texts match nothing; null items and those
+without a letter or digit are no evidence and are left out; repeated items
+and documents match row by row; empty tables give no match; each (document
+row, item) gives its best stretch: the whole item before a window, then the
+fewest edits, then the first. Only the named columns are read.
 """
 
 from __future__ import annotations
@@ -33,12 +42,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .hashing import Hashes
+
 Q = 8
 RATE = 0.08
 MIN_CHARS = 24
+LONG_CHARS = 240
 SLICE_CHARS = 2_000_000
+#: Pairs of places counted at once.
+PORTION = 4_000_000
+#: Bands before a text's begin have negative numbers.
+BIAS = 1 << 30
 
-MATCH = [T.StructField(n, T.LongType()) for n in ("item_id", "start", "stop", "edits")]
+MATCH = [T.StructField(n, T.LongType()) for n in ("item_id", "start", "stop", "edits", "matched")]
 
 
 @lru_cache(maxsize=1)
@@ -88,27 +104,42 @@ def grams(x: np.ndarray) -> np.ndarray:
 
 
 class Index:
-    """The q-grams of one slice of the benchmark."""
+    """One slice of the benchmark: patterns (items and windows of long ones)
+    with their q-grams, and the short items by their number of words."""
 
     BITS = 22
 
-    def __init__(self, items: list[tuple[int, str]], rate: float, min_chars: int):
+    def __init__(self, items: list[tuple[int, str]], rate: float, min_chars: int, long_chars: int = LONG_CHARS):
         x, _, first, closing = compared([t for _, t in items])
-        self.items = []
+        self.ids: list[int] = []
+        #: (number of the item, characters, budget, least q-grams, whole)
+        self.items: list[tuple] = []
+        self.short: dict[int, dict[bytes, list[int]]] = {}
         hashes, owner, place = [], [], []
         for (ident, _), a, b in zip(items, first, closing):
             while b > a and x[b - 1] == 32:
                 b -= 1
             m = int(b - a)
+            if not m:
+                continue
+            number = len(self.ids)
+            self.ids.append(ident)
             if m < max(min_chars, Q):
+                words = int((x[a:b] == 32).sum()) + 1
+                self.short.setdefault(words, {}).setdefault(x[a:b].tobytes(), []).append(number)
                 continue
-            # no larger than leaves two q-grams to be counted
-            k = max(0, min(int(rate * m), (m - 1) // Q - 1))
-            g = grams(x[a:b])
-            hashes.append(g)
-            owner.append(np.full(len(g), len(self.items)))
-            place.append(np.arange(len(g)))
-            self.items.append((ident, x[a:b].copy(), k, m + 1 - (k + 1) * Q))
+            spans = [(a, b)]
+            if m >= long_chars:
+                width = -(-m // 3)
+                spans += [(i, i + width) for i in (*range(a, b - width, width // 2), b - width)]
+            for i, j in spans:
+                # no larger than leaves two q-grams to be counted
+                k = max(0, min(int(rate * (j - i)), (j - i - 1) // Q - 1))
+                g = grams(x[i:j])
+                hashes.append(g)
+                owner.append(np.full(len(g), len(self.items)))
+                place.append(np.arange(len(g)))
+                self.items.append((number, x[i:j].copy(), k, j - i + 1 - (k + 1) * Q, j - i == m))
         cat = lambda parts, kind: np.concatenate(parts).astype(kind) if parts else np.zeros(0, kind)
         h, o, p = cat(hashes, np.uint64), cat(owner, np.int64), cat(place, np.int64)
         order = np.argsort(h, kind="stable")
@@ -117,6 +148,10 @@ class Index:
         self.owner, self.place = o[order], p[order]
         self.budget = np.array([i[2] for i in self.items], dtype=np.int64)
         self.least = np.array([i[3] for i in self.items], dtype=np.int64)
+        self.length = np.array([len(i[1]) for i in self.items], dtype=np.int64)
+        # the short items' hashes, by their number of words
+        self.short_hashes = {n: np.sort(np.array([_sequence_hash(k) for k in by], dtype=np.uint64))
+                             for n, by in self.short.items()}
 
     def bitmap(self) -> np.ndarray:
         bits = np.zeros(1 << self.BITS, dtype=bool)
@@ -124,6 +159,11 @@ class Index:
         return bits
 
 
+def _sequence_hash(raw: bytes) -> int:
+    x = np.frombuffer(raw, dtype=np.uint32)
+    return int(Hashes(x).of(np.array([0]), np.array([len(x)]))[0])
+
+
 def align(item: np.ndarray, text: np.ndarray, low: int, high: int) -> tuple[int, int]:
     """Least edits of the item against any stretch of ``text`` whose
     alignment stays on diagonals low..high, and the first end of such."""
@@ -146,34 +186,85 @@ def align(item: np.ndarray, text: np.ndarray, low: int, high: int) -> tuple[int,
     return int(row[best]), best + low + m
 
 
-def scan(index: Index, bits: np.ndarray, texts: list[str]) -> list[tuple[int, int, int, int, int]]:
-    """(text number, item number, start, stop, edits) of every match."""
+def _exact(index: Index, x: np.ndarray, closing: np.ndarray):
+    """(text number, item number, start, stop) of the short items, whole words
+    each."""
+    letter = (x != 32) & (x != 0)
+    if not letter.any():
+        return
+    edge = np.diff(letter.astype(np.int8), prepend=0, append=0)
+    starts, stops = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    doc = np.searchsorted(closing, starts)
+    hashes = Hashes(x)
+    for words, by in index.short.items():
+        if len(starts) < words:
+            continue
+        a, z = starts[:len(starts) - words + 1], stops[words - 1:]
+        same = np.flatnonzero(doc[:len(a)] == doc[words - 1:])
+        wanted, h = index.short_hashes[words], hashes.of(a[same], z[same])
+        at = np.searchsorted(wanted, h)
+        at[at == len(wanted)] = 0
+        for i in same[wanted[at] == h].tolist():
+            for item in by.get(x[a[i]:z[i]].tobytes(), ()):
+                yield int(doc[i]), item, int(a[i]), int(z[i])
+
+
+def _strong(index: Index, hit: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The (pattern, band) that share enough q-grams, as pattern << 40 | band
+    + BIAS. Places come in order, so that a band behind them can't gain more."""
+    n = index.offsets[at + 1] - index.offsets[at]
+    ends = np.cumsum(n)
+    keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    strong = [keys]
+    start = 0
+    while start < len(hit):
+        # at least one place, at most PORTION pairs
+        stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + PORTION, "right")))
+        m = n[start:stop]
+        total = int(m.sum())
+        entry = np.arange(total) - np.repeat(np.cumsum(m) - m, m) + np.repeat(index.offsets[at[start:stop]], m)
+        item = index.owner[entry]
+        band = (np.repeat(hit[start:stop], m) - index.place[entry]) // (index.budget[item] + 1)
+        new, more = np.unique(np.concatenate([(item << 40) + band + BIAS, (item << 40) + band + BIAS - 1]),
+                              return_counts=True)
+        keys, place = np.unique(np.concatenate([keys, new]), return_inverse=True)
+        counts = np.bincount(place, weights=np.concatenate([counts, more]), minlength=len(keys)).astype(np.int64)
+        item = keys >> 40
+        done = counts >= index.least[item]
+        strong.append(keys[done])
+        if stop < len(hit):
+            reach = ((keys & ((1 << 40) - 1)) - BIAS + 2) * (index.budget[item] + 1) + index.length[item]
+            keep = reach >= hit[stop]
+            keys, counts = keys[keep], counts[keep]
+        start = stop
+    return np.unique(np.concatenate(strong))
+
+
+def scan(index: Index, bits: np.ndarray, texts: list[str]) -> list[tuple[int, int, int, int, int, int]]:
+    """(text number, item number, start, stop, edits, matched characters) of
+    every match."""
     x, place, first, closing = compared(texts)
+    best: dict[tuple[int, int], tuple] = {}
+
+    def offer(doc, item, whole, edits, start, stop):
+        found = (not whole, edits, start, stop)
+        if found < best.get((doc, item), (True, 1 << 62)):
+            best[doc, item] = found
+
+    if index.short:
+        for doc, item, start, stop in _exact(index, x, closing):
+            offer(doc, item, True, 0, start, stop)
     g = grams(x)
     hit = np.flatnonzero(bits[g >> np.uint64(64 - Index.BITS)])
-    if not len(hit) or not len(index.hashes):
-        return []
-    at = np.searchsorted(index.hashes, g[hit])
-    at[at == len(index.hashes)] = 0
-    same = index.hashes[at] == g[hit]
-    hit, at = hit[same], at[same]
-    n = index.offsets[at + 1] - index.offsets[at]
-    total = int(n.sum())
-    if not total:
-        return []
-    # every (place in the texts, place in an item) that share a q-gram
-    entry = np.arange(total) - np.repeat(np.cumsum(n) - n, n) + np.repeat(index.offsets[at], n)
-    item = index.owner[entry]
-    diagonal = np.repeat(hit, n) - index.place[entry]
-    step = index.budget[item] + 1
-    band = diagonal // step
-    keys = np.concatenate([(item << 40) + band + 1, (item << 40) + band])   # bands band and band - 1
-    keys, counts = np.unique(keys, return_counts=True)
-    item, band = keys >> 40, (keys & ((1 << 40) - 1)) - 1
-    strong = counts >= index.least[item]
-    best: dict[tuple[int, int], tuple] = {}
-    for i, b in zip(item[strong].tolist(), band[strong].tolist()):
-        _, pattern, k, _ = index.items[i]
+    if len(hit) and len(index.hashes):
+        at = np.searchsorted(index.hashes, g[hit])
+        at[at == len(index.hashes)] = 0
+        same = index.hashes[at] == g[hit]
+        keys = _strong(index, hit[same], at[same])
+    else:
+        keys = np.zeros(0, np.int64)
+    for i, b in zip((keys >> 40).tolist(), ((keys & ((1 << 40) - 1)) - BIAS).tolist()):
+        item, pattern, k, _, whole = index.items[i]
         m = len(pattern)
         lowest, highest = b * (k + 1), (b + 2) * (k + 1) - 1
         middle = min(max((lowest + highest + m) // 2, 0), len(x) - 1)
@@ -181,21 +272,20 @@ def scan(index: Index, bits: np.ndarray, texts: list[str]) -> list[tuple[int, in
         for d in {doc, min(int(np.searchsorted(closing, max(lowest, 0))), len(closing) - 1)}:
             a = max(lowest - k, int(first[d]))
             z = min(highest + m + k, int(closing[d]))
-            if z - a < m - k or best.get((d, i), (k,))[0] == 0 and best[d, i][3] <= a:
+            if z - a < m - k:
+                continue
+            known = best.get((d, item))
+            if known and known[:2] <= (not whole, 0) and known[2] <= a:
                 continue
             exact = x[a:z].tobytes().find(pattern.tobytes())
             if exact >= 0 and exact % 4 == 0:      # no edits: no need to align
-                edits, start, stop = 0, a + exact // 4, exact // 4 + m
-            else:
-                edits, stop = align(pattern, x[a:z], lowest - k - a, highest + k - a)
-                if edits <= k:
-                    _, back = align(pattern[::-1], x[a:a + stop][::-1], 0 - k, k)
-                    start = a + stop - back
+                offer(d, item, whole, 0, a + exact // 4, a + exact // 4 + m)
+                continue
+            edits, stop = align(pattern, x[a:z], lowest - k - a, highest + k - a)
             if edits <= k:
-                found = (edits, int(place[start]), int(place[a + stop - 1]) + 1, start)
-                if found < best.get((d, i), (k + 1,)):
-                    best[d, i] = found
-    return [(d, i, s, e, edits) for (d, i), (edits, s, e, _) in sorted(best.items())]
+                _, back = align(pattern[::-1], x[a:a + stop][::-1], 0 - k, k)
+                offer(d, item, whole, edits, a + stop - back, a + stop)
+    return [(d, i, int(place[a]), int(place[z - 1]) + 1, e, z - a) for (d, i), (_, e, a, z) in sorted(best.items())]
 
 
 def _slices(items: DataFrame, slice_chars: int) -> int:
@@ -215,13 +305,15 @@ def _slices(items: DataFrame, slice_chars: int) -> int:
 
 def _indexes(benchmark: DataFrame, item_col: str, item_text_col: str, rate: float, min_chars: int,
              slice_chars: int):
-    """One index for each slice: at most slice_chars characters, or one item."""
+    """One index for each slice (at most slice_chars characters, or one item),
+    broadcast: the driver keeps no more than one."""
     items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).alias("text"),
                              F.length(item_text_col).alias("chars")).where("text is not null")
     n = _slices(items, slice_chars)
     for k in range(n):
         part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).orderBy("item_id", "text")
-        yield Index([(r.item_id, r.text) for r in part.collect()], rate, min_chars)
+        index = Index([(r.item_id, r.text) for r in part.collect()], rate, min_chars)
+        yield benchmark.sparkSession.sparkContext.broadcast(index)
 
 
 #: Characters scanned at once.
@@ -244,13 +336,15 @@ def _batch_matches(index: Index, bits: np.ndarray, texts: list[str | None]):
 def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             item_col: str = "item_id", item_text_col: str = "text", rate: float = RATE,
             min_chars: int = MIN_CHARS, slice_chars: int = SLICE_CHARS) -> DataFrame:
-    """doc_id, item_id, start, stop (characters of the text) and edits of the
-    best stretch of each document row for each item it holds."""
+    """doc_id, item_id, start, stop (characters of the text), edits and the
+    number of compared characters of the best stretch of each document row for
+    each item that it holds, or a window of it."""
     src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     schema = T.StructType([src.schema["doc_id"], *MATCH])
     out = None
     for index in _indexes(benchmark, item_col, item_text_col, rate, min_chars, slice_chars):
-        def run(batches, index=index):
+        def run(batches, sent=index):
+            index = sent.value
             bits = index.bitmap()
             for b in batches:
                 got = list(_batch_matches(index, bits, b.column("text").to_pylist()))
@@ -258,7 +352,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
                     d, i, *rest = zip(*got)
                     yield pa.RecordBatch.from_arrays(
                         [b.column("doc_id").take(pa.array(d, pa.int64())),
-                         pa.array([index.items[k][0] for k in i], pa.int64()),
+                         pa.array([index.ids[k] for k in i], pa.int64()),
                          *(pa.array(r, pa.int64()) for r in rest)], names=schema.names)
 
         found = src.mapInArrow(run, schema)
@@ -273,7 +367,8 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "
     are dropped where they are scanned, so that no join is needed and rows
     of equal or null ids are judged one by one."""
     for index in _indexes(benchmark, item_col, item_text_col, rate, min_chars, slice_chars):
-        def run(batches, index=index):
+        def run(batches, sent=index):
+            index = sent.value
             bits = index.bitmap()
             for b in batches:
                 texts = b.column(text_col).to_pylist()

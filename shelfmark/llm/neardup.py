@@ -22,9 +22,13 @@ bucket it shares only. Big buckets are dealt out over blocks of ``BLOCK``
 nodes, so that no task holds a whole group.
 
 Defined results: a null text or one without words has an empty set and is
-linked with nothing; rows of equal ids are one document (its rows share the
-links); a null id is its own document with a null component; an empty table
-gives an empty result; only the id and text columns are read.
+linked with nothing; nodes are word sequences, so that an id may have
+several, and rows of equal ids are one document: its sequences are linked.
+A row with a null id belongs to the component of its text, whose id is the
+least that it reaches, or null where it reaches none. ``deduplicated`` keeps
+one row of each component, copies and rows of null ids included, and all rows
+without words. An empty table gives an empty result; only the id and text
+columns are read.
 """
 
 from __future__ import annotations
@@ -34,9 +38,10 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.sizing import small_side
 from .common import spread, stored
 from .components import components
 from .hashing import Hashes, mix, times
@@ -84,25 +89,30 @@ def shingle_hashes(docs: list[list[bytes]], k: int) -> tuple[np.ndarray, np.ndar
 
 
 def sketch(hashes: np.ndarray, owner: np.ndarray, n: int, size: int = SIZE) -> np.ndarray:
-    """An n x size matrix; rows without shingles stay at the highest value."""
-    out = np.full(n * size, _NONE, dtype=np.uint64)
-    open_docs = np.zeros(n, dtype=bool)
-    open_docs[owner] = True
-    h, d = hashes, owner
+    """An n x size matrix; rows without shingles stay at the highest value.
+    A round works on the documents that still have an empty bin."""
+    out = np.full((n, size), _NONE, dtype=np.uint64)
+    live = np.unique(owner)                      # numbers of the open documents
+    mine = np.full((len(live), size), _NONE, dtype=np.uint64)
+    h, d = hashes, np.searchsorted(live, owner)
     for r in range(2 * size):
+        if not len(live):
+            break
         v = mix(h ^ times(r + 1, _M1))
-        bins = (v % np.uint64(size)).astype(np.int64) if r < size else np.full(len(v), r - size)
-        seen = np.full(n * size, _NONE, dtype=np.uint64)
+        bins = (v % np.uint64(size)).astype(np.int64) if r < size else r - size
+        seen = np.full(mine.size, _NONE, dtype=np.uint64)
         np.minimum.at(seen, d * size + bins, v >> np.uint64(8))
-        new = (out == _NONE) & (seen != _NONE)
-        out[new] = mix(seen[new] + times(r, _M2))
-        full = (out.reshape(n, size) != _NONE).all(axis=1)
-        open_docs &= ~full
-        if not open_docs.any():
-            break
-        more = open_docs[d]
-        h, d = h[more], d[more]
-    return out.reshape(n, size)
+        seen = seen.reshape(mine.shape)
+        new = (mine == _NONE) & (seen != _NONE)
+        mine[new] = mix(seen[new] + times(r, _M2))
+        full = (mine != _NONE).all(axis=1)
+        if full.any():
+            out[live[full]] = mine[full]
+            more = ~full[d]
+            h, d = h[more], (np.cumsum(~full) - 1)[d[more]]
+            live, mine = live[~full], mine[~full]
+    out[live] = mine
+    return out
 
 
 def bands(matrix: np.ndarray, rows: int = BAND) -> np.ndarray:
@@ -115,10 +125,15 @@ def bands(matrix: np.ndarray, rows: int = BAND) -> np.ndarray:
     return key
 
 
+def row_key(id_col: Column, text: Column) -> Column:
+    """Equal for rows of one id and text only."""
+    return F.unhex(F.sha2(F.concat(F.coalesce(id_col.cast("string"), F.lit("")), F.lit(":"), F.coalesce(text, F.lit(""))), 256))
+
+
 def features(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, n_shingles, digest of the word sequence, bucket keys; one pass
-    over the whole texts."""
-    schema = "doc_id long, n_shingles long, digest binary, keys array<long>"
+    """doc_id, raw (the row's key), n_shingles, digest of the word sequence,
+    bucket keys; one pass over the whole texts."""
+    schema = "doc_id long, raw binary, n_shingles long, digest binary, keys array<long>"
 
     def run(batches):
         for b in batches:
@@ -127,17 +142,17 @@ def features(docs: DataFrame, k: int) -> DataFrame:
             keys = bands(sketch(h, owner, len(texts))).view(np.int64)
             rows = [x if w else x[:0] for x, w in zip(keys, texts)]
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array([len(shingles(w, k)) for w in texts], pa.int64()),
+                [b.column("doc_id"), b.column("raw"), pa.array([len(shingles(w, k)) for w in texts], pa.int64()),
                  pa.array([hashlib.sha256(b" ".join(w)).digest() if w else None for w in texts], pa.binary()),
-                 pa.array(rows, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "digest", "keys"])
+                 pa.array(rows, pa.list_(pa.int64()))], names=["doc_id", "raw", "n_shingles", "digest", "keys"])
 
     return docs.mapInArrow(run, schema)
 
 
 def _confirm(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """(u, v) of the pairs (a, b) whose full sets are similar enough."""
-    left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta"))
-    right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
+    left = texts.select(F.col("node").alias("a"), F.col("text").alias("ta"))
+    right = texts.select(F.col("node").alias("b"), F.col("text").alias("tb"))
     rows = pairs.select("a", "b").join(right, "b").join(left, "a")
 
     def run(batches):
@@ -179,7 +194,7 @@ def _signatures(k: int):
             texts = [word_list(t.as_py()) for t in b.column("text")]
             h, owner = shingle_hashes(texts, k)
             low = (sketch(h, owner, len(texts), LARGE) & np.uint64(255)).astype(np.uint8)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([x.tobytes() for x in low], pa.binary())],
+            yield pa.RecordBatch.from_arrays([b.column("node"), pa.array([x.tobytes() for x in low], pa.binary())],
                                              names=["node", "sig"])
     return run
 
@@ -245,30 +260,55 @@ def _star(rows: DataFrame, name: str) -> DataFrame:
                   .where("a < z").select("key", "a"), name)
 
 
-def groups(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id",
-           text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of every row."""
+def _classes(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, row (its number), raw (its key), n_shingles, component (of its
+    node), alone (no other row has it) and again (another row has its key) of
+    every row."""
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    every = stored(features(spread(src), k), "features")
+    keyed = src.withColumn("raw", row_key(F.col("doc_id"), F.col("text")))
+    every = stored(features(spread(keyed), k).withColumn("row", F.monotonically_increasing_id()), "features")
 
-    # equal word sequences: one node, the least id
-    copies = stored(every.where("digest is not null and doc_id is not null").groupBy("digest")
-                    .agg(F.min("doc_id").alias("node"), F.count("*").alias("n"))
+    # equal word sequences: one node, the least row
+    copies = stored(every.where("digest is not null").groupBy("digest")
+                    .agg(F.min("row").alias("node"), F.count("*").alias("n"))
                     .where("n > 1").select("digest", "node"), "copies")
-    rows = stored(every.select("doc_id", "n_shingles", "digest").join(copies, "digest", "left")
-                  .select("doc_id", "n_shingles", F.coalesce("node", "doc_id").alias("node")), "nodes")
-    own = (every.join(copies, "digest", "left").where("node is null or node = doc_id")
-           .where("doc_id is not null and n_shingles > 0")
-           .select(F.col("doc_id").alias("node"), "n_shingles", "keys"))
+    rows = stored(every.select("doc_id", "row", "raw", "n_shingles", "digest").join(copies, "digest", "left")
+                  .select("doc_id", "row", "raw", "n_shingles", F.coalesce("node", "row").alias("node"),
+                          F.col("node").isNotNull().alias("copied")), "nodes")
+    own = (every.join(copies, "digest", "left").where("node is null or node = row")
+           .where("n_shingles > 0").select(F.col("row").alias("node"), "raw", "n_shingles", "keys"))
+    # rows of one id and text are the same several times
+    again = stored(rows.where("n_shingles > 0").groupBy("raw").agg(F.count("*").alias("n")).where("n > 1").select("raw"),
+                   "repeated-rows")
+    label = _linked(keyed, own, small_side(again), k, percent)
+    # ids of several nodes
+    ids = stored(rows.where("doc_id is not null").groupBy("doc_id").agg(F.min("node").alias("u"), F.max("node").alias("z"))
+                 .where("u < z").select("doc_id", "u"), "ids-of-several")
+    if ids.limit(1).count():
+        tied = rows.join(small_side(ids), "doc_id").select("u", F.col("node").alias("v"))
+        label = components(tied.unionByName(label.select(F.col("component").alias("u"), F.col("node").alias("v"))).distinct())
+    out = rows.join(label, "node", "left").join(small_side(again.withColumn("again", F.lit(True))), "raw", "left")
+    return out.select("doc_id", "row", "raw", "n_shingles", F.coalesce("component", "node").alias("component"),
+                      (~F.col("copied") & F.col("component").isNull()).alias("alone"),
+                      F.coalesce("again", F.lit(False)).alias("again"))
+
+
+def _linked(src: DataFrame, own: DataFrame, again: DataFrame, k: int, percent: int) -> DataFrame:
+    """(node, component) of the linked nodes; ``own`` has each node's raw,
+    n_shingles and keys."""
     banded = own.select("node", F.posexplode("keys").alias("band", "key"))
     bucket = _star(banded, "buckets")
     live = stored(banded.join(bucket, "key"), "bucket-rows")
 
     # the nodes that share a bucket: their keys, set sizes and texts
     members = stored(own.join(live.select("node").distinct(), "node", "left_semi")
-                     .groupBy("node").agg(F.min(F.struct(F.col("n_shingles").alias("n"), "keys")).alias("x"))
-                     .select("node", "x.n", "x.keys"), "bucket-nodes")
-    texts = stored(src.join(members.select(F.col("node").alias("doc_id")), "doc_id", "left_semi"), "bucket-texts")
+                     .select("node", "raw", F.col("n_shingles").alias("n"), "keys"), "bucket-nodes")
+    wanted, text = members.select("raw", "node"), src.select("raw", "text")
+    once = text.join(wanted.join(again, "raw", "left_anti"), "raw").select("node", "text")
+    # of a row that is there many times, one text
+    more = (text.join(again, "raw", "left_semi").groupBy("raw").agg(F.first("text").alias("text"))
+            .join(wanted, "raw").select("node", "text"))
+    texts = stored(once.unionByName(more), "bucket-texts")
 
     # stars in buckets of four, eight and sixteen coordinates
     wide = stored(members.select("node", "keys").mapInArrow(_wide_keys, "node long, keys array<long>")
@@ -300,10 +340,10 @@ def groups(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id
             "key", "band", "node", "component", F.lit(False).alias("left"), all_("minor").alias("i"), slot("size").alias("j"))
         both = left.unionByName(right)
         nodes = members.join(rest.select("node").distinct(), "node", "left_semi")
-        signed = stored(texts.join(nodes.select(F.col("node").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "text")
+        signed = stored(texts.join(nodes.select("node"), "node", "left_semi").select("node", "text")
                         .mapInArrow(_signatures(k), "node long, sig binary"), "signatures")
-        n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        found = (both.join(signed, "node").join(members, "node")
+        n = int(src.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        found = (both.join(signed, "node").join(members.drop("raw"), "node")
                  .select("key", "i", "j", "band", "left", "node", "n", "component", "keys", "sig")
                  .repartition(n, "key", "i", "j").sortWithinPartitions("key", "i", "j")
                  .mapInArrow(_across(percent), "a long, b long"))
@@ -312,14 +352,34 @@ def groups(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id
         if more.limit(1).count():
             label = components(links.unionByName(more))
 
-    out = rows.join(label, "node", "left")
-    component = F.coalesce("component", "node")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"),
-                      F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    return label
+
+
+def groups(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id",
+           text_col: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id and kept of every row."""
+    c = stored(_classes(docs, k, percent, id_col, text_col), "classes")
+    shared = c.where(~F.col("alone"))
+    least = stored(shared.groupBy("component").agg(F.min("doc_id").alias("component_id")), "least-ids")
+    out = shared.join(least, "component").select("doc_id", "n_shingles", "component_id").unionByName(
+        c.where("alone").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def deduplicated(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """One document of each group (the least id) and all that have none or a
-    null id; all columns of ``docs``."""
-    gone = stored(groups(docs, k, percent).where("not kept").select("doc_id").distinct(), "dropped")
-    return docs.join(gone, docs["doc_id"] == gone["doc_id"], "left_anti")
+    """One row of each component (of the least id, null ids last) and all rows
+    without words; all columns of ``docs``."""
+    c = stored(_classes(docs, k, percent, "doc_id", "text").where("n_shingles > 0"), "classes")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "raw")
+    shared = c.where(~F.col("alone"))
+    kept = stored(shared.groupBy("component").agg(F.min(order)["raw"].alias("first")), "first-rows")
+    gone = stored(shared.join(kept, "component").where("raw <> first").select("raw").distinct(), "dropped")
+    again = stored(c.where("again").select("raw").distinct(), "repeated")
+    # the key rides along under a name that no column has
+    key = next(n for n in ("row_key", *(f"row_key_{i}" for i in range(len(docs.columns) + 1))) if n not in docs.columns)
+    left = (docs.withColumn(key, row_key(F.col("doc_id").cast("long"), F.col("text")))
+            .join(gone.withColumnRenamed("raw", key), key, "left_anti"))
+    if again.limit(1).count():
+        twice = again.withColumnRenamed("raw", key)
+        left = left.join(twice, key, "left_anti").unionByName(left.join(twice, key, "left_semi").dropDuplicates([key]))
+    return left.drop(key)

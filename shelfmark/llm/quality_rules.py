@@ -3,9 +3,10 @@
 Text statistics are DataFrame expressions over the whole text. A decision
 list is learned from labelled statistics by sequential covering: a rule is
 grown greedily (FOIL gain over threshold tests) on two thirds of the
-labelled rows, pruned from its end on the other third, kept if it is
-precise there, and the rows it covers are removed before the next rule; of
-one that is not kept, only the bad rows that it was grown on are set aside.
+labelled rows that the base keeps, pruned from its end on the other third,
+kept if it is precise there, and the rows it covers are removed before the
+next rule; one that is not kept removes nothing, and no later rule begins
+with its first test or one much like it.
 The list becomes one ordered ``when(...).when(...)`` expression, so judging
 a corpus is a projection of the scan: no shuffle and no Python.
 
@@ -30,6 +31,8 @@ from .common import GAP, let, spread, words
 FIT_ROWS = 10_000
 #: Longest conjunction, most rules, thresholds tried per statistic.
 MAX_TESTS, MAX_RULES, CUTS = 3, 12, 24
+#: Rules that may be set aside; each bans its first test from coming first.
+MAX_BANNED = 60
 #: A rule stays if so much of what it covers among the pruning rows is bad.
 PRECISION = 0.97
 #: With wrong labels among them: or if even the lower confidence bound (normal
@@ -135,8 +138,10 @@ def _counts(rows: list, tests: list[Test]) -> tuple[int, int]:
     return sum(hit), len(hit) - sum(hit)
 
 
-def _grow(rows: list, names: list[str]) -> list[Test]:
-    """Adds the test of best FOIL gain until only bad rows are covered."""
+def _grow(rows: list, names: list[str], banned: list[tuple[str, bool, int]] = ()) -> list[Test]:
+    """Adds the test of best FOIL gain until only bad rows are covered; the
+    first is none of the ``banned`` (a statistic, a side, and the number of
+    rows covered, give or take a quarter)."""
     tests: list[Test] = []
     while len(tests) < MAX_TESTS:
         p0 = sum(bad for _, bad in rows)
@@ -156,7 +161,8 @@ def _grow(rows: list, names: list[str]) -> list[Test]:
                 for above, a, b in ((False, p, n), (True, p0 - p, n0 - n)):
                     if a >= SUPPORT:
                         gain = a * (math.log2(a / (a + b)) - base)
-                        if gain > best[0] + 1e-9:
+                        if gain > best[0] + 1e-9 and (tests or not any(
+                                (name, above) == x[:2] and 4 * abs(a + b - x[2]) <= x[2] for x in banned)):
                             best = (gain, Test(name, above, (v + nxt) / 2))
         if best[1] is None:
             break
@@ -190,23 +196,26 @@ def learn(rows: list[tuple[dict, bool]], names: list[str] = RATIOS) -> list[list
     prune = [x for i, x in enumerate(rows) if i % 3 == 2]
     base = sum(bad for _, bad in prune) / max(1, len(prune))
     rules: list[list[Test]] = []
-    while len(rules) < MAX_RULES and sum(bad for _, bad in grow) >= SUPPORT:
-        tests = _prune(prune, _grow(grow, names))
+    banned: list[tuple[str, bool, int]] = []
+    while len(rules) < MAX_RULES and len(banned) < MAX_BANNED and sum(bad for _, bad in grow) >= SUPPORT:
+        tests = _prune(prune, _grow(grow, names, banned))
         if not tests:
             break
-        left = lambda part: [x for x in part if not all(t.holds(x[0]) for t in tests)]
         if _precise(*_counts(prune, tests), base):
+            left = lambda part: [x for x in part if not all(t.holds(x[0]) for t in tests)]
             rules.append(tests)
             grow, prune = left(grow), left(prune)
-        else:               # later rules are still judged on all that it covers
-            grow = [x for x in grow if not (x[1] and all(t.holds(x[0]) for t in tests))]
+        else:  # its rows stay for the rules after it
+            first = tests[0]
+            banned.append((first.name, first.above, sum(_counts(grow, [first]))))
     return rules
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         label_col: str = "quality", max_rows: int = FIT_ROWS) -> list[list[Test]]:
-    """Rules from at most ``max_rows`` labelled documents (0: bad, 1: good),
-    chosen by hash of the id. Null labels and ids are left out; of several
+    """Rules from at most ``max_rows`` labelled documents (0: bad, 1: good)
+    that the base keeps, chosen by hash of the id: what it rejects needs no
+    rule and would only hide the others. Null labels and ids are left out; of several
     labels of one id the least counts."""
     chosen = (labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).alias("y"))
               .where("doc_id is not null and y is not null")
@@ -217,7 +226,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         F.broadcast(chosen), "doc_id")
     got = (statistics(picked).join(F.broadcast(chosen), "doc_id")
            .orderBy(F.xxhash64("doc_id"), "doc_id", *RATIOS).limit(max_rows).collect())
-    return learn([(r.asDict(), r["y"] == 0) for r in got])
+    return learn([(r.asDict(), r["y"] == 0) for r in got if not (
+        r["n_words"] < BASE_MIN_WORDS or 100 * r["n_repeat_words"] > BASE_MAX_REPEAT_PCT * r["n_words"])])
 
 
 def verdict(rules: list[list[Test]]) -> Column:
@@ -232,13 +242,16 @@ def verdict(rules: list[list[Test]]) -> Column:
     return out
 
 
+def base_failed() -> Column:
+    return (F.col("n_words") < BASE_MIN_WORDS) | (
+        100 * F.col("n_repeat_words") > BASE_MAX_REPEAT_PCT * F.col("n_words"))
+
+
 def judge(docs: DataFrame, rules: list[list[Test]], id_col: str = "doc_id",
           text_col: str = "text") -> DataFrame:
     """doc_id, the counts, base_failed, kept, and the rule that rejected it."""
-    failed = (F.col("n_words") < BASE_MIN_WORDS) | (
-        100 * F.col("n_repeat_words") > BASE_MAX_REPEAT_PCT * F.col("n_words"))
     s = statistics(docs, id_col, text_col).withColumns(
-        {"base_failed": failed, "rule": verdict(rules)})
+        {"base_failed": base_failed(), "rule": verdict(rules)})
     return s.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines",
                     "n_repeat_words", "base_failed",
                     (~F.col("base_failed") & F.col("rule").isNull()).alias("kept"), "rule")

@@ -82,6 +82,31 @@ def test_wrong_labels_leave_rules():
     assert sum(fires(symbol_share=0.9) for _ in range(500)) > 250 and sum(fires() for _ in range(500)) < 10
 
 
+def test_what_the_base_rejects_hides_no_rule(llm):
+    """Most bad texts are short and fail the base; the others have symbols.
+    The few labels still give a rule for these, and it costs no good text."""
+    rng = random.Random(6)
+    words = lambda n: " ".join(rng.choice(["alpha", "beta", "gamma", "delta", "epsilon"]) + str(rng.randrange(999)) for _ in range(n))
+    rows = [(i, words(12) + " ###", 0) for i in range(40)]
+    rows += [(100 + i, words(80) + " " + "### " * 30, 0) for i in range(30)] + [(200 + i, words(90), 1) for i in range(300)]
+    docs = documents(llm, [(i, t) for i, t, _ in rows])
+    labels = llm.createDataFrame([(i, q) for i, _, q in rows], "doc_id long, quality int")
+    rules = Q.fit(docs, labels)
+    assert rules
+    kept = {r.doc_id: r.kept for r in Q.judge(docs, rules).collect()}
+    assert kept == {i: q == 1 for i, _, q in rows}
+
+
+def test_rules_on_the_small_table(llm):
+    """The labelled bad texts that the base keeps are caught, no good one is
+    lost."""
+    from shelfmark.llm.common import table
+    docs, labels = (table(llm, "/root/testdata/sf0.01", t) for t in ("documents", "labels"))
+    rules = Q.fit(docs, labels)
+    got = Q.judge(docs, rules).join(labels, "doc_id").where("not base_failed").groupBy("quality", "kept").count().collect()
+    assert rules and {(r.quality, r.kept) for r in got} == {(0, False), (1, True)}
+
+
 def test_without_labels_the_base_decides(llm):
     docs = documents(llm, EDGES)
     empty = llm.createDataFrame([], "doc_id long, quality int")

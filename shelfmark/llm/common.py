@@ -15,8 +15,9 @@ from ..session import checkpoint_dir
 #: A word is a run of anything but space and the control characters 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
-#: Rows in one Arrow batch sent to Python: whole texts, so few of them.
-BATCH_ROWS = 256
+#: Rows and bytes in one Arrow batch sent to Python: whole texts, so few rows;
+#: long ones end a batch sooner, so that only a single row can exceed the bytes.
+BATCH_ROWS, BATCH_BYTES = 256, "32m"
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -46,6 +47,7 @@ def prepare(spark: SparkSession) -> SparkSession:
     Python-backed operators rely on."""
     ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     checkpoint_dir(spark)
     return spark
 

@@ -324,8 +324,6 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
              .groupBy("b", "f2", "f1").agg(F.sum("n").alias("n")).collect())
     weights = learn_weights(sorted((r.b, r.f2, r.f1, r.n) for r in cells), sizes.vm or 0)
 
-    # a block is large: few of them to an Arrow batch
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
     run = _scorer(weights, tokens(1, 2), sizes.v or 0, texts(1, 2), pa.int64())
     return blocks.join(lists, "block").select("role", "data", "answers").mapInArrow(
         run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

@@ -47,7 +47,7 @@ HOT = 4_000
 PIECE = 4_000_000
 #: Bytes of blocks that are suffix-sorted at once, at least one class.
 SORTED = 1_000_000
-#: Document keys (12 bytes each) that may be broadcast, after a count.
+#: Document keys (16 bytes each) that may be broadcast, after a count.
 BROADCAST_KEYS = 1_000_000
 
 _PLACE = 24                                   # bits of a place in a piece
@@ -248,7 +248,7 @@ def _sorted_spans(batches):
         _, x2 = np.nonzero(edge == -1)
         q = np.array([r[4] for r in rows], dtype=np.int64)[i]
         return pa.RecordBatch.from_arrays(
-            [pa.array([rows[k][2] for k in i], pa.int64()), pa.array([rows[k][3] for k in i], pa.int32()),
+            [pa.array([rows[k][2] for k in i], pa.int64()), pa.array([rows[k][3] for k in i], pa.int64()),
              pa.array(q - x2 + 1), pa.array(q - x1)], names=["doc", "h", "first", "last"])
 
     rows, size = [], 0
@@ -277,10 +277,12 @@ def _parted(docs: DataFrame, lists: DataFrame) -> tuple[DataFrame, DataFrame | N
 
 
 def _row_key(id_col: Column, text: Column) -> tuple[Column, Column]:
-    """A document row: its id, and 32 bits of its text's hash that tell rows
-    of one id apart (equal id and text: the same result)."""
-    return (F.coalesce(id_col.cast("long"), F.lit(-(2 ** 63))).alias("doc"),
-            F.hash(F.coalesce(text, F.lit(""))).alias("h"))
+    """A document row: its id (for null ids one hash of the text) and another
+    hash of the text, which tell rows of one id, and those without, apart
+    (equal id and text: the same result)."""
+    text = F.coalesce(text, F.lit(""))
+    return (F.coalesce(id_col.cast("long"), F.xxhash64(text, F.lit("no id"))).alias("doc"),
+            F.xxhash64(text).alias("h"))
 
 
 def _fetch(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -297,13 +299,13 @@ def _fetch(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 for w in wanted:
                     s, e = w["q"] - (w["lr"] >> 8), w["q"] - (w["lr"] & 255)
                     out.append((w["a"], w["c"], w["n"], doc, h, w["q"], w["lr"], raw[s:e + LENGTH]))
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary()]
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, k) for c, k in zip(zip(*out) if out else [[]] * 8, kinds)],
                 names=["a", "c", "n", "doc", "h", "q", "lr", "bytes"])
 
     return rows.select("doc", "h", "text", "wanted").mapInArrow(
-        run, "a long, c long, n long, doc long, h int, q long, lr int, bytes binary")
+        run, "a long, c long, n long, doc long, h long, q long, lr int, bytes binary")
 
 
 def _smaller_blocks(rows: DataFrame, anchor: int) -> DataFrame:
@@ -317,13 +319,13 @@ def _smaller_blocks(rows: DataFrame, anchor: int) -> DataFrame:
                 for x in zip(a.view(np.int64).tolist(), c.view(np.int64).tolist(), q.tolist(), s.tolist(), e.tolist()):
                     out.append((x[0], x[1], n, doc, h, base + x[2], (x[2] - x[3]) * 256 + x[2] - x[4],
                                 raw[x[3]:x[4] + LENGTH]))
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary()]
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, k) for c, k in zip(zip(*out) if out else [[]] * 8, kinds)],
                 names=["a", "c", "n", "doc", "h", "q", "lr", "bytes"])
 
     return rows.select("n", "doc", "h", "q", "lr", "bytes").mapInArrow(
-        run, "a long, c long, n long, doc long, h int, q long, lr int, bytes binary")
+        run, "a long, c long, n long, doc long, h long, q long, lr int, bytes binary")
 
 
 def _whole(rows: DataFrame) -> DataFrame:
@@ -340,7 +342,7 @@ def _settle(rows: DataFrame, level: int, hot: int) -> list[DataFrame]:
     small = shared.where(F.col("k") <= hot)
     partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     out = [small.select("a", "n", "doc", "h", "q", "lr", "bytes").repartition(partitions, "a")
-           .sortWithinPartitions("a").mapInArrow(_sorted_spans, "doc long, h int, first long, last long")]
+           .sortWithinPartitions("a").mapInArrow(_sorted_spans, "doc long, h long, first long, last long")]
     if level + 1 < len(ANCHORS) and classes.where(F.col("k") > hot).limit(1).count():
         finer = stored(_smaller_blocks(shared.where((F.col("k") > hot)), ANCHORS[level + 1]), "smaller-blocks")
         counts = stored(finer.groupBy("a", "c").agg(F.sum("n").alias("total"), F.min(F.struct("doc", "h", "q")).alias("one")), "contents")
@@ -358,7 +360,7 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ho
     src = docs.select(F.col(id_col).alias("doc_id"), *_row_key(F.col(id_col), F.col(text_col)),
                       F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     keyed = src.select("doc", "h", "text")
-    rows = spread(keyed).mapInArrow(_block_rows, "doc long, h int, a long, c long, q long, lr int")
+    rows = spread(keyed).mapInArrow(_block_rows, "doc long, h long, a long, c long, q long, lr int")
 
     # classes of two or more blocks; 'alike' if all have one content
     classes = stored(rows.groupBy("a").agg(F.count("*").alias("n"), F.min("c").alias("lo"), F.max("c").alias("hi"))

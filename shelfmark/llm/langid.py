@@ -6,11 +6,13 @@ the two set sizes. Landmarks, a few texts of every language, give the
 Nystroem features: z(x) = K(x, L) K(L, L)^(-1/2). One-versus-rest kernel
 ridge regression on z learns one weight vector a language. As the kernel is
 a product of presence vectors, landmarks, whitening and weights fold into
-one matrix over hashed n-grams, and a batch of texts is scored by one matrix
-product of its presence rows with that matrix.
+one matrix over the landmarks' n-grams (64-bit hashes; others add nothing to a
+kernel), and a batch of texts is scored by one product of its sparse presence
+matrix with that matrix.
 
-The model is fitted on a bounded sample (``fit_rows`` training texts and
-``landmarks`` of them, both taken by hash); every whole text is scored.
+The model is fitted on a bounded sample (``fit_rows`` training texts, as many
+of each language as that leaves, and ``landmarks`` of them, both taken by
+hash); every whole text is scored.
 
 Defined results: a null text or one without a letter is 'und' with score 0;
 texts of null language are never learned from; without any training text all
@@ -23,19 +25,19 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import bucket, spread
 
-#: n-grams are hashed into so many bits; code points are packed before that.
-BITS = 16
 ORDERS = (1, 2, 3)
-#: Bounds of the sample: texts learned from, landmarks among them.
-FIT_ROWS, LANDMARKS = 1_500, 160
+#: Bounds of the sample: texts learned from, landmarks among them, and the
+#: characters beyond which a text is learned from only if its language has no
+#: others.
+FIT_ROWS, LANDMARKS, LONG = 1_500, 160, 50_000
 RIDGE = 1e-3
-#: Presence rows in one matrix product.
+#: Texts in one matrix product.
 ROWS = 64
 
 LETTER = regex.compile(r"\p{L}")
@@ -43,9 +45,10 @@ _MULT = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 
 
 def presence(text: str) -> np.ndarray:
-    """The sorted hashed n-grams that occur in a lower-cased whole text."""
+    """The sorted 64-bit hashes of the n-grams that occur in a lower-cased
+    whole text."""
     c = np.frombuffer(text.lower().encode("utf-32-le"), dtype="<u4").astype(np.uint64)
-    seen = np.zeros(1 << BITS, dtype=bool)
+    found = []
     for n in ORDERS:
         if len(c) < n:
             break
@@ -53,27 +56,38 @@ def presence(text: str) -> np.ndarray:
         for i in range(n):
             h += c[i:len(c) - n + 1 + i] * np.uint64(_MULT[i])
         h ^= h >> np.uint64(29)
-        h *= np.uint64(0xBF58476D1CE4E5B9)
-        seen[h >> np.uint64(64 - BITS)] = True
-    return np.flatnonzero(seen)
+        found.append(np.unique(h * np.uint64(0xBF58476D1CE4E5B9)))
+    # grams of different lengths differ but for a collision of the hash
+    return np.unique(np.concatenate(found)) if found else np.zeros(0, dtype=np.uint64)
 
 
-def _dense(rows: list[np.ndarray]) -> np.ndarray:
-    out = np.zeros((len(rows), 1 << BITS), dtype=np.float32)
-    for i, r in enumerate(rows):
-        out[i, r] = 1
-    return out
+def _matched(rows: list[np.ndarray], vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The sparse presence matrix of ``rows`` over a sorted vocabulary:
+    (row, column) of its ones."""
+    grams = np.concatenate(rows)
+    owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    at = np.searchsorted(vocabulary, grams)
+    at[at == len(vocabulary)] = 0
+    same = vocabulary[at] == grams
+    return owner[same], at[same]
+
+
+def _sizes(rows: list[np.ndarray]) -> np.ndarray:
+    return np.sqrt(np.maximum([len(r) for r in rows], 1))
 
 
 class Model:
-    """Languages (sorted) and one matrix over hashed n-grams."""
+    """Languages (sorted) and one matrix over the landmarks' n-grams."""
 
-    def __init__(self, langs: list[str], matrix: np.ndarray):
-        self.langs, self.matrix = langs, matrix
+    def __init__(self, langs: list[str], vocabulary: np.ndarray, matrix: np.ndarray):
+        self.langs, self.vocabulary, self.matrix = langs, vocabulary, matrix
 
     def scores(self, rows: list[np.ndarray]) -> np.ndarray:
-        size = np.sqrt(np.maximum([len(r) for r in rows], 1)).astype(np.float32)
-        return (_dense(rows) @ self.matrix) / size[:, None]
+        """The product of the rows' presence matrix and the model's."""
+        owner, at = _matched(rows, self.vocabulary)
+        out = np.stack([np.bincount(owner, weights=self.matrix[at, k], minlength=len(rows))
+                        for k in range(len(self.langs))], axis=1)
+        return out / _sizes(rows)[:, None]
 
 
 def learn(rows: list[np.ndarray], langs: list[str], landmarks: int = LANDMARKS) -> Model:
@@ -84,10 +98,20 @@ def learn(rows: list[np.ndarray], langs: list[str], landmarks: int = LANDMARKS)
     # round robin over the languages, in the sample's order
     order = [own[k] for k in range(max(map(len, by), default=0)) for own in by if k < len(own)]
     chosen = order[:landmarks]
-    size = np.sqrt(np.maximum([len(r) for r in rows], 1))
-    marks = _dense([rows[i] for i in chosen]) / size[chosen][:, None].astype(np.float32)
-    kernel = np.vstack([(_dense(rows[i:i + ROWS]) @ marks.T) / size[i:i + ROWS][:, None]
-                        for i in range(0, len(rows), ROWS)]).astype(np.float64)
+    marks = [rows[i] for i in chosen]
+    # the landmarks' n-grams: each with the landmarks that hold it
+    vocabulary, place = np.unique(np.concatenate(marks), return_inverse=True)
+    holder = np.repeat(np.arange(len(marks)), [len(m) for m in marks])[np.argsort(place, kind="stable")]
+    count = np.bincount(place, minlength=len(vocabulary))
+    first = np.cumsum(count) - count
+    mark_sizes = _sizes(marks)
+    kernel = np.zeros((len(rows), len(marks)))
+    for i, row in enumerate(rows):
+        _, at = _matched([row], vocabulary)
+        n = count[at]
+        entry = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[at], n)
+        kernel[i] = np.bincount(holder[entry], minlength=len(marks)) / mark_sizes
+    kernel /= _sizes(rows)[:, None]
     values, vectors = np.linalg.eigh(kernel[chosen])
     strong = values > 1e-8 * max(values.max(), 1e-12)
     white = vectors[:, strong] / np.sqrt(values[strong])
@@ -97,7 +121,11 @@ def learn(rows: list[np.ndarray], langs: list[str], landmarks: int = LANDMARKS)
     w = np.array([1 / langs.count(x) for x in langs]) * len(langs) / len(names)
     weights = np.linalg.solve(z.T @ (z * w[:, None]) + RIDGE * len(rows) * np.eye(z.shape[1]),
                               z.T @ (targets * w[:, None]))
-    return Model(names, (marks.T.astype(np.float64) @ (white @ weights)).astype(np.float32))
+    share = (white @ weights) / mark_sizes[:, None]
+    gram = np.repeat(np.arange(len(vocabulary)), count)
+    matrix = np.stack([np.bincount(gram, weights=share[holder, k], minlength=len(vocabulary))
+                       for k in range(len(names))], axis=1)
+    return Model(names, vocabulary, matrix.astype(np.float32))
 
 
 def held_out(id_col: Column) -> Column:
@@ -106,27 +134,33 @@ def held_out(id_col: Column) -> Column:
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
         fit_rows: int = FIT_ROWS, landmarks: int = LANDMARKS) -> Model | None:
-    """A model from at most ``fit_rows`` texts that are not held out."""
+    """A model from at most ``fit_rows`` texts with a letter that are not held
+    out: as many of each language, by hash of the id, as the bound leaves."""
     d = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    pool = d.where(~held_out(F.col("id")) & F.col("lang").isNotNull())
-    # ids first: the sort then carries no texts; at most fit_rows of them
-    ids = pool.select("id").distinct().orderBy(F.xxhash64("id"), "id").limit(fit_rows)
-    picked = pool.where(F.col("text").isNotNull()).join(F.broadcast(ids), "id")
+    pool = d.where(~held_out(F.col("id")) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    # ids first: the sort then carries no texts. A language's first rows are
+    # picked before the shuffle, and at most fit_rows of all are broadcast
+    order = [F.min(F.length("text") > LONG).alias("long"), F.xxhash64("id").alias("hash")]
+    turn = F.row_number().over(Window.partitionBy("lang").orderBy("long", "hash", "id"))
+    ids = (pool.groupBy("lang", "id").agg(order[0]).withColumn("hash", order[1]).withColumn("turn", turn)
+           .where(F.col("turn") <= fit_rows).orderBy("turn", "hash", "id", "lang").limit(fit_rows)
+           .select(F.col("id").alias("picked"), F.col("lang").alias("language")))
+    picked = pool.join(F.broadcast(ids), F.col("id").eqNullSafe(F.col("picked")) & (F.col("lang") == F.col("language")))
 
     def run(batches):
         for b in batches:
-            grams = [presence(t.as_py()) for t in b.column("text")]
+            grams = [presence(t.as_py()).view(np.int64) for t in b.column("text")]
             yield pa.RecordBatch.from_arrays(
-                [b.column("id"), b.column("lang"), pa.array(grams, pa.list_(pa.int32()))],
+                [b.column("id"), b.column("lang"), pa.array(grams, pa.list_(pa.int64()))],
                 names=["id", "lang", "grams"])
 
     schema = T.StructType([d.schema["id"], T.StructField("lang", T.StringType()),
-                           T.StructField("grams", T.ArrayType(T.IntegerType()))])
-    found = (spread(picked).mapInArrow(run, schema).orderBy(F.xxhash64("id"), "id", "lang", "grams")
+                           T.StructField("grams", T.ArrayType(T.LongType()))])
+    found = (spread(picked.select("id", "lang", "text")).mapInArrow(run, schema).orderBy(F.xxhash64("id"), "id", "lang", "grams")
              .limit(fit_rows).toArrow())
     if not len(found):
         return None
-    return learn([np.asarray(g.values) for g in found.column("grams")],
+    return learn([np.asarray(g.values).view(np.uint64) for g in found.column("grams")],
                  found.column("lang").to_pylist(), landmarks)
 
 

@@ -83,6 +83,39 @@ def test_language_of_held_out_texts(llm):
     assert {r.lang_pred for r in langid.predict(docs, None).collect()} == {"und"}
 
 
+def test_a_rare_language_is_learned(llm):
+    """A bound of 60 texts over 400: each language has its share, ids without
+    text or letters take none of it, and very long texts only where needed."""
+    rng = random.Random(10)
+    rows = [(i, speech("xx", rng), "xx") for i in range(400)] + [(500 + i, speech("yy", rng), "yy") for i in range(6)]
+    rows += [(600 + i, speech("zz", rng, 9000), "zz") for i in range(4)] + [(700 + i, None, "ww") for i in range(200)]
+    docs = llm.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(docs, fit_rows=60, landmarks=30)
+    assert model.langs == ["xx", "yy", "zz"]
+    got = {r.doc_id: r.lang_pred for r in langid.predict(docs, model).collect()}
+    assert sum(got[i] == x for i, t, x in rows if t) >= 408 and got[700] == "und"
+
+
+def test_kernel_scores_are_exact():
+    """The matrix over n-grams gives what kernels with the landmarks give."""
+    import numpy as np
+    rng = random.Random(11)
+    texts = [speech(rng.choice(list(TONGUES)), rng, 15) for _ in range(60)]
+    langs = [["xx", "yy", "zz"][i % 3] for i in range(60)]
+    rows = [langid.presence(t) for t in texts]
+    grams = [{t.lower()[i:i + n] for n in langid.ORDERS for i in range(len(t) - n + 1)} for t in texts]
+    assert [len(r) for r in rows] == [len(g) for g in grams]
+    model = langid.learn(rows, langs, 12)
+    marks = [i for k in range(4) for i in range(3 * k, 3 * k + 3)]
+    kernel = np.array([[len(a & grams[j]) / math.sqrt(len(a) * len(grams[j])) for j in marks] for a in grams])
+    values, vectors = np.linalg.eigh(kernel[marks])
+    strong = values > 1e-8 * values.max()
+    z = kernel @ (vectors[:, strong] / np.sqrt(values[strong]))
+    targets = np.array([[float(x == n) for n in ("xx", "yy", "zz")] for x in langs])
+    w = np.linalg.solve(z.T @ z + langid.RIDGE * 60 * np.eye(z.shape[1]), z.T @ targets)
+    assert np.allclose(model.scores(rows), z @ w, atol=1e-5)
+
+
 def tokens(text):
     return [*(text or "").encode().lower().split(), None]
 
@@ -111,6 +144,57 @@ def test_language_model(llm, monkeypatch):
     assert empty.count() == 0
 
 
+def test_scores_equal_the_model_written_out(llm, monkeypatch):
+    """Counts, histogram and mixture recomputed with plain dictionaries; the
+    setting for Arrow batches stays as it was."""
+    import numpy as np
+    monkeypatch.setattr(lm, "BLOCK_TOKENS", 300)
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join(rng.choice(words[:rng.choice([5, 60])]) for _ in range(rng.randint(0, 40)))) for i in range(300)]
+    rows += [(None, "w1 W2 w3"), (7, "w1 w1 w9"), (8, None)]
+    fold = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 10
+
+    def counts(keep):
+        uni, bi, docs = collections.Counter(), collections.Counter(), 0
+        for i, t in rows:
+            if keep(fold(i)):
+                w = tokens(t)
+                uni.update(w)
+                bi.update(zip([None, *w], w))
+                docs += 1
+        return uni, bi, docs
+    main, every = counts(lambda f: f > 1), counts(lambda f: f > 0)
+    bucket = lambda c: 0 if not c else 1 + int(math.log2(c))
+    bin_ = lambda p: round(-math.log2(p) * lm.BINS) if p else -1
+    cells = collections.Counter()
+    n = sum(main[0].values())
+    for i, t in rows:
+        if fold(i) == 1:
+            w = tokens(t)
+            for u, x in zip([None, *w], w):
+                c = main[2] if u is None else main[0][u]
+                cells[bucket(c), bin_(main[1][u, x] / max(c, 1)), bin_(main[0][x] / n)] += 1
+    weights = lm.learn_weights(sorted((*k, m) for k, m in cells.items()), len(main[0]))
+    n, v = sum(every[0].values()), len(every[0])
+
+    def score(t):
+        w, out = tokens(t), 0.0
+        for u, x in zip([None, *w], w):
+            c = every[2] if u is None else every[0][u]
+            a, b, z = weights[bucket(c)]
+            out += math.log10(a * every[1][u, x] / max(c, 1) + b * every[0][x] / n + z / (v + 1))
+        return out
+    before = llm.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    got = lm.scores(documents(llm, rows)).collect()
+    assert llm.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+    key = lambda x: (str(x[0]), x[1])
+    for (i, s), (j, want) in zip(sorted(((r.doc_id, r.score) for r in got), key=key),
+                                 sorted(((i, score(t)) for i, t in rows), key=key)):
+        assert i == j and s == pytest.approx(want, rel=1e-9)
+    assert np.allclose(weights.sum(axis=1), 1)
+
+
 def test_model_sums_to_one():
     """Interpolated probabilities of all words after a context sum to one
     (the uniform share leaves room for one unseen word)."""

@@ -99,7 +99,8 @@ def search_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _stored_root(spark: SparkSession, sf_dir: str, derived: bool = False) -> str:
     """The folder of the fixture registry, committed to the shared folder."""
     root = stream.registry_root(spark, f"registry-{uuid.uuid4().hex}")
-    stream.init_registry(fixtures.registry(spark, sf_dir), root, derived=derived)
+    # some ten thousand rows: a few buckets
+    stream.init_registry(fixtures.registry(spark, sf_dir), root, buckets=8, derived=derived)
     return root
 
 
@@ -648,7 +649,7 @@ def domain_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _streamed(spark: SparkSession, sf_dir: str) -> str:
     """The event registry on storage after the whole log in three commits."""
     root = stream.registry_root(spark, f"events-{uuid.uuid4().hex}")
-    stream.init_registry(fixtures.event_registry(spark, sf_dir), root)
+    stream.init_registry(fixtures.event_registry(spark, sf_dir), root, buckets=8)
     decoded = _decoded(spark, sf_dir)
     parts = stream.parts_of(decoded, -(-decoded.count() // 3))
     for i, part in enumerate(parts):

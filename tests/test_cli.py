@@ -25,4 +25,7 @@ def test_cli_generate_retry_compact(spark):
     assert main(["retry", "--root", root]) == 0
     assert main(["compact", "--root", root]) == 0
     assert stream.committed_versions(spark, root) == [0, 1, 2, 3]
+    assert main(["rebucket", "--root", root, "--buckets", "3"]) == 0
+    assert main(["vacuum", "--root", root, "--keep", "1"]) == 0
+    assert stream.committed_versions(spark, root) == [4]
     assert load_registry(spark, root).datasets.count() == 7

@@ -305,7 +305,8 @@ def test_a_template_shared_by_many_items(monkeypatch):
     matches none but the item that it holds, and few pairs are held at once."""
     monkeypatch.setattr(D, "PORTION", 50_000)
     rng = random.Random(41)
-    tail = lambda: "".join(rng.choice("abcdefgh ") for _ in range(60))
+    tail = lambda: "".join(rng.choice("abcdefgh ") for _ in range(130))
+    # its q-grams alone are fewer than an item's bound asks for
     template = "please answer the following question with a single word "
     items = [(i, template + tail()) for i in range(10_000)]
     index = D.Index(items, D.RATE, D.MIN_CHARS)

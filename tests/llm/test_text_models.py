@@ -83,39 +83,6 @@ def test_language_of_held_out_texts(llm):
     assert {r.lang_pred for r in langid.predict(docs, None).collect()} == {"und"}
 
 
-def test_a_rare_language_is_learned(llm):
-    """A bound of 60 texts over 400: each language has its share, ids without
-    text or letters take none of it, and very long texts only where needed."""
-    rng = random.Random(10)
-    rows = [(i, speech("xx", rng), "xx") for i in range(400)] + [(500 + i, speech("yy", rng), "yy") for i in range(6)]
-    rows += [(600 + i, speech("zz", rng, 9000), "zz") for i in range(4)] + [(700 + i, None, "ww") for i in range(200)]
-    docs = llm.createDataFrame(rows, "doc_id long, text string, lang string")
-    model = langid.fit(docs, fit_rows=60, landmarks=30)
-    assert model.langs == ["xx", "yy", "zz"]
-    got = {r.doc_id: r.lang_pred for r in langid.predict(docs, model).collect()}
-    assert sum(got[i] == x for i, t, x in rows if t) >= 408 and got[700] == "und"
-
-
-def test_kernel_scores_are_exact():
-    """The matrix over n-grams gives what kernels with the landmarks give."""
-    import numpy as np
-    rng = random.Random(11)
-    texts = [speech(rng.choice(list(TONGUES)), rng, 15) for _ in range(60)]
-    langs = [["xx", "yy", "zz"][i % 3] for i in range(60)]
-    rows = [langid.presence(t) for t in texts]
-    grams = [{t.lower()[i:i + n] for n in langid.ORDERS for i in range(len(t) - n + 1)} for t in texts]
-    assert [len(r) for r in rows] == [len(g) for g in grams]
-    model = langid.learn(rows, langs, 12)
-    marks = [i for k in range(4) for i in range(3 * k, 3 * k + 3)]
-    kernel = np.array([[len(a & grams[j]) / math.sqrt(len(a) * len(grams[j])) for j in marks] for a in grams])
-    values, vectors = np.linalg.eigh(kernel[marks])
-    strong = values > 1e-8 * values.max()
-    z = kernel @ (vectors[:, strong] / np.sqrt(values[strong]))
-    targets = np.array([[float(x == n) for n in ("xx", "yy", "zz")] for x in langs])
-    w = np.linalg.solve(z.T @ z + langid.RIDGE * 60 * np.eye(z.shape[1]), z.T @ targets)
-    assert np.allclose(model.scores(rows), z @ w, atol=1e-5)
-
-
 def tokens(text):
     return [*(text or "").encode().lower().split(), None]
 

@@ -204,3 +204,23 @@ def test_config_reader_paths(spark, tmp_path):
     by_dir = configs.read_dataset_configs(spark, os.path.join(here, "data"))
     for df in (single, by_glob, by_dir):
         assert [r.name for r in df.collect()] == ["tide_levels"]
+
+
+def test_many_config_folders_are_listed_by_few_tasks(spark, tmp_path):
+    n, setting = 300, spark.conf.get(configs.LISTING)
+    rows = spark.range(n).select(
+        F.concat(F.lit("d"), F.col("id").cast("string")).alias("dataset_name"), F.lit("public").alias("dataset_classification"),
+        F.lit("zip").alias("dataset_compression"), F.lit("csv").alias("dataset_format"), F.lit("x").alias("dataset_desc"),
+        F.create_map(F.lit("a"), F.lit("string")).alias("dataset_schema"))
+    configs.export_configs(rows, str(tmp_path / "out"))
+    spark.sparkContext.setJobGroup("listing", "listing")
+    try:
+        back = configs.read_dataset_configs(spark, str(tmp_path / "out"))
+        status = spark.sparkContext.statusTracker()
+        tasks = [status.getStageInfo(s).numTasks for j in status.getJobIdsForGroup("listing")
+                 for s in status.getJobInfo(j).stageIds]
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert 0 < sum(tasks) <= max(32, 4 * spark.sparkContext.defaultParallelism) < n
+    assert spark.conf.get(configs.LISTING) == setting
+    assert {r.name for r in back.select("name").collect()} == {f"d{i}" for i in range(n)}

@@ -173,22 +173,24 @@ def search_by_grams(view: DataFrame, index, t: DataFrame) -> DataFrame:
     own = F.when(F.length("_run") < 3, F.array("_run")).otherwise(name_grams(F.col("_run"), (3,)))
     term_grams = materialise(literal.select("term", "_pat", "_run", F.explode(own).alias("gram")))
     wanted = small_side(term_grams.select("gram").distinct())
-    # the wanted grams' rows, once: for how common each is, and to be met
-    rows = materialise(index(wanted).join(wanted, "gram", "left_semi"))
+    # the wanted grams' rows, once: for how common each is, and to be met; a
+    # stored index has them in the order of the grams, of which few are common
+    rows = materialise(index(wanted).join(wanted, "gram", "left_semi").repartition("dataset_id"))
     freq = rows.groupBy("gram").agg(F.count(F.lit(1)).alias("_n"))
     # a gram absent from every name means the term cannot match at all
     pick = (term_grams.join(freq, "gram", "left").fillna(0, ["_n"])
             .groupBy("term", "_pat", "_run").agg(F.min_by("gram", F.struct("_n", "gram")).alias("gram")))
-    found = pick.join(rows, "gram").where(_matches()).select("term", "dataset_id")
+    # a short gram may be in every name, so that rows aren't dealt out by it
+    found = rows.join(small_side(materialise(pick)), "gram").where(_matches()).select("term", "dataset_id")
     by_gram = found.join(view, "dataset_id").select("term", *view.columns)
     # only wildcards: the pattern matches every name of at least as many
     # characters as it has underscores. Each length is met by equality.
     least = F.length(F.regexp_replace("_pat", "%", ""))
     blank = t.where(F.length("_run") == 0).select("term", least.alias("_least"))
     lengths = view.select(F.length("dataset_name").alias("_length")).distinct()
-    wide = blank.select("_least").distinct().join(lengths, F.col("_least") <= F.col("_length"))
-    by_length = (view.withColumn("_length", F.length("dataset_name")).join(wide, "_length")
-                 .join(blank, "_least"))
+    # a few lengths hold most names, so that names aren't dealt out by them
+    wide = small_side(materialise(blank.join(lengths, F.col("_least") <= F.col("_length")).select("term", "_length")))
+    by_length = view.withColumn("_length", F.length("dataset_name")).join(wide, "_length")
     return by_gram.unionByName(by_length.select(*by_gram.columns))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from shelfmark import schemas as S
 from shelfmark.operators import listing, lookup, quality, stored
 from shelfmark.sources import registry as R
+from shelfmark.sources.derived import grams
 from shelfmark.streaming import stream
 
 from test_store import NOW, T0, configs, message, new_root, registry, upserts
@@ -129,3 +130,18 @@ def test_commit_report_is_the_full_report_of_its_rows(spark):
     # a clean commit has none
     stream.upsert_and_commit(spark, root, upserts(spark, [(1, "ok")]), NOW)
     assert rows(quality.commit_violations(spark, root)) == []
+
+
+def test_search_deals_no_names_out_by_length_or_gram(spark):
+    names = spark.createDataFrame([(i, f"data-{i:04d}") for i in range(300)], "dataset_id long, dataset_name string")
+    terms = spark.createDataFrame([(t,) for t in ("a", "-00", "%", "%__", "_" * 9, "_" * 10, "zz")], "term string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # only what is proven small is broadcast
+    try:
+        found = lookup.search_by_grams(names, lambda wanted: grams(names), lookup.search_terms(terms))
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        hits = {r["term"]: r["count"] for r in found.groupBy("term").count().collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "hashpartitioning(_length" not in plan and "hashpartitioning(gram" not in plan
+    assert hits == {"a": 300, "-00": 100, "%": 300, "%__": 300, "_" * 9: 300}

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .. import schemas as S
 from ..functions import formats, paths
 from ..operators import events, fold, listing, lookup, mutations, quality, stored
-from ..session import checkpoint_dir
+from ..session import checkpoint_dir, materialise
 from ..sources import configs, fixtures
 from ..streaming import stream
 
@@ -650,7 +650,8 @@ def _streamed(spark: SparkSession, sf_dir: str) -> str:
     """The event registry on storage after the whole log in three commits."""
     root = stream.registry_root(spark, f"events-{uuid.uuid4().hex}")
     stream.init_registry(fixtures.event_registry(spark, sf_dir), root, buckets=8)
-    decoded = _decoded(spark, sf_dir)
+    # decoded once: counted, sampled for the order and dealt out
+    decoded = materialise(_decoded(spark, sf_dir))
     parts = stream.parts_of(decoded, -(-decoded.count() // 3))
     for i, part in enumerate(parts):
         stream.apply_decoded(spark, part, root, 0, "log", (i, len(parts)))

@@ -142,10 +142,11 @@ def apply_decoded(spark: SparkSession, decoded: DataFrame, root: str,
 
 def parts_of(decoded: DataFrame, max_messages: int) -> list[DataFrame]:
     """A batch in parts of at most ``max_messages``, in event order, so that
-    folding one after the other is folding the batch."""
+    folding one after the other is folding the batch. Pass a materialised
+    batch: it is sampled for the order, then sorted."""
     known = ["event_time", "publish_time", "message_id"]
     rest = F.xxhash64(*[c for c in decoded.columns if c not in known])
-    numbered = materialise(assign_ids(decoded.withColumn("_tie", rest), [*known, "_tie"], -1, "_n").drop("_tie"))
+    numbered = assign_ids(decoded.withColumn("_tie", rest), [*known, "_tie"], -1, "_n").drop("_tie")
     last = numbered.agg(F.max("_n")).first()[0]
     if last is None:
         return [decoded]
@@ -163,7 +164,7 @@ def apply_batch(root: str, checkpoint: str | None = None, max_messages: int | No
         spark = batch.sparkSession
         decoded = decode_notifications(flatten_envelope(batch)).select(*DECODED.fieldNames())
         stream = stream_id(spark, checkpoint) if checkpoint else ""
-        parts = parts_of(decoded, max_messages) if max_messages else [decoded]
+        parts = parts_of(materialise(decoded), max_messages) if max_messages else [decoded]
         for i, part in enumerate(parts):
             apply_decoded(spark, part, root, batch_id, stream, (i, len(parts)))
         R.maintain(spark, root)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from shelfmark import schemas as S
 from shelfmark.operators import listing, lookup, quality, stored
+from shelfmark.plans import catalog
 from shelfmark.sources import registry as R
 from shelfmark.sources.derived import grams
 from shelfmark.streaming import stream
@@ -145,3 +146,18 @@ def test_search_deals_no_names_out_by_length_or_gram(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert "hashpartitioning(_length" not in plan and "hashpartitioning(gram" not in plan
     assert hits == {"a": 300, "-00": 100, "%": 300, "%__": 300, "_" * 9: 300}
+
+
+def test_the_log_is_decoded_once(spark, monkeypatch):
+    fields = {f.name: F.lit(None).cast(f.dataType).alias(f.name) for f in S.DECODED.fields}
+    log = spark.range(7).select(*[F.explode(F.array(F.col("id").cast("string"))).alias("message_id") if n == "message_id" else c
+                                  for n, c in fields.items()])
+    seen, parts_of = [], stream.parts_of
+    monkeypatch.setattr(catalog, "_decoded", lambda *_: log)
+    monkeypatch.setattr(catalog.fixtures, "event_registry", lambda *_: R.empty_registry(spark))
+    monkeypatch.setattr(stream, "init_registry", lambda *_, **__: None)
+    monkeypatch.setattr(stream, "parts_of", lambda d, n: seen.append(d) or parts_of(d, n))
+    monkeypatch.setattr(stream, "apply_decoded", lambda _, part, *__: seen.append(part))
+    catalog._streamed(spark, "")
+    assert "Generate" not in seen[0]._jdf.queryExecution().executedPlan().toString()
+    assert [sorted(r.message_id for r in p.collect()) for p in seen[1:]] == [["0", "1", "2"], ["3", "4", "5"], ["6"]]

@@ -211,6 +211,67 @@ def test_recall_of_near_copies(llm):
     assert [got[i] for i, _ in rows] == comp and len(set(comp)) < len(rows)
 
 
+def moved_rows(df):
+    """Rows that the plan of ``df`` sends through shuffles, once it ran."""
+    df.collect()
+    todo, rows = [df._jdf.queryExecution().executedPlan()], 0
+    while todo:
+        node = todo.pop()
+        if node.nodeName() == "Exchange":
+            rows += node.metrics().get("shuffleRecordsWritten").get().value()
+        todo += [node.children().apply(i) for i in range(node.children().size())]
+    return rows
+
+
+def test_only_documents_with_a_partner_move(llm, monkeypatch):
+    """Where no side is broadcast for its size, documents that share no
+    bucket, and those that surely stay, are not shuffled."""
+    rng = random.Random(31)
+    rows = [(i, " ".join(f"v{rng.randrange(10**6)}" for _ in range(60))) for i in range(400)]
+    rows += [(1000, rows[0][1]), (1001, rows[1][1] + " and"), (2, rows[2][1]), (2000, None)]
+    stored, moved = N.stored, {}
+
+    def spy(df, name):
+        moved[name] = moved_rows(df)
+        return stored(df, name)
+    monkeypatch.setattr(N, "stored", spy)
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    before = {c: llm.conf.get(c) for c in conf}
+    try:
+        for c, v in conf.items():
+            llm.conf.set(c, v)
+        left = N.deduplicated(documents(llm, rows))
+        assert moved_rows(left) < 100 and moved["bucket-texts"] < 100 and moved["nodes"] < 100
+    finally:
+        for c, v in before.items():
+            llm.conf.set(c, v)
+    assert sorted(r.doc_id for r in left.collect()) == [*range(400), 2000]
+
+
+def test_sieve(llm, monkeypatch):
+    """No key is lost, few others pass; beyond its size, more pass."""
+    from shelfmark.llm import common as C
+    rows = llm.range(20_000).selectExpr("if(id % 100 = 1, null, id) as `an id`", "cast(id as string) as word_")
+    keys = llm.range(0, 20_000, 10).selectExpr("if(id % 1000 = 10, null, id) as k")
+    want = {i for i in range(0, 20_000, 10) if i % 1000 != 10}
+    for words, most in ((C.SIEVE_WORDS, 900), (1, 20_000)):
+        monkeypatch.setattr(C, "SIEVE_WORDS", words)
+        may, other = C.sieve(keys)(rows, "an id")
+        assert may.columns == other.columns == rows.columns
+        may, other = ([r[0] for r in x.collect()] for x in (may, other))
+        assert want <= set(may) and None not in may and len(may) - len(want) < most
+        assert len(may) + len(other) == 20_000 and not want & set(other)
+    assert C.sieve(keys.limit(0))(rows, "an id")[0].count() == 0
+
+
+def test_one_of_each_group_stays_beyond_the_sieve(llm, monkeypatch):
+    """With a filter that everything passes, the exact joins decide."""
+    from shelfmark.llm import common as C
+    monkeypatch.setattr(C, "SIEVE_WORDS", 1)
+    test_repeated_and_null_ids(llm, 3, 85)
+    test_one_of_each_group_stays(llm)
+
+
 def test_decontamination(llm):
     rng = random.Random(11)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 8)))

@@ -2,6 +2,8 @@
 (search, range queries, latest partition, registration, managers)."""
 
 import datetime as dt
+import gzip
+import json
 import os
 
 from pyspark.sql import functions as F
@@ -224,3 +226,57 @@ def test_many_config_folders_are_listed_by_few_tasks(spark, tmp_path):
     assert 0 < sum(tasks) <= max(32, 4 * spark.sparkContext.defaultParallelism) < n
     assert spark.conf.get(configs.LISTING) == setting
     assert {r.name for r in back.select("name").collect()} == {f"d{i}" for i in range(n)}
+
+
+def _config_text(name, **more):
+    return json.dumps({"name": name, "classification": "public", "compression": "zip", "format": "csv",
+                       "description": "é", "schema": {"a": "string"}} | more, ensure_ascii=False)
+
+
+def _by_sparks_reader(spark, folder):
+    return (spark.read.schema(S.DATASET_CONFIG).option("multiLine", True).option("recursiveFileLookup", True)
+            .json(folder).withColumn("source", F.input_file_name()))
+
+
+def test_the_driver_holds_no_config_file(spark, tmp_path):
+    n, out = 120, str(tmp_path / "out")
+    for i in range(n):
+        folder = tmp_path / "out" / "bucket" / ("a" if i % 2 else "b/c") / f"d{i}"
+        folder.mkdir(parents=True)
+        (folder / "dd.json").write_text(_config_text(f"d{i}"))
+    back = configs.read_dataset_configs(spark, out)
+    assert not back.inputFiles()
+    old = _by_sparks_reader(spark, out)
+    assert back.schema == old.schema
+    assert sorted(map(str, back.collect())) == sorted(map(str, old.collect())) and back.count() == n
+
+
+def test_config_folders_read_as_sparks_reader_does(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(configs, "FILES", 5)
+    one = _config_text("x")
+    files = {
+        "a b/c": one, "é  ü": one, "[x]{y}*?": one, "t%3A\\#'\"<^`|&=+$,;@!~()": one, "😀": one, "k=1": one, "_h=1": one,
+        "_hidden": one, ".hidden": one, "c._COPYING_": one, "_metadata_of": one, "none": "", "blank": " \n", "lead": " \n" + one,
+        "array": f"[{one}, {one}]", "[o]{d,}*? %20": f"[{one}]", "bad array": f"[{one}, 5]", "empty array": "[]", "two": one + one, "null": "null", "cut": one[:40],
+        "types": _config_text("x", schema=5, format=7.50, compression=None), "values": _config_text("x", schema={"a": 1, "b": None, "c": {"x": [1]}}),
+        "nested name": '{"name": {"x":  1}, "format": NaN}', "text schema": '{"schema": "a"}', "more": _config_text("x", version=1, tags=[1, {}]),
+        "twice": '{"name": "a", "name": "b", "schema": {"k": "1", "k": "2"}}', "single": "{'name': 'x'}", "control": '{"name": "a\nb"}', "empty": "{}",
+        "bom": one.encode("utf-8-sig"), "utf16": one.encode("utf-16"), "latin": one.encode("latin-1"), "nul": b'{"name": "a\0b"}',
+    }
+    root = tmp_path / "in é%20"
+    for k, v in files.items():
+        (root / k).mkdir(parents=True)
+        (root / k / "dd.json").write_bytes(v if isinstance(v, bytes) else v.encode())
+    for k, v in {"dd.json": one.encode(), "z/dd.json.gz": gzip.compress(one.encode()), "z/plain": one.encode(),
+                 "z/_metadata": one.encode(), "z/_x.json": one.encode(), "z/.dd.json.1": one.encode()}.items():
+        (root / k).parent.mkdir(exist_ok=True)
+        (root / k).write_bytes(v)
+    (root / "no files").mkdir()
+    (root / "link").symlink_to(root / "k=1")
+    (root / "broken").symlink_to(root / "nowhere")
+    assert configs._folder(spark, str(root)) is not None
+    back, old = configs.read_dataset_configs(spark, str(root)), _by_sparks_reader(spark, str(root))
+    assert back.schema == old.schema
+    rows = sorted(map(str, old.collect()))
+    assert sorted(map(str, back.collect())) == rows and len(rows) > 25
+    assert configs._folder(spark, str(tmp_path / "missing")) is None
